@@ -25,7 +25,7 @@ FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 TRAIN_ROWS, EPOCHS = 12_000, 4
 #: Hash buckets: the bound of what is broadcast (8 bytes for each weight).
 BUCKETS = 1 << 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.01
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 5.0, 0.01
 #: Words whose hashes a worker remembers.
 KEPT = 500_000
 
