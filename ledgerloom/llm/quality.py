@@ -128,3 +128,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     scored = features(docs).select("doc_id", held_out(FOLDS, HELD).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model doesn't reject, as they are."""
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    return features(rows, keep=("_row",)).where(model.score() >= THRESHOLD).select("_row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, rules, secrets, simhash, spotsigs, token_counts, toxicity
+from . import bpe, mixing, pii, quality, rules, secrets, simhash, spotsigs, token_counts, toxicity
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.withColumn("over_limit", F.col("n_tokens") > token_counts.CONTEXT_LIMIT)
@@ -50,9 +54,48 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(documents(spark, sf_dir))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select_tokens(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The quality rules in DuckDB's SQL; WINDOWS and thresholds are written out again on purpose.
+OP6_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+starts AS (SELECT rid, unnest(generate_series(1, len(w) - 4)) AS i, w FROM words WHERE len(w) >= 5),
+windows AS (SELECT rid, i, w[i:i + 4] AS x FROM starts),
+repeated AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM repeated, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY rid),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    len(lines) AS n_lines,
+    length(text) - length(replace(text, '!', '')) AS n_exclamations,
+    len(regexp_extract_all(text, '\p{L}')) AS n_letters,
+    len(regexp_extract_all(text, '\p{Lu}')) AS n_upper,
+    len(list_filter(w, lambda x: list_contains(STOP, lower(x)))) AS n_stop_words
+  FROM words LEFT JOIN covered c USING (rid)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+  AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+  AND n_symbols <= 0.25 * n_words
+  AND n_exclamations <= 0.3 * n_words
+  AND n_upper <= 0.4 * n_letters
+  AND n_letters >= 0.5 * word_chars
+  AND (n_words < 60 OR n_stop_words >= 0.02 * n_words)
+  AND n_dup_lines <= 0.4 * n_lines AS kept
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stop = "[" + ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS))) + "]"
+    return {"op6_quality_rules": OP6_SQL.replace("STOP", stop)}
