@@ -1,0 +1 @@
+"""Scalar functions as column expressions; none of them leaves the JVM."""
