@@ -133,4 +133,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model doesn't reject, as they are."""
     rows = docs.withColumn("_row", F.struct(*docs.columns))
-    return features(rows, keep=("_row",)).where(model.score() >= THRESHOLD).select("_row.*")
+    # The optimizer would write a filter on the score in terms of the raw text, each statistic
+    # once for every rule that names it. A value it holds for not repeatable stays where it is.
+    scored = F.when(F.monotonically_increasing_id() >= 0, model.score())
+    return features(rows, keep=("_row",)).select("_row", scored.alias("_score")).where(F.col("_score") >= THRESHOLD).select("_row.*")
