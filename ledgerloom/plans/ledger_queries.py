@@ -1 +1,107 @@
-"""Queries over the whole voucher plan."""
+"""Queries over the whole voucher plan.
+
+The orders of each nation's customers are laid out as one voucher: cells at positions on pages
+with drawn boxes, a cover that declares totals (one too much in every fifth), a tax id with its
+check digit for each customer. The plan then has to read it all back from geometry.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.taxid import check_digit
+from ..functions.text import printed
+from ..operators import config as C
+from . import ledger
+from .catalogue import query, table
+
+# the layout of a page: heading, box, centre of the data below
+COLUMNS = (("RUT", 18, 59, 38), ("Apellido Paterno Materno Nombres", 59, 223, 130), ("Remuneración Imponible", 223, 273, 256), ("Cotización Obligatoria", 273, 314, 299))
+GROUPS = (("Identificación del Trabajador", 18, 223), ("Fondo de Pensiones", 223, 314))
+TITLE = "DETALLE DE PAGO DE COTIZACIONES PREVISIONALES Y DEPOSITOS DE AHORRO VOLUNTARIO, FONDO DE PENSIONES"
+COVER = ("COMPROBANTE DE PAGO DE COTIZACIONES PREVISIONALES", None, "AFP PlanVital", "Período de Remuneraciones: 07/2026", "FONDO DE PENSIONES")
+
+
+def _cell(page, y, x0, x1, text, order):
+    x0, x1, y = (v if not isinstance(v, (int, float)) else F.lit(float(v)) for v in (x0, x1, y))
+    return F.struct(page.cast("int").alias("page"), F.lit(order).alias("item_ord"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), ((x0 + x1) / 2).cast("double").alias("xc"), y.cast("double").alias("y"), text.alias("text"))
+
+
+def vouchers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, cells, boxes) of one voucher for each nation that has orders."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("base"))
+    lines = orders.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    doc = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    page, y = (2 + F.floor(F.col("o_orderkey") / 1000)).cast("int"), 130 + 8 * (F.col("o_orderkey") % 1000)
+    body = 1_000_000 + F.col("o_custkey")
+    texts = [F.concat_ws("-", printed(body), check_digit(body)), F.concat_ws(" ", F.lit("CLIENTE"), F.col("c_mktsegment"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")), printed(F.col("base")), printed(F.floor(F.col("base") / 10))]
+    data = lines.select(doc.alias("doc_id"), F.inline(F.array(*[_cell(page, y, at - 10, at + 10, t, 100 + n) for n, (t, (*_, at)) in enumerate(zip(texts, COLUMNS))])))
+
+    where = lines.select(doc.alias("doc_id"), page.alias("p")).distinct()
+    p = F.col("p")
+    heads = [_cell(p, 40, 20, 400, F.lit(TITLE), 0)] + [_cell(p, 98, (a + b) / 2 - 20, (a + b) / 2 + 20, F.lit(t), n + 1) for n, (t, a, b) in enumerate(GROUPS)] + [_cell(p, 110, at - 12, at + 12, F.lit(t), n + 10) for n, (t, _, _, at) in enumerate(COLUMNS)]
+    head = where.select("doc_id", F.inline(F.array(*heads)))
+
+    per = lines.groupBy(doc.alias("doc_id"), "c_nationkey").agg(F.sum("base").alias("b"), F.sum(F.floor(F.col("base") / 10)).alias("c"), F.count_distinct("o_custkey").alias("n"))
+    declared = [("Renta Imponible", F.col("b") + F.when(F.col("c_nationkey") % 5 == 0, 1).otherwise(0)), ("Cotización Obligatoria", F.col("c")), ("NUMERO AFILIADOS INFORMADOS", F.col("n")), ("Otro concepto", F.lit(7))]
+    one = F.lit(1)
+    cover = [_cell(one, 20 + 8 * n, 20, 300, F.lit(t) if t else F.concat(F.lit("Número de Folio: "), F.col("doc_id")), n) for n, t in enumerate(COVER)]
+    cover += [_cell(one, 80 + 8 * n, a, b, t, 20 + 2 * n + k) for n, (label, amount) in enumerate(declared) for k, (t, a, b) in enumerate(((F.lit(label), 20, 200), (printed(amount), 300, 360)))]
+    first = per.select("doc_id", F.inline(F.array(*cover)))
+
+    box = lambda x0, x1, y0, y1: F.struct(p.cast("int").alias("page"), *[F.lit(float(v)).alias(k) for k, v in (("x0", x0), ("x1", x1), ("y0", y0), ("y1", y1))])
+    drawn = [box(a, b, 90, 100) for _, a, b in GROUPS] + [box(a, b, 100, 122) for _, a, b, _ in COLUMNS]
+    # one band holds the data rows: as tall as the page, it contains the first row with a tax id
+    drawn += [box(a, b, 122, 8130) for _, a, b, _ in COLUMNS]
+    boxes = where.select("doc_id", F.inline(F.array(*drawn)))
+
+    files = per.select("doc_id", F.col("c_nationkey").cast("int").alias("doc_ord"), F.concat("doc_id", F.lit(".pdf")).alias("file"), F.lit(None).cast("string").alias("error"))
+    return files, data.unionByName(head).unionByName(first), boxes
+
+
+def processed(spark: SparkSession, sf: str) -> ledger.Ledger:
+    return ledger.process(*vouchers(spark, sf))
+
+
+_LINES = "SELECT o_custkey, c_nationkey, c_mktsegment, CAST(floor(o_totalprice) AS BIGINT) AS base, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey"
+_DIGIT = "CASE 11 - CAST(list_sum(list_transform(range(1, len(body) + 1), lambda i: CAST(body[len(body) - i + 1] AS INTEGER) * ((i - 1) % 6 + 2))) AS BIGINT) % 11 WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE CAST(11 - CAST(list_sum(list_transform(range(1, len(body) + 1), lambda i: CAST(body[len(body) - i + 1] AS INTEGER) * ((i - 1) % 6 + 2))) AS BIGINT) % 11 AS VARCHAR) END"
+
+
+@query(f"""WITH p AS (SELECT CAST(1000000 + o_custkey AS VARCHAR) AS body, 'CLIENTE' AS paternal, min(c_mktsegment) AS maternal, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS given, CAST(sum(base) AS DOUBLE) AS base, CAST(sum(base // 10) AS DOUBLE) AS paid FROM ({_LINES}) GROUP BY o_custkey)
+SELECT CAST(row_number() OVER (ORDER BY maternal, given) AS BIGINT) AS line, body, {_DIGIT} AS digit, paternal, maternal, given, '72026' AS month, 'AFP' AS regime, CAST(29 AS BIGINT) AS pension, base, paid FROM p""")
+def voucher_ledger(spark, sf):
+    out = processed(spark, sf).ledger
+    c = lambda h: F.col(C.column(h).name)
+    return out.select(
+        c("Linea").cast("long").alias("line"), c("rut").alias("body"), c("dv").alias("digit"), c("ape_pat").alias("paternal"), c("ape_mat").alias("maternal"), c("nombres").alias("given"),
+        c("remu_desde").alias("month"), c("reg_previ").alias("regime"), c("nom_AFP").cast("long").alias("pension"), c("impo_afp").cast("double").alias("base"), c("cot_obli_afp").cast("double").alias("paid"),
+    )
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, CAST(sum(base) AS DOUBLE) AS b, CAST(sum(base // 10) AS DOUBLE) AS c, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS n FROM ({_LINES}) GROUP BY c_nationkey)
+SELECT 'n' || c_nationkey || '.pdf' AS file, 'Renta Imponible' AS label, 'impAfp' AS field, b + CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS declared, b AS extracted, c_nationkey % 5 <> 0 AS ok FROM s
+UNION ALL SELECT 'n' || c_nationkey || '.pdf', 'Cotización Obligatoria', 'cotObliAfp', c, c, true FROM s UNION ALL SELECT 'n' || c_nationkey || '.pdf', 'NUMERO AFILIADOS INFORMADOS', '(rut únicos)', n, n, true FROM s""")
+def voucher_control(spark, sf):
+    return processed(spark, sf).control.select("file", "label", "field", F.col("amount").cast("double").alias("declared"), F.col("extracted").cast("double").alias("extracted"), "ok")
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, count(DISTINCT o_orderkey // 1000) AS pages FROM ({_LINES}) GROUP BY c_nationkey)
+SELECT 'n' || c_nationkey || '.pdf' AS file, 'afp' AS profile, 'AFP PlanVital' AS institution, 'n' || c_nationkey AS folio, CASE WHEN c_nationkey % 5 = 0 THEN 'no cuadra' ELSE 'verificado' END AS state, CAST(CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS reasons,
+  CAST(n AS BIGINT) AS records, CAST(0 AS BIGINT) AS outside, CAST(4 AS BIGINT) AS pairs, CAST(1 AS BIGINT) AS uncompared FROM s""")
+def voucher_states(spark, sf):
+    return processed(spark, sf).documents.select("file", "profile", "institution", "folio", "state", F.size("reasons").alias("reasons"), F.col("n_records").alias("records"), "outside", F.col("n_pairs").alias("pairs"), F.col("n_uncompared").alias("uncompared"))
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, CAST(sum(base) AS DOUBLE) AS b, CAST(sum(base // 10) AS DOUBLE) AS c FROM ({_LINES}) GROUP BY c_nationkey)
+SELECT 'n' || c_nationkey || '.pdf' AS file, CAST(i AS INTEGER) AS i, label, field, 'ancestro' AS level, CAST(n AS BIGINT) AS with_value, CASE i WHEN 2 THEN b WHEN 3 THEN c ELSE 0 END AS total FROM s,
+  (VALUES (0, 'Identificación del Trabajador > RUT', 'rut'), (1, 'Identificación del Trabajador > Apellido Paterno Materno Nombres', 'nombre'), (2, 'Fondo de Pensiones > Remuneración Imponible', 'impAfp'), (3, 'Fondo de Pensiones > Cotización Obligatoria', 'cotObliAfp')) AS v(i, label, field)""")
+def voucher_columns(spark, sf):
+    return processed(spark, sf).columns.select("file", "i", "label", "field", "level", "with_value", F.col("total").cast("double").alias("total"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT c_nationkey FROM ({_LINES}))
+SELECT 'Total de portada sin comparar' AS kind, count(*) AS n FROM s UNION ALL SELECT 'Total no cuadra', count(*) FROM s WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'Documento que no cuadra', count(*) FROM s WHERE c_nationkey % 5 = 0
+UNION ALL SELECT 'Columnas constantes en el consolidado', 1""")
+def voucher_warnings(spark, sf):
+    return processed(spark, sf).warnings.groupBy("kind").agg(F.count("*").alias("n"))
