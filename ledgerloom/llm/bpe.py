@@ -25,7 +25,7 @@ from .common import id_text, texts
 #: fixed value: how byte-level BPE cuts a text before it merges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker keeps of pre-tokens and of pairs that it has met.
-KEPT_WORDS, KEPT_PAIRS, KEPT_BYTES = 300_000, 500_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_BYTES = 200_000, 150_000, 64
 #: Rows of an Arrow batch that goes back to the JVM.
 OUT_ROWS = 500
 
@@ -38,13 +38,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+class Decoder:
+    """Where each id's bytes begin and end in one string."""
+
+    def __init__(self, path: str):
+        spec, to_byte = _spec(path), byte_letters()
+        by_id = {i: bytes(to_byte[c] for c in token) for token, i in spec["model"]["vocab"].items() if all(c in to_byte for c in token)}
+        by_id |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        pieces = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.offsets = np.cumsum([0, *map(len, pieces)])
+        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, by gathering every id's bytes from the offset table."""
+        starts = self.offsets[ids]
+        sizes = self.offsets[ids + 1] - starts
+        shift = starts - np.cumsum(sizes) + sizes
+        return self.blob[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes().decode("utf-8", "replace")
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file. Tokens are numbered here by merge order: the bytes,
     then each merge's result; ids of the file are mapped at the end."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         model, to_byte = spec["model"], byte_letters()
         raw = lambda token: bytes(to_byte[c] for c in token)
         ids = model["vocab"]
@@ -77,11 +100,6 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.met: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
-        # decoding: where each id's bytes begin and end in one string
-        by_id = {i: b for i, b in zip(self.ids, self.bytes)} | {i: s.encode() for s, i in special.items()}
-        pieces = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.offsets = np.cumsum([0, *map(len, pieces)])
-        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a followed by b stays two tokens: taken apart from the latest merge back, no
@@ -163,19 +181,17 @@ class Vocabulary:
         out += map(self.word_ids, self.pattern.findall(text[at:] if at else text))
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, by gathering every id's bytes from the offset table."""
-        starts = self.offsets[ids]
-        sizes = self.offsets[ids + 1] - starts
-        shift = starts - np.cumsum(sizes) + sizes
-        return self.blob[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes().decode("utf-8", "replace")
-
 
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs(doc_id, text, ...).
 
@@ -201,13 +217,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def run(batches):
-        voc = vocabulary(path)
+        table = decoder(path)
         for b in batches:
             for at in range(0, b.num_rows, OUT_ROWS):
                 part = b.slice(at, OUT_ROWS)
                 lists = part.column(1)
                 flat, ends = lists.flatten().to_numpy(), np.cumsum(np.r_[0, lists.value_lengths().fill_null(0).to_numpy()])
-                decoded = [voc.decode(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+                decoded = [table.decode(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], schema=schema)
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
