@@ -1,0 +1 @@
+"""Structured Streaming variants: archives as they arrive, and running ledgers."""
