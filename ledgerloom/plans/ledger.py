@@ -8,7 +8,7 @@ documents are rows, not iterations.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +18,115 @@ from ..operators import config as C
 from .cuts import cut, numbered
 
 
-@dataclass(frozen=True)
 class Ledger:
-    documents: DataFrame
-    ledger: DataFrame
-    people: DataFrame
-    control: DataFrame
-    columns: DataFrame
-    records: DataFrame
-    warnings: DataFrame
+    """The results for all documents. Every table is worked out when it is first asked for and
+    written once, so what isn't asked for costs nothing and nothing is read twice.
+
+    ignored: file, file_ord of entries of the archives that aren't documents.
+    """
+
+    def __init__(self, files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None):
+        self._files, self._cells, self._boxes = files, cells, boxes
+        self._ignored = ignored if ignored is not None else files.sparkSession.createDataFrame([], "file string, file_ord long")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return cut(geometry.pages_of(geometry.rows_of(self._cells), geometry.bands_of(self._boxes)))
+
+    @cached_property
+    def _docs(self) -> DataFrame:
+        covers = self._files.join(cover.covers(self.pages), "doc_id", "left").withColumn("folio", F.coalesce("folio", F.lit("")))
+        return cut(mark_duplicates(classify.classified(covers)))
+
+    @property
+    def _used(self) -> DataFrame:
+        return self._docs.where("duplicate_of is null")
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        """The detail pages with their section, table and lines."""
+        section, others = classify.section_of(F.col("profile"), F.col("title"))
+        detail = self.pages.where("page > 1").join(self._docs.where("profile is not null").select("doc_id", "profile"), "doc_id")
+        detail = detail.withColumns({"section": section, "other_sections": others})
+        anchors = F.coalesce(classify.anchors_of(F.col("section")), F.array(F.lit("\0")))  # no section: nothing matches
+        return cut(geometry.read_rows(geometry.locate_tables(detail.withColumn("anchors", anchors))).drop("anchors", "lines", "title", "bands", "rows"))
+
+    @cached_property
+    def _mapped(self) -> DataFrame:
+        return cut(records.mapped_columns(self.tables))
+
+    @cached_property
+    def _typed(self) -> DataFrame:
+        return cut(records.typed_values(self._mapped, records.cell_values(self.tables)))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """(doc_id, page, row_no, field, num, txt, repeated, id) of every record, duplicates included."""
+        return cut(records.record_values(self._typed))
+
+    @property
+    def _mine(self) -> DataFrame:
+        return self.records.join(self._used.select("doc_id"), "doc_id", "left_semi")
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        """The audit of every column read."""
+        audit = records.column_audit(self._mapped, records.cell_values(self.tables))
+        return cut(audit.join(self._docs.select("doc_id", "doc_ord", "file"), "doc_id"))
+
+    @cached_property
+    def people(self) -> DataFrame:
+        """One row for each person, numbered by name; equal names by first appearance."""
+        order = [F.collate(F.coalesce("nombre", F.lit("")), "es"), F.col("place.doc_ord"), F.col("place.page"), F.col("place.row_no")]
+        return cut(numbered(consolidate.people(self._mine, self._used), order))
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return consolidate.ledger(self.people)
+
+    @cached_property
+    def _compared(self) -> DataFrame:
+        pairs = self._used.select("doc_id", F.posexplode("pairs").alias("pair_ord", "p")).select("doc_id", "pair_ord", "p.label", "p.amount", "p.y", "p.frame")
+        return cut(verify.compare_covers(pairs, self._used, self._mine))
+
+    @property
+    def control(self) -> DataFrame:
+        """Every comparison of a declared total with what was extracted."""
+        return self._compared.where("outcome = 'compared'").join(self._docs.select("doc_id", "doc_ord", "file", "institution"), "doc_id")
+
+    @cached_property
+    def _read(self) -> DataFrame:
+        """Documents with what was read of them and what wasn't."""
+        empty, numbers = F.array().cast("array<string>"), F.array().cast("array<int>")
+        lists = {c: F.coalesce(c, numbers if c in ("no_section", "no_table") else empty) for c in ("no_section", "no_table", "ambiguous_sections", "repeated", "paths")}
+        counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("read", "dropped", "outside", "colliding", "n_records")}
+        whole = self._docs.join(_reading(self.tables, self.records), "doc_id", "left").withColumns(lists | counts)
+        return cut(whole.withColumn("lost", F.greatest(F.col("read") - F.col("dropped") - F.col("n_records"), F.lit(0))))
+
+    @cached_property
+    def _states(self) -> DataFrame:
+        return cut(verify.states(self._read.where("duplicate_of is null"), self._compared, self._mine))
+
+    @property
+    def documents(self) -> DataFrame:
+        """Every document with its institution, state, reasons and coverage; duplicates have no state."""
+        coverage = self._compared.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("compared", "note", "uncompared")])
+        return self._read.join(self._states, "doc_id", "left").join(coverage, "doc_id", "left")
+
+    @property
+    def warnings(self) -> DataFrame:
+        """(prio, ord, kind, file, detail): in the order (prio, ord)."""
+        constant = stats.constant_columns(self.ledger, [c.name for c in C.LAYOUT])
+        told = F.array_compact(F.array(*[F.when(F.col(c.name), F.lit(c.header)) for c in C.LAYOUT]))
+        constants = constant.select(told.alias("h")).select(F.size("h").alias("n"), F.array_join("h", ", ").alias("names"))
+        unread = self._typed.where("numeric and num is null").select("doc_id", "page", "row_no", "i", "label", "field", "raw")
+        audit = self.columns.join(self._used.select("doc_id"), "doc_id", "left_semi").drop("doc_ord", "file")
+        own = verify.document_warnings(self._read.where("duplicate_of is null"), audit, self._compared, _first_per_document(unread, 20))
+        return own.unionByName(verify.run_warnings(self._read, self._states, self._compared, self.people, constants, self._ignored))
 
     def state(self) -> DataFrame:
         """One row: the worst state of the documents that were used."""
-        return self.documents.where("duplicate_of is null").agg(checks.worst(F.col("state")).alias("state"))
+        return self._states.agg(checks.worst(F.col("state")).alias("state"))
 
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
@@ -44,7 +140,7 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
     return both.withColumn("duplicate_of", F.when(later, F.col("first.file"))).drop("first", "month")
 
 
-def _reading(tables: DataFrame, typed: DataFrame, values: DataFrame) -> DataFrame:
+def _reading(tables: DataFrame, values: DataFrame) -> DataFrame:
     """What was read and what wasn't, by document."""
     pages = lambda where: F.array_sort(F.collect_set(F.when(where, F.col("page"))))
     counts = tables.groupBy("doc_id").agg(
@@ -59,56 +155,7 @@ def _reading(tables: DataFrame, typed: DataFrame, values: DataFrame) -> DataFram
 
 
 def process(files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None) -> Ledger:
-    """The results for all documents of files. ignored: file, file_ord of entries that aren't documents."""
-    spark = files.sparkSession
-    pages = cut(geometry.pages_of(geometry.rows_of(cells), geometry.bands_of(boxes)))
-    covers = classify.classified(files.join(cover.covers(pages), "doc_id", "left").withColumn("folio", F.coalesce("folio", F.lit(""))))
-    docs = cut(mark_duplicates(covers))
-
-    known = docs.where("profile is not null").select("doc_id", "profile")
-    section, others = classify.section_of(F.col("profile"), F.col("title"))
-    detail = pages.where("page > 1").join(known, "doc_id").withColumns({"section": section, "other_sections": others})
-    detail = detail.withColumn("anchors", classify.anchors_of(F.col("section")))
-    empty = F.array().cast("array<string>")
-    tables = cut(geometry.read_rows(geometry.locate_tables(detail.withColumn("anchors", F.coalesce("anchors", F.array(F.lit("\0"))))).drop("anchors", "lines", "title", "bands", "rows")))
-
-    mapped = cut(records.mapped_columns(tables))
-    raw = records.cell_values(tables)
-    typed = cut(records.typed_values(mapped, raw))
-    values = cut(records.record_values(typed))
-    audit = cut(records.column_audit(mapped, raw))
-    bad = typed.where("numeric and num is null").select("doc_id", "page", "row_no", "i", "label", "field", "raw")
-    bad = _first_per_document(bad, 20)
-
-    used = docs.where("duplicate_of is null")
-    mine = values.join(used.select("doc_id"), "doc_id", "left_semi")
-    folk = consolidate.people(mine, used)
-    named = numbered(folk, [F.collate(F.coalesce("nombre", F.lit("")), "es"), F.col("place.doc_ord"), F.col("place.page"), F.col("place.row_no")])
-    folk = cut(named)
-    sheet = cut(consolidate.ledger(folk))
-
-    pairs = used.select("doc_id", F.posexplode("pairs").alias("pair_ord", "p")).select("doc_id", "pair_ord", "p.label", "p.amount", "p.y", "p.frame")
-    compared = cut(verify.compare_covers(pairs, used, mine))
-
-    read = _reading(tables, typed, values)
-    lists = {c: F.coalesce(c, F.array().cast("array<int>") if c in ("no_section", "no_table") else empty) for c in ("no_section", "no_table", "ambiguous_sections", "repeated", "paths")}
-    numbers = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("read", "dropped", "outside", "colliding", "n_records")}
-    full = docs.join(read, "doc_id", "left").withColumns(lists | numbers).withColumn("lost", F.greatest(F.col("read") - F.col("dropped") - F.col("n_records"), F.lit(0)))
-    full = cut(full)
-    judged = cut(verify.states(full.where("duplicate_of is null"), compared, mine))
-    coverage = compared.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("compared", "note", "uncompared")])
-
-    names = [c.name for c in C.LAYOUT]
-    constant = stats.constant_columns(sheet, names)
-    told = F.array_compact(F.array(*[F.when(F.col(c.name), F.lit(c.header)) for c in C.LAYOUT]))
-    constants = constant.select(told.alias("h")).select(F.size("h").alias("n"), F.array_join("h", ", ").alias("names"))
-    ignored = ignored if ignored is not None else spark.createDataFrame([], "file string, file_ord long")
-    warnings = verify.document_warnings(full.where("duplicate_of is null"), audit.join(used.select("doc_id"), "doc_id", "left_semi"), compared, bad).unionByName(
-        verify.run_warnings(full, judged, compared, folk, constants, ignored)
-    )
-    documents = full.join(judged, "doc_id", "left").join(coverage, "doc_id", "left")
-    control = compared.where("outcome = 'compared'").join(full.select("doc_id", "doc_ord", "file", "institution"), "doc_id")
-    return Ledger(documents, sheet, folk, control, audit.join(full.select("doc_id", "doc_ord", "file"), "doc_id"), values, warnings)
+    return Ledger(files, cells, boxes, ignored)
 
 
 def _first_per_document(bad: DataFrame, most: int) -> DataFrame:
