@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: Words are maximal runs of anything but these characters (space and \t \n \v \f \r).
 SPACE = r"\x20\x09-\x0D"
@@ -45,9 +45,11 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def texts(column: pa.Array) -> list[str]:
-    """The strings of an Arrow column; null counts as empty."""
-    return [t or "" for t in column.to_pylist()]
+def texts(column: pa.Array) -> Iterator[str]:
+    """The strings of an Arrow column, a few hundred at a time; null counts as empty."""
+    for at in range(0, len(column), 250):
+        for t in column.slice(at, 250).to_pylist():
+            yield t or ""
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,9 +59,3 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def arrow_schema(schema: StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)

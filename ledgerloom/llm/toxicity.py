@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         for b in batches:
             found = [feature_ids(t) for t in texts(b.column(0))]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
             yield pa.RecordBatch.from_arrays([b.column(1), lists], schema=_FEATURES)
 
     sample = training_rows(id_text(docs), labels, label, FOLDS, HELD, limit).select("doc_id", "text", "label")
