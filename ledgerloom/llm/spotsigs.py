@@ -24,11 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, texts
+from .common import batch, id_text, materialize, texts
+from .components import connected_components
 from .rules import STOP_WORDS
 
 CHAIN = 2
 THRESHOLD = 0.8
+#: Buckets up to this size make candidate pairs; in larger ones a task searches for a forest.
+PAIRWISE_BUCKET = 32
 #: Words whose hashes a worker remembers.
 KEPT = 500_000
 
@@ -120,6 +123,92 @@ def spot_signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sets.withColumn("part", length_partition(F.size("signatures"), threshold))
 
 
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, bucket, sig, own): the signatures by which a set may be found.
+
+    Signatures are ordered by how many sets have them, rare ones first. Two sets of Jaccard
+    >= t share one among the first n - ceil(t n) + 1 of either. Those that no other set has come
+    first and find nothing, so only shared ones are passed on. A set stands in its own length
+    partition's buckets and, as a guest, in those of the next one.
+    """
+    each = sets.select("node", "part", "n", F.explode("signatures").alias("sig"))
+    shared = each.join(each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig")
+    ranked = shared.groupBy("node", "part", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
+    left = F.greatest(length - (F.col("n") - F.size("s")), F.lit(0)).cast("int")
+    found = ranked.select("node", "part", "n", F.explode(F.slice("s", 1, left)).alias("s"))
+    both = F.explode(F.array(F.struct(F.col("part").alias("bucket"), F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("bucket"), F.lit(False).alias("own"))))
+    return found.select("node", "n", F.col("s.sig").alias("sig"), both.alias("b")).select("node", "n", "sig", "b.bucket", "b.own")
+
+
+def _pairs(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) of buckets of bounded size: pairs whose lengths and then sets allow it."""
+    a = rows.where("own").select("bucket", "sig", F.col("node").alias("a"), F.col("n").alias("an"))
+    b = rows.select("bucket", "sig", F.col("node").alias("b"), F.col("n").alias("bn"), "own")
+    near = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn") - F.lit(1e-9)
+    pairs = a.join(b, ["bucket", "sig"]).where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & near)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("signatures").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("signatures").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - F.lit(1e-9)
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+
+
+def _forests(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect what is alike in the large buckets, each set reached once."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+    def edges(members):
+        rest, out = [(node, np.sort(np.array(s, np.int64))) for node, s in members], []
+        while rest:
+            (u, x), rest = rest[0], rest[1:]
+            queue = [(u, x)]
+            while queue and rest:
+                u, x = queue.pop()
+                hit = [jaccard(x, y, threshold) >= threshold - 1e-9 for _, y in rest]
+                queue += (new := [m for m, h in zip(rest, hit) if h])
+                rest = [m for m, h in zip(rest, hit) if not h]
+                out += [(u, node) for node, _ in new]
+        return batch(schema, *(zip(*out) if out else ([], [])))
+
+    def run(batches):
+        at, held = None, []
+        for b in batches:
+            for bucket, sig, node, s in zip(*(c.to_pylist() for c in b.columns)):
+                if at != (bucket, sig):
+                    if held:
+                        yield edges(held)
+                    at, held = (bucket, sig), []
+                held.append((node, s))
+        if held:
+            yield edges(held)
+
+    wide = rows.select("bucket", "sig", "node").join(sets.select("node", "signatures"), "node").select("bucket", "sig", "node", "signatures")
+    return wide.repartition("bucket", "sig").sortWithinPartitions("bucket", "sig").mapInArrow(run, "a string, b string")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text, ...): documents are linked at a
+    Jaccard similarity of their signature sets of threshold or more, and component_id is the
+    smallest doc_id reachable over links.
+
+    Documents of equal sets are one node. Buckets of more than PAIRWISE_BUCKET sets come from
+    groups of near copies; such a bucket's sets are held by one task while it is searched.
+    """
+    rows = materialize(spot_signatures(docs, threshold).withColumn("node", F.concat(F.hex(F.xxhash64("signatures")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "signatures")))))
+    sets = materialize(rows.groupBy("node").agg(F.first("signatures").alias("signatures"), F.first("part").alias("part"), F.min("doc_id").alias("first_id")).withColumn("n", F.size("signatures")))
+    found = materialize(_prefixes(sets, threshold))
+    sizes = found.groupBy("bucket", "sig").agg(F.count("*").alias("size")).where("size > 1")
+    small, large = (found.join(sizes.where(c), ["bucket", "sig"], "left_semi") for c in (f"size <= {PAIRWISE_BUCKET}", f"size > {PAIRWISE_BUCKET}"))
+    roots = connected_components(_pairs(small, sets, threshold).unionByName(_forests(large, sets, threshold)))
+    member = sets.join(roots, "node").select("node", "root", "first_id")
+    least = member.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = member.join(least, "root").select("node", "least_id")
+    by_node = sets.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
+    return rows.join(by_node, "node").select("doc_id", "component_id")
+
+
 def _bucket(bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most doc_id, by binary search; 0 for a null id."""
     if not bounds:

@@ -63,3 +63,37 @@ def test_pruning_only_rules_out_what_is_below():
         a, b = (np.unique(np.array(rnd.choices(range(30), k=rnd.randrange(1, 30)), np.uint64)) for _ in range(2))
         full = spotsigs.jaccard(a, b)
         assert spotsigs.jaccard(a, b, 0.8) == full or full < 0.8
+
+
+@pytest.mark.parametrize("most", [32, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(spotsigs, "PAIRWISE_BUCKET", most)
+    rnd = random.Random(11)
+    words = ["the", "of", "und", "de", "in"] + ["w%d" % i for i in range(400)]
+    rows = [(100 + i, " ".join(rnd.choices(words, k=rnd.choice([0, 1, 4, 80, 200])))) for i in range(50)]
+    for i in range(60):  # edited copies, in a chain and around one text
+        t = (rows[-1][1] if i % 3 == 0 else max((r[1] for r in rows[:50]), key=len)).split()
+        for _ in range(rnd.randrange(6)):
+            if t:
+                t[rnd.randrange(len(t))] = "n%d" % rnd.randrange(900)
+        rows.append((i, " ".join(t)))
+    rows += [(500, None), (501, ""), (502, rows[3][1])]
+    sets = [{int(x) for x in spotsigs.signatures(t or "")} for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) >= 0.8:
+                up[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    got = sorted(map(tuple, spotsigs.near_duplicates(df).collect()))
+    assert got == sorted((d, least[find(i)]) for i, (d, _) in enumerate(rows))
+    assert spotsigs.near_duplicates(df.limit(0)).count() == 0
