@@ -95,3 +95,9 @@ def is_value(s: Column) -> Column:
 
 def short_digest(data: Column) -> Column:
     return F.substring(F.sha2(data, 256), 1, 16)
+
+
+def progress(document: Column, documents: Column, page: Column, pages: Column) -> Column:
+    """Percent done while the given page of the given document is read, 99 at most."""
+    done = (document - 1 + page / F.greatest(pages, F.lit(1))) / documents * 100
+    return F.least(F.lit(99), F.round(done)).cast("int")

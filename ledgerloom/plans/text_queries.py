@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import taxid, text
+from ..operators import classify, config, geometry
 from .catalogue import query, table
 
 BLANK = text.BLANK
@@ -105,3 +106,39 @@ def header_values(spark, sf):
     k = F.col("doc_id") % 5
     t = F.when(k == 0, "1.234.567").when(k == 1, "Periodo:").when(k == 2, "ABCDEF12 - 34 - XY").when(k == 3, F.concat(F.lit("9.068.054-"), (F.col("doc_id") % 10).cast("string"))).otherwise(F.col("lang"))
     return table(spark, sf, "documents").select("doc_id", text.is_value(t).alias("is_value"))
+
+
+@query(r"""WITH k AS (SELECT p_partkey, [p_brand || ' ' || p_type || ' ' || p_name, p_type || ' ' || p_name, p_name] AS k, p_brand || ' > ' || p_type || ' > ' || p_name AS label FROM part)
+SELECT p_partkey, label, array_to_string(list_transform(k, lambda x: trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', ' ', 'g'))), '|') AS keys FROM k""")
+def heading_keys(spark, sf):
+    above = F.array("p_brand", "p_type")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.concat(above, F.array("p_name")), " > ").alias("label"), F.array_join(geometry.search_keys(above, F.col("p_name")), "|").alias("keys"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[2:7] AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x: length(x) <= 60 AND NOT regexp_matches(x, '(?i)^(per[íi]odo|n[úu]mero de folio|folio|rut|identificaci[oó]n|direcci[oó]n|nombre o raz[oó]n|tel[eé]fono|comuna)') AND NOT regexp_matches(x, '^[A-Za-z0-9]{6,}(\s*-\s*[A-Za-z0-9]{2,})+$'))[1:3], chr(10)) AS lines FROM l""")
+def institution_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", classify.institution_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+
+
+@query("""WITH n AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'Caja de Compensación Los Andes' WHEN 1 THEN 'Caja de compensacion 18 de Septiembre' WHEN 2 THEN n_name END AS s FROM nation)
+SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'CAJA LOS ANDES' WHEN 1 THEN 'CAJA 18 DE SEPTIEMBRE' WHEN 2 THEN s ELSE '' END AS short, CAST(CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 END AS INTEGER) AS code FROM n""")
+def institution_codes(spark, sf):
+    k = F.col("n_nationkey") % 4
+    name = F.when(k == 0, "Caja de Compensación Los Andes").when(k == 1, "Caja de compensacion 18 de Septiembre").when(k == 2, F.col("n_name"))
+    return table(spark, sf, "nation").select("n_nationkey", classify.short_fund(name).alias("short"), classify.code_of(name, config.FUND_CODES, "^caja de compensacion ").alias("code"))
+
+
+@query("""SELECT l_orderkey, min(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS header, (SELECT min(b.l_linenumber) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = 'N' AND b.l_linenumber > (SELECT min(c.l_linenumber) FROM lineitem c WHERE c.l_orderkey = a.l_orderkey AND c.l_returnflag = 'R')) AS data
+  FROM lineitem a WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey""")
+def header_and_data_rows(spark, sf):
+    rows = table(spark, sf, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("rows"))
+    header = geometry.head(F.filter("rows", lambda r: r["l_returnflag"] == "R"))["l_linenumber"]
+    rows = rows.withColumn("header", header)
+    data = geometry.head(F.filter("rows", lambda r: (r["l_returnflag"] == "N") & (r["l_linenumber"] > F.col("header"))))["l_linenumber"]
+    return rows.select("l_orderkey", "header", data.alias("data"))
+
+
+@query("SELECT event_id, CAST(least(99, round((event_id % 20 + (user_id % 10) / 10) / 20 * 100)) AS INTEGER) AS percent FROM events")
+def progress_percent(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.progress(F.col("event_id") % 20 + 1, F.lit(20), F.col("user_id") % 10, F.lit(10)).alias("percent"))
