@@ -161,4 +161,6 @@ def select_tokens(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """The rows of docs that select_tokens takes, with docs' columns, once for each epoch."""
     table, _ = plan(docs, mix)
-    return _selected(_leaves(docs), table, mix.seed).select(*docs.columns)
+    named = [c for c in ("doc_id", *LEAF) if c in docs.columns]
+    rows = _leaves(docs.select(*named, F.struct(*docs.columns).alias("_row")))
+    return _selected(rows, table, mix.seed).select("_row.*")

@@ -194,7 +194,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(near_duplicates(docs))
     ids = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(ids.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    chosen = ids.select(F.col("doc_id").alias("kept_id"))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept_id"]), "left_semi")
     if ids.where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])  # sorts whole texts, so only where ids repeat

@@ -69,6 +69,9 @@ def test_against_brute_force(spark, share, epochs):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, mix)
     whole = mixing.mixed(df, mix)
     assert whole.columns == df.columns and whole.count() == got.count()
+    clashing = df.withColumnsRenamed({"n_tokens": "_full"}).withColumn("_d", mixing.F.lit("kept"))
+    again = mixing.mixed(clashing, mix)
+    assert again.columns == clashing.columns and again.where("_d = 'kept'").count() == got.count()
 
 
 def test_empty_and_no_domain(spark):

@@ -90,3 +90,5 @@ def test_one_row_stays_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "lang", "fp"]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 1), (False, 9), (True, 0)]
     assert out.select(F.count("*")).first()[0] == 3
+    clashing = spark.createDataFrame([(1, "a b c", 5), (2, "a b c", 6)], "doc_id long, text string, kept_id int")
+    assert [tuple(r) for r in simhash.keep_representatives(clashing).collect()] == [(1, "a b c", 5)]
