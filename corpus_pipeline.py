@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, mixing, quality, secrets, simhash
-from ledgerloom.llm.common import documents, materialize
+from ledgerloom.llm.common import documents, materialize, release, written
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over all of documents."""
+    """The rows of the last stage, over all of documents.
+
+    Once a stage's rows are written, what it and the stages before it had written is deleted.
+    """
     docs = documents(spark, sf_dir)
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, materialize(docs) if n else docs, sf_dir)
-    return docs
+    before = set(written())
+    for _, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        used = [p for p in written() if p not in before]
+        docs = materialize(out)
+        release(spark, used)
+    return STAGES[-1][1](spark, docs, sf_dir)

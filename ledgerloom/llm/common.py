@@ -37,9 +37,26 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """The cuts that this process has made and not released."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete cuts that no result still to be worked out reads from."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

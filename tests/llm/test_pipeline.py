@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerloom.llm import mixing, secrets, simhash
+from ledgerloom.llm.common import written
 
 from .test_mixing import brute as brute_mix
 from .test_simhash import brute as brute_groups
@@ -59,7 +60,9 @@ def test_stages_against_plain_versions(spark, tmp_path):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     ids = [(d, lib.encode(t or "", add_special_tokens=False).ids, t or "") for d, t, *_ in mixed]
     assert coded == sorted(((d, len(x), sha(",".join(map(str, x))), sha(t)) for d, x, t in ids), key=str)
+    before = set(written())
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == coded
+    assert len(set(written()) - before) == 1  # what the last stage reads
 
 
 def test_representatives_follow_components(spark):
