@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import config as C
@@ -84,6 +84,21 @@ def fixture(result: Ledger) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def load_fixture(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("path string, value string").json(path)
+
+
+def save_fixture(rows: DataFrame, path: str, update: bool = False) -> str:
+    """Writes a fixture as JSON lines and returns where: an accepted one is replaced only on
+    request, otherwise the proposal goes beside it."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    target = path if update or not there else f"{path}.new"
+    rows.repartitionByRange(1, "path").sortWithinPartitions("path").write.mode("overwrite").json(target)
+    return target
+
+
 def compare_fixtures(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(path, kind, expected, actual): absent and changed values are differences, others are new."""
     one = F.lit(0).alias("run")

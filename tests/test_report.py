@@ -25,7 +25,7 @@ def test_model(result):
     assert report.with_value(result, "Renta_impo_SC").first()["n"] == 1
 
 
-def test_fixture(result):
+def test_fixture(spark, result, tmp_path):
     f = report.fixture(result)
     values = {r["path"]: r["value"] for r in f.collect()}
     assert values["documents.afp.pdf.state"] == "verificado" and values["control.caja.pdf.Creditos Personales.ok"] == "false"
@@ -34,6 +34,10 @@ def test_fixture(result):
     changed = f.where("path <> 'warnings.PDF duplicado'").withColumn("value", F.when(F.col("path") == "documents.afp.pdf.folio", "F-9").otherwise(F.col("value")))
     got = {r["path"]: r["kind"] for r in report.compare_fixtures(f, changed.union(f.limit(1).select(F.lit("x"), F.lit("y")))).collect()}
     assert got == {"warnings.PDF duplicado": "absent", "documents.afp.pdf.folio": "changed", "x": "new"}
+    path = str(tmp_path / "frozen")
+    assert report.save_fixture(f, path) == path and report.save_fixture(changed, path) == f"{path}.new"
+    assert report.compare_fixtures(report.load_fixture(spark, path), f).count() == 0
+    assert report.save_fixture(changed, path, update=True) == path and report.compare_fixtures(report.load_fixture(spark, path), f).count() > 0
     assert report.warning_histogram(result).count() > 5 and report.column_profile(result).count() == 108
 
 
