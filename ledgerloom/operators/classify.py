@@ -10,9 +10,6 @@ from . import config as C
 from .geometry import let
 from .match import longest_pattern, scored
 
-FORM_LABEL = r"(?iu)^(per[íi]odo|n[úu]mero de folio|folio|rut|identificaci[oó]n|direcci[oó]n|nombre o raz[oó]n|tel[eé]fono|comuna)"
-FUND_NAME = r"(?iu)caja\s+de\s+compensaci[oó]n\s+([^\n]+)"
-PENSION_NAME = r"(?<![A-Za-z0-9_])(A\.?F\.?P\.?\s+[A-Za-zÁÉÍÓÚÑáéíóúñ]+)"
 #: Word borders between ASCII letters, digits and underscores only: in Java, \b knows accents.
 BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -20,7 +17,7 @@ BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]
 def institution_lines(cover: Column) -> Column:
     """Up to three short lines after the title that are neither a form's label nor a barcode."""
     lines = F.filter(F.transform(F.split(cover, "\n"), trimmed), lambda x: x != "")
-    fit = F.filter(F.slice(lines, 2, 6), lambda x: (F.length(x) <= 60) & ~x.rlike(FORM_LABEL) & ~x.rlike(BARCODE))
+    fit = F.filter(F.slice(lines, 2, 6), lambda x: (F.length(x) <= 60) & ~x.rlike(C.FORM_LABEL) & ~x.rlike(BARCODE))
     return F.array_join(F.slice(fit, 1, 3), "\n")
 
 
@@ -40,7 +37,7 @@ def classified(docs: DataFrame) -> DataFrame:
     label = F.lit(None).cast("string")
     for profile, (shown, *_) in C.PROFILES.items():
         label = F.when(F.col("profile") == profile, shown).otherwise(label)
-    named = F.when(F.col("profile") == "ccaf", name(FUND_NAME, 1, "Caja de Compensación ")).when(F.col("profile") == "afp", name(PENSION_NAME, 1, ""))
+    named = F.when(F.col("profile") == "ccaf", name(C.FUND_NAME, 1, "Caja de Compensación ")).when(F.col("profile") == "afp", name(C.PENSION_NAME, 1, ""))
     return out.withColumn("institution", F.coalesce(named, label, F.lit("(no reconocida)"))).drop("_institution")
 
 
@@ -64,7 +61,7 @@ def anchors_of(section: Column) -> Column:
 
 def short_fund(institution: Column) -> Column:
     """'Caja de Compensación Los Andes' as 'CAJA LOS ANDES'; others in capitals; null as ''."""
-    found = F.regexp_extract(institution, r"(?iu)caja de compensaci[oó]n\s+(.+)", 1)
+    found = F.regexp_extract(institution, C.SHORT_FUND, 1)
     return F.when(institution.isNull(), "").when(found != "", F.concat(F.lit("CAJA "), F.upper(trimmed(found)))).otherwise(F.upper(institution))
 
 

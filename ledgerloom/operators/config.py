@@ -243,6 +243,17 @@ ROW, BOX_WIDTH, BOX_HEIGHT, BAND, SAME_CELL, ALIGNED = 2.5, 2.0, 1.0, 0.6, 0.2,
 HEADER_HEIGHT, TOUCHING, ANCESTOR_HEIGHT, ANCESTOR_LEVELS, OVERLAP = 48.0, 1.5, 24.0, 3, 0.4
 LABEL_ABOVE, LABEL_SIDE, LABEL_ROWS = 24.0, 4.0, 3
 
+# fixed values: printed forms on covers and detail pages
+TOTALS_ROW = r"(?i)TOTALES?\s+ACUMULADOS?"
+FOLIO = r"(?iu)N[úu]mero de Folio:\s*(\S+)"
+LABELLED_PERIOD = r"(?iu)Per[íi]odo\s+de\s+Remuneraciones:?\s*(\d{2}/\d{4})"
+EMPLOYER_NAME, EMPLOYER_ID = "nombre o razon social", "rut"
+FORM_LABEL = r"(?iu)^(per[íi]odo|n[úu]mero de folio|folio|rut|identificaci[oó]n|direcci[oó]n|nombre o raz[oó]n|tel[eé]fono|comuna)"
+FUND_NAME = r"(?iu)caja\s+de\s+compensaci[oó]n\s+([^\n]+)"
+SHORT_FUND = r"(?iu)caja de compensaci[oó]n\s+(.+)"
+PENSION_NAME = r"(?<![A-Za-z0-9_])(A\.?F\.?P\.?\s+[A-Za-zÁÉÍÓÚÑáéíóúñ]+)"
+SUBSIDY = r"^([\d.]+)-([\dkK])$"
+
 # fixed values: months as written out
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 

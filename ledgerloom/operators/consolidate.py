@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxid import split_name
-from ..functions.text import norm  # noqa: F401
 from . import config as C
 from .classify import code_of, short_fund
 from .merge import merged
@@ -45,8 +44,7 @@ def people(values: DataFrame, docs: DataFrame) -> DataFrame:
 def ledger(numbered: DataFrame) -> DataFrame:
     """The 108 columns of the layout, under unique internal names, for people with `line`."""
     name = split_name(F.coalesce("nombre", F.lit("")))
-    subsidy = r"^([\d.]+)-([\dkK])$"
-    pays = F.coalesce(F.col("rutSubs") != "0", F.lit(False)) & F.col("rutSubs").rlike(subsidy)
+    pays = F.coalesce(F.col("rutSubs") != "0", F.lit(False)) & F.col("rutSubs").rlike(C.SUBSIDY)
     filled: dict[int, Column] = {
         0: F.col("body"),
         1: short_fund(F.col("fund")),
@@ -62,8 +60,8 @@ def ledger(numbered: DataFrame) -> DataFrame:
         C.column("cod_inst_salud").at: F.col("health"),
         C.column("cod_CCAF").at: code_of(F.col("fund"), C.FUND_CODES, "^caja de compensacion "),
         C.column("nom_AFP").at: code_of(F.col("pension"), C.PENSION_CODES, r"^a ?f ?p\s+"),
-        C.column("rut_pag_subs").at: F.when(pays, F.regexp_replace(F.regexp_extract("rutSubs", subsidy, 1), r"\.", "").try_cast("decimal(20,6)")),
-        C.column("dv_pag_subs").at: F.when(pays, F.upper(F.regexp_extract("rutSubs", subsidy, 2))),
+        C.column("rut_pag_subs").at: F.when(pays, F.regexp_replace(F.regexp_extract("rutSubs", C.SUBSIDY, 1), r"\.", "").try_cast("decimal(20,6)")),
+        C.column("dv_pag_subs").at: F.when(pays, F.upper(F.regexp_extract("rutSubs", C.SUBSIDY, 2))),
     }
     filled |= {C.column(col).at: F.col(f) for f, (_, col) in C.FIELDS.items() if col}
     kinds = {"N": "decimal(20,6)"}

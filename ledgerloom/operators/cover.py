@@ -9,8 +9,6 @@ from ..functions.text import first_match, period, squish, to_number
 from . import config as C
 from .geometry import containing, head, let
 
-FOLIO = r"(?iu)N[úu]mero de Folio:\s*(\S+)"
-LABELLED_PERIOD = r"(?iu)Per[íi]odo\s+de\s+Remuneraciones:?\s*(\d{2}/\d{4})"
 WRITTEN_PERIOD = rf"(?iu)(?<![A-Za-z0-9_])({'|'.join(C.MONTHS)})\s+(\d{{4}})(?![A-Za-z0-9_])"
 
 PAIR = "struct<label:string,amount:decimal(20,6),y:double,frame:bigint,unlabelled:boolean>"
@@ -26,7 +24,7 @@ def page_period(lines: Column) -> Column:
     written = let(F.lower(F.regexp_extract(lines, WRITTEN_PERIOD, 1)), lambda m: F.array_position(F.array(*map(F.lit, C.MONTHS)), m).cast("int"))
     year = F.regexp_extract(lines, WRITTEN_PERIOD, 2)
     spelled = period(F.concat_ws("/", F.lpad(written.cast("string"), 2, "0"), year))
-    return F.when(lines.rlike(LABELLED_PERIOD), period(F.regexp_extract(lines, LABELLED_PERIOD, 1))).when(lines.rlike(WRITTEN_PERIOD), spelled)
+    return F.when(lines.rlike(C.LABELLED_PERIOD), period(F.regexp_extract(lines, C.LABELLED_PERIOD, 1))).when(lines.rlike(WRITTEN_PERIOD), spelled)
 
 
 def value_below(rows: Column, heading: str) -> Column:
@@ -105,8 +103,8 @@ def covers(pages: DataFrame) -> DataFrame:
     rows, bands = F.col("rows"), F.col("bands")
     first = pages.where("page = 1").select(
         "doc_id", "lines",
-        F.coalesce(first_match(F.col("lines"), FOLIO, 1), F.lit("")).alias("folio"),
-        F.struct(value_below(rows, "nombre o razon social").alias("name"), value_below(rows, "rut").alias("id")).alias("employer"),
+        F.coalesce(first_match(F.col("lines"), C.FOLIO, 1), F.lit("")).alias("folio"),
+        F.struct(value_below(rows, C.EMPLOYER_NAME).alias("name"), value_below(rows, C.EMPLOYER_ID).alias("id")).alias("employer"),
         _ruled_pairs(rows, bands).cast(f"array<{PAIR}>").alias("ruled"), _row_pairs(rows).alias("plain"),
     )
     pairs = F.when(F.size("ruled") > 0, F.col("ruled")).otherwise(F.col("plain"))

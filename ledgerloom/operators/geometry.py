@@ -203,7 +203,7 @@ def read_rows(tables: DataFrame) -> DataFrame:
     """tables with `lines` array<struct<row_no, values>>, one text for each column, and the counts
     read, dropped (rows without a tax id), outside (cells in no column) and colliding (cells that
     were put after another one in a column). Reading stops at the row of accumulated totals."""
-    totals = lambda r: r["text"].rlike(r"(?i)TOTALES?\s+ACUMULADOS?")
+    totals = lambda r: r["text"].rlike(C.TOTALS_ROW)
     stop = head(F.filter("data_rows", totals))["row_no"]
     live = F.filter("data_rows", lambda r: stop.isNull() | (r["row_no"] < stop))
     tables = tables.withColumn("live", live)

@@ -12,6 +12,7 @@ from ..functions.text import norm
 from . import checks
 from . import config as C
 from .match import exact_or_prefix
+from .wording import DOCUMENT, LOST, REASONS, RUN, said
 
 PAIR = ["doc_id", "pair_ord"]
 
@@ -53,7 +54,7 @@ def states(docs: DataFrame, compared: DataFrame, values: DataFrame) -> DataFrame
     no_table, no_section (pages) and repeated (fields).
     """
     control = compared.where("outcome = 'compared'")
-    says = F.concat(F.col("label"), F.lit(": el comprobante dice "), shown(F.col("amount")), F.lit(" y lo extraído suma "), shown(F.col("extracted")), F.lit("."))
+    says = said(REASONS["failed"], F.col("label"), shown(F.col("amount")), shown(F.col("extracted")))
     per = control.groupBy("doc_id").agg(F.count("*").alias("n_control"), F.count_if(~F.col("ok")).alias("n_failed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("pair_ord", says.alias("says"))))).alias("failed"))
     backed = control.select("doc_id", F.explode(F.split("field", r"[+−\s]+")).alias("field")).distinct()
     spark = docs.sparkSession
@@ -62,29 +63,15 @@ def states(docs: DataFrame, compared: DataFrame, values: DataFrame) -> DataFrame
     excused = docs.select("doc_id", "profile").join(F.broadcast(C.excused(spark)), "profile").select("doc_id", "field")
     bare = checks.unbacked_fields(sums, backed, excused).groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("bare"))
     all_ = docs.join(per, "doc_id", "left").join(bare, "doc_id", "left")
-    listed = lambda prefix, array: F.when(F.size(array) > 0, F.concat(F.lit(prefix), F.array_join(F.transform(array, lambda x: x.cast("string")), ", "), F.lit(".")))
-    ambiguous = F.format_string(
-        "Institución ambigua: %s (%d) apenas por encima de %s (%d); se exige %d de margen.", "profile", "score", "second", "second_score", F.lit(C.MARGIN)
-    )
-    reasons = F.array_compact(
-        F.concat(
-            F.array(
-                F.when(F.col("ambiguous"), ambiguous),
-                F.when(F.coalesce("n_control", F.lit(0)) == 0, "Ningún total de control: no hay nada en la portada contra qué comprobar lo extraído."),
-            ),
-            F.coalesce(F.transform("failed", lambda f: f["says"]), F.array().cast("array<string>")),
-            F.array(
-                listed("Campos con monto y sin ningún total que los respalde: ", F.col("bare")),
-                listed("Páginas sin tabla: ", F.col("no_table")),
-                listed("Páginas sin sección reconocida: ", F.col("no_section")),
-                listed("Dos columnas al mismo campo (no declarado acumulable): ", F.col("repeated")),
-            ),
-        )
-    )
+    listed = lambda name: F.when(F.size(name) > 0, said(REASONS[name], F.array_join(F.transform(name, lambda x: x.cast("string")), ", ")))
+    ambiguous = said(REASONS["ambiguous"], *[F.col(c) for c in ("profile", "score", "second", "second_score")], C.MARGIN)
+    first = F.array(F.when(F.col("ambiguous"), ambiguous), F.when(F.coalesce("n_control", F.lit(0)) == 0, REASONS["no_control"]))
+    failures = F.coalesce(F.transform("failed", lambda f: f["says"]), F.array().cast("array<string>"))
+    reasons = F.array_compact(F.concat(first, failures, F.array(*map(listed, ("bare", "no_table", "no_section", "repeated")))))
     failed = F.coalesce(F.col("n_failed") > 0, F.lit(False))
     error, unknown = F.col("error").isNotNull(), F.col("profile").isNull()
     state = F.when(error, checks.MISMATCH).when(unknown, checks.UNVERIFIED).otherwise(checks.state_of(failed, reasons))
-    why = F.when(error, F.array(F.concat(F.lit("No se pudo leer: "), F.col("error")))).when(unknown, F.array(F.lit("No se identificó la institución."))).otherwise(reasons)
+    why = F.when(error, F.array(said(REASONS["error"], F.col("error")))).when(unknown, F.array(F.lit(REASONS["unknown"]))).otherwise(reasons)
     return all_.select("doc_id", state.alias("state"), why.alias("reasons"))
 
 
@@ -101,56 +88,67 @@ def document_warnings(docs: DataFrame, columns: DataFrame, compared: DataFrame,
     """What was dropped or couldn't be decided, by document. docs additionally holds file, folio,
     no_table, no_section, ambiguous_sections, repeated and the reading counts."""
     at = docs.select("doc_id", "doc_ord", "file")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    spread = lambda name, n, kind, detail: _warn(docs.select("doc_ord", "file", F.posexplode(name).alias("k", "x")), 6, kind, detail(F.col("x")), ["doc_ord", n, "k"])
-    count = lambda where, n, kind, detail: _warn(docs.where(where), 6, kind, detail, ["doc_ord", n])
-    loose = columns.join(at, "doc_id").withColumn("where", F.struct("first_page", "i"))
-    unmapped = loose.where("field is null").groupBy("doc_ord", "file", "label").agg(F.min("where").alias("w"))
-    generic = loose.where("level = 'hoja' and label like '% > %'").groupBy("doc_ord", "file", "label").agg(F.min("where").alias("w"))
+    place = {name: n for n, name in enumerate(DOCUMENT)}
+
+    def say(df, name, parts, *order):
+        kind, detail = DOCUMENT[name]
+        return _warn(df, 6, kind, said(detail, *parts), ["doc_ord", place[name], *order])
+
+    def spread(name):
+        return say(docs.select("doc_ord", "file", F.posexplode(name).alias("k", "x")), name, [F.col("x")], "k")
+
+    def counted(where, name, *parts):
+        return say(docs.where(where), name, map(F.col, parts))
+
+    first = F.min(F.struct("first_page", "i")).alias("w")
+    loose = columns.join(at, "doc_id").groupBy("doc_ord", "file", "label", "field", "level").agg(first)
+    where = (F.col("w.first_page"), F.col("w.i"))
     left = compared.where("outcome = 'uncompared'").join(at, "doc_id")
-    bad = bad_values.join(at, "doc_id")
+    amount = shown(F.col("amount"))
     return reduce(
         DataFrame.unionByName,
         [
-            _warn(unmapped, 6, "Columna sin mapear", F.col("label"), ["doc_ord", 0, F.col("w.first_page"), F.col("w.i")]),
-            _warn(generic, 6, "Columna mapeada por clave genérica", text(F.col("label"), " — calzó sin usar su encabezado de agrupación; si hay otra columna con el mismo rótulo, se están confundiendo."), ["doc_ord", 1, F.col("w.first_page"), F.col("w.i")]),
-            spread("no_table", 2, "Página sin leer", lambda x: text("Página ", x, ": no se encontró la tabla.")),
-            spread("no_section", 3, "Página sin sección", lambda x: text("Página ", x, ": su título no calza con ninguna sección del perfil.")),
-            spread("ambiguous_sections", 4, "Página con sección ambigua", lambda x: text("Calzaron varias secciones: ", x, ".")),
-            spread("repeated", 5, "Dos columnas al mismo campo", lambda x: text(x, ": dos columnas distintas escriben aquí y el perfil no lo declara acumulable.")),
-            _warn(bad, 6, "Valor no numérico en columna mapeada", text(F.col("label"), " → ", F.col("field"), ': "', F.col("raw"), '"'), ["doc_ord", 6, "n"]),
-            count("dropped > 0", 7, "Filas de datos descartadas", text(F.col("dropped"), " de ", F.col("read"), " filas no traían RUT y no se leyeron.")),
-            count("outside > 0", 8, "Celda fuera de su columna", text(F.col("outside"), " celda(s) no cayeron dentro de ninguna columna.")),
-            count("colliding > 0", 9, "Dos celdas en la misma columna", text(F.col("colliding"), " vez/veces se concatenaron dos valores en una celda.")),
-            count("profile is not null and folio = ''", 10, "PDF sin folio", F.lit("Sin folio no se puede detectar si este comprobante viene repetido en el ZIP.")),
-            _warn(left.where("label = ''"), 6, "Monto de portada sin rótulo", text(shown(F.col("amount")), " — no se pudo saber a qué concepto corresponde."), ["doc_ord", 11, "pair_ord"]),
-            _warn(left.where("label <> ''"), 6, "Total de portada sin comparar", text(F.col("label"), ": ", shown(F.col("amount")), " — el perfil no dice contra qué cotejarlo."), ["doc_ord", 11, "pair_ord"]),
-            # a record whose tax id can't be read is counted here, though its row had one
-            count("lost > 0", 12, "Filas de datos descartadas", text(F.col("lost"), " filas traían RUT pero no en la columna del trabajador.")),
+            say(loose.where("field is null"), "unmapped", [F.col("label")], *where),
+            say(loose.where("level = 'hoja' and label like '% > %'"), "generic", [F.col("label")], *where),
+            *map(spread, ("no_table", "no_section", "ambiguous_sections", "repeated")),
+            say(bad_values.join(at, "doc_id"), "not_numeric", map(F.col, ("label", "field", "raw")), "n"),
+            counted("dropped > 0", "dropped", "dropped", "read"),
+            counted("outside > 0", "outside", "outside"),
+            counted("colliding > 0", "colliding", "colliding"),
+            counted("profile is not null and folio = ''", "no_folio"),
+            say(left.where("label = ''"), "unlabelled", [amount], "pair_ord"),
+            say(left.where("label <> ''"), "uncompared", [F.col("label"), amount], "pair_ord"),
+            _warn(docs.where("lost > 0"), 6, LOST[0], said(LOST[1], F.col("lost")), ["doc_ord", len(place)]),
         ],
     )
 
 
 def run_warnings(docs: DataFrame, states_: DataFrame, compared: DataFrame, people: DataFrame, constants: DataFrame, ignored: DataFrame) -> DataFrame:
-    """Warnings of the whole run; docs includes duplicates and documents that couldn't be read."""
+    """Warnings of the whole run; docs includes duplicates and documents that couldn't be read.
+    What is found late stands first, the last of its kind before the others."""
     at = docs.select("doc_id", "doc_ord", "file", "folio", "duplicate_of", "error", "profile")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     failed = compared.where("outcome = 'compared' and not ok").join(at, "doc_id")
-    judged = states_.where(F.col("state") != checks.VERIFIED).join(at, "doc_id")
+    judged = states_.where(F.col("state") != checks.VERIFIED).join(at, "doc_id").withColumn("why", F.array_join("reasons", " "))
+    bad = F.col("state") == checks.MISMATCH
     nobody = F.lit("")
     written = people.select("line", F.col("id.text").alias("text"), F.col("id.valid").alias("valid"), "body", "nombre")
-    number = F.col("extracted") - F.col("amount")
+
+    def say(df, prio, name, parts, *order, **options):
+        kind, detail = RUN[name]
+        return _warn(df, prio, kind, said(detail, *parts), list(order), **options)
+
     return reduce(
         DataFrame.unionByName,
         [
-            _warn(failed, 1, "Total no cuadra", text(F.col("label"), ": el comprobante dice ", shown(F.col("amount")), " y lo extraído suma ", shown(F.col("extracted")), " (dif. ", shown(number), ")"), ["doc_ord", "pair_ord"], backwards=True),
-            _warn(at.where("error is not null"), 2, "Error al leer el PDF", F.col("error"), ["doc_ord"], backwards=True),
-            _warn(at.where("duplicate_of is not null"), 3, "PDF duplicado", text("Mismo folio ", F.col("folio"), ' que "', F.col("duplicate_of"), '". Se procesó una sola vez para no duplicar los montos.'), ["doc_ord"], backwards=True),
-            _warn(judged, 4, F.when(F.col("state") == checks.MISMATCH, "Documento que no cuadra").otherwise("Documento SIN VERIFICAR"), F.array_join("reasons", " "), ["doc_ord"], backwards=True),
-            _warn(at.where("profile is null and duplicate_of is null"), 5, "PDF no reconocido", F.lit("No se identificó la institución; el archivo no aportó datos."), [0, "doc_ord"]),
-            _warn(written.where("not valid"), 5, "RUT inválido", text(F.col("text"), " — el dígito verificador debería ser ", check_digit(F.col("body"))), [1, "line", 0], nobody),
-            _warn(written.where(unfinished_name(F.col("nombre"))), 5, "Nombre incompleto", text(F.col("text"), ' — "', F.col("nombre"), '" termina en una preposición o artículo; falta al menos una palabra.'), [1, "line", 1], nobody),
-            _warn(constants.where("n > 0"), 7, "Columnas constantes en el consolidado", text(F.col("n").cast("string"), f" de {len(C.LAYOUT)} columnas salen iguales en todas las filas: ", F.col("names")), [0], nobody),
-            _warn(ignored, 8, "Archivo ignorado", F.lit("No es un .pdf"), ["file_ord"]),
+            say(failed, 1, "failed", [F.col("label"), *map(shown, (F.col("amount"), F.col("extracted"), F.col("extracted") - F.col("amount")))], "doc_ord", "pair_ord", backwards=True),
+            say(at.where("error is not null"), 2, "error", [F.col("error")], "doc_ord", backwards=True),
+            say(at.where("duplicate_of is not null"), 3, "duplicate", [F.col("folio"), F.col("duplicate_of")], "doc_ord", backwards=True),
+            say(judged.where(bad), 4, "mismatch", [F.col("why")], "doc_ord", backwards=True),
+            say(judged.where(~bad), 4, "unverified", [F.col("why")], "doc_ord", backwards=True),
+            say(at.where("profile is null and duplicate_of is null"), 5, "unknown", [], 0, "doc_ord"),
+            say(written.where("not valid"), 5, "bad_id", [F.col("text"), check_digit(F.col("body"))], 1, "line", 0, file=nobody),
+            say(written.where(unfinished_name(F.col("nombre"))), 5, "unfinished", [F.col("text"), F.col("nombre")], 1, "line", 1, file=nobody),
+            say(constants.where("n > 0"), 7, "constant", [F.col("n"), len(C.LAYOUT), F.col("names")], 0, file=nobody),
+            say(ignored, 8, "ignored", [], "file_ord"),
         ],
     )
