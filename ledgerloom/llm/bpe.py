@@ -25,7 +25,7 @@ from .common import id_text, texts
 #: fixed value: how byte-level BPE cuts a text before it merges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker keeps of pre-tokens and of pairs that it has met.
-KEPT_WORDS, KEPT_PAIRS, KEPT_BYTES = 200_000, 150_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_BYTES = 100_000, 60_000, 64
 #: Rows of an Arrow batch that goes back to the JVM.
 OUT_ROWS = 500
 

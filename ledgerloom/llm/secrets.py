@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts
+from .common import id_text, small_batches, texts
 
 # fixed values: the base patterns
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -172,6 +172,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
             changed = pa.array([t if t is None else masked(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([changed if i == at else c for i, c in enumerate(b.columns)], names=names)
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in names else out
 
