@@ -69,6 +69,20 @@ def texts(column: pa.Array) -> Iterator[str]:
             yield t or ""
 
 
+#: What one Arrow batch between the JVM and a Python worker holds at most.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for rows of whole documents. The session's defaults are made for
+    narrow rows; smaller settings of the session are left alone."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), whatever else df carries, so clashing extra columns cannot matter."""
     small_batches(df.sparkSession)
