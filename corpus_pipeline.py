@@ -34,7 +34,7 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digest(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.digest(bpe.round_trip(docs, path))
 
 
 STAGES = [

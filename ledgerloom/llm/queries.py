@@ -47,7 +47,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+    return bpe.digest(bpe.round_trip(documents(spark, sf_dir), path))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

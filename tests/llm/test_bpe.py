@@ -39,7 +39,8 @@ def test_documents(spark):
         ids = LIB.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), sha(",".join(map(str, ids))), sha(LIB.decode(ids, skip_special_tokens=False))))
     assert got == sorted(want, key=str)
-    assert bpe.encode(df.limit(0), PATH).count() == 0
+    assert sorted(map(tuple, bpe.digest(bpe.round_trip(df, PATH)).collect()), key=str) == sorted(want, key=str)
+    assert bpe.encode(df.limit(0), PATH).count() == 0 and bpe.round_trip(df.limit(0), PATH).count() == 0
 
 
 def test_decoding_null_ids(spark):
