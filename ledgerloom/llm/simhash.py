@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, id_text, materialize, texts
@@ -34,6 +34,7 @@ PAIRWISE_BUCKET = 8
 FOREST_EDGES = 200_000
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("fp", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -48,15 +49,24 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(shingles)).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): the fingerprint of every row, its 64 bits as a signed long."""
+def text_key(text: Column) -> Column:
+    """What tells apart rows that share a doc_id or have none; null texts sort last."""
+    return F.coalesce(F.md5(text), F.lit("null"))
+
+
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long): the fingerprint of every row, its 64 bits as a signed long; keyed:
+    (doc_id, key, fp) with the text's key."""
+    schema, rows = _FP, id_text(docs)
+    if keyed:
+        schema, rows = _KEYED, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key"))
 
     def run(batches):
         for b in batches:
             values = np.fromiter(map(fingerprint, texts(b.column(1))), np.uint64, b.num_rows)
-            yield batch(_FP, b.column(0), pa.array(values.view(np.int64)))
+            yield batch(schema, b.column(0), *b.columns[2:], pa.array(values.view(np.int64)))
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, key string, fp long" if keyed else "doc_id long, fp long")
 
 
 def key_masks() -> list[tuple[int, int]]:
@@ -188,17 +198,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: one for each, the one with its id.
+    """The rows of docs that stand for their component: exactly one for each, that with its
+    smallest doc_id; a row without one only where all of the component's rows have none.
 
-    Of rows that repeat that doc_id, one stays. Columns are those of docs.
+    Components are told apart by their root fingerprint and rows by doc_id and text, so unlike
+    texts that share a doc_id or have none each stay. Of rows that repeat both, one stays.
+    Columns are those of docs.
     """
-    rows = materialize(near_duplicates(docs))
-    ids = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    chosen = ids.select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept_id"]), "left_semi")
-    if ids.where("n > 1").isEmpty():
+    rows = fingerprints(docs, keyed=True).groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "n")).alias("first")
+    distinct = materialize(rows.groupBy("fp").agg(first))
+    roots = connected_components(link_edges(distinct.select("fp")))
+    member = distinct.join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    chosen = materialize(member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"), F.col("first.n").alias("n")))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept_id"]) & (text_key(docs["text"]) == chosen["kept_key"]), "left_semi")
+    if chosen.where("n > 1").isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id"])  # sorts whole texts, so only where ids repeat
+    return kept.dropDuplicates(["doc_id", "text"])  # sorts whole texts, so only where rows repeat
 
 
 def hex_fingerprint(column: str = "fp"):

@@ -92,3 +92,14 @@ def test_one_row_stays_of_each_group(spark):
     assert out.select(F.count("*")).first()[0] == 3
     clashing = spark.createDataFrame([(1, "a b c", 5), (2, "a b c", 6)], "doc_id long, text string, kept_id int")
     assert [tuple(r) for r in simhash.keep_representatives(clashing).collect()] == [(1, "a b c", 5)]
+
+
+def test_unlike_rows_that_share_or_lack_an_id_all_stay(spark):
+    rnd = random.Random(9)
+    unlike = [" ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(8)]
+    rows = [(None, t, "en", "x") for t in unlike[:4]] + [(None, unlike[0], "en", "again")]
+    rows += [(7, unlike[4], "en", "x"), (7, unlike[5], "en", "x"), (7, unlike[5], "en", "again")]
+    rows += [(None, unlike[6], "en", "copy"), (3, unlike[6], "en", "x"), (8, unlike[6], "en", "copy"), (7, unlike[7], "en", "copy"), (2, unlike[7], "en", "x")]
+    out = simhash.keep_representatives(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(None, t) for t in unlike[:4]] + [(7, unlike[4]), (7, unlike[5]), (3, unlike[6]), (2, unlike[7])]
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted(want, key=repr)
