@@ -1,4 +1,5 @@
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,16 @@ def test_privacy_gate(spark, result):
     assert got == {1: (0, 0), 2: (1, 1), 3: (0, 1)}
 
 
+def test_privacy_gate_knows_every_name(spark):
+    names = [f"A{n:04}ABEL" for n in range(500)] + ["ZUNIGA", "YANEZ", "LIU"]
+    records = [(f"d{n % 3}", n, "nombre", f"{name} X") for n, name in enumerate(names)] + [("d4", 0, "cargo", "NOBODY")]
+    records = spark.createDataFrame(records, "doc_id string, row_no int, field string, txt string")
+    people = records.where("field = 'nombre'").select((F.col("row_no") + 1).alias("line"), F.col("txt").alias("nombre"))
+    texts = [(1, "of ZUNIGA, and A0001ABEL"), (2, "(YANEZ)\nxZUNIGAx YANEZ LIU NOBODY"), (3, "A0001 ABEL"), (4, None), (5, " ".join(names))]
+    got = report.privacy_gate(SimpleNamespace(people=people, records=records), spark.createDataFrame(texts, "text_id int, text string")).collect()
+    assert {r["text_id"]: (r["ids"], r["names"]) for r in got} == {1: (0, 2), 2: (0, 2), 3: (0, 0), 4: (0, 0), 5: (0, 502)}
+
+
 def test_archives_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with zipfile.ZipFile(tmp_path / "in/a.zip", "w") as z:
