@@ -106,6 +106,15 @@ def fixture_diff(spark, sf):
     return stats.differences(v.where("event_id < 500"), v.where("event_id >= 500 and event_id < 1000 and event_id % 7 <> 0"), ["k"])
 
 
+@query("""WITH p AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events), v AS (SELECT event_id // 2 AS k, event_id % 2 AS side, path, json_extract_string(props, '$.' || path) AS value FROM p),
+e AS (SELECT k, path, value FROM v WHERE side = 0), a AS (SELECT k, path, value FROM v WHERE side = 1)
+SELECT k, path, CASE WHEN e.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'absent' ELSE 'changed' END AS kind, e.value AS expected, a.value AS actual FROM e FULL JOIN a USING (k, path) WHERE e.k IS NULL OR a.k IS NULL OR e.value IS DISTINCT FROM a.value""")
+def fixture_diff_all(spark, sf):
+    """Every event: 2k is expected, 2k + 1 is actual."""
+    v = table(spark, sf, "events").select(F.expr("event_id div 2").alias("k"), (F.col("event_id") % 2).alias("side"), F.explode(stats.flat_json(F.col("props"))).alias("e")).select("k", "side", "e.path", "e.value")
+    return stats.differences(v.where("side = 0"), v.where("side = 1"), ["k"])
+
+
 @query(r"""SELECT doc_id FROM documents WHERE regexp_matches(coalesce(source, ''), 'src1\d$') AND trim(coalesce(text, '')) <> '' AND doc_id % 10 <> 3""")
 def junk_filter(spark, sf):
     return table(spark, sf, "documents").where(F.coalesce("source", F.lit("")).rlike(r"src1\d$") & (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("doc_id") % 10 != 3)).select("doc_id")
