@@ -40,6 +40,24 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(width > 0, width / F.greatest(F.least(a1 - a0, b1 - b0), F.lit(1e-6))).otherwise(0.0)
 
 
+def best_overlap(cells: DataFrame, heads: DataFrame, on: list[str], head: str, least: float, bin: float) -> DataFrame:
+    """(on, x0, x1, heading, share in millionths) for each distinct range x0, x1 of cells: of the
+    heads of its group that it overlaps by a share of `least` (above 0) or more, the largest share
+    rounded and then the largest head. heads have g0, g1.
+
+    Equal ranges are merged first. The axis is cut into bins and only ranges in a common bin are
+    joined, each pair in the first bin that both have.
+    """
+    at = lambda x: F.floor(F.col(x) / bin)
+    binned = lambda df, x0, x1: df.select("*", at(x0).alias(f"_{x0}"), F.explode(F.sequence(at(x0), at(x1))).alias("_bin"))
+    c = binned(cells.select(*on, "x0", "x1").distinct().where("x0 < x1"), "x0", "x1")
+    h = binned(heads.groupBy(*on, "g0", "g1").agg(F.max(head).alias("heading")).where("g0 < g1"), "g0", "g1")
+    near = c.join(h, [*on, "_bin"]).where(F.col("_bin") == F.greatest("_x0", "_g0"))
+    near = near.withColumn("o", overlap(F.col("x0"), F.col("x1"), F.col("g0"), F.col("g1"))).where(F.col("o") >= least)
+    scored = near.withColumn("share", F.round(F.col("o") * 1e6).cast("long"))
+    return scored.groupBy(*on, "x0", "x1").agg(F.max_by("heading", F.struct("share", "heading")).alias("heading"), F.max("share").alias("share"))
+
+
 def midpoint_domains(rows: DataFrame, on: list[str], order: str, x0: str = "x0", x1: str = "x1") -> DataFrame:
     """rows with left and right: halfway to the neighbours; null at the ends."""
     w = Window.partitionBy(*on).orderBy(order)

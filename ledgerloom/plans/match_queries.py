@@ -48,9 +48,22 @@ def overlap_best(spark, sf):
     at = lambda k: (F.col("event_id") * k % 500).cast("double")
     cells = rows.where("event_id % 3 <> 0").select(page, "event_id", at(37).alias("x0"), (at(37) + 5 + F.col("event_id") % 40).alias("x1"))
     heads = rows.where("event_id % 60 = 0").select(page, F.col("event_id").alias("g"), at(61).alias("g0"), (at(61) + 30 + F.col("event_id") % 90).alias("g1"))
-    share = match.overlap(F.col("x0"), F.col("x1"), F.col("g0"), F.col("g1"))
-    scored = cells.join(heads, "page").withColumn("o", share).where("o >= 0.4").withColumn("share", F.round(F.col("o") * 1e6).cast("long"))
-    return scored.groupBy("event_id").agg(F.max_by("g", F.struct("share", "g")).alias("heading"), F.max("share").alias("share"))
+    best = match.best_overlap(cells, heads, ["page"], "g", 0.4, 40.0)
+    return cells.join(best, ["page", "x0", "x1"]).select("event_id", "heading", "share")
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, CAST(event_id * 37 % 500 AS DOUBLE) AS x0, CAST(event_id * 37 % 500 + 5 + event_id % 40 AS DOUBLE) AS x1 FROM events),
+g AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id AS g, CAST(event_id * 61 % 500 AS DOUBLE) AS g0, CAST(event_id * 61 % 500 + 30 + event_id % 90 AS DOUBLE) AS g1 FROM events),
+s AS (SELECT event_id, g, CASE WHEN least(x1, g1) - greatest(x0, g0) > 0 THEN (least(x1, g1) - greatest(x0, g0)) / greatest(least(x1 - x0, g1 - g0), 1e-6) ELSE 0 END AS o FROM e JOIN g USING (user_id, day))
+SELECT event_id, arg_max(g, [CAST(round(o * 1e6) AS BIGINT), g]) AS heading, CAST(max(round(o * 1e6)) AS BIGINT) AS share FROM s WHERE o >= 0.4 GROUP BY event_id""")
+def overlap_best_all(spark, sf):
+    """Every event is a cell and a heading; a page is a user's day."""
+    rows = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    at = lambda k: (F.col("event_id") * k % 500).cast("double")
+    cells = rows.select("user_id", "day", "event_id", at(37).alias("x0"), (at(37) + 5 + F.col("event_id") % 40).alias("x1"))
+    heads = rows.select("user_id", "day", "event_id", at(61).alias("g0"), (at(61) + 30 + F.col("event_id") % 90).alias("g1"))
+    best = match.best_overlap(cells, heads, ["user_id", "day"], "event_id", 0.4, 40.0)
+    return cells.join(best, ["user_id", "day", "x0", "x1"]).select("event_id", "heading", "share")
 
 
 @query("""SELECT p_partkey, (lag(x1) OVER w + x0) / 2 AS "left", (x1 + lead(x0) OVER w) / 2 AS "right" FROM
@@ -193,7 +206,9 @@ def last_levels(spark, sf):
 SELECT DISTINCT user_id, a, b FROM e""", name="distinct_boxes")
 def distinct_boxes(spark, sf):
     at = lambda k, m: (F.col("event_id") * k % m).cast("double")
-    return table(spark, sf, "events").select("user_id", at(7, 60).alias("a"), at(11, 40).alias("b")).distinct()
+    pairs = F.array_sort(F.collect_set(F.struct(at(7, 60).alias("a"), at(11, 40).alias("b"))))  # 120 at most
+    kept = table(spark, sf, "events").groupBy("user_id").agg(cluster.pair_anchors(pairs, 0.0).alias("kept"))
+    return kept.select("user_id", F.explode("kept").alias("p")).select("user_id", "p.a", "p.b")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id % 8 AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 8) AS n FROM (SELECT DISTINCT user_id, event_id % 8 AS event_id FROM events)),
@@ -203,3 +218,17 @@ def band_cluster(spark, sf):
     a = (F.col("event_id") % 8).cast("double")
     pairs = F.array_sort(F.collect_set(F.struct(a.alias("a"), a.alias("b"))))
     return table(spark, sf, "events").groupBy("user_id").agg(F.size(cluster.pair_anchors(pairs, 1.0)).alias("bands"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT user_id, CAST(event_id * 7 % 60 AS DOUBLE) AS a, CAST(event_id * 7 % 60 + 5 + event_id * 11 % 40 AS DOUBLE) AS b FROM events),
+e AS (SELECT user_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS n FROM d),
+c AS (SELECT user_id, n, [{'a': a, 'b': b}] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN len(list_filter(c.kept, lambda k: abs(k.a - e.a) <= 6 AND abs(k.b - e.b) <= 6)) > 0 THEN c.kept ELSE list_append(c.kept, {'a': e.a, 'b': e.b}) END FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1),
+l AS (SELECT user_id, arg_max(kept, n) AS kept FROM c GROUP BY user_id), u AS (SELECT user_id, unnest(kept) AS p FROM l)
+SELECT user_id, p.a AS y0, p.b AS y1 FROM u""")
+def band_pairs(spark, sf):
+    """Bands (y0, y1) of every event, without those near an earlier one of the user."""
+    y0 = (F.col("event_id") * 7 % 60).cast("double")
+    pairs = F.array_sort(F.collect_set(F.struct(y0.alias("a"), (y0 + 5 + F.col("event_id") * 11 % 40).alias("b"))))  # 120 at most
+    kept = table(spark, sf, "events").groupBy("user_id").agg(cluster.pair_anchors(pairs, 6.0).alias("kept"))
+    return kept.select("user_id", F.explode("kept").alias("p")).select("user_id", F.col("p.a").alias("y0"), F.col("p.b").alias("y1"))

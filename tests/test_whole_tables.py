@@ -1,7 +1,11 @@
-"""Queries over all rows of their tables."""
+"""Queries over all rows of their tables, and the operators that make that possible."""
 
 import datetime
+import random
 
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import cluster, match
 from ledgerloom.plans import catalogue
 
 
@@ -18,3 +22,38 @@ def test_fixture_diff_reaches_every_event(spark, tmp_path):
     changed = {(r["k"], r["path"]) for r in rows if r["kind"] == "changed"}
     assert changed == {(k, p) for k in range(1202) for p in "ab"}
     assert {(r["k"], r["path"]) for r in rows if r["kind"] == "absent"} == {(1202, "a"), (1202, "b")}
+
+
+def test_overlap_and_bands_reach_every_event(spark, tmp_path):
+    sf = events(spark, tmp_path, 600)
+    best = catalogue.queries()["overlap_best_all"](spark, sf)
+    assert {r["event_id"] % 3 for r in best.collect()} == {0, 1, 2}
+    assert best.where("heading % 60 <> 0").count() > 0
+    bands = catalogue.queries()["band_pairs"](spark, sf)
+    assert bands.where("y0 <> y1").count() == bands.count() > bands.select("user_id").distinct().count()
+
+
+def test_best_overlap_against_all_pairs(spark):
+    rnd = random.Random(3)
+    cells = [(rnd.randrange(3), float(a := rnd.randrange(-50, 200)), float(a + rnd.randrange(0, 60))) for _ in range(120)]
+    heads = [(rnd.randrange(3), n, float(a := rnd.randrange(-50, 200)), float(a + rnd.randrange(0, 150))) for n in range(60)]
+    want = {}
+    for p, x0, x1 in cells:
+        for q, g, g0, g1 in heads:
+            if p == q and (w := min(x1, g1) - max(x0, g0)) > 0 and (o := w / max(min(x1 - x0, g1 - g0), 1e-6)) >= 0.4:
+                want[p, x0, x1] = max(want.get((p, x0, x1), (0, 0)), (int(o * 1e6 + 0.5), g))
+    for bin in (7.0, 40.0):
+        got = match.best_overlap(spark.createDataFrame(cells, "page int, x0 double, x1 double"), spark.createDataFrame(heads, "page int, g int, g0 double, g1 double"), ["page"], "g", 0.4, bin)
+        assert {(r["page"], r["x0"], r["x1"]): (r["share"], r["heading"]) for r in got.collect()} == want
+
+
+def test_best_overlap_of_repeated_ranges(spark):
+    rows = [(0, 0.0, 10.0)] * 400
+    heads = [(0, n, 0.0, 10.0) for n in range(400)]
+    got = match.best_overlap(spark.createDataFrame(rows, "page int, x0 double, x1 double"), spark.createDataFrame(heads, "page int, g int, g0 double, g1 double"), ["page"], "g", 0.4, 1.0)
+    assert [tuple(r) for r in got.collect()] == [(0, 0.0, 10.0, 399, 1000000)]
+
+
+def test_pair_anchors_use_both_values(spark):
+    pairs = spark.createDataFrame([([(1.0, 9.0), (1.0, 20.0), (2.0, 9.0), (9.0, 9.0)],)], "p array<struct<a double, b double>>")
+    assert pairs.select(F.size(cluster.pair_anchors(F.col("p"), 1.0))).first()[0] == 3
