@@ -10,183 +10,339 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-# fixed values: the output layout, name:kind; N numeric with default 0, T text, =x the literal x
-_LAYOUT = """
-rut:T -:T Linea:N rut:T dv:T ape_pat:T ape_mat:T nombres:T sexo:T nacion:=0 tipo_pago:=1 remu_desde:T
-remu_hasta:T reg_previ:T tipo_trab:T dias_trab:N tipo_linea:=00 cod_mov:T Fecha_Desde:T Fecha_Hasta:T
-Tramo_Fam:T num_car_sim:N num_car_mat:N num_car_inv:N asig_fam:N asig_fam_ret:N reint_cargas:N sub_trab_jov:=N
-nom_AFP:N impo_afp:N cot_obli_afp:N aporte_sis:N ahorro_afp:N sust_afp:N tasa_pac_afp:N aporte_indem:N
-num_per_sust:N per_desde_sust:T per_hasta_sust:T trab_pesado:T porc_trab_pesado:N cot_trab_pesado:N
-inst_apvi:N num_contra_apvi:T forma_pago_apvi:N cotiza_apvi:N cot_dep_conv:N inst_apvc:N num_contra_apvc:T
-forma_pago_apvc:N cotiza_apvc:N cot_emp_apvc:N rut_afi_volun:N dv_afi_volun:T ape_pat_volun:T ape_mat_volun:T
-nombre_volun:T cod_mov_per_volun:N fec_desde_volun:T fec_hasta_volun:T cod_afp_volun:N monto_cap_volun:N
-monto_aho_vol:N num_per_cotiza:N cod_ex_caja:N tasa_ex_caja:N renta_imp_fonasa:N cot_INP:N Renta_imp_des:N
-cod_ex_caja_des:=0000 tasa_ex_caja_des:N cot_desahucio:N cotiza_fonasa:N cot_acc_trab_inp:N boni_ley:N
-desc_cargas_fam_inp:N seguro_compl_salud:N cod_inst_salud:N num_FUN_poliza:T impo_isapre:N moneda_plan:=1
-cot_pactada:N cot_obli_isa:N cot_ad_vol:N tipo_poliza:N cod_CCAF:N impo_ccaf:N Cred_per_CCAF:N Desc_Dental:N
-desc_leassing:N desc_seg_vida:N otros_desc_ccaf:N cot_CCAF:N Desc_Car_fam:N renta_imp_mes_ant:N
-tipo_jornada:=1 expectativa_vida:N rentabilidad_protegida:N cod_mutual:N impo_mutual:N cotiza_mutual:N
-sucur_mutual:N Renta_impo_SC:N Aporte_trab_SC:N aporte_emp_SC:N rut_pag_subs:N dv_pag_subs:T centro_costo:N
-"""
+#: The first column is the person's number again; by name, `rut` is the fourth.
+TAX_ID_AT = 3
 
-# fixed values: canonical fields by merge rule, field>output column
-_FIELDS = """
-first: rut codMov>cod_mov tramo>Tramo_Fam rutSubs numContraApvi>num_contra_apvi trabPesado>trab_pesado
-first: numFun>num_FUN_poliza
-longest: nombre
-max: dias>dias_trab cargasSim>num_car_sim cargasMat>num_car_mat cargasInv>num_car_inv
-max: porcTrabPesado>porc_trab_pesado
-earliest: fechaDesde>Fecha_Desde
-latest: fechaHasta>Fecha_Hasta
-sum: asigFam>asig_fam asigFamRetro>asig_fam_ret reintCargas>reint_cargas impCcaf>impo_ccaf cotCcaf>cot_CCAF
-sum: credPersonal>Cred_per_CCAF convDental>Desc_Dental leasing>desc_leassing seguroVida>desc_seg_vida
-sum: otrosCcaf>otros_desc_ccaf descCargasCcaf>Desc_Car_fam impAfp>impo_afp cotObliAfp>cot_obli_afp
-sum: aporteSis>aporte_sis ahorroAfp>ahorro_afp cotTrabPesado>cot_trab_pesado aporteIndem>aporte_indem
-sum: cotizaApvi>cotiza_apvi cotizaApvc>cotiza_apvc cotEmpApvc>cot_emp_apvc cotDepConv>cot_dep_conv impTrabPesado
-sum: impFonasa>renta_imp_fonasa cotFonasa>cotiza_fonasa cotInp>cot_INP cotDesahucio>cot_desahucio
-sum: impIsapre>impo_isapre cotPactada>cot_pactada cotObliIsapre>cot_obli_isa cotAdicVol>cot_ad_vol
-sum: impMutual>impo_mutual cotMutual>cotiza_mutual impSC>Renta_impo_SC aporteTrabSC>Aporte_trab_SC
-sum: aporteEmpSC>aporte_emp_SC
-"""
 
-# fixed values: printed headings, normalised, and their fields; the common ones hold in every section
-_LABELS = """
-[common]
-rut > rut
-nombre afiliado > nombre
-nombre del afiliado > nombre
-nombre trabajador > nombre
-apellidos y nombres > nombre
-dias trab > dias
-dias trabajados > dias
-movimiento de personal cod > codMov
-movimiento de personal codigo > codMov
-fecha inicio > fechaDesde
-fecha desde > fechaDesde
-fecha termino > fechaHasta
-fecha hasta > fechaHasta
-cod tramo > tramo
-codigo tramo > tramo
-tramo asignacion familiar > tramo
-cantidad de cargas sim > cargasSim
-cantidad de cargas invl > cargasInv
-cantidad de cargas mat > cargasMat
-cargas simples > cargasSim
-cargas invalidas > cargasInv
-cargas maternales > cargasMat
-monto asig fam > asigFam
-asignacion familiar > asigFam
-pago a f retroactiva > asigFamRetro
-asignacion familiar retroactiva > asigFamRetro
-reintegro asig fam > reintCargas
-reintegro asignacion familiar > reintCargas
-rut ent pag subs > rutSubs
-rut entidad pagadora de subsidio > rutSubs
-[ccaf-cotizaciones]
-afiliados a isapre > impCcaf
-no afiliados a isapre remuneracion > impCcaf
-no afiliados a isapre cotizacion 4 2 > cotCcaf
-cotizacion 4 2 > cotCcaf
-[ccaf-prestaciones]
-creditos personales > credPersonal
-convenios dentales > convDental
-leasing > leasing
-seguros de vida > seguroVida
-otros > otrosCcaf
-[afp-cotizaciones]
-identificacion del trabajador rut > rut
-identificacion del trabajador apellido paterno materno nombres > nombre
-apellido paterno materno nombres > nombre
-fondo de pensiones remuneracion imponible > impAfp
-fondo de pensiones cotizacion obligatoria > cotObliAfp
-fondo de pensiones sis > aporteSis
-fondo de pensiones cotizacion voluntaria apvi > cotizaApvi
-fondo de pensiones n contrato apvi > numContraApvi
-fondo de pensiones deposito convenido > cotDepConv
-fondo de pensiones dep en cta ahorro > ahorroAfp
-seguro cesantia remuneracion imponible > impSC
-seguro cesantia cotizacion afiliado > aporteTrabSC
-seguro cesantia cotizacion empleador > aporteEmpSC
-[afp-trabajos-pesados]
-identificacion del trabajador rut > rut
-identificacion del trabajador apellido paterno materno nombres > nombre
-apellido paterno materno nombres > nombre
-fondo de pensiones remuneracion imponible > impTrabPesado
-fondo de pensiones puesto de trabajo > trabPesado
-fondo de pensiones cotiz > porcTrabPesado
-fondo de pensiones cotiz trab pesados > cotTrabPesado
-[fonasa-detalle]
-renta imponible > impFonasa
-remuneracion imponible > impFonasa
-cotizacion salud > cotFonasa
-cotizacion fonasa > cotFonasa
-cotizacion 7 > cotFonasa
-cotizacion inp > cotInp
-desahucio > cotDesahucio
-[isapre-detalle]
-renta imponible > impIsapre
-remuneracion imponible > impIsapre
-cotizacion pactada > cotPactada
-cotizacion obligatoria > cotObliIsapre
-cotizacion legal > cotObliIsapre
-cotizacion adicional voluntaria > cotAdicVol
-n fun > numFun
-numero fun > numFun
-fun > numFun
-[mutual-detalle]
-renta imponible > impMutual
-remuneracion imponible > impMutual
-cotizacion mutual > cotMutual
-cotizacion ley 16744 > cotMutual
-cotizacion accidentes del trabajo > cotMutual
-[afc-detalle]
-renta imponible > impSC
-remuneracion imponible > impSC
-aporte trabajador > aporteTrabSC
-aporte empleador > aporteEmpSC
-aporte del empleador > aporteEmpSC
-"""
+@dataclass(frozen=True)
+class Column:
+    at: int
+    header: str
+    kind: str
+    default: str | int
 
-# fixed values: totals that covers declare; * the label goes on, count distinct persons,
-# any one of several fields, note not compared and why
-_TOTALS = """
-[ccaf]
-cotizacion no afiliados a isapre > cotCcaf
-asignacion familiar > asigFam
-asignacion familiar retroactiva > asigFamRetro
-reintegros de asignacion familiar > reintCargas
-creditos personales > credPersonal
-convenios dentales > convDental
-leasing > leasing
-seguros de vida > seguroVida
-otros > otrosCcaf
-cotizacion rebajas > cotCcaf - asigFam - asigFamRetro
-total productos > credPersonal + convDental + leasing + seguroVida + otrosCcaf
-total a pagar a la caja de compensacion * > cotCcaf + credPersonal + convDental + leasing + seguroVida + otrosCcaf - asigFam - asigFamRetro
-n de afiliados informados > count
-[afp]
-renta imponible > impAfp
-cotizacion obligatoria > cotObliAfp
-seguro invalidez y sobrevivencia sis > aporteSis
-cotizacion voluntaria apvi > cotizaApvi
-deposito convenido > cotDepConv
-deposito en cuenta de ahorro > ahorroAfp
-aportes de indemnizacion sustitutiva > aporteIndem
-cotizacion por trabajos pesados > cotTrabPesado
-apv colectivo trabajador > cotizaApvc
-apv colectivo empleador > cotEmpApvc
-cotizacion afiliados > aporteTrabSC
-cotizacion empleador > aporteEmpSC
-total a pagar fondo de pensiones * > cotObliAfp + aporteSis + cotizaApvi + cotDepConv + ahorroAfp + aporteIndem + cotTrabPesado
-total a pagar al fondo de cesantia > aporteTrabSC + aporteEmpSC
-numero afiliados informados > count
-numero afiliados informados fdo cesantia > count where impSC
-total remuneraciones o gratificaciones > any impAfp | impSC
-monto capitalizacion voluntaria > note no hay columna de afiliado voluntario en el detalle
-monto ahorro voluntario > note no hay columna de afiliado voluntario en el detalle
-numero afiliados apvc > note no se informa por trabajador en el detalle
-numero afiliados voluntarios > note no se informa por trabajador en el detalle
-"""
+    @property
+    def name(self) -> str:
+        """A unique internal name: headers repeat and one is empty."""
+        return f"c{self.at:03d}_{self.header.lower()}"
+
+
+@dataclass(frozen=True)
+class Total:
+    """A declared total: kind is field, terms, count, any or note."""
+
+    profile: str
+    key: str
+    kind: str
+    plus: tuple[str, ...] = ()
+    minus: tuple[str, ...] = ()
+    where: str | None = None
+    why: str | None = None
+    prefix: bool = False
+
+    @property
+    def shown(self) -> str:
+        """What the comparison is written down as."""
+        if self.kind == "count":
+            return f"(rut únicos con {self.where})" if self.where else "(rut únicos)"
+        if self.kind == "any":
+            return " | ".join(self.plus)
+        return " ".join([" + ".join(self.plus), *(f"− {m}" for m in self.minus)])
+
+
+# fixed values: the output layout, in its order: header, kind (N numeric, T text, = always the default), default
+_LAYOUT = [
+    ("rut", "T", ""),
+    ("", "T", ""),
+    ("Linea", "N", 0),
+    ("rut", "T", ""),
+    ("dv", "T", ""),
+    ("ape_pat", "T", ""),
+    ("ape_mat", "T", ""),
+    ("nombres", "T", ""),
+    ("sexo", "T", ""),
+    ("nacion", "=", "0"),
+    ("tipo_pago", "=", "1"),
+    ("remu_desde", "T", ""),
+    ("remu_hasta", "T", ""),
+    ("reg_previ", "T", ""),
+    ("tipo_trab", "T", ""),
+    ("dias_trab", "N", 0),
+    ("tipo_linea", "=", "00"),
+    ("cod_mov", "T", ""),
+    ("Fecha_Desde", "T", ""),
+    ("Fecha_Hasta", "T", ""),
+    ("Tramo_Fam", "T", ""),
+    ("num_car_sim", "N", 0),
+    ("num_car_mat", "N", 0),
+    ("num_car_inv", "N", 0),
+    ("asig_fam", "N", 0),
+    ("asig_fam_ret", "N", 0),
+    ("reint_cargas", "N", 0),
+    ("sub_trab_jov", "=", "N"),
+    ("nom_AFP", "N", 0),
+    ("impo_afp", "N", 0),
+    ("cot_obli_afp", "N", 0),
+    ("aporte_sis", "N", 0),
+    ("ahorro_afp", "N", 0),
+    ("sust_afp", "N", 0),
+    ("tasa_pac_afp", "N", 0),
+    ("aporte_indem", "N", 0),
+    ("num_per_sust", "N", 0),
+    ("per_desde_sust", "T", ""),
+    ("per_hasta_sust", "T", ""),
+    ("trab_pesado", "T", ""),
+    ("porc_trab_pesado", "N", 0),
+    ("cot_trab_pesado", "N", 0),
+    ("inst_apvi", "N", 0),
+    ("num_contra_apvi", "T", ""),
+    ("forma_pago_apvi", "N", 0),
+    ("cotiza_apvi", "N", 0),
+    ("cot_dep_conv", "N", 0),
+    ("inst_apvc", "N", 0),
+    ("num_contra_apvc", "T", ""),
+    ("forma_pago_apvc", "N", 0),
+    ("cotiza_apvc", "N", 0),
+    ("cot_emp_apvc", "N", 0),
+    ("rut_afi_volun", "N", 0),
+    ("dv_afi_volun", "T", ""),
+    ("ape_pat_volun", "T", ""),
+    ("ape_mat_volun", "T", ""),
+    ("nombre_volun", "T", ""),
+    ("cod_mov_per_volun", "N", 0),
+    ("fec_desde_volun", "T", ""),
+    ("fec_hasta_volun", "T", ""),
+    ("cod_afp_volun", "N", 0),
+    ("monto_cap_volun", "N", 0),
+    ("monto_aho_vol", "N", 0),
+    ("num_per_cotiza", "N", 0),
+    ("cod_ex_caja", "N", 0),
+    ("tasa_ex_caja", "N", 0),
+    ("renta_imp_fonasa", "N", 0),
+    ("cot_INP", "N", 0),
+    ("Renta_imp_des", "N", 0),
+    ("cod_ex_caja_des", "=", "0000"),
+    ("tasa_ex_caja_des", "N", 0),
+    ("cot_desahucio", "N", 0),
+    ("cotiza_fonasa", "N", 0),
+    ("cot_acc_trab_inp", "N", 0),
+    ("boni_ley", "N", 0),
+    ("desc_cargas_fam_inp", "N", 0),
+    ("seguro_compl_salud", "N", 0),
+    ("cod_inst_salud", "N", 0),
+    ("num_FUN_poliza", "T", ""),
+    ("impo_isapre", "N", 0),
+    ("moneda_plan", "=", "1"),
+    ("cot_pactada", "N", 0),
+    ("cot_obli_isa", "N", 0),
+    ("cot_ad_vol", "N", 0),
+    ("tipo_poliza", "N", 0),
+    ("cod_CCAF", "N", 0),
+    ("impo_ccaf", "N", 0),
+    ("Cred_per_CCAF", "N", 0),
+    ("Desc_Dental", "N", 0),
+    ("desc_leassing", "N", 0),
+    ("desc_seg_vida", "N", 0),
+    ("otros_desc_ccaf", "N", 0),
+    ("cot_CCAF", "N", 0),
+    ("Desc_Car_fam", "N", 0),
+    ("renta_imp_mes_ant", "N", 0),
+    ("tipo_jornada", "=", "1"),
+    ("expectativa_vida", "N", 0),
+    ("rentabilidad_protegida", "N", 0),
+    ("cod_mutual", "N", 0),
+    ("impo_mutual", "N", 0),
+    ("cotiza_mutual", "N", 0),
+    ("sucur_mutual", "N", 0),
+    ("Renta_impo_SC", "N", 0),
+    ("Aporte_trab_SC", "N", 0),
+    ("aporte_emp_SC", "N", 0),
+    ("rut_pag_subs", "N", 0),
+    ("dv_pag_subs", "T", ""),
+    ("centro_costo", "N", 0),
+]
+
+# fixed values: canonical fields with their merge rule and output column
+FIELDS: dict[str, tuple[str, str | None]] = {
+    "rut": ("first", None),
+    "nombre": ("longest", None),
+    "dias": ("max", "dias_trab"),
+    "codMov": ("first", "cod_mov"),
+    "fechaDesde": ("earliest", "Fecha_Desde"),
+    "fechaHasta": ("latest", "Fecha_Hasta"),
+    "tramo": ("first", "Tramo_Fam"),
+    "cargasSim": ("max", "num_car_sim"),
+    "cargasMat": ("max", "num_car_mat"),
+    "cargasInv": ("max", "num_car_inv"),
+    "asigFam": ("sum", "asig_fam"),
+    "asigFamRetro": ("sum", "asig_fam_ret"),
+    "reintCargas": ("sum", "reint_cargas"),
+    "rutSubs": ("first", None),
+    "impCcaf": ("sum", "impo_ccaf"),
+    "cotCcaf": ("sum", "cot_CCAF"),
+    "credPersonal": ("sum", "Cred_per_CCAF"),
+    "convDental": ("sum", "Desc_Dental"),
+    "leasing": ("sum", "desc_leassing"),
+    "seguroVida": ("sum", "desc_seg_vida"),
+    "otrosCcaf": ("sum", "otros_desc_ccaf"),
+    "descCargasCcaf": ("sum", "Desc_Car_fam"),
+    "impAfp": ("sum", "impo_afp"),
+    "cotObliAfp": ("sum", "cot_obli_afp"),
+    "aporteSis": ("sum", "aporte_sis"),
+    "ahorroAfp": ("sum", "ahorro_afp"),
+    "cotTrabPesado": ("sum", "cot_trab_pesado"),
+    "aporteIndem": ("sum", "aporte_indem"),
+    "cotizaApvi": ("sum", "cotiza_apvi"),
+    "cotizaApvc": ("sum", "cotiza_apvc"),
+    "cotEmpApvc": ("sum", "cot_emp_apvc"),
+    "cotDepConv": ("sum", "cot_dep_conv"),
+    "numContraApvi": ("first", "num_contra_apvi"),
+    "trabPesado": ("first", "trab_pesado"),
+    "porcTrabPesado": ("max", "porc_trab_pesado"),
+    "impTrabPesado": ("sum", None),
+    "impFonasa": ("sum", "renta_imp_fonasa"),
+    "cotFonasa": ("sum", "cotiza_fonasa"),
+    "cotInp": ("sum", "cot_INP"),
+    "cotDesahucio": ("sum", "cot_desahucio"),
+    "impIsapre": ("sum", "impo_isapre"),
+    "cotPactada": ("sum", "cot_pactada"),
+    "cotObliIsapre": ("sum", "cot_obli_isa"),
+    "cotAdicVol": ("sum", "cot_ad_vol"),
+    "numFun": ("first", "num_FUN_poliza"),
+    "impMutual": ("sum", "impo_mutual"),
+    "cotMutual": ("sum", "cotiza_mutual"),
+    "impSC": ("sum", "Renta_impo_SC"),
+    "aporteTrabSC": ("sum", "Aporte_trab_SC"),
+    "aporteEmpSC": ("sum", "aporte_emp_SC"),
+}
+
+# fixed values: printed headings, normalised, and their fields by section; the common ones hold in every section
+LABELS = [
+    ("common", "rut", "rut"),
+    ("common", "nombre afiliado", "nombre"),
+    ("common", "nombre del afiliado", "nombre"),
+    ("common", "nombre trabajador", "nombre"),
+    ("common", "apellidos y nombres", "nombre"),
+    ("common", "dias trab", "dias"),
+    ("common", "dias trabajados", "dias"),
+    ("common", "movimiento de personal cod", "codMov"),
+    ("common", "movimiento de personal codigo", "codMov"),
+    ("common", "fecha inicio", "fechaDesde"),
+    ("common", "fecha desde", "fechaDesde"),
+    ("common", "fecha termino", "fechaHasta"),
+    ("common", "fecha hasta", "fechaHasta"),
+    ("common", "cod tramo", "tramo"),
+    ("common", "codigo tramo", "tramo"),
+    ("common", "tramo asignacion familiar", "tramo"),
+    ("common", "cantidad de cargas sim", "cargasSim"),
+    ("common", "cantidad de cargas invl", "cargasInv"),
+    ("common", "cantidad de cargas mat", "cargasMat"),
+    ("common", "cargas simples", "cargasSim"),
+    ("common", "cargas invalidas", "cargasInv"),
+    ("common", "cargas maternales", "cargasMat"),
+    ("common", "monto asig fam", "asigFam"),
+    ("common", "asignacion familiar", "asigFam"),
+    ("common", "pago a f retroactiva", "asigFamRetro"),
+    ("common", "asignacion familiar retroactiva", "asigFamRetro"),
+    ("common", "reintegro asig fam", "reintCargas"),
+    ("common", "reintegro asignacion familiar", "reintCargas"),
+    ("common", "rut ent pag subs", "rutSubs"),
+    ("common", "rut entidad pagadora de subsidio", "rutSubs"),
+    ("ccaf-cotizaciones", "afiliados a isapre", "impCcaf"),
+    ("ccaf-cotizaciones", "no afiliados a isapre remuneracion", "impCcaf"),
+    ("ccaf-cotizaciones", "no afiliados a isapre cotizacion 4 2", "cotCcaf"),
+    ("ccaf-cotizaciones", "cotizacion 4 2", "cotCcaf"),
+    ("ccaf-prestaciones", "creditos personales", "credPersonal"),
+    ("ccaf-prestaciones", "convenios dentales", "convDental"),
+    ("ccaf-prestaciones", "leasing", "leasing"),
+    ("ccaf-prestaciones", "seguros de vida", "seguroVida"),
+    ("ccaf-prestaciones", "otros", "otrosCcaf"),
+    ("afp-cotizaciones", "identificacion del trabajador rut", "rut"),
+    ("afp-cotizaciones", "identificacion del trabajador apellido paterno materno nombres", "nombre"),
+    ("afp-cotizaciones", "apellido paterno materno nombres", "nombre"),
+    ("afp-cotizaciones", "fondo de pensiones remuneracion imponible", "impAfp"),
+    ("afp-cotizaciones", "fondo de pensiones cotizacion obligatoria", "cotObliAfp"),
+    ("afp-cotizaciones", "fondo de pensiones sis", "aporteSis"),
+    ("afp-cotizaciones", "fondo de pensiones cotizacion voluntaria apvi", "cotizaApvi"),
+    ("afp-cotizaciones", "fondo de pensiones n contrato apvi", "numContraApvi"),
+    ("afp-cotizaciones", "fondo de pensiones deposito convenido", "cotDepConv"),
+    ("afp-cotizaciones", "fondo de pensiones dep en cta ahorro", "ahorroAfp"),
+    ("afp-cotizaciones", "seguro cesantia remuneracion imponible", "impSC"),
+    ("afp-cotizaciones", "seguro cesantia cotizacion afiliado", "aporteTrabSC"),
+    ("afp-cotizaciones", "seguro cesantia cotizacion empleador", "aporteEmpSC"),
+    ("afp-trabajos-pesados", "identificacion del trabajador rut", "rut"),
+    ("afp-trabajos-pesados", "identificacion del trabajador apellido paterno materno nombres", "nombre"),
+    ("afp-trabajos-pesados", "apellido paterno materno nombres", "nombre"),
+    ("afp-trabajos-pesados", "fondo de pensiones remuneracion imponible", "impTrabPesado"),
+    ("afp-trabajos-pesados", "fondo de pensiones puesto de trabajo", "trabPesado"),
+    ("afp-trabajos-pesados", "fondo de pensiones cotiz", "porcTrabPesado"),
+    ("afp-trabajos-pesados", "fondo de pensiones cotiz trab pesados", "cotTrabPesado"),
+    ("fonasa-detalle", "renta imponible", "impFonasa"),
+    ("fonasa-detalle", "remuneracion imponible", "impFonasa"),
+    ("fonasa-detalle", "cotizacion salud", "cotFonasa"),
+    ("fonasa-detalle", "cotizacion fonasa", "cotFonasa"),
+    ("fonasa-detalle", "cotizacion 7", "cotFonasa"),
+    ("fonasa-detalle", "cotizacion inp", "cotInp"),
+    ("fonasa-detalle", "desahucio", "cotDesahucio"),
+    ("isapre-detalle", "renta imponible", "impIsapre"),
+    ("isapre-detalle", "remuneracion imponible", "impIsapre"),
+    ("isapre-detalle", "cotizacion pactada", "cotPactada"),
+    ("isapre-detalle", "cotizacion obligatoria", "cotObliIsapre"),
+    ("isapre-detalle", "cotizacion legal", "cotObliIsapre"),
+    ("isapre-detalle", "cotizacion adicional voluntaria", "cotAdicVol"),
+    ("isapre-detalle", "n fun", "numFun"),
+    ("isapre-detalle", "numero fun", "numFun"),
+    ("isapre-detalle", "fun", "numFun"),
+    ("mutual-detalle", "renta imponible", "impMutual"),
+    ("mutual-detalle", "remuneracion imponible", "impMutual"),
+    ("mutual-detalle", "cotizacion mutual", "cotMutual"),
+    ("mutual-detalle", "cotizacion ley 16744", "cotMutual"),
+    ("mutual-detalle", "cotizacion accidentes del trabajo", "cotMutual"),
+    ("afc-detalle", "renta imponible", "impSC"),
+    ("afc-detalle", "remuneracion imponible", "impSC"),
+    ("afc-detalle", "aporte trabajador", "aporteTrabSC"),
+    ("afc-detalle", "aporte empleador", "aporteEmpSC"),
+    ("afc-detalle", "aporte del empleador", "aporteEmpSC"),
+]
+
+# fixed values: totals that covers declare, by profile: label, kind and fields; prefix: the label goes on;
+# where: only persons with an amount of this field; why: the reason why nothing is compared
+TOTALS = [
+    Total("ccaf", "cotizacion no afiliados a isapre", "field", plus=("cotCcaf",)),
+    Total("ccaf", "asignacion familiar", "field", plus=("asigFam",)),
+    Total("ccaf", "asignacion familiar retroactiva", "field", plus=("asigFamRetro",)),
+    Total("ccaf", "reintegros de asignacion familiar", "field", plus=("reintCargas",)),
+    Total("ccaf", "creditos personales", "field", plus=("credPersonal",)),
+    Total("ccaf", "convenios dentales", "field", plus=("convDental",)),
+    Total("ccaf", "leasing", "field", plus=("leasing",)),
+    Total("ccaf", "seguros de vida", "field", plus=("seguroVida",)),
+    Total("ccaf", "otros", "field", plus=("otrosCcaf",)),
+    Total("ccaf", "cotizacion rebajas", "terms", plus=("cotCcaf",), minus=("asigFam", "asigFamRetro")),
+    Total("ccaf", "total productos", "terms", plus=("credPersonal", "convDental", "leasing", "seguroVida", "otrosCcaf")),
+    Total("ccaf", "total a pagar a la caja de compensacion", "terms", plus=("cotCcaf", "credPersonal", "convDental", "leasing", "seguroVida", "otrosCcaf"), minus=("asigFam", "asigFamRetro"), prefix=True),
+    Total("ccaf", "n de afiliados informados", "count"),
+    Total("afp", "renta imponible", "field", plus=("impAfp",)),
+    Total("afp", "cotizacion obligatoria", "field", plus=("cotObliAfp",)),
+    Total("afp", "seguro invalidez y sobrevivencia sis", "field", plus=("aporteSis",)),
+    Total("afp", "cotizacion voluntaria apvi", "field", plus=("cotizaApvi",)),
+    Total("afp", "deposito convenido", "field", plus=("cotDepConv",)),
+    Total("afp", "deposito en cuenta de ahorro", "field", plus=("ahorroAfp",)),
+    Total("afp", "aportes de indemnizacion sustitutiva", "field", plus=("aporteIndem",)),
+    Total("afp", "cotizacion por trabajos pesados", "field", plus=("cotTrabPesado",)),
+    Total("afp", "apv colectivo trabajador", "field", plus=("cotizaApvc",)),
+    Total("afp", "apv colectivo empleador", "field", plus=("cotEmpApvc",)),
+    Total("afp", "cotizacion afiliados", "field", plus=("aporteTrabSC",)),
+    Total("afp", "cotizacion empleador", "field", plus=("aporteEmpSC",)),
+    Total("afp", "total a pagar fondo de pensiones", "terms", plus=("cotObliAfp", "aporteSis", "cotizaApvi", "cotDepConv", "ahorroAfp", "aporteIndem", "cotTrabPesado"), prefix=True),
+    Total("afp", "total a pagar al fondo de cesantia", "terms", plus=("aporteTrabSC", "aporteEmpSC")),
+    Total("afp", "numero afiliados informados", "count"),
+    Total("afp", "numero afiliados informados fdo cesantia", "count", where="impSC"),
+    Total("afp", "total remuneraciones o gratificaciones", "any", plus=("impAfp", "impSC")),
+    Total("afp", "monto capitalizacion voluntaria", "note", why="no hay columna de afiliado voluntario en el detalle"),
+    Total("afp", "monto ahorro voluntario", "note", why="no hay columna de afiliado voluntario en el detalle"),
+    Total("afp", "numero afiliados apvc", "note", why="no se informa por trabajador en el detalle"),
+    Total("afp", "numero afiliados voluntarios", "note", why="no se informa por trabajador en el detalle"),
+]
 
 # fixed values: sections, their profile, title pattern, anchors and fields fed by several columns
 _SECTIONS = (
@@ -257,84 +413,7 @@ SUBSIDY = r"^([\d.]+)-([\dkK])$"
 # fixed values: months as written out
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
-#: The first column is the person's number again; by name, `rut` is the fourth.
-TAX_ID_AT = 3
-
-
-@dataclass(frozen=True)
-class Column:
-    at: int
-    header: str
-    kind: str
-    default: str | int
-
-    @property
-    def name(self) -> str:
-        """A unique internal name: headers repeat and one is empty."""
-        return f"c{self.at:03d}_{self.header.lower()}"
-
-
-@dataclass(frozen=True)
-class Total:
-    """A declared total: kind is field, terms, count, any or note."""
-
-    profile: str
-    key: str
-    prefix: bool
-    order: int
-    kind: str
-    plus: tuple[str, ...] = ()
-    minus: tuple[str, ...] = ()
-    where: str | None = None
-    why: str | None = None
-
-    @property
-    def shown(self) -> str:
-        """What the comparison is written down as."""
-        if self.kind == "count":
-            return f"(rut únicos con {self.where})" if self.where else "(rut únicos)"
-        if self.kind == "any":
-            return " | ".join(self.plus)
-        return " ".join([" + ".join(self.plus), *(f"− {m}" for m in self.minus)])
-
-
-def _blocks(text: str) -> list[tuple[str, str]]:
-    out, block = [], ""
-    for line in filter(None, text.strip().splitlines()):
-        if line.startswith("["):
-            block = line.strip("[]")
-        else:
-            out.append((block, line))
-    return out
-
-
-def _total(profile: str, order: int, line: str) -> Total:
-    label, what = line.split(" > ", 1)
-    key, prefix = label.removesuffix(" *"), label.endswith(" *")
-    if what.startswith("note "):
-        return Total(profile, key, prefix, order, "note", why=what[5:])
-    if what.startswith("count"):
-        return Total(profile, key, prefix, order, "count", where=what[12:] or None)
-    if what.startswith("any "):
-        return Total(profile, key, prefix, order, "any", tuple(what[4:].split(" | ")))
-    plus, *minus = what.split(" - ")
-    terms = tuple(plus.split(" + "))
-    return Total(profile, key, prefix, order, "terms" if len(terms) > 1 or minus else "field", terms, tuple(minus))
-
-
-def _columns() -> list[Column]:
-    out = []
-    for at, item in enumerate(_LAYOUT.split()):
-        header, kind = item.split(":")
-        default = 0 if kind == "N" else kind.removeprefix("=") if kind.startswith("=") else ""
-        out.append(Column(at, "" if header == "-" else header, kind[0], default))
-    return out
-
-
-LAYOUT = _columns()
-FIELDS = {f.partition(">")[0]: (rule, f.partition(">")[2] or None) for rule, rest in (x.split(":") for x in _FIELDS.strip().splitlines()) for f in rest.split()}
-LABELS = [(section, *line.split(" > ")) for section, line in _blocks(_LABELS)]
-TOTALS = [_total(profile, n, line) for n, (profile, line) in enumerate(_blocks(_TOTALS))]
+LAYOUT = [Column(at, header, kind, default) for at, (header, kind, default) in enumerate(_LAYOUT)]
 SECTIONS = {s[0]: s[1:] for s in _SECTIONS}
 NUMERIC = tuple(f for f, (rule, _) in FIELDS.items() if rule in ("sum", "max"))
 
@@ -358,7 +437,7 @@ def fields(spark: SparkSession) -> DataFrame:
 
 
 def totals(spark: SparkSession) -> DataFrame:
-    rows = [(t.profile, t.key, t.prefix, t.order, t.kind, t.shown, t.where, t.why, f"{t.profile}/{t.key}") for t in TOTALS]
+    rows = [(t.profile, t.key, t.prefix, n, t.kind, t.shown, t.where, t.why, f"{t.profile}/{t.key}") for n, t in enumerate(TOTALS)]
     return spark.createDataFrame(rows, "profile string, key string, prefix boolean, ord int, kind string, shown string, only string, why string, name string")
 
 
