@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Where the cuts of the run that is being worked out are listed; a run in another thread has its own.
+_listed: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only in local mode, where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where the session
+    names none, a temporary folder is made, but only in local mode, where all are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,11 +27,48 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once as Parquet and read again, for what several later plans consume."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def into(listed: list[str]):
+    """Cuts that are made inside are added to this list instead of an outer one."""
+    token = _listed.set(listed)
+    try:
+        yield listed
+    finally:
+        _listed.reset(token)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Cuts that are made inside are deleted at the end. Results are lazy and read their cuts, so
+    they have to be written or collected inside."""
+    made: list[str] = []
+    try:
+        with into(made):
+            yield made
+    finally:
+        release(spark, made)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete cuts that no result still to be worked out reads from."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, compact: bool = False) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: later steps start from files
+    that outlive any executor.
+
+    compact is for results of a shuffle with a few numbers a row: at most two files for each core,
+    so that a small table doesn't become a file for every shuffle partition.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
+    if (listed := _listed.get()) is not None:
+        listed.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "line") -> DataFrame:
