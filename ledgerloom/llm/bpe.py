@@ -25,7 +25,7 @@ from .common import id_text, texts
 #: fixed value: how byte-level BPE cuts a text before it merges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker keeps of pre-tokens and of pairs that it has met.
-KEPT_WORDS, KEPT_PAIRS, KEPT_BYTES = 100_000, 60_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 160_000, 80_000, 32
 #: Rows of an Arrow batch that goes back to the JVM.
 OUT_ROWS = 500
 
@@ -98,14 +98,12 @@ class Vocabulary:
             self.automaton.add_word(b.decode("latin-1"), n)
         self.automaton.make_automaton()
         self.pattern = regex.compile(PATTERN)
-        self.met: dict[tuple[int, int], bool] = {}
+        self.met: dict[int, bool] = {}  # by left token << 32 | right token
         self.words: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a followed by b stays two tokens: taken apart from the latest merge back, no
         merge across the border would have come before the merges that made the two sides."""
-        if (known := self.met.get((a, b))) is not None:
-            return known
         x, y, limit = a, b, 1 << 62
         while True:
             if self.pair.get((x, y), limit) < limit:
@@ -125,7 +123,7 @@ class Vocabulary:
                     break
                 y = self.left[y]
         if len(self.met) < KEPT_PAIRS:
-            self.met[a, b] = ok
+            self.met[a << 32 | b] = ok
         return ok
 
     def _left_down(self, x: int, y: int, limit: int) -> bool:
@@ -139,25 +137,27 @@ class Vocabulary:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Token numbers of one pre-token."""
-        n, length, prefix, compatible = len(word), self.length, self.prefix, self.compatible
-        longest = [0] * n
+        n, length, prefix, known = len(word), self.length, self.prefix, self.met.get
+        longest = [0] * (n + 1)
         for end, token in self.automaton.iter(word.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # ends grow, so the longest comes last
         open_at = bytearray(b"\1") * (n + 1)
         laid: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        at, token, last = 0, longest[0], -1
         while at < n:
             end = at + length[token]
-            if open_at[end] and (not laid or compatible(laid[-1], token)):
+            fits = open_at[end] and (last < 0 or known(last << 32 | token))
+            if fits is None:
+                fits = self.compatible(last, token)
+            if fits:
                 laid.append(token)
-                at = end
-                if at < n:
-                    token = longest[at]
-            elif prefix[token] >= 0:
-                token = prefix[token]
+                at, last, token = end, token, longest[end]
+            elif (shorter := prefix[token]) >= 0:
+                token = shorter
             else:
                 open_at[at] = 0
                 token = laid.pop()
+                last = laid[-1] if laid else -1
                 at -= length[token]
         return laid
 
@@ -166,7 +166,7 @@ class Vocabulary:
         if (found := self.words.get(word)) is None:
             ids = self.ids
             found = np.array([ids[t] for t in self.encode_word(word.encode())], np.int32).tobytes()
-            if len(self.words) < KEPT_WORDS and len(word) <= KEPT_BYTES:
+            if len(self.words) < KEPT_WORDS and len(word) <= KEPT_CHARS:
                 self.words[word] = found
         return found
 
@@ -230,8 +230,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """decode(encode(docs)): the same rows by one Python worker a task instead of two in a chain,
-    so an executor holds half the workers."""
+    """(doc_id, ids array<int>, text) for every row of docs(doc_id, text, ...): its ids, and the text
+    decoded from them again. decode(encode(docs)) in one Python worker a task instead of two in a chain,
+    so an executor holds half the workers.
+
+    A null or empty text has no ids and decodes to the empty text. Repeated rows are each returned;
+    other columns are ignored; texts of any length are taken whole; no rows give no rows.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def run(batches):

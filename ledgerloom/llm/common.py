@@ -1,62 +1,23 @@
-"""Helpers shared by the corpus operators: materialised cuts and Arrow batch plumbing."""
+"""Helpers shared by the corpus operators: cuts and Arrow batch plumbing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cuts import cut as materialize
+from ..plans.cuts import into, keep, release, scope, shared_dir
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "WORD", "batch", "documents", "id_text", "into", "keep", "materialize", "release", "scope", "shared_dir", "small_batches", "texts"]
+
 #: Words are maximal runs of anything but these characters (space and \t \n \v \f \r).
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session names none, a temporary folder is made, but only in local mode,
-    where driver and executors are one process.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: later steps start from
-    files that outlive any executor, and the lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def written() -> list[str]:
-    """The cuts that this process has made and not released."""
-    return list(_written)
-
-
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete cuts that no result still to be worked out reads from."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove(path)
-
-
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -74,8 +35,13 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches for rows of whole documents. The session's defaults are made for
-    narrow rows; smaller settings of the session are left alone."""
+    """Bound Arrow batches for rows of whole documents; smaller settings of the session are left.
+
+    The session's defaults are made for narrow rows. Spark reads these settings when a result is
+    worked out, not when it is declared, so they stay with the session: every operator of this
+    package that runs Python lowers maxRecordsPerBatch and maxBytesPerBatch of the session that
+    it is called in, for good. Use a session of its own where that matters.
+    """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         now = str(spark.conf.get(name)).removesuffix("b")

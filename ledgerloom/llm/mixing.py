@@ -3,13 +3,19 @@
 Documents hang on leaves of a domain - language - source tree. A token budget goes down from
 the root: a node's children share it by their weights, but none gets more than its subtree can
 give (its tokens times max_epochs). What a child can't take is shared among its siblings, and
-only what all of them can't take goes to the parent's siblings.
+only what all of them can't take goes to the parent's siblings. Shares are whole tokens, rounded
+down: less than a token for each child stays unused.
+
+Domains and languages are few and shared out on the driver. Sources may be as many as web hosts:
+they stay in a table. Under one parent every source gets min(capacity, level x weight) for one
+level, and that level is found by sums over the table: sources that are full at a level leave the
+others a higher one, until no more are full.
 
 A leaf's budget is whole epochs of all its documents and a prefix of one more: the documents
 in the order of a seeded hash of (epoch, doc_id), as long as their tokens fit. The prefix ends
-at one hash value. It is found from token sums over 1,024 ranges of the hash, then inside the
-one range where the budget ends, so no leaf is ever sorted in one task, and the selection
-itself is a filter.
+at one hash value. It is found from token sums over 1,024 ranges of the hash, then over 1,024
+ranges of the one in which the budget ends, and so on until that range is small. So no leaf is
+ever sorted in one task, and the selection itself is a filter.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 LEAF = ("domain", "lang", "source")
-#: Ranges of the hash order: its upper ten bits.
-RANGE_BITS = 10
+KEYS = ["_d", "_l", "_s"]
+#: Bits of the hash by which ranges get narrower, and documents that a last range holds at most if
+#: their hashes differ.
+RANGE_BITS, LAST_RANGE = 10, 50_000
 
 
 @dataclass(frozen=True)
@@ -53,49 +61,41 @@ def token_estimate(text: Column) -> Column:
 
 
 def poured(weights: list[float], capacities: list[int], budget: int) -> list[int]:
-    """budget shared by weight under capacities: what one can't hold goes to the others.
+    """budget shared by weight under capacities: what one can't hold goes to the others."""
+    level, open_ = _level(float(sum(weights)), budget, lambda x: [(c, w) for w, c in zip(weights, capacities) if _full(c, w, x)])
+    return [c if _full(c, w, (level, open_)) else int(level * w / open_) if open_ > 0 else 0 for w, c in zip(weights, capacities)]
 
-    Shares are rounded down and the tokens left by rounding are given to the first that have room.
-    """
-    out, open_ = [0] * len(weights), [i for i, w in enumerate(weights) if w > 0 and capacities[i] > 0]
-    left = min(budget, sum(capacities[i] for i in open_))
-    while open_ and left:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if capacities[i] * total <= left * weights[i]]
-        for i in full:
-            out[i] = capacities[i]
-        if not full:
-            for i in open_:
-                out[i] = min(capacities[i], int(left * weights[i] / total))
-            rest = left - sum(out[i] for i in open_)
-            for i in open_:
-                more = min(rest, capacities[i] - out[i])
-                out[i] += more
-                rest -= more
-            break
-        left -= sum(capacities[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
 
+def _full(capacity: float, weight: float, level: tuple[float, float]) -> bool:
+    return weight > 0 and float(capacity) * level[1] <= level[0] * weight
 
-def budgets(totals: dict[tuple, int], mix: Mix) -> dict[tuple, int]:
-    """The token budget of every leaf; totals holds the leaves' tokens."""
-    out: dict[tuple, int] = {}
 
-    def pour(path: tuple, budget: int, leaves: list[tuple]) -> None:
-        if leaves == [path]:
-            out[path] = budget
-            return
-        children: dict[tuple, list[tuple]] = {}
-        for leaf in leaves:
-            children.setdefault(leaf[: len(path) + 1], []).append(leaf)
-        names = sorted(children)
-        room = [mix.max_epochs * sum(totals[x] for x in children[c]) for c in names]
-        for c, share in zip(names, poured([mix.weights.get(c, 1.0) for c in names], room, budget)):
-            pour(c, share, children[c])
+def _level(weight: float, budget: float, full) -> tuple[float, float]:
+    """(left, open): open children get left / open tokens for each unit of weight; full(level)
+    lists the (capacity, weight) of children that can't hold that much."""
+    level = (float(budget), weight)
+    while level[1] > 0:
+        done = full(level)
+        after = (float(budget - sum(c for c, _ in done)), weight - sum(w for _, w in done))
+        if after == level:
+            break
+        level = after
+    return level
 
-    pour((), int(mix.share * sum(totals.values())), sorted(totals))
-    return out
+
+def budgets(totals: dict[tuple, int], mix: Mix, depth: int = 2) -> dict[tuple, int]:
+    """The token budget of every node of this depth; totals holds the nodes' tokens."""
+    shares = {(): int(mix.share * sum(totals.values()))}
+    for n in range(1, depth + 1):
+        room: dict[tuple, int] = {}
+        for path, tokens in totals.items():
+            room[path[:n]] = room.get(path[:n], 0) + mix.max_epochs * tokens
+        below: dict[tuple, int] = {}
+        for parent, budget in shares.items():
+            names = sorted(p for p in room if p[:-1] == parent)
+            below |= zip(names, poured([mix.weights.get(p, 1.0) for p in names], [room[p] for p in names], budget))
+        shares = below
+    return shares
 
 
 def _leaves(docs: DataFrame) -> DataFrame:
@@ -110,38 +110,76 @@ def _order(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("_full"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
 
 
+def _leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
+    """leaves(KEYS, _tokens) with _budget.
+
+    One row for each pair of domain and language comes to the driver, as many as configuration
+    and languages make; leaves are summed up where they are, once for each rise of the levels.
+    """
+    spark = leaves.sparkSession
+    named = [(*p, float(w)) for p, w in mix.weights.items() if len(p) == 3]
+    weights = spark.createDataFrame(named, "_d string, _l string, _s string, _named double")  # of the configuration
+    parents = ["_d", "_l"]
+    rows = leaves.join(F.broadcast(weights), KEYS, "left").select(*KEYS, "_tokens", (F.col("_tokens") * mix.max_epochs).alias("_room"), F.coalesce("_named", F.lit(1.0)).alias("_w"))
+    sums = {(r["_d"], r["_l"]): r for r in rows.groupBy(*parents).agg(F.sum("_tokens").alias("n"), F.sum("_w").alias("w")).collect()}
+    shares = budgets({p: r["n"] for p, r in sums.items()}, mix) if sums else {}
+    levels = {p: (float(shares[p]), float(r["w"])) for p, r in sums.items()}
+
+    def leveled():
+        table = spark.createDataFrame([(*p, *v) for p, v in levels.items()], "_d string, _l string, _left double, _open double")
+        # comparisons are those of poured(), in doubles
+        return rows.join(F.broadcast(table), parents).withColumn("_full_up", (F.col("_w") > 0) & (F.col("_room").cast("double") * F.col("_open") <= F.col("_left") * F.col("_w")))
+
+    while levels:
+        full = leveled().where("_full_up and _open > 0").groupBy(*parents).agg(F.sum("_room").alias("c"), F.sum("_w").alias("w")).collect()
+        after = levels | {(r["_d"], r["_l"]): (float(shares[r["_d"], r["_l"]] - r["c"]), float(sums[r["_d"], r["_l"]]["w"] - r["w"])) for r in full}
+        if after == levels:
+            break
+        levels = after
+    share = F.when(F.col("_full_up"), F.col("_room")).when(F.col("_open") > 0, F.floor(F.col("_left") * F.col("_w") / F.col("_open"))).otherwise(0)
+    return leveled().select(*KEYS, "_tokens", share.cast("long").alias("_budget"))
+
+
+def _prefix_ends(tokens: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """(KEYS, _cut): the last hash of the prefix of each leaf with a rest; null for an empty one."""
+    placed = tokens.join(table.where("_rest > 0"), KEYS).select(*KEYS, "_rest", "n_tokens", _order(seed).alias("h"))
+    placed, ends, bits = materialize(placed.withColumn("_before", F.lit(0).cast("long"))), None, 0
+    while True:
+        rows, bits = placed, bits + RANGE_BITS
+        if ends is not None:
+            rows = placed.drop("_before").join(ends, KEYS).where(F.shiftright("h", 64 - bits + RANGE_BITS) == F.col("_range")).drop("_range", "_n")
+        sums = rows.groupBy(*KEYS, "_rest", "_before", F.shiftright("h", 64 - bits).alias("_range")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("_n"))
+        reached = F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("_range"))  # 1,024 rows at most
+        over = sums.withColumn("_reached", reached).where("_reached > _rest and _reached - n <= _rest")
+        ends = materialize(over.select(*KEYS, "_range", (F.col("_reached") - F.col("n")).alias("_before"), "_n"), compact=True)
+        largest = ends.agg(F.max("_n")).first()[0] or 0
+        if largest <= LAST_RANGE or bits + RANGE_BITS > 62:
+            break
+    last = placed.drop("_before").join(ends, KEYS).where(F.shiftright("h", 64 - bits) == F.col("_range"))
+    by_hash = last.groupBy(*KEYS, "_rest", "_range", "_before", "h").agg(F.sum("n_tokens").alias("n"))  # equal hashes stand or fall together
+    fits = F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("h")) <= F.col("_rest")
+    least = F.when(F.col("_range") > -(1 << (bits - 1)), F.shiftleft("_range", 64 - bits) - 1)  # none fits: all before the range
+    return by_hash.withColumn("_fits", fits).groupBy(*KEYS).agg(F.coalesce(F.max(F.when(F.col("_fits"), F.col("h"))), F.max(least)).alias("_cut"))
+
+
 def plan(docs: DataFrame, mix: Mix = PRODUCTION) -> tuple[DataFrame, DataFrame]:
     """(selection table, token table). The first has a row for each leaf: _d, _l, _s, _tokens,
     _budget, _full (whole epochs) and _cut (the last hash of the prefix, null for none); the
-    second has doc_id, _d, _l, _s, n_tokens for every row of docs.
-
-    One row for each leaf comes to the driver: the tree has as many as the corpus has pairs of
-    language and source, which configuration bounds, not the number of documents.
+    second has doc_id, _d, _l, _s, n_tokens for every row of docs. Both are written tables, so
+    Spark knows their size and broadcasts the first only where it is small.
     """
-    spark = docs.sparkSession
     tokens = materialize(_leaves(docs).select("doc_id", "_d", "_l", "_s", token_estimate(F.col("text")).alias("n_tokens")))
-    totals = {(r["_d"], r["_l"], r["_s"]): r["n"] for r in tokens.groupBy("_d", "_l", "_s").agg(F.sum("n_tokens").alias("n")).collect()}
-    shares = budgets(totals, mix) if totals else {}
-    rows = [(i, *leaf, totals[leaf], b, b // totals[leaf] if totals[leaf] else 0, b % totals[leaf] if totals[leaf] else 0) for i, (leaf, b) in enumerate(sorted(shares.items()))]
-    table = spark.createDataFrame(rows, "_leaf int, _d string, _l string, _s string, _tokens long, _budget long, _full long, _rest long")
-
-    placed = tokens.join(F.broadcast(table.where("_rest > 0")), ["_d", "_l", "_s"]).select("_leaf", "_rest", "n_tokens", _order(mix.seed).alias("h"))
-    placed = placed.withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
-    sums = placed.groupBy("_leaf", "_rest", "range").agg(F.sum("n_tokens").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("_leaf").orderBy("range"))
-    ends = sums.withColumn("before", running - F.col("n")).where("before <= _rest and before + n > _rest").groupBy("_leaf").agg(F.min(F.struct("range", "before")).alias("e")).select("_leaf", "e.range", "e.before")
-    last = placed.join(F.broadcast(ends), ["_leaf", "range"])  # at most a row for each leaf
-    fits = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("_leaf").orderBy("h"))  # equal hashes stand or fall together
-    prefix = last.withColumn("fits", fits <= F.col("_rest")).groupBy("_leaf").agg(F.max(F.when(F.col("fits"), F.col("h"))).alias("h"), F.first("range").alias("range"))
-    cuts = {r["_leaf"]: r["h"] if r["h"] is not None else (r["range"] << (64 - RANGE_BITS)) - 1 for r in prefix.collect()}
-    cuts = {k: v for k, v in cuts.items() if v >= -(1 << 63)}
-    done = spark.createDataFrame([(*r[1:7], cuts.get(r[0])) for r in rows], "_d string, _l string, _s string, _tokens long, _budget long, _full long, _cut long")
-    return done, tokens
+    leaves = materialize(tokens.groupBy(*KEYS).agg(F.sum("n_tokens").alias("_tokens")), compact=True)
+    some = F.col("_tokens") > 0
+    parts = {"_full": F.when(some, F.expr("_budget div _tokens")).otherwise(0), "_rest": F.when(some, F.col("_budget") % F.col("_tokens")).otherwise(0)}
+    shares = materialize(_leaf_budgets(leaves, mix).withColumns(parts), compact=True)
+    table = shares.join(_prefix_ends(tokens, shares, mix.seed), KEYS, "left").select(*KEYS, "_tokens", "_budget", "_full", "_cut")
+    return materialize(table, compact=True), tokens
 
 
 def _selected(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
     """rows with _epoch, once for each epoch in which their leaf takes them."""
-    placed = rows.join(F.broadcast(table), ["_d", "_l", "_s"])  # a row for each leaf
+    placed = rows.join(table, KEYS)
     copies = F.col("_full") + F.coalesce(_order(seed) <= F.col("_cut"), F.lit(False)).cast("long")
     return placed.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
 
@@ -152,14 +190,18 @@ def select_tokens(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
 
     docs has doc_id and text, and may have domain, lang and source; null names are the empty
     name, a null text has no tokens. Leaves without tokens give nothing. Rows that repeat a
-    doc_id have one place in the order and stand or fall together. No rows give no rows.
+    doc_id have one place in the order and stand or fall together. No rows give no rows. Texts of
+    any length are counted whole.
     """
     table, tokens = plan(docs, mix)
     return _selected(tokens, table, mix.seed).select("doc_id", F.col("_d").alias("domain"), F.col("_l").alias("lang"), F.col("_s").alias("source"), "n_tokens", F.col("_epoch").alias("epoch"))
 
 
 def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """The rows of docs that select_tokens takes, with docs' columns, once for each epoch."""
+    """The rows of docs that select_tokens takes, with docs' columns, once for each epoch.
+
+    Null and empty texts, repeated rows, columns of any name and no rows at all are treated as there.
+    """
     table, _ = plan(docs, mix)
     named = [c for c in ("doc_id", *LEAF) if c in docs.columns]
     rows = _leaves(docs.select(*named, F.struct(*docs.columns).alias("_row")))

@@ -15,10 +15,11 @@ equal values get equal pseudonyms in all documents. A value of domain size a * b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "ledgerloom"
+#: The session setting that holds the key. There is no default: who knows the key can undo pseudonyms.
+KEY_SETTING = "spark.ledgerloom.pii.key"
 ROUNDS = 8
 
 # fixed values: the patterns of candidates
@@ -153,7 +154,7 @@ def _permuted_date(m: Column, tag: Column) -> Column:
     return _with(new, lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
 
 
-def pseudonym(kind: Column, m: Column, key: str = KEY) -> Column:
+def pseudonym(kind: Column, m: Column, key: str) -> Column:
     """The pseudonym of a candidate of a kind; candidates of no kind stay as they are."""
     tag = lambda k: F.lit(f"{key}|{k}")
     made = {"card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _permuted_date}
@@ -163,7 +164,7 @@ def pseudonym(kind: Column, m: Column, key: str = KEY) -> Column:
     return out.otherwise(m)
 
 
-def email_pseudonym(m: Column, key: str = KEY) -> Column:
+def email_pseudonym(m: Column, key: str) -> Column:
     hashed = F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256)
     return F.concat(F.lit("u"), F.substring(hashed, 1, 12), F.lit("@d"), F.substring(hashed, 13, 8), F.lit(".example"))
 
@@ -173,13 +174,24 @@ def _woven(gaps: Column, found: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str | None:
+    """The key that the session's configuration names, if it does."""
+    return spark.conf.get(KEY_SETTING, None) or None
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with personal data in text replaced, and n_email .. n_date, how many of each kind.
 
+    The key is the caller's or the session's (KEY_SETTING); without one it refuses. It is a literal
+    in the plan: keep event logs and explained plans as safe as the key, or have Spark redact them.
+
     Null texts stay null with counts of 0; other columns stay as they are, but for any of the
     count columns' names, which are replaced. Repeated rows are each returned. Addresses are
     replaced first, so their digits are not taken for numbers.
     """
+    key = key or session_key(docs.sparkSession)
+    if not key:
+        raise ValueError(f"no key for pseudonyms: pass one or set {KEY_SETTING}")
     text = F.col("text")
     names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS} | {"_mails", "_numbers"}]
     none = F.array().cast("array<string>")

@@ -42,6 +42,7 @@ RATIOS = {
 FEATURES = [*RATIOS, "log_words"]
 
 _LINE = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+)\)")
+_OTHER = re.compile(r"^\s*$|^\w+Model.*$|^ *Tree \d+ .*$|^ *Predict: [-+.\dEe]+$")
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def tree_rules(debug_string: str) -> list[Rule]:
-    """The rules of all paths in a tree ensemble's printed form."""
+    """The rules of all paths in a tree ensemble's printed form; a line of any other form is refused."""
     found, path = {}, []
     for line in debug_string.splitlines():
         if "Tree " in line:
@@ -94,6 +95,8 @@ def tree_rules(debug_string: str) -> list[Rule]:
                 low, high = ranges.get(feature, (-math.inf, math.inf))
                 ranges[feature] = (low, min(high, value)) if sign == "<=" else (max(low, value), high)
             found[Rule(tuple((f, *ranges[f]) for f in sorted(ranges)))] = None
+        elif not _OTHER.match(line):
+            raise ValueError(f"not a line of a tree: {line!r}")
     return list(found)
 
 
@@ -123,15 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text, ...).
 
-    A null text is scored as an empty one. Repeated rows are each returned; other columns of
-    docs (lang, source, labels) are never read.
+    A null text is scored as an empty one. Repeated rows are each returned; a null doc_id isn't
+    held out; texts of any length are taken whole; no rows give no rows. Other columns of docs
+    (lang, source, labels) are never read.
     """
     scored = features(docs).select("doc_id", held_out(FOLDS, HELD).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model doesn't reject, as they are."""
+    """The rows of docs that the model doesn't reject, as they are, columns of any name included.
+
+    A null text is judged as an empty one, and texts of any length whole. Repeated rows stand or
+    fall together and are each returned; no rows give no rows.
+    """
     rows = docs.withColumn("_row", F.struct(*docs.columns))
     # The optimizer would write a filter on the score in terms of the raw text, each statistic
     # once for every rule that names it. A value it holds for not repeatable stays where it is.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,7 +19,9 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+    """With the session's key, or else a new one: pseudonyms are then linked within this result only."""
+    key = pii.session_key(spark) or os.urandom(32).hex()
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +57,17 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(documents(spark, sf_dir))
 
 
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over op9's fingerprints: every document with its group of near-duplicates."""
+    return spotsigs.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_tokens(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "spotsigs_")) and callable(f)}
 
 
 #: The quality rules in DuckDB's SQL; WINDOWS and thresholds are written out again on purpose.

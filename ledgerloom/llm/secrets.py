@@ -4,12 +4,16 @@ Base kinds, leftmost and non-overlapping for each kind:
   assign  a credential name, an assignment sign and a value of 12 characters or more
   access  AKIA and capitals or digits, 18 characters or more
   hex     a run of lower-case hex digits, 16 or more
-Confirmed kinds, reported only if their bytes parse:
-  jwt     a signed token: a base64url header that is a JSON object with "alg", a payload that
-          is a JSON object, a signature
-  pem     an armoured private key whose base64 body is a DER sequence or an OpenSSH key
-  der     a bare base64 or hex run that is a private key's DER sequence with nested lengths
-          that add up, or an OpenSSH key
+Confirmed kinds, reported only if their bytes parse, never by their length alone:
+  jwt     a signed token: a base64url header that is a JSON object with "alg", a payload, a
+          signature (empty in an unsigned token)
+  pem     an armoured private key: its base64 body is DER, an OpenSSH key, OpenPGP packets that
+          begin with a secret key, or the ciphertext that its DEK-Info header tells of. Line breaks
+          may be real or written as backslash and letter, as in JSON and source code
+  der     a private key without armour, in base64 or hex, on one line or several: a DER sequence
+          whose nested lengths add up, or an OpenSSH key whose fields do
+Base64 of base64 or of armour counts as what it holds. A candidate ends where its own lengths
+say, so what stands directly before or after it doesn't matter.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +36,43 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # fixed values: the candidates
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{64,}={0,2}")
+JWT = re.compile(r"(?<![A-Za-z0-9])(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
+ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
+HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*): ?(.*)")
+HEX_KEY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0x))30[0-9A-Fa-f:]{2}")
+OPENSSH, PEM_START = b"openssh-key-v1\0", b"-----BEGIN "
+# fixed values: runs of encoded bytes, and what may stand between the lines of a wrapped one
+RUN64, RUN16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r":?(?:[0-9A-Fa-f]{2}:?)+")
+WRAP = re.compile(r"[ \t\"',\\+]*(?:\r?\n|(?:\\+r)?\\+n)[ \t\"',]*")
+DEK_INFO = re.compile(r"[A-Z0-9-]+,(?:[0-9A-Fa-f]{2})+")
+#: The smallest private key is a sequence of a version and an empty value: 7 bytes.
+LEAST_KEY = 7
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der")
 BASE = KINDS[:3]
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
-OPENSSH = b"openssh-key-v1\0"
+
+
+def _starters() -> str:
+    """A pattern of the two characters that a base64 run begins with if it holds a key: those of a DER
+    sequence (tag 0x30), an OpenSSH key, armour or a signed token, and of base64 of all these, again
+    and again until nothing new comes (the first two characters decide the next two)."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    plain = [b"\x30" + bytes([n]) for n in range(256)] + [OPENSSH, PEM_START]
+    found = {base64.b64encode(p)[:2] for p in plain} | {b"ey", b"ew"}
+    new = found
+    while new:
+        new = {base64.b64encode(p)[:2] for p in new} - found
+        found |= new
+    by_first: dict[str, str] = {}
+    for p in sorted(x.decode() for x in found - {b"ey", b"ew"}):
+        by_first[p[0]] = by_first.get(p[0], "") + p[1]
+    assert all(c in letters for c in by_first)
+    return "|".join(f"{a}[{re.escape(b)}]" for a, b in by_first.items())
+
+
+BASE64_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{_starters()})(?=[A-Za-z0-9+/_-]{{{-(-LEAST_KEY * 8 // 6) - 2}}})")
+NESTED = re.compile(rf"(?:{_starters()}|e[wy])".encode())
 
 
 def unbase64(text: str) -> bytes | None:
@@ -50,63 +84,277 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes, depth: int = 8) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of DER values that fill data exactly; constructed ones must nest likewise."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def _der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, where the content begins, where it ends) of the DER value at a place."""
+    if at + 2 > end:
+        return None
+    tag, at = data[at], at + 1
+    if tag & 0x1F == 0x1F:  # a tag of several bytes
+        while at < end and data[at] & 0x80:
+            at += 1
+        at += 1
+        if at >= end:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size >= 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
-                return None
-            size = int.from_bytes(data[at : at + n], "big")
-            if size < 0x80 or n > 1 and size >> (8 * (n - 1)) == 0:
-                return None
-            at += n
-        if at + size > len(data):
+    size, at = data[at], at + 1
+    if size >= 0x80:
+        n = size & 0x7F
+        if not n or at + n > end:
             return None
-        content = data[at : at + size]
-        if tag & 0x20 and (not depth or der_items(content, depth - 1) is None):
+        size = int.from_bytes(data[at : at + n], "big")
+        if size < 0x80 or n > 1 and size >> (8 * (n - 1)) == 0:
             return None
-        out.append((tag, content))
-        at += size
+        at += n
+    return tag, at, at + size
+
+
+def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of DER values that fill data exactly; constructed ones must nest likewise, to
+    any depth."""
+    out, todo, top = [], [(0, len(data))], True
+    while todo:
+        at, end = todo.pop()
+        while at < end:
+            head = _der_head(data, at, end)
+            if head is None or head[2] > end:
+                return None
+            tag, begin, at = head
+            if top:
+                out.append((tag, data[begin:at]))
+            if tag & 0x20:
+                todo.append((begin, at))
+        top = False
     return out
 
 
+def _der_size(data: bytes) -> int | None:
+    """How many bytes the private key that begins with these has by its outermost length."""
+    head = _der_head(data, 0, len(data)) if data[:1] == b"\x30" else None
+    if head is None or data[head[1] : head[1] + 2] != b"\x02\x01" or not data[head[1] + 2 : head[1] + 3] <= b"\x03":
+        return None
+    return head[2]
+
+
+def _openssh_size(data: bytes) -> int | None:
+    """How many bytes the OpenSSH key at the start of data has by its fields' lengths."""
+    at = len(OPENSSH)
+    if not data.startswith(OPENSSH):
+        return None
+    step = lambda at: at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
+    for _ in range(3):  # cipher, key derivation and its options
+        at = step(at)
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(keys + 1):  # public keys, then the private ones
+        if (at := step(at)) > len(data):
+            return None
+    return at
+
+
 def private_key(data: bytes | None) -> bool:
     """Whether bytes are a private key: a DER sequence that begins with a version number 0 to 3
     and holds further values, or an OpenSSH key whose length-prefixed fields fit."""
     if not data:
         return False
     if data.startswith(OPENSSH):
-        at = len(OPENSSH)
-        for _ in range(3):  # cipher, key derivation and its options
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data)
-    if data[0] != 0x30:
+        return _openssh_size(data) is not None
+    if _der_size(data) != len(data):
         return False
     outer = der_items(data)
-    if outer is None or len(outer) != 1:
-        return False
-    inner = der_items(outer[0][1])
-    return bool(inner) and len(inner) >= 2 and inner[0][0] == 0x02 and len(inner[0][1]) == 1 and inner[0][1][0] <= 3
+    inner = der_items(outer[0][1]) if outer else None
+    return bool(inner) and len(inner) >= 2
 
 
-def armoured_key(body: str) -> bool:
-    data = unbase64(body)
-    return private_key(data) or bool(data) and data[0] == 0x30 and der_items(data) is not None
+def _secret_packets(data: bytes) -> bool:
+    """Whether bytes are OpenPGP packets whose lengths add up, a secret key first."""
+    at, first = 0, None
+    while at < len(data):
+        head, at = data[at], at + 1
+        if not head & 0x80:
+            return False
+        if head & 0x40:  # new format
+            tag, size = head & 0x3F, data[at] if at < len(data) else 224
+            if size < 192:
+                at += 1
+            elif size < 224:
+                size, at = (size - 192 << 8) + int.from_bytes(data[at + 1 : at + 2], "big") + 192, at + 2
+            elif size == 255:
+                size, at = int.from_bytes(data[at + 1 : at + 5], "big"), at + 5
+            else:
+                return False
+        else:
+            tag, n = head >> 2 & 15, 1 << (head & 3)
+            if n == 8:
+                return False
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        first = tag if first is None else first
+        at += size
+    return at == len(data) and first in (5, 7)
+
+
+def armoured_key(body: str, label: str) -> bool:
+    """Whether what stands inside armour is a private key."""
+    headers, lines = {}, []
+    for line in re.sub(r"\\+[rnt]", "\n", body).split("\n"):
+        line = re.sub(r"^[\"'`]|[\"'`]\s*[,+;]?$", "", line.strip().rstrip("\\").rstrip())
+        if m := HEADER.fullmatch(line):
+            headers[m[1]] = m[2]
+        elif not (line.startswith("=") and label.endswith("BLOCK")):  # a checksum
+            lines.append(line)
+    data = unbase64("".join(lines))
+    if not data:
+        return False
+    if label.endswith("BLOCK"):
+        return _secret_packets(data)
+    if "DEK-Info" in headers:
+        return DEK_INFO.fullmatch(headers["DEK-Info"].strip()) is not None and len(data) % 8 == 0
+    return private_key(data) or data[0] == 0x30 and der_items(data) is not None
 
 
-def signed_token(text: str) -> bool:
-    head, payload, _ = text.split(".", 2)
+def _token_end(m: re.Match) -> int | None:
+    """Where the token of a JWT match ends, if its header is one: an encrypted one has two parts more."""
     try:
-        first, second = (json.loads(unbase64(x) or b"") for x in (head, payload))
+        head = json.loads(unbase64(m[1]) or b"")
     except (ValueError, UnicodeDecodeError, RecursionError):
-        return False
-    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
+        return None
+    if not isinstance(head, dict) or not isinstance(head.get("alg"), str) or unbase64(m[2]) is None:
+        return None
+    return m.end() if "enc" in head else m.end(3)
+
+
+class _Lines:
+    """The encoded characters of a text from a place on, over the ends of lines, as far as asked."""
+
+    def __init__(self, text: str, at: int, run: re.Pattern):
+        self.text, self.next, self.run, self.inside = text, at, run, False
+        self.chars, self.counts, self.places = "", [0], []
+
+    def upto(self, n: int) -> str:
+        parts, have = [self.chars], len(self.chars)
+        while have < n and self.next is not None:
+            m = self.run.match(self.text, self.next, self.next + n - have + 2)
+            if m:
+                parts.append(m[0])
+                self.places.append(m.start())
+                have += len(m[0])
+                self.counts.append(have)
+                self.next, self.inside = m.end(), True
+            else:
+                wrap = WRAP.match(self.text, self.next) if self.inside else None
+                self.next, self.inside = wrap.end() if wrap else None, False
+        self.chars = "".join(parts)
+        return self.chars[:n]
+
+    def end(self, n: int) -> int:
+        """Where in the text the n-th character ends."""
+        k = bisect_left(self.counts, n) - 1
+        return self.places[k] + n - self.counts[k]
+
+
+def _padded(text: str, end: int) -> int:
+    while end < len(text) and text[end] == "=":
+        end += 1
+    return end
+
+
+def _chars(size: int) -> int:
+    """Characters of base64 without padding for so many bytes."""
+    return -(-size * 8 // 6)
+
+
+class _Tried:
+    """Runs that were decoded before: their ends with the place of their start modulo 4."""
+
+    def __init__(self):
+        self.end, self.runs = 0, set()
+
+    def run(self, text: str, at: int) -> int:
+        if at >= self.end:
+            self.end = RUN64.match(text, at).end()
+        return self.end
+
+
+def _base64_key(text: str, at: int, tried: _Tried) -> tuple[str, int] | None:
+    """(kind, end) of the key in base64 at a place of the text, if there is one."""
+    lines = _Lines(text, at, RUN64)
+    begin = unbase64(lines.upto(24)) if len(lines.upto(24)) % 4 != 1 else unbase64(lines.upto(24)[:-1])
+    if not begin:
+        return None
+    if begin[0] == 0x30:
+        size = _der_size(begin)
+        if size is None or size * 8 // 6 > len(text) - at or not private_key(unbase64(lines.upto(_chars(size)))):
+            return None
+        return "der", _padded(text, lines.end(_chars(size)))
+    if not begin.startswith((OPENSSH, PEM_START)) and not NESTED.match(begin):
+        return None
+    run = tried.run(text, at)
+    if (run, (run - at) % 4) in tried.runs:
+        return None
+    tried.runs.add((run, (run - at) % 4))
+    everything = lines.upto(len(text))
+    tried.runs |= {(place + n - before, (n - before) % 4) for place, before, n in zip(lines.places, lines.counts, lines.counts[1:]) if before % 4 == 0}
+    for chars in dict.fromkeys((everything, text[at:run])):  # all lines, else the first
+        data = unbase64(chars if len(chars) % 4 != 1 else chars[:-1])
+        if not data:
+            continue
+        if data.startswith(OPENSSH):
+            size = _openssh_size(data)
+            if size is not None:
+                return "der", _padded(text, lines.end(_chars(size)))
+            continue
+        plain = re.match(rb"[\t\n\r -~]*", data)[0].decode()
+        if inner := structures(plain):
+            return inner[0][0], _padded(text, lines.end(min(_chars(max(e for *_, e in inner)), len(chars))))
+    return None
+
+
+def _hex_key(text: str, at: int) -> int | None:
+    """Where the private key in hex at a place of the text ends."""
+    lines = _Lines(text, at, RUN16)
+    bare = lambda n: lines.upto(n).replace(":", "")
+    begin = bare(60)
+    size = _der_size(bytes.fromhex(begin[: len(begin) // 2 * 2]))
+    if size is None or size * 2 > len(text) - at:
+        return None
+    n = 3 * size - 1 if lines.chars[2:3] == ":" else 2 * size
+    digits = bare(n)
+    if len(digits) != 2 * size or not private_key(bytes.fromhex(digits)):
+        return None
+    return lines.end(n)
+
+
+def _armoured(text: str) -> list[tuple[str, int, int]]:
+    """Every BEGIN with the first END after it, if that has the same label."""
+    marks = list(ARMOUR.finditer(text))
+    pairs = [(a, b) for a, b in zip(marks, marks[1:]) if (a[1], b[1]) == ("BEGIN", "END") and a[2] == b[2]]
+    return [("pem", a.start(), b.end()) for a, b in pairs if armoured_key(text[a.end() : b.start()], a[2])]
+
+
+def structures(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the confirmed kinds by start; of overlapping ones the armoured or
+    else the first."""
+    found = _armoured(text) if "PRIVATE KEY" in text else []
+    if "." in text:
+        found += [("jwt", m.start(), end) for m in JWT.finditer(text) if (end := _token_end(m))]
+    found.sort(key=lambda f: f[1])
+    taken, out = 0, []
+    tried = _Tried()
+    candidates = [(m.start(), BASE64_KEY) for m in BASE64_KEY.finditer(text)] + [(m.start(), HEX_KEY) for m in HEX_KEY.finditer(text)]
+    known = iter([*found, ("", len(text) + 1, 0)])
+    ahead = next(known)
+    for at, kind in sorted(candidates, key=lambda c: c[0]):
+        while ahead[1] <= at:
+            taken = max(taken, ahead[2])
+            ahead = next(known)
+        if at < taken:
+            continue
+        if kind is HEX_KEY:
+            end = _hex_key(text, at)
+            got = ("der", end) if end else None
+        else:
+            got = _base64_key(text, at, tried)
+        if got:
+            out.append((got[0], at, got[1]))
+            taken = got[1]
+    return sorted(found + out, key=lambda f: (f[1], f[2]))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -118,17 +366,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_CHARS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in JWT.finditer(text) if signed_token(m[0])]
-    if "PRIVATE KEY-----" in text:
-        found += [("pem", *m.span()) for m in PEM.finditer(text) if armoured_key(m[2])]
-    for m in RUN.finditer(text):
-        run = m[0]
-        if re.fullmatch(r"[0-9a-fA-F]+", run):
-            if len(run) % 2 == 0 and private_key(bytes.fromhex(run)):
-                found.append(("der", *m.span()))
-        elif (run[0] == "M" or run.startswith("b3BlbnNza")) and private_key(unbase64(run)):  # 0x30 encodes to M
-            found.append(("der", *m.span()))
+    found += structures(text)
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
@@ -136,7 +374,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) for every row of docs(doc_id, text, ...).
 
     Spans are in code points, the end exclusive, in the order of scan(). A null or empty text
-    has none. Repeated rows are each returned; other columns are ignored.
+    has none. Repeated rows are each returned; other columns are ignored; no rows give no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("spans", kind)])
@@ -162,7 +400,8 @@ def masked(text: str) -> str:
 def mask_documents(docs: DataFrame) -> DataFrame:
     """docs with the secrets of text replaced by <kind> and n_chars, if there, counted anew.
 
-    Null texts stay null; rows without a secret stay as they are.
+    Null texts stay null; rows without a secret stay as they are, and so do all other columns,
+    whatever their names. Repeated rows are each returned; no rows give no rows.
     """
     names = docs.columns
     at = names.index("text")

@@ -11,7 +11,10 @@ bits are the join keys. A candidate from a key must also keep the chain budgets
 (5, 6 and 7 segments) before its whole Hamming distance is counted.
 
 Equal texts and equal fingerprints are merged before any key is made, so a group of copies
-costs one row. Inside a key's bucket only a spanning forest of its links leaves the task.
+costs one row. Inside a key's bucket only a spanning forest of its links leaves the task. A
+bucket of more than BUCKET fingerprints isn't held or searched by a task: its rows are passed
+on, and the next round keys them by a further quarter of their free bits, one of which is equal
+in a pair that differs in 3 bits, until no bucket is large.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ from .components import connected_components
 SEED, SHINGLE, MAX_BITS, SEGMENTS = 42, 3, 3, 8
 #: Buckets up to this size are compared pair by pair at once, larger ones by a forest search.
 PAIRWISE_BUCKET = 8
+#: Buckets over this size are split by further bits.
+BUCKET = 20_000
 #: Edges gathered in a task before they are reduced to a forest.
 FOREST_EDGES = 200_000
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _KEYED = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("fp", pa.int64())])
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64()), ("start", pa.int8())])
+_FOUND = "a long, b long, mask long, start byte"
 
 
 def fingerprint(text: str) -> int:
@@ -108,14 +114,24 @@ def _forest(fps: np.ndarray, start: int) -> tuple[list, list]:
     return a, b
 
 
-def _bucket_edges(keys: np.ndarray, starts: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+def _starts(keys: np.ndarray, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Where the buckets of sorted rows begin."""
+    new = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1]) | (masks[1:] != masks[:-1])
+    return np.flatnonzero(np.r_[True, new])
+
+
+def _bucket_edges(keys: np.ndarray, starts: np.ndarray, masks: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is linked within each of the whole buckets of sorted rows."""
+    if not len(fps):
+        return fps, fps
+    first = _starts(keys, starts, masks)
     sizes = np.diff(np.r_[first, len(keys)])
     a, b = [], []
     small = np.repeat((sizes > 1) & (sizes <= PAIRWISE_BUCKET), sizes)
-    k, s, f = keys[small], starts[small], fps[small]
+    bucket = np.repeat(np.arange(len(first)), sizes)[small]
+    s, f = starts[small], fps[small]
     for d in range(1, PAIRWISE_BUCKET):
-        at = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else []
+        at = np.flatnonzero(bucket[d:] == bucket[:-d]) if len(bucket) > d else []
         if not len(at):
             break
         for start in range(SEGMENTS):
@@ -127,7 +143,7 @@ def _bucket_edges(keys: np.ndarray, starts: np.ndarray, fps: np.ndarray) -> tupl
         x, y = _forest(fps[first[g] : first[g] + sizes[g]], int(starts[first[g]]))
         a += x
         b += y
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
 def _reduced(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
@@ -150,33 +166,84 @@ def _reduced(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
     return nodes, [find(x) for x in nodes]
 
 
+def _edge_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    a, b = _reduced(a, b)
+    return batch(_EDGE, a, b, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int8()))
+
+
+def _passed_on(rows: list[np.ndarray]) -> pa.RecordBatch:
+    _, starts, masks, fps = rows
+    return batch(_EDGE, pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(masks), pa.array(starts))
+
+
 def _links(batches):
-    """Sorted (key, start, fp) rows of a partition to edges; a bucket may span batches."""
-    held = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.uint64)]
+    """Sorted (key, start, mask, fp) rows of a partition to edges, and to rows without b for what
+    is in large buckets. A bucket may span batches; no more than BUCKET rows of one are held."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    large = None  # the bucket that is being passed on
     a, b, n = [], [], 0
     for part in batches:
-        new = [part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int8), part.column(2).to_numpy().view(np.uint64)]
-        held = [np.concatenate(x) for x in zip(held, new)]
+        rows = [part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int8), part.column(2).to_numpy(), part.column(3).to_numpy().view(np.uint64)]
+        if large is not None:
+            k = int(((rows[0] == large[0]) & (rows[1] == large[1]) & (rows[2] == large[2])).sum())
+            if k:
+                yield _passed_on([r[:k] for r in rows])
+            if k == len(rows[0]):
+                continue
+            rows, large = [r[k:] for r in rows], None
+        held = [np.concatenate(x) for x in zip(held, rows)]
         if not len(held[0]):
             continue
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        x, y = _bucket_edges(*(h[:cut] for h in held)) if cut else (held[2][:0], held[2][:0])
-        held = [h[cut:] for h in held]
+        first = _starts(*held[:3])
+        sizes = np.diff(np.r_[first, len(held[0])])
+        whole = np.repeat((sizes <= BUCKET) & (np.arange(len(first)) < len(first) - 1), sizes)
+        over = np.repeat(sizes > BUCKET, sizes)
+        if over.any():
+            yield _passed_on([h[over] for h in held])
+            if over[-1]:
+                large = [h[-1] for h in held[:3]]
+        x, y = _bucket_edges(*(h[whole] for h in held))
+        held = [h[~whole & ~over] for h in held]
         a.append(x)
         b.append(y)
         n += len(x)
         if n > FOREST_EDGES:
-            yield batch(_EDGE, *_reduced(np.concatenate(a), np.concatenate(b)))
+            yield _edge_rows(np.concatenate(a), np.concatenate(b))
             a, b, n = [], [], 0
-    x, y = _bucket_edges(*held) if len(held[0]) else (held[2][:0], held[2][:0])
-    yield batch(_EDGE, *_reduced(np.concatenate([*a, x]), np.concatenate([*b, y])))
+    x, y = _bucket_edges(*held)
+    yield _edge_rows(np.concatenate([*a, x]), np.concatenate([*b, y]))
+
+
+_KEYS = pa.schema([("mask", pa.int64()), ("start", pa.int8()), ("fp", pa.int64())])
+
+
+def _split(batches):
+    """Rows (fp, mask, start) of large buckets, four times: with each quarter of the free bits
+    added to the mask. A pair with at most 3 differences has none in one of the quarters."""
+    for part in batches:
+        fps, masks, starts = (part.column(i).to_numpy() for i in range(3))
+        for mask in np.unique(masks):
+            mine = masks == mask
+            free = [bit for bit in range(64) if not int(mask) >> bit & 1]
+            for quarter in range(MAX_BITS + 1):
+                wider = int(mask) & (1 << 64) - 1 | sum(1 << bit for bit in free[quarter :: MAX_BITS + 1])
+                yield batch(_KEYS, pa.array(np.full(mine.sum(), _signed(wider))), pa.array(starts[mine].astype(np.int8)), pa.array(fps[mine]))
 
 
 def link_edges(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly what links among the distinct fingerprints (fp)."""
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("key"), F.lit(start).cast("byte").alias("start")) for n, (start, mask) in enumerate(key_masks())])
-    rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.key", "k.start", "fp")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    keys = F.array(*[F.struct(F.lit(_signed(mask)).alias("mask"), F.lit(start).cast("byte").alias("start")) for start, mask in key_masks()])
+    rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.start", "fp")
+    edges = None
+    while True:
+        keyed = rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "start", "mask", "fp")
+        found = materialize(keyed.repartition("key").sortWithinPartitions("key", "start", "mask").mapInArrow(_links, _FOUND))
+        new = found.where("b is not null").select("a", "b")
+        edges = new if edges is None else edges.unionByName(new)
+        large = found.where("b is null")
+        if large.isEmpty():
+            return edges
+        rows = large.select("a", "mask", "start").mapInArrow(_split, "mask long, start byte, fp long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -185,14 +252,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links, the row's own included. A null
     text counts as empty; texts without words have fingerprint 0 and link like others. Rows
     that repeat a doc_id are each returned; a null doc_id never becomes a component's id unless
-    all its rows have none. Other columns of docs are ignored. No rows give no rows.
+    all its rows have none. Other columns of docs are ignored. No rows give no rows. Texts of any
+    length are taken whole.
     """
     rows = materialize(fingerprints(docs))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), compact=True)
     roots = connected_components(link_edges(distinct.select("fp")))
     member = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first_id")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = materialize(member.join(smallest, "root").select("fp", "least_id"))
+    named = materialize(member.join(smallest, "root").select("fp", "least_id"), compact=True)
     by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -203,14 +271,16 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     Components are told apart by their root fingerprint and rows by doc_id and text, so unlike
     texts that share a doc_id or have none each stay. Of rows that repeat both, one stays.
-    Columns are those of docs.
+    A null text counts as empty, as does one without words; empty texts are one component. Texts
+    of any length are taken whole. No rows give no rows. Columns are those of docs, whatever their
+    names.
     """
     rows = fingerprints(docs, keyed=True).groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "n")).alias("first")
-    distinct = materialize(rows.groupBy("fp").agg(first))
+    distinct = materialize(rows.groupBy("fp").agg(first), compact=True)
     roots = connected_components(link_edges(distinct.select("fp")))
     member = distinct.join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    chosen = materialize(member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"), F.col("first.n").alias("n")))
+    chosen = materialize(member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"), F.col("first.n").alias("n")), compact=True)
     kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept_id"]) & (text_key(docs["text"]) == chosen["kept_key"]), "left_semi")
     if chosen.where("n > 1").isEmpty():
         return kept

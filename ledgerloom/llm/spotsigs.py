@@ -9,6 +9,12 @@ its words. Only a text without words has the empty set.
 Fingerprints are partitioned by set length: with Jaccard >= t two sets' lengths differ by a
 factor of 1/t at most, so partition bounds grow by 1/t and a set meets its own partition and
 the next one only. Within that, a comparison ends as soon as the lengths rule t out.
+
+The search for near-duplicates links all sets of Jaccard >= t without making all pairs of a group.
+Sets meet in buckets, by the rarest of their signatures. First every set is compared with one set
+of each of its buckets, which joins most groups of near copies. Then only buckets whose sets are
+not yet one group are searched, small ones by pairs from different groups, large ones in blocks of
+bounded size, of each of which only a forest of links leaves the task.
 """
 
 from __future__ import annotations
@@ -30,14 +36,16 @@ from .rules import STOP_WORDS
 
 CHAIN = 2
 THRESHOLD = 0.8
-#: Buckets up to this size make candidate pairs; in larger ones a task searches for a forest.
-PAIRWISE_BUCKET = 32
+#: Buckets up to this size make candidate pairs; larger ones are searched for a forest in blocks of
+#: so many sets, two of them at a time.
+PAIRWISE_BUCKET, BLOCK = 32, 4_000
 #: Words whose hashes a worker remembers.
-KEPT = 500_000
+KEPT = 300_000
 
 _WORD = re.compile(r"\w+")
 _ANCHORS = frozenset(STOP_WORDS)
-_SETS = pa.schema([("doc_id", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("signatures", pa.list_(pa.int64()))])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _COMPARED = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
@@ -107,106 +115,169 @@ def length_partition(n: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def spot_signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, signatures array<long> sorted as unsigned, part int) for every row of
-    docs(doc_id, text, ...). A null text counts as empty; repeated rows are each returned."""
+    """(doc_id, fingerprint string, signatures array<long> sorted as unsigned, n, part int) for every
+    row of docs(doc_id, text, ...). A null text counts as empty; repeated rows are each returned."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = [signatures(t).view(np.int64) for t in texts(part.column(1))]
+                found = [signatures(t) for t in texts(part.column(1))]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], schema=_SETS)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(digest, found), pa.string()), lists], schema=_SETS)
 
-    sets = id_text(docs).mapInArrow(run, "doc_id long, signatures array<long>")
-    return sets.withColumn("part", length_partition(F.size("signatures"), threshold))
+    sets = id_text(docs).mapInArrow(run, "doc_id long, fingerprint string, signatures array<long>").withColumn("n", F.size("signatures"))
+    return sets.withColumn("part", length_partition(F.col("n"), threshold))
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, bucket, sig, own): the signatures by which a set may be found.
+    """(node, n, part, sig): the signatures by which a set may be found.
 
     Signatures are ordered by how many sets have them, rare ones first. Two sets of Jaccard
     >= t share one among the first n - ceil(t n) + 1 of either. Those that no other set has come
-    first and find nothing, so only shared ones are passed on. A set stands in its own length
-    partition's buckets and, as a guest, in those of the next one.
+    first and find nothing, so only shared ones are passed on.
     """
-    each = sets.select("node", "part", "n", F.explode("signatures").alias("sig"))
+    each = sets.select("node", F.explode("signatures").alias("sig"))
     shared = each.join(each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig")
-    ranked = shared.groupBy("node", "part", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    ranked = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s")).join(sets.select("node", "n", "part"), "node")
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
     left = F.greatest(length - (F.col("n") - F.size("s")), F.lit(0)).cast("int")
-    found = ranked.select("node", "part", "n", F.explode(F.slice("s", 1, left)).alias("s"))
+    return ranked.select("node", "n", "part", F.explode(F.slice("s", 1, left)).alias("s")).select("node", "n", "part", F.col("s.sig").alias("sig"))
+
+
+def _buckets(found: DataFrame) -> DataFrame:
+    """found in buckets (bucket, sig): a set stands in its own length partition's and, as a guest, in
+    those of the next one. Sets that are both guests meet in their own."""
     both = F.explode(F.array(F.struct(F.col("part").alias("bucket"), F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("bucket"), F.lit(False).alias("own"))))
-    return found.select("node", "n", F.col("s.sig").alias("sig"), both.alias("b")).select("node", "n", "sig", "b.bucket", "b.own")
+    rest = [c for c in found.columns if c != "part"]
+    return found.select(*rest, both.alias("b")).select(*rest, "b.bucket", "b.own")
 
 
-def _pairs(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) of buckets of bounded size: pairs whose lengths and then sets allow it."""
-    a = rows.where("own").select("bucket", "sig", F.col("node").alias("a"), F.col("n").alias("an"))
-    b = rows.select("bucket", "sig", F.col("node").alias("b"), F.col("n").alias("bn"), "own")
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose lengths and then sets are alike enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("signatures").alias("x"), F.col("n").alias("an"))
+    right = sets.select(F.col("node").alias("b"), F.col("signatures").alias("y"), F.col("n").alias("bn"))
     near = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn") - F.lit(1e-9)
-    pairs = a.join(b, ["bucket", "sig"]).where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & near)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = sets.select(F.col("node").alias("a"), F.col("signatures").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("signatures").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    alike = both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - F.lit(1e-9)
+    alike = F.when(near, both >= F.lit(threshold) * (F.col("an") + F.col("bn") - both) - F.lit(1e-9))
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b): every set with the first own set of each of its buckets."""
+    first = rows.where("own").groupBy("bucket", "sig").agg(F.min("node").alias("a"))
+    return rows.join(first, ["bucket", "sig"]).where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs of buckets of bounded size, of sets that aren't in one group yet."""
+    a = rows.where("own").select("bucket", "sig", F.col("node").alias("a"), F.col("root").alias("_ar"))
+    b = rows.select("bucket", "sig", F.col("node").alias("b"), F.col("root").alias("_br"), "own")
+    pairs = a.join(b, ["bucket", "sig"]).where((F.col("_ar") != F.col("_br")) & (~F.col("own") | (F.col("a") < F.col("b"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _group_forest(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is alike among some sets, each reached once. Shared signatures are
+    counted by inverted lists of the sets that aren't reached yet."""
+    starts = np.r_[0, np.cumsum(sizes)]
+    ids = np.unique(values, return_inverse=True)[1]
+    alive = np.ones(len(nodes), bool)
+    a, b = [], []
+
+    def inverted():
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        kept = alive[owner]
+        order = np.argsort(ids[kept], kind="stable")
+        return owner[kept][order], np.r_[0, np.cumsum(np.bincount(ids[kept], minlength=ids.max() + 1 if len(ids) else 0))]
+
+    owner, bounds = inverted()
+    listed = left = len(nodes)
+    for seed in range(len(nodes)):
+        if not alive[seed]:
+            continue
+        alive[seed], left, queue = False, left - 1, [seed]
+        while queue and left:
+            u = queue.pop()
+            if 2 * left < listed:
+                owner, bounds = inverted()
+                listed = left
+            mine = ids[starts[u] : starts[u + 1]]
+            met = [owner[bounds[k] : bounds[k + 1]] for k in mine]
+            both = np.bincount(np.concatenate(met), minlength=len(nodes)) if met else np.zeros(len(nodes), int)
+            hit = np.flatnonzero(alive & (both > 0) & (both >= threshold * (sizes[u] + sizes - both) - 1e-9))
+            a.append(np.full(len(hit), nodes[u]))
+            b.append(nodes[hit])
+            alive[hit] = False
+            left -= len(hit)
+            queue.extend(hit.tolist())
+    return (np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
+
+
 def _forests(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect what is alike in the large buckets, each set reached once."""
-    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
-
-    def edges(members):
-        rest, out = [(node, np.sort(np.array(s, np.int64))) for node, s in members], []
-        while rest:
-            (u, x), rest = rest[0], rest[1:]
-            queue = [(u, x)]
-            while queue and rest:
-                u, x = queue.pop()
-                hit = [jaccard(x, y, threshold) >= threshold - 1e-9 for _, y in rest]
-                queue += (new := [m for m, h in zip(rest, hit) if h])
-                rest = [m for m, h in zip(rest, hit) if not h]
-                out += [(u, node) for node, _ in new]
-        return batch(schema, *(zip(*out) if out else ([], [])))
+    """Edges (a, b) that connect what is alike in large buckets. rows has size, that of the bucket: it
+    is dealt to blocks, and every two blocks are searched together, so no task holds more than two
+    blocks of a bucket however large it is."""
+
+    def edges(held):
+        nodes, sizes, values = (np.concatenate(x) for x in zip(*held))
+        return batch(_EDGES, *_group_forest(nodes, sizes, values, threshold))
 
     def run(batches):
         at, held = None, []
-        for b in batches:
-            for bucket, sig, node, s in zip(*(c.to_pylist() for c in b.columns)):
-                if at != (bucket, sig):
-                    if held:
-                        yield edges(held)
-                    at, held = (bucket, sig), []
-                held.append((node, s))
+        for part in batches:
+            keys = np.stack([part.column(i).to_numpy() for i in range(4)], 1)
+            lists = part.column(5)
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            nodes, values = part.column(4).to_numpy(), lists.flatten().to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+                if i == j:
+                    continue
+                if held and at != keys[i].tolist():
+                    yield edges(held)
+                    held = []
+                at = keys[i].tolist()
+                held.append((nodes[i:j], np.diff(ends[i : j + 1]), values[ends[i] : ends[j]]))
         if held:
             yield edges(held)
 
-    wide = rows.select("bucket", "sig", "node").join(sets.select("node", "signatures"), "node").select("bucket", "sig", "node", "signatures")
-    return wide.repartition("bucket", "sig").sortWithinPartitions("bucket", "sig").mapInArrow(run, "a string, b string")
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumns({"_n": n, "_i": F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int") % n})
+    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).where("_n = 1 or _i <> _j")
+    key = ["bucket", "sig", "lo", "hi"]
+    dealt = dealt.select(F.col("bucket").cast("long").alias("bucket"), "sig", F.least("_i", "_j").cast("long").alias("lo"), F.greatest("_i", "_j").cast("long").alias("hi"), "node")
+    wide = dealt.join(sets.select("node", "signatures"), "node").select(*key, "node", "signatures")
+    return wide.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text, ...): documents are linked at a
     Jaccard similarity of their signature sets of threshold or more, and component_id is the
-    smallest doc_id reachable over links.
+    smallest doc_id reachable over links, the row's own included.
 
-    Documents of equal sets are one node. Buckets of more than PAIRWISE_BUCKET sets come from
-    groups of near copies; such a bucket's sets are held by one task while it is searched.
+    Documents of equal sets are one node. A null text counts as empty; texts without words have
+    the empty set and are one component. Rows that repeat a doc_id are each returned; a null doc_id
+    is a component's id only where all its rows have none. Other columns are ignored; texts of any
+    length are taken whole; no rows give no rows.
     """
-    rows = materialize(spot_signatures(docs, threshold).withColumn("node", F.concat(F.hex(F.xxhash64("signatures")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "signatures")))))
-    sets = materialize(rows.groupBy("node").agg(F.first("signatures").alias("signatures"), F.first("part").alias("part"), F.min("doc_id").alias("first_id")).withColumn("n", F.size("signatures")))
-    found = materialize(_prefixes(sets, threshold))
-    sizes = found.groupBy("bucket", "sig").agg(F.count("*").alias("size")).where("size > 1")
-    small, large = (found.join(sizes.where(c), ["bucket", "sig"], "left_semi") for c in (f"size <= {PAIRWISE_BUCKET}", f"size > {PAIRWISE_BUCKET}"))
-    roots = connected_components(_pairs(small, sets, threshold).unionByName(_forests(large, sets, threshold)))
-    member = sets.join(roots, "node").select("node", "root", "first_id")
-    least = member.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = member.join(least, "root").select("node", "least_id")
-    by_node = sets.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(by_node, "node").select("doc_id", "component_id")
+    rows = materialize(spot_signatures(docs, threshold).withColumn("row", F.monotonically_increasing_id()))
+    groups = materialize(rows.groupBy("fingerprint").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), compact=True)
+    sets = rows.join(groups.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "part", "signatures")
+    found = materialize(_prefixes(sets, threshold), compact=True)
+    sets = materialize(sets.join(found.select("node").distinct(), "node", "left_semi"))
+    first = materialize(_alike(_stars(_buckets(found)), sets, threshold), compact=True)
+    roots = connected_components(first)
+    joined = _buckets(found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = joined.groupBy("bucket", "sig").agg(F.count("*").alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.bool_or("own").alias("_own")).where("_low <> _high and _own")
+    rest = materialize(joined.join(open_.select("bucket", "sig", "size"), ["bucket", "sig"]), compact=True)
+    more = _alike(_pairs(rest.where(F.col("size") <= PAIRWISE_BUCKET)), sets, threshold).unionByName(_forests(rest.where(F.col("size") > PAIRWISE_BUCKET), sets, threshold))
+    roots = connected_components(first.unionByName(more))
+    member = groups.join(roots, "node").select("fingerprint", "root", "first_id")
+    named = member.join(member.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fingerprint", "least_id")
+    by_set = materialize(groups.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("least_id", "first_id").alias("component_id")), compact=True)
+    return rows.join(by_set, "fingerprint").select("doc_id", "component_id")
 
 
 def _bucket(bounds: list[int]) -> Column:

@@ -5,15 +5,18 @@ character, so merges never cross the start of a run of marks: a text is a bag of
 (a run of spaces and what follows up to the next space) and its count is the sum of theirs.
 
 1. Tasks count their pre-tokens; the shuffled sums are the corpus vocabulary, and every
-   distinct pre-token is encoded once.
-2. Pre-tokens in a head of bounded size (by frequency, at most HEAD entries of at most
-   HEAD_CHARS characters) are looked up in the tasks that count each document.
-3. All other pre-tokens of a document, with their frequencies, are joined to the vocabulary.
-   None of them is frequent, so no key is hot. Sums by document end the work.
+   distinct pre-token is encoded once. Those of more than LONG characters go by their digest, so
+   keys are short; they are encoded by the tasks that meet them.
+2. The join to the documents' frequencies has two parts. The most frequent HEAD pre-tokens are
+   broadcast, at most HEAD keys of LONG characters or a digest each, and joined in the tasks that
+   count the documents.
+3. All other pre-tokens of a document, with their frequencies, are shuffled and joined. Each is
+   less frequent than HEAD others, so no key is hot. Sums by document end the work.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -21,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import batch, id_text, materialize, texts
 
 MARK = "▁"
-HEAD, HEAD_CHARS = 300_000, 64
+HEAD, LONG = 200_000, 64
 #: Distinct pre-tokens that a task holds before it passes its counts on.
-HELD = 400_000
+HELD = 300_000
 CONTEXT_LIMIT = 4096
 
 _RUN = re.compile(f"{MARK}+[^{MARK}]*")
-_COUNTS = pa.schema([("p", pa.string()), ("n", pa.int64())])
+_COUNTS = pa.schema([("p", pa.string()), ("n", pa.int64()), ("pieces", pa.int64())])
 _PIECES = pa.schema([("p", pa.string()), ("freq", pa.int64()), ("n_pieces", pa.int64())])
 _FLAT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("rows", pa.int64()), ("n_bytes", pa.int64()), ("head", pa.int64()), ("p", pa.string()), ("n", pa.int64())])
 
@@ -49,6 +53,11 @@ def pretokens(text: str) -> list[str]:
     return text.split(" ")
 
 
+def key(word: str) -> str:
+    """What a pre-token is joined by: itself, or a mark and its digest if it is long."""
+    return word if len(word) <= LONG else "\1" + hashlib.sha256(word.encode()).hexdigest()
+
+
 @lru_cache(4)
 def _model(path: str) -> sentencepiece.SentencePieceProcessor:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,7 +78,13 @@ def piece_counts(path: str, words: list[str]) -> list[int]:
 
 
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
-    """(p, freq, n_pieces): every distinct pre-token of docs, its frequency and its pieces."""
+    """(p, freq, n_pieces): the key of every distinct pre-token of docs, its frequency and pieces."""
+
+    def counted(held: Counter) -> pa.RecordBatch:
+        words = list(held)
+        long = [w for w in words if len(w) > LONG]
+        known = dict(zip(long, piece_counts(path, long))) if long else {}
+        return batch(_COUNTS, list(map(key, words)), list(held.values()), [known.get(w) for w in words])
 
     def count(batches):
         held: Counter = Counter()
@@ -77,21 +92,25 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
             for t in texts(b.column(1)):
                 held.update(pretokens(t))
                 if len(held) > HELD:
-                    yield batch(_COUNTS, list(held), list(held.values()))
+                    yield counted(held)
                     held.clear()
-        yield batch(_COUNTS, list(held), list(held.values()))
+        yield counted(held)
 
     def encode(batches):
         for b in batches:
-            yield batch(_PIECES, b.column(0), b.column(1), piece_counts(path, b.column(0).to_pylist()))
+            pieces = b.column(2)
+            todo = pieces.is_null()
+            new = piece_counts(path, b.column(0).filter(todo).to_pylist())
+            yield batch(_PIECES, b.column(0), b.column(1), pc.replace_with_mask(pieces, todo, pa.array(new, pa.int64())))
 
-    counted = id_text(docs).mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("freq"))
-    return counted.mapInArrow(encode, "p string, freq long, n_pieces long")
+    counts = id_text(docs).mapInArrow(count, "p string, n long, pieces long")
+    counts = counts.groupBy("p").agg(F.sum("n").alias("freq"), F.max("pieces").alias("pieces"))
+    return counts.mapInArrow(encode, "p string, freq long, n_pieces long")
 
 
 def _head_frequency(vocab: DataFrame) -> int:
     """The least frequency at which no more than HEAD pre-tokens are left."""
-    levels = vocab.where(F.length("p") <= HEAD_CHARS).groupBy(F.floor(F.log2("freq") * 8).cast("int").alias("level")).count()
+    levels = vocab.groupBy(F.floor(F.log2("freq") * 8).cast("int").alias("level")).count()
     room, least = HEAD, None
     for level, n in sorted(map(tuple, levels.collect()), reverse=True):  # one row for an eighth of a power of two
         if n > room:
@@ -109,24 +128,26 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     spark = docs.sparkSession
     vocab = materialize(vocabulary(docs, model_path))
     least = _head_frequency(vocab)
-    in_head = (F.col("freq") >= least) & (F.length("p") <= HEAD_CHARS)
+    in_head = F.col("freq") >= least
     head = vocab.where(in_head).select("p", "n_pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist())))
 
     def lookup(batches):
-        table = known.value
+        table, met = known.value, 0
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids, sizes, sums, hashes, words, freqs, lengths = part.column(0).to_pylist(), [], [], [], [], [], []
-                for i, t in zip(ids, texts(part.column(1))):
+                for t in texts(part.column(1)):
                     raw = t.encode()
                     sizes.append(len(raw))
                     hashes.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
                     total, before = 0, len(words)
-                    words.append(f"\0{i}")  # the document's own row: its key matches nothing that counts
+                    met += 1
+                    words.append(f"\0{met}")  # the document's own row: its key matches nothing that counts
                     freqs.append(0)
                     for w, n in Counter(pretokens(t)).items():
+                        w = key(w)
                         pieces = table.get(w)
                         if pieces is None:
                             words.append(w)

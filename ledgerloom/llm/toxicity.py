@@ -1,9 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text is lower-cased and cut into words; its features are the hashed words, their first four
-and five letters, pairs of neighbours, and skip-grams, pairs with one word between. Each
-counts once. FTRL-proximal gives every coordinate its own learning rate and an L1 penalty, so
-most weights are exactly zero; the others are broadcast, at most BUCKETS numbers.
+A text is lower-cased and cut into words; its features are the hashed words, their first four to
+seven letters (for inflected words), pairs and triples of neighbours, and skip-grams: pairs with one
+or two words between. Each counts once. FTRL-proximal gives every coordinate its own learning rate
+and an L1 penalty, so most weights are exactly zero; the others are broadcast, at most BUCKETS
+numbers.
 """
 
 from __future__ import annotations
@@ -25,24 +26,37 @@ FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 TRAIN_ROWS, EPOCHS = 12_000, 4
 #: Hash buckets: the bound of what is broadcast (8 bytes for each weight).
 BUCKETS = 1 << 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 5.0, 0.01
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.01
+#: Letters of a word's starts.
+STARTS = (4, 5, 6, 7)
 #: Words whose hashes a worker remembers.
-KEPT = 500_000
+KEPT = 200_000
 
 _WORD = re.compile(r"\w+")
 _FEATURES = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.int32()))])
+_COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int32())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 class _Hashes(dict):
-    """Words to four hashes: of the word, its first four and five letters, and one for pairs."""
+    """Words to rows of a table: the hash of the word, then those of its starts."""
 
-    def __missing__(self, word: str):
-        h = lambda kind, s: xxhash.xxh64_intdigest(f"{kind}{s}".encode())
-        found = (h("w", word), h("4", word[:4]), h("5", word[:5]), h("p", word) | 1)
-        if len(self) < KEPT:
-            self[word] = found
-        return found
+    def __init__(self):
+        self.table = np.zeros((1 << 12, 1 + len(STARTS)), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = [xxhash.xxh64_intdigest(f"{k}{word[:k]}".encode()) if k else xxhash.xxh64_intdigest(f"w{word}".encode()) for k in (0, *STARTS)]
+        self[word] = at
+        return at
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > KEPT:
+            self.clear()
+        at = list(map(self.__getitem__, words))
+        return self.table[at]
 
 
 @lru_cache(1)
@@ -50,16 +64,25 @@ def _hashes() -> _Hashes:
     return _Hashes()
 
 
-def feature_ids(text: str) -> np.ndarray:
-    """The distinct buckets of a text's features, in order; none without words."""
+# odd multipliers that tell the kinds of pairs and the sides of a pair apart
+_NEAR, _NEXT, _OVER, _TWO, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
+
+
+def buckets(text: str) -> np.ndarray:
+    """The buckets of a text's features, with repeats, in any order; none without words."""
     words = _WORD.findall(text.lower())
     if not words:
         return np.empty(0, np.int32)
-    hashed = np.array(list(map(_hashes().__getitem__, words)), np.uint64)
-    pair = hashed[:, 3]
-    near = pair[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ pair[1:]
-    skip = pair[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) ^ pair[2:]
-    return np.unique(np.concatenate([hashed[:, :3].ravel(), near, skip]) >> np.uint64(44)).astype(np.int32)
+    hashed = _hashes().of(words)
+    w = hashed[:, 0]
+    pairs = (w[:-1] * _NEAR ^ w[1:]) * _MIX
+    grams = [pairs, (pairs[:-1] * _NEXT ^ w[2:]) * _MIX, (w[:-2] * _OVER ^ w[2:]) * _MIX, (w[:-3] * _TWO ^ w[3:]) * _MIX]
+    return (np.concatenate([hashed.ravel(), *grams]) >> np.uint64(44)).astype(np.int32)
+
+
+def feature_ids(text: str) -> np.ndarray:
+    """The distinct buckets of a text's features, in order."""
+    return np.unique(buckets(text))
 
 
 def _sigmoid(x: float) -> float:
@@ -92,18 +115,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     """A model from at most `limit` labelled rows outside the held-out fold.
 
     Executors hash the sample's texts; only bucket numbers of that bounded sample come to the
-    driver. Without rows of both classes the model is their rate alone.
+    driver. A text moves a coordinate by less than 1 in a pass, so one that no more than
+    L1 / EPOCHS texts have never gets a weight: such buckets are left out beforehand, which changes
+    no weight. Without rows of both classes the model is their rate alone.
     """
+    sample = training_rows(id_text(docs), labels, label, FOLDS, HELD, limit).select("text", "label")
+
+    def count(batches):
+        n = np.zeros(BUCKETS, np.int32)
+        for b in batches:
+            for t in texts(b.column(0)):
+                n[feature_ids(t)] += 1
+        at = np.flatnonzero(n).astype(np.int32)
+        yield batch(_COUNTS, pa.array(at), pa.array(n[at]))
+
+    counts = sample.mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+    usable = np.zeros(BUCKETS, bool)
+    usable[counts.where(F.col("n") * EPOCHS > L1).select("bucket").toArrow().column(0).to_numpy()] = True  # BUCKETS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(usable))
 
     def run(batches):
+        kept = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            found = [feature_ids(t) for t in texts(b.column(0))]
+            found = [ids[kept[ids]] for ids in map(feature_ids, texts(b.column(0)))]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
             yield pa.RecordBatch.from_arrays([b.column(1), lists], schema=_FEATURES)
 
-    sample = training_rows(id_text(docs), labels, label, FOLDS, HELD, limit).select("doc_id", "text", "label")
-    table = sample.select("text", "label").mapInArrow(run, "label int, features array<int>").toArrow()
+    table = sample.mapInArrow(run, "label int, features array<int>").toArrow()
     y = np.array(table.column(0).to_pylist(), float)
     rows = [np.asarray(x) for c in table.column(1).chunks for x in (c[i].values.to_numpy() for i in range(len(c)))]
     if not len(y) or y.min() == y.max():
@@ -116,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text, ...).
 
-    A null or empty text gets the score of the bias. Repeated rows are each returned; other
-    columns of docs are never read.
+    A null or empty text gets the score of the bias. Repeated rows are each returned; a null doc_id
+    isn't held out; texts of any length are taken whole; no rows give no rows. Other columns of
+    docs are never read.
     """
     bias, at, weights = model
     known = docs.sparkSession.sparkContext.broadcast((at, weights))
@@ -125,8 +165,13 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
     def run(batches):
         dense = np.zeros(BUCKETS, np.float32)
         dense[known.value[0]] = known.value[1]
+
+        def total(text: str) -> float:
+            found = buckets(text)
+            return float(dense[np.unique(found[dense[found] != 0])].sum(dtype=np.float64))  # few have a weight
+
         for b in batches:
-            yield batch(_SCORES, b.column(0), [_sigmoid(bias + float(dense[feature_ids(t)].sum())) for t in texts(b.column(1))])
+            yield batch(_SCORES, b.column(0), [_sigmoid(bias + total(t)) for t in texts(b.column(1))])
 
     scored = id_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(FOLDS, HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

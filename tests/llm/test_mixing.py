@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import pytest
 import xxhash
@@ -15,14 +16,15 @@ def test_pouring():
     assert poured([1, 1, 2], [5, 100, 100], 80) == [5, 25, 50]
     assert poured([1, 1], [5, 7], 80) == [5, 7]
     assert poured([0, 1], [50, 10], 30) == [0, 10]
-    assert poured([1, 1, 1], [10, 10, 10], 11) == [5, 3, 3] and poured([], [], 9) == []
+    assert poured([1, 1, 1], [10, 10, 10], 11) == [3, 3, 3] and poured([], [], 9) == []
+    assert poured([0, 1], [50, 10], 10) == [0, 10] and poured([2, 1], [0, 9], 6) == [0, 6]
 
 
 def test_siblings_take_a_shortage_before_ancestors_do():
     totals = {("a", "en", "x"): 10, ("a", "en", "y"): 500, ("a", "de", "z"): 500, ("b", "en", "w"): 500}
-    got = budgets(totals, Mix(share=400 / 1510, max_epochs=1))
+    got = budgets(totals, Mix(share=400.5 / 1510, max_epochs=1), 3)
     assert got == {("a", "en", "x"): 10, ("a", "en", "y"): 90, ("a", "de", "z"): 100, ("b", "en", "w"): 200}
-    got = budgets(totals | {("a", "en", "y"): 20}, Mix(share=400 / 1030, max_epochs=1))
+    got = budgets(totals | {("a", "en", "y"): 20}, Mix(share=400.5 / 1030, max_epochs=1), 3)
     assert got[("a", "en", "x")] == 10 and got[("a", "en", "y")] == 20 and got[("a", "de", "z")] == 170 and got[("b", "en", "w")] == 200
 
 
@@ -34,11 +36,42 @@ def _hash(seed, full, doc_id):
     return h - (1 << 64) if h >> 63 else h
 
 
+def plain_budgets(totals, mix):
+    """Down the tree by exact fractions: a child that can't hold its share takes what it can, and
+    the others share again."""
+    out = {}
+
+    def pour(path, budget, leaves):
+        if len(path) == 3:
+            out[path] = budget
+            return
+        children = {}
+        for leaf in leaves:
+            children.setdefault(leaf[: len(path) + 1], []).append(leaf)
+        room = {c: mix.max_epochs * sum(totals[x] for x in below) for c, below in children.items()}
+        weight = {c: Fraction(mix.weights.get(c, 1)) for c in children}
+        open_, left, got = {c for c in children if weight[c] > 0}, Fraction(budget), dict.fromkeys(children, 0)
+        while open_:
+            share = left / sum(weight[c] for c in open_)
+            full = {c for c in open_ if room[c] <= share * weight[c]}
+            if not full:
+                got |= {c: int(share * weight[c]) for c in open_}
+                break
+            got |= {c: room[c] for c in full}
+            left -= sum(room[c] for c in full)
+            open_ -= full
+        for c, below in children.items():
+            pour(c, got[c], below)
+
+    pour((), int(mix.share * sum(totals.values())), list(totals))
+    return out
+
+
 def brute(rows, mix):
     leaves = defaultdict(list)
     for d, t, lang, source, domain, _ in rows:
         leaves[(domain or "", lang or "", source or "")].append((d, len((t or "").split())))
-    shares = budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, mix)
+    shares = plain_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, mix)
     out = []
     for leaf, docs in leaves.items():
         total = sum(n for _, n in docs)
@@ -74,6 +107,18 @@ def test_against_brute_force(spark, share, epochs):
     assert again.columns == clashing.columns and again.where("_d = 'kept'").count() == got.count()
 
 
+def test_ranges_are_narrowed(spark, monkeypatch):
+    """Many documents in a leaf, most of them after the first 1,024 ranges; and many sources."""
+    monkeypatch.setattr(mixing, "RANGE_BITS", 2)
+    monkeypatch.setattr(mixing, "LAST_RANGE", 5)
+    rnd = random.Random(3)
+    rows = [(i, " ".join(["w"] * rnd.randrange(1, 9)), "en", rnd.choice(["big"] * 20 + [f"host{k}" for k in range(60)]), "a", None) for i in range(900)]
+    rows += [(77, "same id", "en", "big", "a", None)] * 30 + [(-1, "x " * 90000, "en", "long", "b", None)]
+    mix = Mix(share=0.4, max_epochs=2, weights={("a", "en", "big"): 30, ("a", "en", "host3"): 0})
+    got = mixing.select_tokens(spark.createDataFrame(rows, SCHEMA), mix)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, mix)
+
+
 def test_empty_and_no_domain(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.select_tokens(empty).count() == 0 and mixing.mixed(empty).count() == 0

@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from ledgerloom.llm import pii
 
 KEY = "k1"
@@ -107,7 +109,18 @@ def test_against_brute_force(spark):
     assert out.columns == ["doc_id", "text", "source", *[f"n_{k}" for k in pii.KINDS]]
     got = sorted((tuple(r) for r in out.drop("source").collect()), key=str)
     assert got == sorted(((i, *brute(t)) for i, t in rows), key=str)
-    assert pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.pseudonymize(df.limit(0), KEY).count() == 0
+
+
+def test_key_is_the_callers_or_the_sessions(spark):
+    df = spark.createDataFrame([(1, "10.1.2.3")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymize(df)
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        assert pii.pseudonymize(df).first()["text"] == brute("10.1.2.3")[0] != pii.pseudonymize(df, "k2").first()["text"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 def test_equal_values_stay_linked_and_valid(spark):

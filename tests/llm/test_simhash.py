@@ -78,12 +78,70 @@ def test_large_bucket_gives_a_forest(spark):
     assert len(roots) == 1
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """With buckets of 16 at most, texts that share many bits are found as without a bound."""
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    rnd = random.Random(7)
+    fps = {rnd.getrandbits(64) for _ in range(30)} | {sum(1 << b for b in rnd.sample(range(20, 64), rnd.randrange(9))) for _ in range(400)}
+    fps |= {f ^ sum(1 << b for b in rnd.sample(range(64), 3)) for f in sorted(fps)[:60]}
+    fps = sorted(fps)
+    edges = simhash.link_edges(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"))
+    got = {}
+    for node, root in map(tuple, connected_components(edges).collect()):
+        got.setdefault(root, set()).add(node & (1 << 64) - 1)
+    up = {f: f for f in fps}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 3:
+                up[find(x)] = find(y)
+    want = {}
+    for f in fps:
+        want.setdefault(find(f), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_a_bucket_over_many_batches_is_passed_on_whole(monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    rows = [(1, 0, 5, f) for f in range(3)] + [(2, 1, 6, f) for f in range(100)] + [(3, 0, 5, f) for f in range(2)]
+    import pyarrow as pa
+
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int8(), pa.int64(), pa.int64()))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["key", "start", "mask", "fp"])
+    for size in (1, 7, 40, 200):
+        out = pa.Table.from_batches(list(simhash._links(whole.slice(i, size) for i in range(0, len(rows), size)))).to_pylist()
+        assert sorted(r["a"] for r in out if r["b"] is None) == list(range(100)) and {(r["mask"], r["start"]) for r in out if r["b"] is None} == {(6, 1)}
+        assert {x for r in out if r["b"] is not None for x in (r["a"], r["b"])} == {0, 1, 2}
+
+
+def test_hubs_are_broadcast(spark, monkeypatch):
+    from ledgerloom.llm import components
+
+    monkeypatch.setattr(components, "FEW", 3)
+    monkeypatch.setattr(components, "SHARE", 40)
+    edges = [(5, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 212)] + [(150, 3), (7, 1000), (1000, 6)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {3: 3, 5: 3} | {i: 3 for i in range(100, 160)} | {i: 200 for i in range(200, 213)} | {6: 6, 7: 6, 1000: 6}
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, None)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
 
 
+def test_no_rows_and_long_texts(spark):
+    long = " ".join(random.Random(6).choices(["w%d" % i for i in range(3000)], k=60000))
+    df = spark.createDataFrame([(4, long, "en", "x"), (2, long + " again", "en", "y"), (9, "else here now", "en", "z")], SCHEMA)
+    assert simhash.keep_representatives(df.limit(0)).count() == 0 and simhash.keep_representatives(df.limit(0)).columns == df.columns
+    assert sorted(r["doc_id"] for r in simhash.keep_representatives(df).collect()) == [2, 9]
+
+
 def test_one_row_stays_of_each_group(spark):
     rows = [(3, "a b c d", "en", "x"), (1, "a b c d", "en", "y"), (1, "a b c d", "en", "y"), (9, "q r s t u", "en", "z"), (None, None, None, None)]
     out = simhash.keep_representatives(spark.createDataFrame(rows, SCHEMA))

@@ -37,5 +37,16 @@ def test_against_the_library(spark, monkeypatch):
     assert run(spark, rows) == want(rows)
 
 
+def test_long_pretokens_go_by_digest(spark, monkeypatch):
+    url = "https://example.org/" + "a/very/long/path/" * 9
+    rows = [(i, f"see {url} and {url}x{i} and {'日本' * 40}") for i in range(40)] + [(None, url)] * 3
+    digest = token_counts.key(url)
+    assert len(digest) == token_counts.LONG + 1 and token_counts.key("a" * 64) == "a" * 64
+    rows.append((99, f"{digest} {url}"))
+    assert run(spark, rows) == want(rows)
+    monkeypatch.setattr(token_counts, "HEAD", 2)
+    assert run(spark, rows) == want(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
