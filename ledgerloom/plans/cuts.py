@@ -49,6 +49,12 @@ def scope(spark: SparkSession):
         release(spark, made)
 
 
+def keep(paths: Iterable[str]) -> None:
+    """List cuts with those of the run around, for a result that still reads them."""
+    if (listed := _listed.get()) is not None:
+        listed.extend(paths)
+
+
 def release(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete cuts that no result still to be worked out reads from."""
     for path in paths:
