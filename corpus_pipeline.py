@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, mixing, quality, secrets, simhash
-from ledgerloom.llm.common import documents, materialize, release, written
+from ledgerloom.llm.common import documents, into, keep, materialize, release, scope
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over all of documents.
 
-    Once a stage's rows are written, what it and the stages before it had written is deleted.
+    Each stage's rows are written and read again. What a stage had written besides goes once its rows
+    are there, and those once the next stage's are; the last stage's input stays for the lazy result.
     """
-    docs = documents(spark, sf_dir)
-    before = set(written())
+    docs, before = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        used = [p for p in written() if p not in before]
-        docs = materialize(out)
-        release(spark, used)
+        now: list[str] = []
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            with into(now):
+                docs = materialize(out)
+        release(spark, before)
+        before = now
+    keep(before)
     return STAGES[-1][1](spark, docs, sf_dir)
