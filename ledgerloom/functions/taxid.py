@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trimmed
+from .text import BLANK, spaced, trimmed
 
 # fixed values
 TAX_ID = r"^\d{1,3}(?:\.\d{3})*-[\dkK]$"
-UNFINISHED = r"(?i)\s(DE|DEL|LA|LAS|LOS|Y|SAN|SANTA|DA|DOS|VON|VAN|MC|SAINT)$"
+UNFINISHED = spaced(r"(?i)\s(DE|DEL|LA|LAS|LOS|Y|SAN|SANTA|DA|DOS|VON|VAN|MC|SAINT)$")
 
 
 def looks_like_tax_id(s: Column) -> Column:
@@ -35,13 +35,18 @@ def tax_id(s: Column) -> Column:
 def split_name(s: Column) -> Column:
     """struct<paternal, maternal, given>: first and second word and the rest; two words are a
     paternal and a given name."""
-    words = F.filter(F.split(trimmed(s), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(trimmed(s), f"{BLANK}+"), lambda w: w != "")
     n = F.size(words)
     word = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
     rest = F.array_join(F.slice(words, 3, F.greatest(n - 2, F.lit(0))), " ")
     return F.struct(word(0).alias("paternal"), F.when(n > 2, word(1)).otherwise("").alias("maternal"), F.when(n > 2, rest).otherwise(word(1)).alias("given"))
 
 
+def is_cut(shorter: Column, whole: Column) -> Column:
+    """Whether a name is the beginning of a longer one, as a column of fixed width cuts it."""
+    return (F.length(whole) > F.length(shorter)) & whole.startswith(shorter)
+
+
 def unfinished_name(s: Column) -> Column:
     """Whether a name ends in a preposition or article, so that at least one word is missing."""
     return trimmed(s).rlike(UNFINISHED)

@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 #: What counts as white space in printed text: ASCII controls, the Unicode spaces and the byte order mark.
 BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+
+
+def spaced(pattern: str) -> str:
+    r"""A pattern whose \s and \S mean all printed white space; Java's mean ASCII only."""
+    return pattern.replace(r"\S", f"[^{BLANK[1:-1]}]").replace(r"\s", BLANK)
+
+
 # fixed values: the printed forms
-AMOUNT = r"^-?\$?\s*\d{1,3}(\.\d{3})*(,\d+)?$|^-?\$?\s*\d+(,\d+)?$"
+AMOUNT = spaced(r"^-?\$?\s*\d{1,3}(\.\d{3})*(,\d+)?$|^-?\$?\s*\d+(,\d+)?$")
 DATE = r"^(\d{2})/(\d{2})/(\d{4})$"
 PERIOD = r"(\d{2})/(\d{4})"
-BARCODE = r"^[A-Za-z0-9]{6,}(\s*-\s*[A-Za-z0-9]{2,})+$"
+BARCODE = spaced(r"^[A-Za-z0-9]{6,}(\s*-\s*[A-Za-z0-9]{2,})+$")
 MONEY = "decimal(20,6)"
 
 
@@ -56,7 +63,7 @@ def is_numeric(s: Column) -> Column:
 def to_number(s: Column) -> Column:
     """A printed amount (points between thousands, comma before decimals) as a decimal; null
     for anything else, so that no data is not zero."""
-    plain = F.replace(F.regexp_replace(trimmed(s), r"[$\s.]", ""), F.lit(","), F.lit("."))
+    plain = F.replace(F.regexp_replace(trimmed(s), f"[$.{BLANK[1:-1]}]", ""), F.lit(","), F.lit("."))
     return F.when(is_numeric(s), plain.try_cast(MONEY))
 
 
@@ -67,9 +74,9 @@ def printed(n: Column, decimals: int = 0) -> Column:
 
 def date_key(s: Column) -> Column:
     """dd/mm/yyyy as the integer yyyymmdd, without a look at the calendar; else null."""
-    t = trimmed(s)
-    part = lambda k: F.regexp_extract(t, DATE, k).cast("int")
-    return F.when(t.rlike(DATE), part(3) * 10000 + part(2) * 100 + part(1))
+    part = lambda t, at, n: F.substring(t, at, n).cast("int")
+    key = lambda t: part(t, 7, 4) * 10000 + part(t, 4, 2) * 100 + part(t, 1, 2)
+    return F.when(s.rlike(DATE), key(s)).when(trimmed(s).rlike(DATE), key(trimmed(s)))
 
 
 def period(s: Column) -> Column:

@@ -14,17 +14,19 @@ def field_sums(values: DataFrame, doc: str = "doc_id") -> DataFrame:
     return values.groupBy(doc, "field").agg(F.sum("value").alias("total"))
 
 
-def signed_sums(pairs: DataFrame, sums: DataFrame, terms: DataFrame, doc: str, pair: list[str]) -> DataFrame:
-    """(pair, extracted) of totals that add and subtract fields: terms has (name, field, sign),
+def signed_sums(pairs: DataFrame, sums: DataFrame, terms: list[tuple[str, str, int]], doc: str, pair: list[str]) -> DataFrame:
+    """(pair, extracted) of totals that add and subtract fields: terms are literals (name, field, sign),
     pairs names one by `name`. A field that a document lacks counts as zero."""
-    wide = pairs.select(doc, *[c for c in pair if c != doc], "name").join(F.broadcast(terms), "name").join(sums, [doc, "field"], "left")
+    table = pairs.sparkSession.createDataFrame(terms, "name string, field string, sign int")  # of literals
+    wide = pairs.select(doc, *[c for c in pair if c != doc], "name").join(F.broadcast(table), "name").join(sums, [doc, "field"], "left")
     return wide.groupBy(*pair).agg(F.sum(F.col("sign") * F.coalesce("total", F.lit(0).cast("decimal(20,6)"))).cast("decimal(20,6)").alias("extracted"))
 
 
-def any_alternative(pairs: DataFrame, sums: DataFrame, options: DataFrame, doc: str, pair: list[str]) -> DataFrame:
-    """(pair, hit, extracted) of totals that may be any of several fields: hit is the first field
-    whose sum equals `declared`; without one, extracted is the first field's sum."""
-    wide = pairs.select(doc, *[c for c in pair if c != doc], "name", "declared").join(F.broadcast(options), "name").join(sums, [doc, "field"], "left")
+def any_alternative(pairs: DataFrame, sums: DataFrame, options: list[tuple[str, str, int]], doc: str, pair: list[str]) -> DataFrame:
+    """(pair, hit, extracted) of totals that may be any of several fields, literals (name, field, ord):
+    hit is the first field whose sum equals `declared`; without one, extracted is the first field's sum."""
+    table = pairs.sparkSession.createDataFrame(options, "name string, field string, ord int")  # of literals
+    wide = pairs.select(doc, *[c for c in pair if c != doc], "name", "declared").join(F.broadcast(table), "name").join(sums, [doc, "field"], "left")
     total = F.coalesce("total", F.lit(0).cast("decimal(20,6)"))
     got = wide.groupBy(*pair).agg(F.min_by("field", F.when(total == F.col("declared"), F.col("ord"))).alias("hit"), F.min_by(total, "ord").alias("first_sum"), F.first("declared").alias("declared"))
     return got.select(*pair, "hit", F.when(F.col("hit").isNotNull(), F.col("declared")).otherwise(F.col("first_sum")).alias("extracted"))
@@ -36,6 +38,14 @@ def distinct_where(rows: DataFrame, keys: list[str], what: str, where: Column |
     return rows.groupBy(*keys).agg(F.count_distinct(picked).alias("n"))
 
 
+OUTCOMES = ("compared", "note", "uncompared")
+
+
+def coverage(compared: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_pairs, n_compared, n_note, n_uncompared): how many declared totals had which outcome."""
+    return compared.groupBy(*keys).agg(F.count("*").alias("n_pairs"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in OUTCOMES])
+
+
 def unbacked_fields(sums: DataFrame, backed: DataFrame, excused: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, field) of amounts that differ from zero in some row, and that neither a comparison
     nor a declared excuse covers. sums has any_amount."""

@@ -16,10 +16,16 @@ def anchors(sorted_values: Column, tolerance: float) -> Column:
     return F.aggregate(sorted_values, start, lambda a, v: F.when((F.size(a) > 0) & (v - F.element_at(a, -1) <= tolerance), a).otherwise(F.array_append(a, v)))
 
 
+def rank_in(sorted_values: Column, value: Column) -> Column:
+    """How many of a sorted array's values are at most a value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(19, -1, -1)])  # a million values
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(sorted_values, low + step - 1) <= value, low + step).otherwise(low))
+
+
 def anchor_clusters(rows: DataFrame, on: list[str], value: str, tolerance: float) -> DataFrame:
     """rows with cluster (1, 2, ...) and anchor, the cluster's first value."""
     found = rows.groupBy(*on).agg(anchors(F.array_sort(F.collect_set(F.col(value).cast("double"))), tolerance).alias("_anchors"))
-    number = F.size(F.filter("_anchors", lambda a: a <= F.col(value)))
+    number = rank_in(F.col("_anchors"), F.col(value).cast("double"))
     return rows.join(found, on).withColumn("cluster", number).withColumn("anchor", F.get("_anchors", F.col("cluster") - 1)).drop("_anchors")
 
 

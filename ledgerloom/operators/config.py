@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import spaced
+
 #: The first column is the person's number again; by name, `rut` is the fourth.
 TAX_ID_AT = 3
 
@@ -367,7 +369,7 @@ PROFILES = {
 }
 
 # fixed values: classification rules (profile, scope, weight, pattern)
-RULES = [
+_RULES = [
     ('ccaf', 'institution', 10, r"(?iu)caja\s+de\s+compensaci[oó]n"),
     ('ccaf', 'cover', 6, r"(?iu)\bC\.?C\.?A\.?F\.?\b"),
     ('ccaf', 'cover', 2, r"(?iu)asignaci[oó]n\s+familiar"),
@@ -388,6 +390,7 @@ RULES = [
     ('mutual', 'institution', 10, r"(?iu)mutual|asociaci[oó]n\s+chilena\s+de\s+seguridad|instituto\s+de\s+seguridad\s+(del\s+trabajo|laboral)"),
     ('mutual', 'institution', 6, r"(?iu)\b(achs|ist|isl)\b"),
 ]
+RULES = [(profile, scope, weight, spaced(pattern)) for profile, scope, weight, pattern in _RULES]
 MARGIN = 4
 
 # fixed values: codes of institutions by normalised name
@@ -400,14 +403,14 @@ HEADER_HEIGHT, TOUCHING, ANCESTOR_HEIGHT, ANCESTOR_LEVELS, OVERLAP = 48.0, 1.5,
 LABEL_ABOVE, LABEL_SIDE, LABEL_ROWS = 24.0, 4.0, 3
 
 # fixed values: printed forms on covers and detail pages
-TOTALS_ROW = r"(?i)TOTALES?\s+ACUMULADOS?"
-FOLIO = r"(?iu)N[úu]mero de Folio:\s*(\S+)"
-LABELLED_PERIOD = r"(?iu)Per[íi]odo\s+de\s+Remuneraciones:?\s*(\d{2}/\d{4})"
+TOTALS_ROW = spaced(r"(?i)TOTALES?\s+ACUMULADOS?")
+FOLIO = spaced(r"(?iu)N[úu]mero de Folio:\s*(\S+)")
+LABELLED_PERIOD = spaced(r"(?iu)Per[íi]odo\s+de\s+Remuneraciones:?\s*(\d{2}/\d{4})")
 EMPLOYER_NAME, EMPLOYER_ID = "nombre o razon social", "rut"
 FORM_LABEL = r"(?iu)^(per[íi]odo|n[úu]mero de folio|folio|rut|identificaci[oó]n|direcci[oó]n|nombre o raz[oó]n|tel[eé]fono|comuna)"
-FUND_NAME = r"(?iu)caja\s+de\s+compensaci[oó]n\s+([^\n]+)"
-SHORT_FUND = r"(?iu)caja de compensaci[oó]n\s+(.+)"
-PENSION_NAME = r"(?<![A-Za-z0-9_])(A\.?F\.?P\.?\s+[A-Za-zÁÉÍÓÚÑáéíóúñ]+)"
+FUND_NAME = spaced(r"(?iu)caja\s+de\s+compensaci[oó]n\s+([^\n]+)")
+SHORT_FUND = spaced(r"(?iu)caja de compensaci[oó]n\s+(.+)")
+PENSION_NAME = spaced(r"(?<![A-Za-z0-9_])(A\.?F\.?P\.?\s+[A-Za-zÁÉÍÓÚÑáéíóúñ]+)")
 SUBSIDY = r"^([\d.]+)-([\dkK])$"
 
 # fixed values: months as written out
@@ -425,26 +428,23 @@ def column(header: str) -> Column:
     return next(c for c in LAYOUT if c.header and c.header == header)
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    """(section, key, field): a section's own entries before the common ones."""
-    own = {(s, k): f for s, k, f in LABELS if s != "common"}
-    rows = {(s, k): f for s in SECTIONS for c, k, f in LABELS if c == "common"} | own
-    return spark.createDataFrame([(s, k, f) for (s, k), f in rows.items()], "section string, key string, field string")
+def labels() -> dict[str, dict[str, str]]:
+    """Section to key to field: a section's own entries before the common ones."""
+    common = {k: f for s, k, f in LABELS if s == "common"}
+    return {s: common | {k: f for o, k, f in LABELS if o == s} for s in SECTIONS}
 
 
 def fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, rule, f in NUMERIC, col) for f, (rule, col) in FIELDS.items()], "field string, rule string, numeric boolean, output string")
 
 
-def totals(spark: SparkSession) -> DataFrame:
-    rows = [(t.profile, t.key, t.prefix, n, t.kind, t.shown, t.where, t.why, f"{t.profile}/{t.key}") for n, t in enumerate(TOTALS)]
-    return spark.createDataFrame(rows, "profile string, key string, prefix boolean, ord int, kind string, shown string, only string, why string, name string")
+def name_of(total: Total) -> str:
+    return f"{total.profile}/{total.key}"
 
 
-def terms(spark: SparkSession) -> DataFrame:
+def terms() -> list[tuple[str, str, int, int]]:
     """(name, field, sign, ord) of totals that add fields up or are any of them."""
-    rows = [(f"{t.profile}/{t.key}", f, sign, n) for t in TOTALS for sign, part in ((1, t.plus), (-1, t.minus)) for n, f in enumerate(part)]
-    return spark.createDataFrame(rows, "name string, field string, sign int, ord int")
+    return [(name_of(t), f, sign, n) for t in TOTALS for sign, part in ((1, t.plus), (-1, t.minus)) for n, f in enumerate(part)]
 
 
 def excused(spark: SparkSession) -> DataFrame:

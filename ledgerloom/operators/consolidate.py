@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.taxid import split_name
 from . import config as C
 from .classify import code_of, short_fund
-from .merge import merged
+from .merge import first_where, kinds_of, merged
 
 ORDER = ["doc_ord", "page", "row_no"]
 
@@ -26,14 +26,14 @@ def people(values: DataFrame, docs: DataFrame) -> DataFrame:
     own = lambda f: F.col("num" if f in C.NUMERIC else "txt")
     fields = [merged(rule, F.when(F.col("field") == f, own(f)), up, down).alias(f) for f, (rule, _) in C.FIELDS.items()]
     place = F.struct(*ORDER)
-    first = lambda value, where: F.min_by(value, F.when(where, place))
+    first = lambda value, where: first_where(value, where, up)
     regime, health = (F.lit(None) for _ in range(2))
     for p, (_, r, h, _) in C.PROFILES.items():
         regime = F.when(F.col("profile") == p, F.lit(r)).otherwise(regime) if r else regime
         health = F.when(F.col("profile") == p, F.lit(h)).otherwise(health) if h else health
     return rows.groupBy(F.col("id.body").alias("body")).agg(
         F.min_by("id", place).alias("id"), F.min(place).alias("place"), F.count_if(F.col("field") == "rut").alias("n_lines"),
-        F.array_sort(F.collect_set("institution")).alias("sources"), F.array_sort(F.collect_set("profile")).alias("profiles"),
+        kinds_of(F.col("institution")).alias("sources"), kinds_of(F.col("profile")).alias("profiles"),
         first(F.col("period"), F.col("period").isNotNull()).alias("period"),
         first(F.col("institution"), F.col("profile") == "ccaf").alias("fund"), first(F.col("institution"), F.col("profile") == "afp").alias("pension"),
         first(regime, regime.isNotNull()).cast("string").alias("regime"), first(health, health.isNotNull()).cast("int").alias("health"),

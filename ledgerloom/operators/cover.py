@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_match, period, squish, to_number
+from ..functions.text import first_match, period, spaced, squish, to_number
 from . import config as C
 from .geometry import containing, head, let
 
-WRITTEN_PERIOD = rf"(?iu)(?<![A-Za-z0-9_])({'|'.join(C.MONTHS)})\s+(\d{{4}})(?![A-Za-z0-9_])"
+WRITTEN_PERIOD = spaced(rf"(?iu)(?<![A-Za-z0-9_])({'|'.join(C.MONTHS)})\s+(\d{{4}})(?![A-Za-z0-9_])")
 
 PAIR = "struct<label:string,amount:decimal(20,6),y:double,frame:bigint,unlabelled:boolean>"
 
@@ -74,6 +74,19 @@ def _ruled_pairs(rows: Column, bands: Column) -> Column:
     return F.flatten(F.transform(F.filter(bands, lambda b: F.size(b["cells"]) >= 2), pairs))
 
 
+def running_labels(cells: Column, kind: str, made) -> Column:
+    """An element of a kind for each cell with a number, in order: made(label, cell), where the label is
+    all text since the number before it. Text after the last number belongs to none."""
+    start = F.struct(F.array().cast("array<string>").alias("label"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(s, c):
+        label = squish(F.array_join(s["label"], " "))
+        done = F.struct(F.array().cast("array<string>").alias("label"), F.array_append(s["out"], made(label, c).cast(kind)).alias("out"))
+        return F.when(c["number"].isNull(), F.struct(F.array_append(s["label"], c["text"]).alias("label"), s["out"].alias("out"))).otherwise(done)
+
+    return F.aggregate(cells, start, step, lambda s: s["out"])
+
+
 def _row_pairs(rows: Column) -> Column:
     """Pairs of bare rows: the label of an amount is all text since the amount before it; without
     any, what stands above it in one of the three rows before."""
@@ -84,14 +97,7 @@ def _row_pairs(rows: Column) -> Column:
         return squish(head(F.filter(F.transform(upper, lambda r: F.array_join(F.transform(near(r), lambda c: c["text"]), " ")), lambda t: t != "")))
 
     def pairs(r, i):
-        start = F.struct(F.array().cast("array<string>").alias("label"), F.array().cast(f"array<{PAIR}>").alias("out"))
-
-        def step(s, c):
-            label = F.when(F.size(s["label"]) > 0, squish(F.array_join(s["label"], " "))).otherwise(above(i, c))
-            done = F.struct(F.array().cast("array<string>").alias("label"), F.array_append(s["out"], _pair(label, c["number"], r["y"], F.lit(None)).cast(PAIR)).alias("out"))
-            return F.when(c["number"].isNull(), F.struct(F.array_append(s["label"], c["text"]).alias("label"), s["out"].alias("out"))).otherwise(done)
-
-        return F.aggregate(r["cells"], start, step, lambda s: s["out"])
+        return running_labels(r["cells"], PAIR, lambda label, c: _pair(F.when(label != "", label).otherwise(above(i, c)), c["number"], r["y"], F.lit(None)))
 
     return F.flatten(F.transform(rows, pairs))
 

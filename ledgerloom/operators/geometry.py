@@ -39,6 +39,23 @@ def containing(boxes: Column, x: Column) -> Column:
     return head(F.filter(boxes, lambda k: (x >= k["x0"]) & (x < k["x1"])))
 
 
+def before_stop(rows: Column, stops, number: str) -> Column:
+    """The rows of a sorted array whose number is below that of the first one that stops; all without one."""
+    stop = head(F.filter(rows, stops))[number]
+    return F.filter(rows, lambda r: stop.isNull() | (r[number] < stop))
+
+
+def widest_band(bands: Column, y: Column) -> Column:
+    """Of the bands with y0 <= y <= y1 and more than one cell that with most cells, the topmost of equal ones."""
+    fit = F.filter(bands, lambda b: (y >= b["y0"]) & (y <= b["y1"]) & (F.size(b["cells"]) > 1))
+    return head(F.array_sort(F.transform(fit, lambda b: F.struct((-F.size(b["cells"])).alias("n"), b["y0"].alias("y0"), b["band_no"].alias("band_no"), b["cells"].alias("cells")))))
+
+
+def last_levels(values: Column, n: int) -> Column:
+    """The n largest distinct values of an array, the largest first."""
+    return F.slice(F.reverse(F.array_sort(F.array_distinct(values))), 1, n)
+
+
 def rows_of(cells: DataFrame) -> DataFrame:
     """(doc_id, page, row_no, y, cells, text): cells in visual rows, from the top; a row's y is
     that of its first cell, and cells within the tolerance of it belong to the row."""
@@ -75,7 +92,7 @@ def pages_of(rows: DataFrame, bands: DataFrame) -> DataFrame:
 def _ruled(page: dict[str, Column]) -> Column:
     """The columns that the drawn cells of the data band make, or null."""
     rows, bands, y = page["rows"], page["bands"], page["data"]["y"]
-    data = head(F.array_sort(F.transform(F.filter(bands, lambda b: (y >= b["y0"]) & (y <= b["y1"]) & (F.size(b["cells"]) > 1)), lambda b: F.struct((-F.size(b["cells"])).alias("n"), b["y0"].alias("y0"), b["band_no"].alias("band_no"), b["cells"].alias("cells")))))
+    data = widest_band(bands, y)
     inside = lambda b, r: (r["y"] >= b["y0"]) & (r["y"] <= b["y1"])
     holds = lambda b: F.exists(rows, lambda r: inside(b, r) & F.exists(r["cells"], lambda c: c["value"] & containing(b["cells"], c["xc"]).isNotNull()))
     marked = F.transform(bands, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), b["cells"].alias("cells"), holds(b).alias("holds")))
@@ -116,7 +133,7 @@ def _ruled(page: dict[str, Column]) -> Column:
 
             def groups(anchors):
                 named = F.transform(anchors, lambda g, n: F.struct(g["y0"].alias("y0"), n.alias("n"), g["a"].alias("a"), g["b"].alias("b"), F.trim(joined(F.filter(over, lambda t: first_near(anchors, t["a"], t["b"], C.ALIGNED) == n + 1))).alias("text")))
-                levels = F.slice(F.reverse(F.array_sort(F.array_distinct(F.transform(anchors, lambda g: g["y0"])))), 1, C.ANCESTOR_LEVELS)
+                levels = last_levels(F.transform(anchors, lambda g: g["y0"]), C.ANCESTOR_LEVELS)
                 return F.filter(F.array_sort(named), lambda g: F.array_contains(levels, g["y0"]) & (g["text"] != "") & ~is_value(g["text"]))
 
             def made(gs):
@@ -203,10 +220,7 @@ def read_rows(tables: DataFrame) -> DataFrame:
     """tables with `lines` array<struct<row_no, values>>, one text for each column, and the counts
     read, dropped (rows without a tax id), outside (cells in no column) and colliding (cells that
     were put after another one in a column). Reading stops at the row of accumulated totals."""
-    totals = lambda r: r["text"].rlike(C.TOTALS_ROW)
-    stop = head(F.filter("data_rows", totals))["row_no"]
-    live = F.filter("data_rows", lambda r: stop.isNull() | (r["row_no"] < stop))
-    tables = tables.withColumn("live", live)
+    tables = tables.withColumn("live", before_stop(F.col("data_rows"), lambda r: r["text"].rlike(C.TOTALS_ROW), "row_no"))
     kept = F.filter("live", lambda r: F.exists(r["cells"], lambda c: c["id"]))
     columns = F.col("columns")
     inside = lambda c: F.coalesce(containing(columns, c["xc"])["i"], F.lit(-1))

@@ -1,8 +1,8 @@
 """Joins that databases lack: containment, nearest, overlap, fallback keys, prefixes, patterns.
 
-All of them take equality keys (`on`) besides their condition, so they are planned as hash or
-sort-merge joins with a residual condition, never as a product of two tables. Sides called
-`config` are tables of literals in this package, whose size doesn't depend on data.
+Those that join take equality keys (`on`) besides their condition, and a key that data decides, so
+they are planned as hash or sort-merge joins with a residual condition. Tables of literals aren't
+joined at all: they are maps and arrays inside an expression, so looking them up moves no row.
 """
 
 from __future__ import annotations
@@ -64,25 +64,47 @@ def midpoint_domains(rows: DataFrame, on: list[str], order: str, x0: str = "x0",
     return rows.withColumns({"left": (F.lag(x1).over(w) + F.col(x0)) / 2, "right": (F.col(x1) + F.lead(x0).over(w)) / 2})
 
 
-def fallback_keys(rows: DataFrame, keys: Column, config: DataFrame, key: str, row: list[str], on: list[str] = ()) -> DataFrame:
-    """Each row with the entry of the first of its keys that config knows; null without one."""
-    tried = rows.select(*row, *[c for c in on if c not in row], F.posexplode(keys).alias("_pos", key))
-    found = tried.join(F.broadcast(config), [*on, key]).groupBy(*row).agg(F.min_by(F.struct(*[c for c in config.columns if c not in on]), "_pos").alias("_hit"))
-    return rows.join(found, row, "left").select("*", "_hit.*").drop("_hit")
-
-
-def exact_or_prefix(rows: DataFrame, label: Column, config: DataFrame, row: list[str], on: list[str] = ()) -> DataFrame:
-    """Each row with config's entry (key, prefix, ord, ...) whose key is its label; else with the
-    first prefix entry that begins it."""
-    names = [c for c in config.columns if c not in ("key", "prefix", *on)]
-    tried = rows.select(*row, *[c for c in on if c not in row], label.alias("_label")).alias("t")
-    c = F.broadcast(config).alias("c")
-    where = (F.col("t._label") == F.col("c.key")) | (F.col("c.prefix") & F.col("t._label").startswith(F.col("c.key")))
-    for k in on:
-        where &= F.col(f"t.{k}") == F.col(f"c.{k}")
-    rank = F.struct(F.when(F.col("t._label") == F.col("c.key"), 0).otherwise(1), F.col("c.ord"))
-    found = tried.join(c, where).groupBy(*[f"t.{r}" for r in row]).agg(F.min_by(F.struct(*[f"c.{n}" for n in ("key", *names)]), rank).alias("_hit"))
-    return rows.join(found, row, "left").select("*", "_hit.*").drop("_hit")
+def near_pairs(rows: DataFrame, on: list[str], a: str, b: str, row: str, tolerance: float) -> DataFrame:
+    """(row, twin) for every two rows of a group whose a and b both differ by tolerance at most.
+
+    Rows are joined by cells as wide as the tolerance, each with the nine around its own, so a row
+    meets its neighbours only, however large the group is.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(tolerance))
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    one = rows.select(*on, row, a, b).withColumn("_ca", around(a)).withColumn("_cb", around(b))
+    two = rows.select(*on, F.col(row).alias("twin"), F.col(a).alias("_a"), F.col(b).alias("_b"), cell(a).alias("_ca"), cell(b).alias("_cb"))
+    close = (F.abs(F.col(a) - F.col("_a")) <= tolerance) & (F.abs(F.col(b) - F.col("_b")) <= tolerance)
+    return one.join(two, [*on, "_ca", "_cb"]).where(close & (F.col(row) != F.col("twin"))).select(row, "twin")
+
+
+def last_before(rows: DataFrame, on: list[str], at: str, value: str, within: int, where: Column) -> Column:
+    """The value (the largest of several) of the last row of the group that qualifies, strictly before
+    a row's integer place and no more than `within` before it: one sort, no join."""
+    w = Window.partitionBy(*on).orderBy(at).rangeBetween(-within, -1)
+    return F.max(F.when(where, F.struct(F.col(at), F.col(value)))).over(w)[value]
+
+
+def _literal_map(table: dict[str, object]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+
+
+def first_known(keys: Column, table: dict[str, str]) -> Column:
+    """struct<key, value>: the first of an array of keys that a table of literals knows; null for none."""
+    known = _literal_map(table)
+    tried = F.transform(keys, lambda k: F.struct(k.alias("key"), F.try_element_at(known, k).alias("value")))
+    return F.get(F.filter(tried, lambda t: t["value"].isNotNull()), F.lit(0))
+
+
+def exact_or_prefix(label: Column, entries: list[tuple[str, bool]]) -> Column:
+    """The place in a list of literals (key, prefix) of the entry whose key is the label, or else of
+    the first prefix entry that begins it; null for none."""
+    exact = F.try_element_at(_literal_map({k: n for n, (k, _) in reversed(list(enumerate(entries)))}), label)
+    heads = [(k, n) for n, (k, prefix) in enumerate(entries) if prefix]
+    if not heads:
+        return exact
+    begins = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in heads]), lambda h: label.startswith(h["k"]))
+    return F.coalesce(exact, F.get(begins, F.lit(0))["n"])
 
 
 def longest_pattern(text: Column, patterns: dict[str, str]) -> tuple[Column, Column]:

@@ -37,6 +37,16 @@ def merged(rule: str, value: Column, order: list[Column], sign: list[Column]) ->
     raise ValueError(f"no such merge rule: {rule}")
 
 
+def kinds_of(kind: Column) -> Column:
+    """The distinct kinds of a group's rows, sorted."""
+    return F.array_sort(F.collect_set(kind))
+
+
+def first_where(value: Column, where: Column, order: list[Column]) -> Column:
+    """The value of the first row, by order, that qualifies."""
+    return F.min_by(value, F.when(where, F.struct(*order)))
+
+
 def merge_rows(rows: DataFrame, key: list[str], fields: dict[str, str], order: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
     """One row for each key with every field merged by its rule; order holds numeric columns."""
     up, down = [F.col(c) for c in order], [(-F.col(c)).alias(c) for c in order]

@@ -9,7 +9,7 @@ from ..functions.taxid import tax_id
 from ..functions.text import norm, squish, to_number
 from . import config as C
 from .geometry import PAGE
-from .match import fallback_keys
+from .match import first_known
 
 RECORD = [*PAGE, "row_no"]
 
@@ -17,10 +17,12 @@ RECORD = [*PAGE, "row_no"]
 def mapped_columns(tables: DataFrame) -> DataFrame:
     """(doc_id, page, section, i, label, leaf, ancestors, key, field, level) of every column;
     level tells whether the heading alone was enough ('hoja') or its group was used."""
-    spark = tables.sparkSession
     columns = tables.where("path is not null").select(*PAGE, "section", F.explode("columns").alias("c"))
     columns = columns.select(*PAGE, "section", "c.i", "c.label", "c.leaf", "c.ancestors", "c.keys")
-    found = fallback_keys(columns, F.col("keys"), C.labels(spark), "key", [*PAGE, "i"], ["section"])
+    hit = F.lit(None).cast("struct<key:string,value:string>")
+    for section, table in C.labels().items():
+        hit = F.when(F.col("section") == section, first_known(F.col("keys"), table)).otherwise(hit)
+    found = columns.withColumn("_hit", hit).select(*columns.columns, F.col("_hit.key").alias("key"), F.col("_hit.value").alias("field"))
     return found.withColumn("level", F.when(F.col("key") == norm(F.col("leaf")), "hoja").when(F.col("key").isNotNull(), "ancestro"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.taxid import is_cut
+
 
 def constant_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: for every column whether it has at most one value, null counting as ''.
@@ -21,15 +23,20 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counted.groupBy("name").agg(F.count("*").alias("distinct"), F.coalesce(F.sum(number * F.col("n")), F.lit(0)).cast("decimal(38,6)").alias("total"))
 
 
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str], most: int, name: str = "n") -> DataFrame:
+    """The first rows of every group by order, with their place from 1 on. A group is cut into 64
+    parts, of each of which only the first `most` go on, so none is sorted as a whole."""
+    place = [F.col(c) for c in order]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    local = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*place))).where(F.col(name) <= most)
+    return local.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*place))).where(F.col(name) <= most).drop("_part")
+
+
 def histogram_with_details(rows: DataFrame, kind: str, detail: str, order: list[str], most: int = 8) -> DataFrame:
-    """(kind, count, first, details): groups by size, each with its first details. A group is
-    never sorted as a whole: of every group only the `most` smallest places are kept."""
-    place = F.struct(*order, F.col(detail).alias("_d"))
+    """(kind, count, first, details): groups by size, each with its first details."""
     per = rows.groupBy(kind).agg(F.count("*").alias("count"), F.min(F.struct(*order)).alias("first"))
-    ranked = rows.select(kind, place.alias("p"), F.pmod(F.xxhash64(*order, detail), F.lit(64)).alias("part"))
-    local = ranked.withColumn("r", F.row_number().over(Window.partitionBy(kind, "part").orderBy("p"))).where(F.col("r") <= most)
-    top = local.withColumn("r", F.row_number().over(Window.partitionBy(kind).orderBy("p"))).where(F.col("r") <= most)
-    details = top.groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["_d"].cast("string")), "|").alias("details"))
+    top = first_of_each(rows.select(kind, *order, F.col(detail).alias("_d")), [kind], [*order, "_d"], most)
+    details = top.groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "_d"))), lambda p: p["_d"].cast("string")), "|").alias("details"))
     return per.join(details, kind)
 
 
@@ -39,6 +46,30 @@ def overlap(rows: DataFrame, who: str, group: str, first: str, second: str) -> D
     return seen.agg(F.count("*").alias("everyone"), F.count_if(F.col("a") & ~F.col("other")).alias("only_first"), F.count_if(F.col("a") & F.col("b")).alias("in_both"))
 
 
+def population_sets(rows: DataFrame, who: str, group: str, first: str, second: str) -> DataFrame:
+    """(kind, n): persons in either of two groups (union), in both, and in the first alone; one
+    aggregation instead of three set operations."""
+    seen = rows.groupBy(who).agg(F.coalesce(F.bool_or(F.col(group) == first), F.lit(False)).alias("a"), F.coalesce(F.bool_or(F.col(group) == second), F.lit(False)).alias("b"))
+    n = seen.agg(F.count_if(F.col("a") | F.col("b")).alias("union"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("first"))
+    return n.unpivot([], ["union", "both", "first"], "kind", "n")
+
+
+def without_partner(rows: DataFrame, partners: DataFrame, key: str) -> DataFrame:
+    """The rows whose key no partner has."""
+    return rows.join(partners.select(key), key, "left_anti")
+
+
+def cut_names(mine: DataFrame, theirs: DataFrame, key: str, name: str) -> DataFrame:
+    """(n, shorter): of the keys that both sides have, how many names of mine are cut short."""
+    both = mine.select(key, F.col(name).alias("_mine")).join(theirs.select(key, F.col(name).alias("_theirs")), key)
+    return both.agg(F.count("*").alias("n"), F.count_if(is_cut(F.col("_mine"), F.col("_theirs"))).alias("shorter"))
+
+
+def field_profile(values: DataFrame, keys: list[str], filled: Column, number: Column) -> DataFrame:
+    """(keys, with_value, total): filled values and the sum of the numbers; null without numbers."""
+    return values.groupBy(*keys).agg(F.count_if(filled).alias("with_value"), F.sum(number).alias("total"))
+
+
 def missing_coverage(can_fill: DataFrame, present: DataFrame, filled: DataFrame) -> DataFrame:
     """(source, items): what nobody filled and only absent sources could. can_fill has
     (source, item), present (source), filled (item)."""

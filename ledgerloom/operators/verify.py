@@ -23,19 +23,29 @@ def shown(n: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"(,\d*[1-9])0+$", "$1"), ",0+$", "")
 
 
+def _total_of(profile: Column, label: Column) -> Column:
+    """struct<kind, shown, only, why, name> of the total that a profile declares under a label, or null."""
+    text = lambda x: F.lit(x).cast("string")
+    out = F.lit(None).cast("struct<kind:string,shown:string,only:string,why:string,name:string>")
+    for p in dict.fromkeys(t.profile for t in C.TOTALS):
+        own = [t for t in C.TOTALS if t.profile == p]
+        rows = F.array(*[F.struct(*[text(v).alias(k) for k, v in (("kind", t.kind), ("shown", t.shown), ("only", t.where), ("why", t.why), ("name", C.name_of(t)))]) for t in own])
+        at = exact_or_prefix(label, [(t.key, t.prefix) for t in own])
+        out = F.when(profile == p, F.get(rows, at)).otherwise(out)
+    return out
+
+
 def compare_covers(pairs: DataFrame, docs: DataFrame, values: DataFrame) -> DataFrame:
     """pairs with outcome (compared, note, uncompared), field, extracted and ok.
 
     pairs: doc_id, pair_ord, label, amount; docs: doc_id, profile; values: doc_id, id, field, num.
     Sums are worked out once for all totals. A declared total must equal its sum exactly.
     """
-    spark = pairs.sparkSession
     known = pairs.join(docs.select("doc_id", "profile"), "doc_id")
-    named = exact_or_prefix(known, norm(F.col("label")), C.totals(spark), PAIR, ["profile"]).withColumn("declared", F.col("amount"))
+    named = known.withColumn("_t", _total_of(F.col("profile"), norm(F.col("label")))).select(*known.columns, "_t.*").withColumn("declared", F.col("amount"))
     sums = checks.field_sums(values.withColumnRenamed("num", "value"))
-    terms = C.terms(spark)
-    added = checks.signed_sums(named.where("kind in ('field', 'terms')"), sums, terms.drop("ord"), "doc_id", PAIR)
-    chosen = checks.any_alternative(named.where("kind = 'any'"), sums, terms.drop("sign"), "doc_id", PAIR)
+    added = checks.signed_sums(named.where("kind in ('field', 'terms')"), sums, [(n, f, sign) for n, f, sign, _ in C.terms()], "doc_id", PAIR)
+    chosen = checks.any_alternative(named.where("kind = 'any'"), sums, [(n, f, at) for n, f, _, at in C.terms()], "doc_id", PAIR)
     body = F.col("id.body")
     everyone = checks.distinct_where(values.withColumn("body", body), ["doc_id"], "body").withColumn("only", F.lit(""))
     having = values.where("num > 0").groupBy("doc_id", F.col("field").alias("only")).agg(F.count_distinct(body).alias("n"))

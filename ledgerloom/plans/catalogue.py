@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import check_queries, ledger_queries, match_queries, merge_queries, stats_queries, text_queries  # noqa: F401
+    from . import check_queries, container_queries, ledger_queries, match_queries, merge_queries, stats_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,7 +35,7 @@ def control_totals(spark, sf):
 @query("""SELECT l_orderkey AS doc_id, name, CAST(CASE name WHEN 'net' THEN sum(CAST(l_extendedprice AS DECIMAL(20,2))) - sum(CAST(l_tax AS DECIMAL(20,2))) - sum(CAST(l_discount AS DECIMAL(20,2)))
   ELSE sum(CAST(l_quantity AS DECIMAL(20,2))) + sum(CAST(l_tax AS DECIMAL(20,2))) END AS DOUBLE) AS extracted FROM lineitem, (VALUES ('net'), ('mass')) AS n(name) GROUP BY l_orderkey, name""")
 def sum_minus(spark, sf):
-    terms = spark.createDataFrame([("net", "extendedprice", 1), ("net", "tax", -1), ("net", "discount", -1), ("mass", "quantity", 1), ("mass", "tax", 1), ("mass", "unheard_of", 1)], "name string, field string, sign int")
+    terms = [("net", "extendedprice", 1), ("net", "tax", -1), ("net", "discount", -1), ("mass", "quantity", 1), ("mass", "tax", 1), ("mass", "unheard_of", 1)]
     sums = checks.field_sums(_values(spark, sf))
     pairs = sums.select("doc_id").distinct().withColumn("name", F.explode(F.array(F.lit("net"), F.lit("mass"))))
     return checks.signed_sums(pairs, sums, terms, "doc_id", ["doc_id", "name"]).withColumn("extracted", F.col("extracted").cast("double"))
@@ -52,7 +52,7 @@ def distinct_where(spark, sf):
 SELECT doc_id, CASE WHEN quantity = declared THEN 'quantity' WHEN extracted = declared THEN 'extendedprice' END AS hit,
   CAST(CASE WHEN quantity = declared OR extracted = declared THEN declared ELSE quantity END AS DOUBLE) AS extracted FROM d JOIN q USING (doc_id)""")
 def any_alternative(spark, sf):
-    options = spark.createDataFrame([("total", "quantity", 0), ("total", "extendedprice", 1)], "name string, field string, ord int")
+    options = [("total", "quantity", 0), ("total", "extendedprice", 1)]
     pairs = _declared(spark, sf).withColumn("name", F.lit("total"))
     return checks.any_alternative(pairs, checks.field_sums(_values(spark, sf)), options, "doc_id", ["doc_id"]).withColumn("extracted", F.col("extracted").cast("double"))
 
@@ -90,5 +90,6 @@ def unbacked_fields(spark, sf):
   FROM orders LEFT JOIN ({_DECLARED}) ON o_orderkey = doc_id GROUP BY o_orderstatus""")
 def coverage_counts(spark, sf):
     docs = table(spark, sf, "orders").join(_declared(spark, sf), F.col("o_orderkey") == F.col("doc_id"), "left")
-    none = F.col("declared").isNull()
-    return docs.groupBy("o_orderstatus").agg(F.count("*").alias("pairs"), F.count("declared").alias("compared"), F.count_if(none & (F.col("o_orderkey") % 2 == 0)).alias("informative"), F.count_if(none & (F.col("o_orderkey") % 2 == 1)).alias("uncompared"))
+    outcome = F.when(F.col("declared").isNotNull(), "compared").when(F.col("o_orderkey") % 2 == 0, "note").otherwise("uncompared")
+    got = checks.coverage(docs.withColumn("outcome", outcome), ["o_orderstatus"])
+    return got.withColumnsRenamed({"n_pairs": "pairs", "n_compared": "compared", "n_note": "informative", "n_uncompared": "uncompared"})

@@ -8,35 +8,47 @@ documents are rows, not iterations.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, classify, consolidate, cover, geometry, records, stats, verify
 from ..operators import config as C
-from .cuts import cut, numbered
+from ..sources import archive, pdf
+from .cuts import cut, into, numbered, release
 
 
 class Ledger:
     """The results for all documents. Every table is worked out when it is first asked for and
     written once, so what isn't asked for costs nothing and nothing is read twice.
 
-    ignored: file, file_ord of entries of the archives that aren't documents.
+    ignored: file, file_ord of entries of the archives that aren't documents. Once the results that
+    are wanted are written elsewhere, release() deletes the tables that were written on the way.
     """
 
     def __init__(self, files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None):
         self._files, self._cells, self._boxes = files, cells, boxes
+        self._made: list[str] = []
         self._ignored = ignored if ignored is not None else files.sparkSession.createDataFrame([], "file string, file_ord long")
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        with into(self._made):
+            return cut(df)
+
+    def release(self) -> None:
+        made, self._made = self._made, []
+        release(self._files.sparkSession, made)
+
     @cached_property
     def pages(self) -> DataFrame:
-        return cut(geometry.pages_of(geometry.rows_of(self._cells), geometry.bands_of(self._boxes)))
+        return self._cut(geometry.pages_of(geometry.rows_of(self._cells), geometry.bands_of(self._boxes)))
 
     @cached_property
     def _docs(self) -> DataFrame:
         covers = self._files.join(cover.covers(self.pages), "doc_id", "left").withColumn("folio", F.coalesce("folio", F.lit("")))
-        return cut(mark_duplicates(classify.classified(covers)))
+        return self._cut(mark_duplicates(classify.classified(covers)))
 
     @property
     def _used(self) -> DataFrame:
@@ -49,20 +61,20 @@ class Ledger:
         detail = self.pages.where("page > 1").join(self._docs.where("profile is not null").select("doc_id", "profile"), "doc_id")
         detail = detail.withColumns({"section": section, "other_sections": others})
         anchors = F.coalesce(classify.anchors_of(F.col("section")), F.array(F.lit("\0")))  # no section: nothing matches
-        return cut(geometry.read_rows(geometry.locate_tables(detail.withColumn("anchors", anchors))).drop("anchors", "lines", "title", "bands", "rows"))
+        return self._cut(geometry.read_rows(geometry.locate_tables(detail.withColumn("anchors", anchors))).drop("anchors", "lines", "title", "bands", "rows"))
 
     @cached_property
     def _mapped(self) -> DataFrame:
-        return cut(records.mapped_columns(self.tables))
+        return self._cut(records.mapped_columns(self.tables))
 
     @cached_property
     def _typed(self) -> DataFrame:
-        return cut(records.typed_values(self._mapped, records.cell_values(self.tables)))
+        return self._cut(records.typed_values(self._mapped, records.cell_values(self.tables)))
 
     @cached_property
     def records(self) -> DataFrame:
         """(doc_id, page, row_no, field, num, txt, repeated, id) of every record, duplicates included."""
-        return cut(records.record_values(self._typed))
+        return self._cut(records.record_values(self._typed))
 
     @property
     def _mine(self) -> DataFrame:
@@ -72,13 +84,14 @@ class Ledger:
     def columns(self) -> DataFrame:
         """The audit of every column read."""
         audit = records.column_audit(self._mapped, records.cell_values(self.tables))
-        return cut(audit.join(self._docs.select("doc_id", "doc_ord", "file"), "doc_id"))
+        return self._cut(audit.join(self._docs.select("doc_id", "doc_ord", "file"), "doc_id"))
 
     @cached_property
     def people(self) -> DataFrame:
         """One row for each person, numbered by name; equal names by first appearance."""
         order = [F.collate(F.coalesce("nombre", F.lit("")), "es"), F.col("place.doc_ord"), F.col("place.page"), F.col("place.row_no")]
-        return cut(numbered(consolidate.people(self._mine, self._used), order))
+        with into(self._made):
+            return cut(numbered(consolidate.people(self._mine, self._used), order))
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -87,7 +100,7 @@ class Ledger:
     @cached_property
     def _compared(self) -> DataFrame:
         pairs = self._used.select("doc_id", F.posexplode("pairs").alias("pair_ord", "p")).select("doc_id", "pair_ord", "p.label", "p.amount", "p.y", "p.frame")
-        return cut(verify.compare_covers(pairs, self._used, self._mine))
+        return self._cut(verify.compare_covers(pairs, self._used, self._mine))
 
     @property
     def control(self) -> DataFrame:
@@ -101,17 +114,16 @@ class Ledger:
         lists = {c: F.coalesce(c, numbers if c in ("no_section", "no_table") else empty) for c in ("no_section", "no_table", "ambiguous_sections", "repeated", "paths")}
         counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("read", "dropped", "outside", "colliding", "n_records")}
         whole = self._docs.join(_reading(self.tables, self.records), "doc_id", "left").withColumns(lists | counts)
-        return cut(whole.withColumn("lost", F.greatest(F.col("read") - F.col("dropped") - F.col("n_records"), F.lit(0))))
+        return self._cut(whole.withColumn("lost", F.greatest(F.col("read") - F.col("dropped") - F.col("n_records"), F.lit(0))))
 
     @cached_property
     def _states(self) -> DataFrame:
-        return cut(verify.states(self._read.where("duplicate_of is null"), self._compared, self._mine))
+        return self._cut(verify.states(self._read.where("duplicate_of is null"), self._compared, self._mine))
 
     @property
     def documents(self) -> DataFrame:
         """Every document with its institution, state, reasons and coverage; duplicates have no state."""
-        coverage = self._compared.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("compared", "note", "uncompared")])
-        return self._read.join(self._states, "doc_id", "left").join(coverage, "doc_id", "left")
+        return self._read.join(self._states, "doc_id", "left").join(checks.coverage(self._compared, ["doc_id"]), "doc_id", "left")
 
     @property
     def warnings(self) -> DataFrame:
@@ -131,13 +143,13 @@ class Ledger:
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
     """docs with duplicate_of: the file of the first document with the same institution, folio
-    and month. A document without a folio is never a duplicate."""
-    key = ["institution", "folio", F.coalesce(F.col("period.text"), F.lit("")).alias("month")]
-    first = docs.where("folio <> ''").groupBy(*key).agg(F.min_by(F.struct("doc_ord", "file"), "doc_ord").alias("first"))
+    and month, in whichever archive. A document without a folio is never a duplicate."""
     month = F.coalesce(F.col("period.text"), F.lit(""))
-    both = docs.withColumn("month", month).join(first, ["institution", "folio", "month"], "left")
-    later = (F.col("folio") != "") & (F.col("doc_ord") > F.col("first.doc_ord"))
-    return both.withColumn("duplicate_of", F.when(later, F.col("first.file"))).drop("first", "month")
+    key = ["institution", "folio", "month"]
+    both = docs.withColumn("month", month)
+    first = both.where("folio <> ''").groupBy(*key).agg(F.min(F.struct("doc_ord", "doc_id", "file")).alias("first"))
+    later = (F.col("folio") != "") & (F.col("doc_id") != F.col("first.doc_id"))
+    return both.join(first, key, "left").withColumn("duplicate_of", F.when(later, F.col("first.file"))).drop("first", "month")
 
 
 def _reading(tables: DataFrame, values: DataFrame) -> DataFrame:
@@ -158,8 +170,19 @@ def process(files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataF
     return Ledger(files, cells, boxes, ignored)
 
 
+def from_archives(spark: SparkSession, path: str, reader: Callable[[bytes], Iterator[tuple]] | None) -> Ledger:
+    """The whole way from ZIP archives at a path (any store and pattern that Spark reads): documents of
+    all archives are numbered in one sequence by name, and a voucher that is in two archives counts
+    once. reader turns a document's bytes into cells and boxes (see sources.pdf). What can't be read,
+    archive or document, is a file with an error; the rest goes on."""
+    listed = cut(archive.entries(spark, path, data=False))
+    items = cut(pdf.drawn(archive.documents(archive.entries(spark, path)), reader))
+    files = archive.files(listed).join(pdf.errors(items).withColumnRenamed("error", "_error"), "doc_id", "left")
+    files = files.select("doc_id", "doc_ord", "file", F.coalesce("error", "_error").alias("error"))
+    return process(cut(files), pdf.cells(items), pdf.boxes(items), archive.ignored(listed))
+
+
 def _first_per_document(bad: DataFrame, most: int) -> DataFrame:
     """At most so many values that can't be read for each document: a report, the count is kept elsewhere."""
-    place = F.struct("page", "row_no", "i", "label", "field", "raw")
-    kept = bad.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(place)), 1, most).alias("b"))
-    return kept.select("doc_id", F.posexplode("b").alias("n", "b")).select("doc_id", "n", "b.label", "b.field", "b.raw")
+    first = stats.first_of_each(bad, ["doc_id"], ["page", "row_no", "i", "label", "field", "raw"], most)
+    return first.select("doc_id", (F.col("n") - 1).alias("n"), "label", "field", "raw")

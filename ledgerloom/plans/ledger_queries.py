@@ -2,7 +2,9 @@
 
 The orders of each nation's customers are laid out as one voucher: cells at positions on pages
 with drawn boxes, a cover that declares totals (one too much in every fifth), a tax id with its
-check digit for each customer. The plan then has to read it all back from geometry.
+check digit for each customer. Some lines have a cell beyond the table, some two cells in one
+column, and some are followed by a line without a tax id. The plan then has to read it all back from
+geometry.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .catalogue import query, table
 # the layout of a page: heading, box, centre of the data below
 COLUMNS = (("RUT", 18, 59, 38), ("Apellido Paterno Materno Nombres", 59, 223, 130), ("Remuneración Imponible", 223, 273, 256), ("Cotización Obligatoria", 273, 314, 299))
 GROUPS = (("Identificación del Trabajador", 18, 223), ("Fondo de Pensiones", 223, 314))
+ROWS = 50  # lines that a page has room for
+BOTTOM = 134 + 8 * ROWS
 TITLE = "DETALLE DE PAGO DE COTIZACIONES PREVISIONALES Y DEPOSITOS DE AHORRO VOLUNTARIO, FONDO DE PENSIONES"
 COVER = ("COMPROBANTE DE PAGO DE COTIZACIONES PREVISIONALES", None, "AFP PlanVital", "Período de Remuneraciones: 07/2026", "FONDO DE PENSIONES")
 
@@ -33,10 +37,13 @@ def vouchers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("base"))
     lines = orders.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     doc = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
-    page, y = (2 + F.floor(F.col("o_orderkey") / 1000)).cast("int"), 130 + 8 * (F.col("o_orderkey") % 1000)
+    page, y = (2 + F.floor(F.col("o_orderkey") / ROWS)).cast("int"), 130 + 8 * (F.col("o_orderkey") % ROWS)
     body = 1_000_000 + F.col("o_custkey")
     texts = [F.concat_ws("-", printed(body), check_digit(body)), F.concat_ws(" ", F.lit("CLIENTE"), F.col("c_mktsegment"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")), printed(F.col("base")), printed(F.floor(F.col("base") / 10))]
-    data = lines.select(doc.alias("doc_id"), F.inline(F.array(*[_cell(page, y, at - 10, at + 10, t, 100 + n) for n, (t, (*_, at)) in enumerate(zip(texts, COLUMNS))])))
+    cells = [_cell(page, y, at - 10, at + 10, t, 100 + n) for n, (t, (*_, at)) in enumerate(zip(texts, COLUMNS))]
+    every = lambda n, cell: F.when(F.col("o_orderkey") % n == 0, cell)
+    cells += [every(97, _cell(page, y, 330, 340, F.lit("7"), 104)), every(89, _cell(page, y, 205, 212, F.lit("X"), 105)), every(83, _cell(page, y + 4, 120, 140, F.lit("SIN RUT"), 106))]
+    data = lines.select(doc.alias("doc_id"), F.inline(F.array_compact(F.array(*cells))))
 
     where = lines.select(doc.alias("doc_id"), page.alias("p")).distinct()
     p = F.col("p")
@@ -53,7 +60,7 @@ def vouchers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     box = lambda x0, x1, y0, y1: F.struct(p.cast("int").alias("page"), *[F.lit(float(v)).alias(k) for k, v in (("x0", x0), ("x1", x1), ("y0", y0), ("y1", y1))])
     drawn = [box(a, b, 90, 100) for _, a, b in GROUPS] + [box(a, b, 100, 122) for _, a, b, _ in COLUMNS]
     # one band holds the data rows: as tall as the page, it contains the first row with a tax id
-    drawn += [box(a, b, 122, 8130) for _, a, b, _ in COLUMNS]
+    drawn += [box(a, b, 122, BOTTOM) for _, a, b, _ in COLUMNS]
     boxes = where.select("doc_id", F.inline(F.array(*drawn)))
 
     files = per.select("doc_id", F.col("c_nationkey").cast("int").alias("doc_ord"), F.concat("doc_id", F.lit(".pdf")).alias("file"), F.lit(None).cast("string").alias("error"))
@@ -65,10 +72,11 @@ def processed(spark: SparkSession, sf: str) -> ledger.Ledger:
 
 
 _LINES = "SELECT o_custkey, c_nationkey, c_mktsegment, CAST(floor(o_totalprice) AS BIGINT) AS base, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey"
+_ODD = "count(*) FILTER (WHERE o_orderkey % 97 = 0) AS outside, count(*) FILTER (WHERE o_orderkey % 89 = 0) AS colliding, count(*) FILTER (WHERE o_orderkey % 83 = 0) AS dropped"
 _DIGIT = "CASE 11 - CAST(list_sum(list_transform(range(1, len(body) + 1), lambda i: CAST(body[len(body) - i + 1] AS INTEGER) * ((i - 1) % 6 + 2))) AS BIGINT) % 11 WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE CAST(11 - CAST(list_sum(list_transform(range(1, len(body) + 1), lambda i: CAST(body[len(body) - i + 1] AS INTEGER) * ((i - 1) % 6 + 2))) AS BIGINT) % 11 AS VARCHAR) END"
 
 
-@query(f"""WITH p AS (SELECT CAST(1000000 + o_custkey AS VARCHAR) AS body, 'CLIENTE' AS paternal, min(c_mktsegment) AS maternal, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS given, CAST(sum(base) AS DOUBLE) AS base, CAST(sum(base // 10) AS DOUBLE) AS paid FROM ({_LINES}) GROUP BY o_custkey)
+@query(f"""WITH p AS (SELECT CAST(1000000 + o_custkey AS VARCHAR) AS body, 'CLIENTE' AS paternal, min(c_mktsegment) AS maternal, lpad(CAST(o_custkey AS VARCHAR), 9, '0') || CASE WHEN bool_or(o_orderkey % 89 = 0) THEN ' X' ELSE '' END AS given, CAST(sum(base) AS DOUBLE) AS base, CAST(sum(base // 10) AS DOUBLE) AS paid FROM ({_LINES}) GROUP BY o_custkey)
 SELECT CAST(row_number() OVER (ORDER BY maternal, given) AS BIGINT) AS line, body, {_DIGIT} AS digit, paternal, maternal, given, '72026' AS month, 'AFP' AS regime, CAST(29 AS BIGINT) AS pension, base, paid FROM p""")
 def voucher_ledger(spark, sf):
     out = processed(spark, sf).ledger
@@ -86,11 +94,11 @@ def voucher_control(spark, sf):
     return processed(spark, sf).control.select("file", "label", "field", F.col("amount").cast("double").alias("declared"), F.col("extracted").cast("double").alias("extracted"), "ok")
 
 
-@query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, count(DISTINCT o_orderkey // 1000) AS pages FROM ({_LINES}) GROUP BY c_nationkey)
+@query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, {_ODD} FROM ({_LINES}) GROUP BY c_nationkey)
 SELECT 'n' || c_nationkey || '.pdf' AS file, 'afp' AS profile, 'AFP PlanVital' AS institution, 'n' || c_nationkey AS folio, CASE WHEN c_nationkey % 5 = 0 THEN 'no cuadra' ELSE 'verificado' END AS state, CAST(CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS reasons,
-  CAST(n AS BIGINT) AS records, CAST(0 AS BIGINT) AS outside, CAST(4 AS BIGINT) AS pairs, CAST(1 AS BIGINT) AS uncompared FROM s""")
+  CAST(n AS BIGINT) AS records, outside, colliding, dropped, CAST(4 AS BIGINT) AS pairs, CAST(1 AS BIGINT) AS uncompared FROM s""")
 def voucher_states(spark, sf):
-    return processed(spark, sf).documents.select("file", "profile", "institution", "folio", "state", F.size("reasons").alias("reasons"), F.col("n_records").alias("records"), "outside", F.col("n_pairs").alias("pairs"), F.col("n_uncompared").alias("uncompared"))
+    return processed(spark, sf).documents.select("file", "profile", "institution", "folio", "state", F.size("reasons").alias("reasons"), F.col("n_records").alias("records"), "outside", "colliding", "dropped", F.col("n_pairs").alias("pairs"), F.col("n_uncompared").alias("uncompared"))
 
 
 @query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, CAST(sum(base) AS DOUBLE) AS b, CAST(sum(base // 10) AS DOUBLE) AS c FROM ({_LINES}) GROUP BY c_nationkey)
@@ -100,8 +108,9 @@ def voucher_columns(spark, sf):
     return processed(spark, sf).columns.select("file", "i", "label", "field", "level", "with_value", F.col("total").cast("double").alias("total"))
 
 
-@query(f"""WITH s AS (SELECT DISTINCT c_nationkey FROM ({_LINES}))
+@query(f"""WITH s AS (SELECT c_nationkey, {_ODD} FROM ({_LINES}) GROUP BY c_nationkey)
 SELECT 'Total de portada sin comparar' AS kind, count(*) AS n FROM s UNION ALL SELECT 'Total no cuadra', count(*) FROM s WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'Documento que no cuadra', count(*) FROM s WHERE c_nationkey % 5 = 0
-UNION ALL SELECT 'Columnas constantes en el consolidado', 1""")
+UNION ALL SELECT 'Columnas constantes en el consolidado', 1 UNION ALL SELECT 'Celda fuera de su columna', count(*) FROM s WHERE outside > 0 HAVING count(*) > 0
+UNION ALL SELECT 'Dos celdas en la misma columna', count(*) FROM s WHERE colliding > 0 HAVING count(*) > 0 UNION ALL SELECT 'Filas de datos descartadas', count(*) FROM s WHERE dropped > 0 HAVING count(*) > 0""")
 def voucher_warnings(spark, sf):
     return processed(spark, sf).warnings.groupBy("kind").agg(F.count("*").alias("n"))

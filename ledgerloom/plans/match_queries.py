@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cluster, match
+from ..operators import classify, cluster, cover, geometry, match
 from .catalogue import query, table
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -38,18 +38,18 @@ def nearest_column(spark, sf):
     return match.nearest(part.select("p_partkey", "price", F.lit(1).alias("page")), F.broadcast(centres), ["page"], "price", "centre", "number").select("p_partkey", "number")
 
 
-@query("""WITH e AS (SELECT user_id % 7 AS page, event_id, CAST(event_id * 37 % 500 AS DOUBLE) AS x0, CAST(event_id * 37 % 500 + 5 + event_id % 40 AS DOUBLE) AS x1 FROM events WHERE event_id % 3 <> 0),
-g AS (SELECT user_id % 7 AS page, event_id AS g, CAST(event_id * 61 % 500 AS DOUBLE) AS g0, CAST(event_id * 61 % 500 + 30 + event_id % 90 AS DOUBLE) AS g1 FROM events WHERE event_id % 60 = 0),
-s AS (SELECT event_id, g, CASE WHEN least(x1, g1) - greatest(x0, g0) > 0 THEN (least(x1, g1) - greatest(x0, g0)) / greatest(least(x1 - x0, g1 - g0), 1e-6) ELSE 0 END AS o FROM e JOIN g USING (page))
+@query("""WITH e AS (SELECT user_id, event_id % 4 AS sheet, event_id, CAST(event_id * 37 % 500 AS DOUBLE) AS x0, CAST(event_id * 37 % 500 + 5 + event_id % 40 AS DOUBLE) AS x1 FROM events),
+g AS (SELECT user_id, event_id % 4 AS sheet, event_id AS g, CAST(event_id * 61 % 500 AS DOUBLE) AS g0, CAST(event_id * 61 % 500 + 30 + event_id % 90 AS DOUBLE) AS g1 FROM events),
+s AS (SELECT event_id, g, CASE WHEN least(x1, g1) - greatest(x0, g0) > 0 THEN (least(x1, g1) - greatest(x0, g0)) / greatest(least(x1 - x0, g1 - g0), 1e-6) ELSE 0 END AS o FROM e JOIN g USING (user_id, sheet))
 SELECT event_id, arg_max(g, [CAST(round(o * 1e6) AS BIGINT), g]) AS heading, CAST(max(round(o * 1e6)) AS BIGINT) AS share FROM s WHERE o >= 0.4 GROUP BY event_id""")
 def overlap_best(spark, sf):
-    page = (F.col("user_id") % 7).alias("page")
-    rows = table(spark, sf, "events")
+    """Every event is a cell and a heading; a page is a quarter of a user's events."""
+    rows = table(spark, sf, "events").withColumn("sheet", F.col("event_id") % 4)
     at = lambda k: (F.col("event_id") * k % 500).cast("double")
-    cells = rows.where("event_id % 3 <> 0").select(page, "event_id", at(37).alias("x0"), (at(37) + 5 + F.col("event_id") % 40).alias("x1"))
-    heads = rows.where("event_id % 60 = 0").select(page, F.col("event_id").alias("g"), at(61).alias("g0"), (at(61) + 30 + F.col("event_id") % 90).alias("g1"))
-    best = match.best_overlap(cells, heads, ["page"], "g", 0.4, 40.0)
-    return cells.join(best, ["page", "x0", "x1"]).select("event_id", "heading", "share")
+    cells = rows.select("user_id", "sheet", "event_id", at(37).alias("x0"), (at(37) + 5 + F.col("event_id") % 40).alias("x1"))
+    heads = rows.select("user_id", "sheet", "event_id", at(61).alias("g0"), (at(61) + 30 + F.col("event_id") % 90).alias("g1"))
+    best = match.best_overlap(cells, heads, ["user_id", "sheet"], "event_id", 0.4, 40.0)
+    return cells.join(best, ["user_id", "sheet", "x0", "x1"]).select("event_id", "heading", "share")
 
 
 @query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, CAST(event_id * 37 % 500 AS DOUBLE) AS x0, CAST(event_id * 37 % 500 + 5 + event_id % 40 AS DOUBLE) AS x1 FROM events),
@@ -77,13 +77,13 @@ def midpoint_domain(spark, sf):
 p AS (SELECT page_id, CAST(page_id * 13 % 110 AS DOUBLE) AS y FROM pages)
 SELECT page_id, CAST(arg_max(band, [cells, -band]) AS BIGINT) AS band, CAST(max(cells) AS BIGINT) AS cells FROM p JOIN b USING (page_id) WHERE y >= y0 AND y <= y1 AND cells > 1 GROUP BY page_id""")
 def widest_band(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id")
     k = F.col("k")
-    bands = pages.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("k"))
-    bands = bands.select("page_id", k.alias("band"), (k * 10).cast("double").alias("y0"), (k * 10 + 12 + F.col("page_id") % 5).cast("double").alias("y1"), (1 + (F.col("page_id") * 7 + k * 3) % 6).alias("cells"))
-    points = pages.withColumn("y", (F.col("page_id") * 13 % 110).cast("double"))
-    at = points.join(bands, "page_id").where("y >= y0 and y <= y1 and cells > 1")
-    return at.groupBy("page_id").agg(F.max_by("band", F.struct("cells", (-F.col("band")).alias("b"))).alias("band"), F.max("cells").alias("cells"))
+    rows = table(spark, sf, "pages").select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("k"))
+    size = (1 + (F.col("page_id") * 7 + k * 3) % 6).cast("int")
+    band = F.struct((k * 10).cast("double").alias("y0"), k.alias("band_no"), (k * 10 + 12 + F.col("page_id") % 5).cast("double").alias("y1"), F.sequence(F.lit(1), size).alias("cells"))
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(band)).alias("bands"))
+    found = pages.withColumn("b", geometry.widest_band(F.col("bands"), (F.col("page_id") * 13 % 110).cast("double"))).where("b is not null")
+    return found.select("page_id", F.col("b.band_no").alias("band"), F.size("b.cells").cast("long").alias("cells"))
 
 
 @query("""WITH b AS (SELECT page_id, g.k AS box, CAST(g.k * 11 % 50 AS DOUBLE) AS x0, CAST(g.k * 11 % 50 + 10 + g.k * 7 % 60 AS DOUBLE) AS x1 FROM pages, (SELECT unnest(range(0, 20)) AS k) g),
@@ -102,10 +102,8 @@ def smallest_box(spark, sf):
 
 @query("""SELECT a.event_id, min(b.event_id) AS twin FROM events a JOIN events b ON a.user_id = b.user_id AND abs(a.value - b.value) <= 0.6 AND abs(a.event_id % 50 - b.event_id % 50) <= 0.6 AND a.event_id <> b.event_id GROUP BY a.event_id""")
 def tolerance_equality(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", "value")
-    other = e.select("user_id", F.col("event_id").alias("twin"), F.col("value").alias("v"))
-    near = (F.abs(F.col("value") - F.col("v")) <= 0.6) & (F.abs(F.col("event_id") % 50 - F.col("twin") % 50) <= 0.6) & (F.col("event_id") != F.col("twin"))
-    return e.join(other, "user_id").where(near).groupBy("event_id").agg(F.min("twin").alias("twin"))
+    e = table(spark, sf, "events").select("user_id", "event_id", "value", (F.col("event_id") % 50).cast("double").alias("place"))
+    return match.near_pairs(e, ["user_id"], "value", "place", "event_id", 0.6).groupBy("event_id").agg(F.min("twin").alias("twin"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, CAST(epoch(ts) AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)) AS n FROM (SELECT DISTINCT user_id, ts FROM events)),
@@ -122,45 +120,40 @@ def anchor_cluster(spark, sf):
 i AS (SELECT *, coalesce(sum(CAST(numeric AS INTEGER)) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM c)
 SELECT l_orderkey, CAST(island AS BIGINT) AS island, coalesce(string_agg(t, ' ' ORDER BY n) FILTER (WHERE NOT numeric), '') AS label FROM i GROUP BY l_orderkey, island HAVING bool_or(numeric)""")
 def running_label(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    cells = table(spark, sf, "lineitem").select("l_orderkey", F.row_number().over(w).alias("n"), F.col("l_returnflag").alias("t"), (F.col("l_quantity") % 3 == 0).alias("numeric"))
-    before = Window.partitionBy("l_orderkey").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    islands = cells.withColumn("island", F.coalesce(F.sum(F.col("numeric").cast("long")).over(before), F.lit(0).cast("long")))
-    words = F.transform(F.array_sort(F.collect_list(F.when(~F.col("numeric"), F.struct("n", "t")))), lambda s: s["t"])
-    return islands.groupBy("l_orderkey", "island").agg(F.array_join(words, " ").alias("label"), F.bool_or("numeric").alias("ends")).where("ends").drop("ends")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("text"), F.when(F.col("l_quantity") % 3 == 0, F.col("l_quantity")).alias("number"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("cells"))
+    labels = cover.running_labels(F.col("cells"), "string", lambda label, c: label)
+    return rows.select("l_orderkey", F.posexplode(labels).alias("island", "label")).withColumn("island", F.col("island").cast("long"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, min(CASE WHEN l_quantity > 45 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS stop FROM lineitem) WHERE stop IS NULL OR l_linenumber < stop""")
 def prefix_until_total(spark, sf):
-    lines = table(spark, sf, "lineitem").select(*LINE, "l_quantity")
-    stop = lines.where("l_quantity > 45").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("stop"))
-    return lines.join(stop, "l_orderkey", "left").where("stop is null or l_linenumber < stop").select(*LINE)
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("rows"))
+    live = geometry.before_stop(F.col("rows"), lambda r: r["l_quantity"] > 45, "l_linenumber")
+    return rows.select("l_orderkey", F.explode(live).alias("r")).select("l_orderkey", "r.l_linenumber", "r.l_partkey", "r.l_suppkey")
 
 
 @query("""SELECT p_partkey, coalesce(b.field, t.field) AS field, CASE WHEN b.field IS NOT NULL THEN 'ancestor' WHEN t.field IS NOT NULL THEN 'leaf' END AS level FROM part
   LEFT JOIN (VALUES ('Brand#11 ECONOMY', 'a'), ('Brand#22 STANDARD', 'b'), ('Brand#33 PROMO', 'c')) AS b(k, field) ON b.k = p_brand || ' ' || split_part(p_type, ' ', 1)
   LEFT JOIN (VALUES ('ECONOMY', 'd'), ('LARGE', 'e'), ('SMALL', 'f')) AS t(k, field) ON t.k = split_part(p_type, ' ', 1)""")
 def key_fallback_map(spark, sf):
-    config = spark.createDataFrame([("Brand#11 ECONOMY", "a"), ("Brand#22 STANDARD", "b"), ("Brand#33 PROMO", "c"), ("ECONOMY", "d"), ("LARGE", "e"), ("SMALL", "f")], "key string, field string")
+    known = {"Brand#11 ECONOMY": "a", "Brand#22 STANDARD": "b", "Brand#33 PROMO": "c", "ECONOMY": "d", "LARGE": "e", "SMALL": "f"}
     leaf = F.split_part("p_type", F.lit(" "), F.lit(1))
-    rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
-    found = match.fallback_keys(rows, F.array(F.concat_ws(" ", "p_brand", leaf), leaf), config, "key", ["p_partkey"])
-    return found.select("p_partkey", "field", F.when(F.col("key") == leaf, "leaf").when(F.col("key").isNotNull(), "ancestor").alias("level"))
+    found = table(spark, sf, "part").select("p_partkey", leaf.alias("leaf"), match.first_known(F.array(F.concat_ws(" ", "p_brand", leaf), leaf), known).alias("hit"))
+    return found.select("p_partkey", F.col("hit.value").alias("field"), F.when(F.col("hit.key") == F.col("leaf"), "leaf").when(F.col("hit.key").isNotNull(), "ancestor").alias("level"))
 
 
 @query("""WITH m AS (SELECT * FROM (VALUES ('STANDARD', true, 0, 'std'), ('PROMO', true, 1, 'promo'), ('STANDARD BRUSHED', true, 2, 'late'), ('ECONOMY ANODIZED TIN', false, 3, 'exact')) AS m(key, prefix, ord, total))
 SELECT p_partkey, coalesce((SELECT total FROM m WHERE key = p_type), (SELECT arg_min(total, ord) FROM m WHERE prefix AND starts_with(p_type, key))) AS total FROM part""")
 def prefix_lookup(spark, sf):
-    config = spark.createDataFrame([("STANDARD", True, 0, "std"), ("PROMO", True, 1, "promo"), ("STANDARD BRUSHED", True, 2, "late"), ("ECONOMY ANODIZED TIN", False, 3, "exact")], "key string, prefix boolean, ord int, total string")
-    rows = table(spark, sf, "part").select("p_partkey", "p_type")
-    return match.exact_or_prefix(rows, F.col("p_type"), config, ["p_partkey"]).select("p_partkey", "total")
+    at = match.exact_or_prefix(F.col("p_type"), [("STANDARD", True), ("PROMO", True), ("STANDARD BRUSHED", True), ("ECONOMY ANODIZED TIN", False)])
+    return table(spark, sf, "part").select("p_partkey", F.get(F.array(*map(F.lit, ("std", "promo", "late", "exact"))), at).alias("total"))
 
 
 @query("""SELECT n_nationkey, CAST(c.code AS INTEGER) AS code FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (VALUES ('africa', 1), ('asia', 2), ('europe', 3)) AS c(name, code) ON lower(r_name) = c.name""")
 def code_lookup(spark, sf):
-    codes = spark.createDataFrame([("africa", 1), ("asia", 2), ("europe", 3)], "name string, code int")
     rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.join(F.broadcast(codes), F.lower("r_name") == F.col("name"), "left").select("n_nationkey", "code")
+    return rows.select("n_nationkey", classify.code_of(F.col("r_name"), {"africa": 1, "asia": 2, "europe": 3}, "^the ").alias("code"))
 
 
 RULES = [("prose", "whole", 4, r"\bthe\b|\bder\b"), ("prose", "start", 3, r"^[A-Z][a-z]"), ("table", "whole", 6, r"\|"), ("table", "start", -5, "The"), ("noise", "whole", 5, "[#$%&]{3}"), ("noise", "start", 3, "[!]{2}"), ("mail", "whole", 2, "@[a-z]")]
@@ -190,16 +183,17 @@ def longest_match_section(spark, sf):
 @query("""WITH p AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders)
 SELECT a.o_orderkey, arg_max(b.o_orderkey, [epoch_us(b.o_orderdate), b.o_orderkey]) AS above FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate AND b.o_orderdate >= a.o_orderdate - INTERVAL 240 DAY AND b.o_orderstatus <> 'P' GROUP BY a.o_orderkey""")
 def nearest_above(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
-    b = o.where("o_orderstatus <> 'P'").select("o_custkey", F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"))
-    near = o.join(b, "o_custkey").where("d < o_orderdate and d >= o_orderdate - interval 240 days")
-    return near.groupBy("o_orderkey").agg(F.max_by("k", F.struct("d", "k")).alias("above"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"), (F.col("o_orderstatus") != "P").alias("fits"))
+    above = match.last_before(o, ["o_custkey"], "at", "o_orderkey", 240 * 86_400_000_000, F.col("fits"))
+    return o.select("o_orderkey", above.alias("above")).where("above is not null")
 
 
 @query("""SELECT o_orderkey, CAST(level AS INTEGER) AS level FROM (SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) AS level FROM orders) WHERE level <= 3""")
 def last_levels(spark, sf):
-    level = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy(F.year("o_orderdate").desc()))
-    return table(spark, sf, "orders").select("o_orderkey", level.alias("level")).where("level <= 3")
+    per = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").alias("year"))).alias("o"))
+    levels = per.withColumn("levels", geometry.last_levels(F.transform("o", lambda x: x["year"]), 3))
+    rows = levels.select("levels", F.explode("o").alias("o"))
+    return rows.select("o.o_orderkey", F.array_position("levels", F.col("o.year")).cast("int").alias("level")).where("level > 0")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, CAST(event_id * 7 % 60 AS DOUBLE) AS a, CAST(event_id * 11 % 40 AS DOUBLE) AS b FROM events)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.merge import fold_repeated, long_values, merge_rows
+from ..operators.merge import first_where, fold_repeated, kinds_of, long_values, merge_rows
 from .catalogue import query, table
+from .cuts import numbered
+from .ledger import mark_duplicates
 
 ORDER = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 FIELDS = {"amount": "sum", "days": "max", "movement": "first", "since": "earliest", "until": "latest", "name": "longest"}
@@ -40,10 +41,10 @@ def merge_by_key(spark, sf):
 @query(f"""SELECT person, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, CAST(count(DISTINCT kind) AS BIGINT) AS n_kinds, count(*) AS lines,
   arg_min(since, {_UP}) FILTER (WHERE kind = 'F') AS first_f FROM ({_LINES}) GROUP BY person""")
 def merge_provenance(spark, sf):
-    place = F.struct(*ORDER)
+    kind = F.col("kind")
     return voucher_lines(spark, sf).groupBy("person").agg(
-        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct("kind").alias("n_kinds"), F.count("*").alias("lines"),
-        F.min_by("since", F.when(F.col("kind") == "F", place)).alias("first_f"),
+        F.array_join(kinds_of(kind), ",").alias("kinds"), F.count_distinct("kind").alias("n_kinds"), F.count("*").alias("lines"),
+        first_where(F.col("since"), kind == "F", [F.col(c) for c in ORDER]).alias("first_f"),
     )
 
 
@@ -69,13 +70,13 @@ def ledger_projection(spark, sf):
     per = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).alias("spent"), F.min_by("o_orderstatus", "o_orderkey").alias("first_status"))
     rows = table(spark, sf, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
     # a ledger numbers its lines from 1 in one sequence: one row for each person, after the merge
-    line = F.row_number().over(Window.orderBy(F.collate(F.coalesce("c_name", F.lit("")), "es"), "c_custkey"))
-    return rows.select(line.alias("line"), "c_custkey", "c_name", F.lit("1").alias("payment"), F.lit("00").alias("line_kind"), F.coalesce(F.col("spent").cast("double"), F.lit(0.0)).alias("spent"), F.coalesce("first_status", F.lit("")).alias("first_status"))
+    rows = numbered(rows, [F.collate(F.coalesce("c_name", F.lit("")), "es"), F.col("c_custkey")])
+    return rows.select(F.col("line").cast("int").alias("line"), "c_custkey", "c_name", F.lit("1").alias("payment"), F.lit("00").alias("line_kind"), F.coalesce(F.col("spent").cast("double"), F.lit(0.0)).alias("spent"), F.coalesce("first_status", F.lit("")).alias("first_status"))
 
 
 @query("""SELECT doc_id, CASE WHEN row_number() OVER w > 1 THEN first_value(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id)""")
 def dedup_first(spark, sf):
-    # the first of equal texts by an aggregate, so that a large group of copies meets in no task
-    docs = table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
-    first = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    return docs.join(first, "key").select("doc_id", F.when(F.col("doc_id") != F.col("first_id"), F.col("first_id")).alias("duplicate_of"))
+    """Documents as vouchers: the digest of the text is the folio."""
+    text = F.col("text")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("file"), F.lit("i").alias("institution"), F.coalesce(F.md5(text), F.lit("none")).alias("folio"), F.struct(F.lit("07/2026").alias("text")).alias("period"))
+    return mark_duplicates(docs).select("doc_id", F.col("duplicate_of").cast("long").alias("duplicate_of"))

@@ -32,10 +32,9 @@ def concepts(result: Ledger) -> DataFrame:
 def populations(result: Ledger) -> DataFrame:
     """One row: persons in all, only in the first document, in the first two; duplicates left out."""
     used = result.documents.where("duplicate_of is null and profile is not null").select("doc_id", "doc_ord")
-    ranked = used.agg(F.array_sort(F.collect_list(F.struct("doc_ord", "doc_id"))).alias("d")).select(F.get("d", F.lit(0))["doc_id"].alias("first"), F.get("d", F.lit(1))["doc_id"].alias("second"))
-    names = ranked.first()  # two ids
+    names = [r["doc_id"] for r in used.orderBy("doc_ord", "doc_id").limit(2).collect()] + ["", ""]
     rows = result.records.where("field = 'rut'").join(used.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("id.body").alias("body"))
-    return stats.overlap(rows, "body", "doc_id", names["first"] or "", names["second"] or "")
+    return stats.overlap(rows, "body", "doc_id", *names[:2])
 
 
 def coverage(result: Ledger) -> DataFrame:
@@ -59,7 +58,7 @@ def with_value(result: Ledger, header: str) -> DataFrame:
 def field_profile(result: Ledger) -> DataFrame:
     """(file, field, with_value, total): total is null for text fields."""
     rows = result.records.join(result.documents.select("doc_id", "file"), "doc_id")
-    return rows.groupBy("file", "field").agg(F.count("*").alias("with_value"), F.sum("num").alias("total"))
+    return stats.field_profile(rows, ["file", "field"], F.lit(True), F.col("num"))
 
 
 def column_profile(result: Ledger) -> DataFrame:

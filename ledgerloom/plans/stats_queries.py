@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import taxid
-from ..operators import stats
+from ..functions.text import printed
+from ..operators import records, stats
+from ..sources.archive import junk
 from .catalogue import query, table
 
 
 @query("""SELECT l_returnflag AS section, l_linenumber AS i, CAST(count(*) FILTER (WHERE l_tax > 0) AS BIGINT) AS with_value, CAST(sum(CAST(l_tax AS DECIMAL(20,2))) AS DOUBLE) AS total, CAST(min(l_partkey) AS BIGINT) AS first_page, CAST(max(l_partkey) AS BIGINT) AS last_page FROM lineitem GROUP BY ALL""")
 def column_audit(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("section"), F.col("l_linenumber").alias("i")).agg(
-        F.count_if(F.col("l_tax") > 0).alias("with_value"), F.sum(F.col("l_tax").cast("decimal(20,2)")).cast("double").alias("total"), F.min("l_partkey").alias("first_page"), F.max("l_partkey").alias("last_page")
-    )
+    """A section is a document, a part a page, a line number a column, a tax what stands in it."""
+    page = [F.col("l_returnflag").alias("doc_id"), F.col("l_partkey").alias("page")]
+    lines, i = table(spark, sf, "lineitem"), F.col("l_linenumber").alias("i")
+    none = F.lit(None).cast("string")
+    columns = lines.select(*page, i, F.col("l_returnflag").alias("section"), F.lit("tax").alias("label"), none.alias("key"), none.alias("level"), none.alias("field")).distinct()
+    values = lines.where("l_tax > 0").select(*page, i, printed(F.col("l_tax").cast("decimal(20,2)"), 2).alias("raw"))
+    return records.column_audit(columns, values).select("section", "i", "with_value", F.col("total").cast("double").alias("total"), "first_page", "last_page")
 
 
 @query("""SELECT count(DISTINCT coalesce(n_name, '')) <= 1 AS n_name, count(DISTINCT n_regionkey) <= 1 AS n_regionkey, true AS always, true AS never FROM nation""")
@@ -34,7 +40,7 @@ def field_profile(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     wide = rows.select(F.col("o_orderstatus").alias("doc"), F.col("l_tax").cast("decimal(20,2)").alias("tax"), F.col("l_discount").cast("decimal(20,2)").alias("discount"))
     long = wide.unpivot(["doc"], ["tax", "discount"], "field", "v")
-    return long.groupBy("doc", "field").agg(F.count_if(F.col("v") != 0).alias("with_value"), F.sum("v").cast("double").alias("total"))
+    return stats.field_profile(long, ["doc", "field"], F.col("v") != 0, F.col("v")).withColumn("total", F.col("total").cast("double"))
 
 
 @query("""WITH r AS (SELECT event_type, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)
@@ -53,10 +59,7 @@ def population_overlap(spark, sf):
 UNION ALL SELECT 'both', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 UNION ALL SELECT 'first', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def population_sets(spark, sf):
-    o = table(spark, sf, "orders")
-    f, p = (o.where(F.col("o_orderstatus") == s).select("o_custkey") for s in "FP")
-    n = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return n(f.union(p).distinct(), "union").union(n(f.intersect(p), "both")).union(n(f.subtract(p), "first"))
+    return stats.population_sets(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "F", "P")
 
 
 @query("""WITH can AS (SELECT n_regionkey AS source, n_name AS item FROM nation), present AS (SELECT DISTINCT n_regionkey AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 2), filled AS (SELECT DISTINCT n_name AS item FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0)
@@ -81,16 +84,15 @@ def manual_reconcile(spark, sf):
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def without_partner(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    partners = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return stats.without_partner(table(spark, sf, "customer").select("c_custkey"), partners, "c_custkey")
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE short) AS shorter FROM (SELECT length(p_name) > length(mine) AND starts_with(p_name, mine) AS short FROM (SELECT p_name, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS mine FROM part))""")
 def short_name_prefix(spark, sf):
     part = table(spark, sf, "part")
-    mine = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name")).alias("mine"))
-    both = part.join(mine, "p_partkey")
-    short = (F.length("p_name") > F.length("mine")) & F.col("p_name").startswith(F.col("mine"))
-    return both.agg(F.count("*").alias("n"), F.count_if(short).alias("shorter"))
+    mine = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name")).alias("p_name"))
+    return stats.cut_names(mine, part, "p_partkey", "p_name")
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '\+1 \(\d{3}\) \d{3}-\d{4}')) AS BIGINT) AS hits FROM documents")
@@ -98,12 +100,15 @@ def privacy_scan(spark, sf):
     return stats.privacy_hits(table(spark, sf, "documents"), "doc_id", "text", r"\+1 \(\d{3}\) \d{3}-\d{4}")
 
 
-@query("""WITH p AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events), v AS (SELECT event_id, path, json_extract_string(props, '$.' || path) AS value FROM p),
-e AS (SELECT event_id % 500 AS k, path, value FROM v WHERE event_id < 500), a AS (SELECT event_id % 500 AS k, path, value FROM v WHERE event_id >= 500 AND event_id < 1000 AND event_id % 7 <> 0)
-SELECT k, path, CASE WHEN e.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'absent' ELSE 'changed' END AS kind, e.value AS expected, a.value AS actual FROM e FULL JOIN a USING (k, path) WHERE e.k IS NULL OR a.k IS NULL OR e.value IS DISTINCT FROM a.value""")
+@query("""WITH n AS (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), p AS (SELECT user_id, n, unnest(json_keys(props)) AS path, props FROM n),
+v AS (SELECT user_id, n // 2 AS k, n % 2 AS side, path, json_extract_string(props, '$.' || path) AS value FROM p),
+e AS (SELECT user_id, k, path, value FROM v WHERE side = 0), a AS (SELECT user_id, k, path, value FROM v WHERE side = 1)
+SELECT user_id, CAST(k AS BIGINT) AS k, path, CASE WHEN e.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'absent' ELSE 'changed' END AS kind, e.value AS expected, a.value AS actual FROM e FULL JOIN a USING (user_id, k, path) WHERE e.k IS NULL OR a.k IS NULL OR e.value IS DISTINCT FROM a.value""")
 def fixture_diff(spark, sf):
-    v = table(spark, sf, "events").select("event_id", (F.col("event_id") % 500).alias("k"), F.explode(stats.flat_json(F.col("props"))).alias("e")).select("event_id", "k", "e.path", "e.value")
-    return stats.differences(v.where("event_id < 500"), v.where("event_id >= 500 and event_id < 1000 and event_id % 7 <> 0"), ["k"])
+    """Every event: of each user's events the first, third, ... are expected, those after them actual."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    v = table(spark, sf, "events").select("user_id", n.cast("long").alias("n"), F.explode(stats.flat_json(F.col("props"))).alias("e")).select("user_id", F.expr("n div 2").alias("k"), (F.col("n") % 2).alias("side"), "e.path", "e.value")
+    return stats.differences(v.where("side = 0"), v.where("side = 1"), ["user_id", "k"])
 
 
 @query("""WITH p AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events), v AS (SELECT event_id // 2 AS k, event_id % 2 AS side, path, json_extract_string(props, '$.' || path) AS value FROM p),
@@ -115,10 +120,10 @@ def fixture_diff_all(spark, sf):
     return stats.differences(v.where("side = 0"), v.where("side = 1"), ["k"])
 
 
-@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(coalesce(source, ''), 'src1\d$') AND trim(coalesce(text, '')) <> '' AND doc_id % 10 <> 3""")
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '__MACOSX/' || source WHEN 1 THEN 'a/._' || source || '.pdf' WHEN 2 THEN lang || '/' WHEN 3 THEN 'a/b/.DS_Store' WHEN 4 THEN '.DS_Store/' || source WHEN 5 THEN '_' || source || '.pdf' ELSE 'a/' || source || '.PDF' END AS path FROM documents),
+b AS (SELECT *, split_part(path, '/', -1) AS base FROM p)
+SELECT doc_id, path FROM b WHERE NOT (starts_with(path, '__MACOSX/') OR starts_with(base, '._') OR ends_with(path, '/') OR base = '.DS_Store')""")
 def junk_filter(spark, sf):
-    return table(spark, sf, "documents").where(F.coalesce("source", F.lit("")).rlike(r"src1\d$") & (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("doc_id") % 10 != 3)).select("doc_id")
-
-
-def tax_ids_of(rows, column):
-    return rows.select(taxid.tax_id(F.col(column)).alias("id"))
+    k, at = F.col("doc_id") % 7, lambda *parts: F.concat(*[F.lit(p) if p[0] != "$" else F.col(p[1:]) for p in parts])
+    path = F.when(k == 0, at("__MACOSX/", "$source")).when(k == 1, at("a/._", "$source", ".pdf")).when(k == 2, at("$lang", "/")).when(k == 3, "a/b/.DS_Store").when(k == 4, at(".DS_Store/", "$source")).when(k == 5, at("_", "$source", ".pdf"))
+    return table(spark, sf, "documents").select("doc_id", path.otherwise(at("a/", "$source", ".PDF")).alias("path")).where(~junk(F.col("path")))

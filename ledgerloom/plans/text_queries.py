@@ -24,7 +24,9 @@ def squish_text(spark, sf):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS DOUBLE) AS amount, true AS numeric,
   CAST(NULL AS DOUBLE) AS not_an_amount FROM lineitem""")
 def parse_amount(spark, sf):
-    price = F.concat(F.lit(" $ "), text.printed(F.col("l_extendedprice").cast("decimal(20,2)"), 2))
+    """Half of the amounts with the no-break spaces that printed forms have."""
+    blank = F.when(F.col("l_linenumber") % 2 == 0, F.lit("\u00a0")).otherwise(F.lit(" "))
+    price = F.concat(blank, F.lit("$"), blank, text.printed(F.col("l_extendedprice").cast("decimal(20,2)"), 2))
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         text.to_number(price).cast("double").alias("amount"), text.is_numeric(price).alias("numeric"),
@@ -32,10 +34,11 @@ def parse_amount(spark, sf):
     )
 
 
-@query(r"""SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(w, '^-?\$?\d{1,3}(\.\d{3})*(,\d+)?$|^-?\$?\d+(,\d+)?$')) AS BIGINT) AS amounts, count(*) AS words
-  FROM (SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id""")
+@query(f"""SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(w, '^-?\\$?{BLANK}*\\d{{1,3}}(\\.\\d{{3}})*(,\\d+)?$|^-?\\$?{BLANK}*\\d+(,\\d+)?$')) AS BIGINT) AS amounts, count(*) AS words
+  FROM (SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, '') || ' $\u00a01.000 -$\u00a0\u20037,5 $\u00a0x 12\u00a0500', '[ \t\n\r]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id""")
 def numeric_words(spark, sf):
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+"), lambda w: w != "")
+    whole = F.concat(F.coalesce("text", F.lit("")), F.lit(" $\u00a01.000 -$\u00a0\u20037,5 $\u00a0x 12\u00a0500"))
+    words = F.filter(F.split(whole, "[ \t\n\r]+"), lambda w: w != "")
     return table(spark, sf, "documents").select("doc_id", F.explode(words).alias("w")).groupBy("doc_id").agg(F.count_if(text.is_numeric(F.col("w"))).alias("amounts"), F.count("*").alias("words"))
 
 
@@ -67,7 +70,8 @@ _NAME = "list_filter(string_split_regex(trim(regexp_replace(coalesce(text, ''),
   CASE WHEN len(w) > 2 THEN array_to_string(w[3:], ' ') ELSE coalesce(w[2], '') END AS given FROM (SELECT doc_id, {_NAME} AS w FROM documents)""")
 def split_name(spark, sf):
     words = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]+", "")), " +"), lambda w: w != "")
-    name = F.array_join(F.slice(words, 1, (F.col("doc_id") % 6).cast("int")), "  ")
+    some = F.slice(words, 1, (F.col("doc_id") % 6).cast("int"))
+    name = F.when(F.col("doc_id") % 2 == 0, F.array_join(some, "\u00a0")).otherwise(F.array_join(some, " \u2003"))
     return table(spark, sf, "documents").select("doc_id", taxid.split_name(name).alias("n")).select("doc_id", "n.*")
 
 

@@ -18,6 +18,7 @@ from ..operators import checks
 from ..operators import config as C
 from ..plans.ledger import Ledger
 
+# fixed values: the sheets' names
 LEDGER, SUMMARY, COLUMNS, REVIEW = "TXT CONSOLIDADO", "Resumen", "Columnas", "Revisar"
 WIDTH_ROWS, NARROWEST, WIDEST = 200, 8, 26
 ROWS_IN_A_SHEET = 1_048_576
@@ -132,6 +133,7 @@ def write_workbook(result: Ledger, target) -> None:
     sums = summary(result).orderBy("block", "ord")
     numbers = {3, 4, 5}
 
+    # fixed values below: the sheets' headings
     def summary_rows():
         yield ["Archivo", "Institución", "Folio", "Período", "Empleador", "Páginas", "Líneas leídas", "Estado"]
         block = 0
@@ -139,7 +141,7 @@ def write_workbook(result: Ledger, target) -> None:
             if r["block"] != block:
                 block = 1
                 yield from control_head()
-            yield r["cells"] if not r["block"] else [float(v) if i + 1 in numbers else v for i, v in enumerate(r["cells"])]
+            yield r["cells"] if not r["block"] else [Decimal(v) if i + 1 in numbers and v else v for i, v in enumerate(r["cells"])]
         if not block:
             yield from control_head()
         yield []

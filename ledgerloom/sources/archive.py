@@ -6,10 +6,12 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ENTRY = pa.schema([("archive", pa.string()), ("path", pa.string()), ("data", pa.binary())])
+from ..plans.cuts import numbered
+
+_ENTRY = pa.schema([("archive", pa.string()), ("path", pa.string()), ("data", pa.binary()), ("error", pa.string())])
 
 
 def junk(path: Column) -> Column:
@@ -19,33 +21,64 @@ def junk(path: Column) -> Column:
 
 
 def unpacked(archives: DataFrame, data: bool = True) -> DataFrame:
-    """(archive, path, data) of every entry of archives(path, content); data=False lists names
-    without inflating anything. Also for streams of archives. One entry is held at a time."""
+    """(archive, path, data, error) of every entry of archives(path, content); data=False lists names
+    without inflating anything. Also for streams of archives. One entry is held at a time.
+
+    An entry that can't be inflated has its error; an archive that can't be opened is one row with
+    its error and without a path.
+    """
+
+    def row(name, path, content, error):
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([path], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], schema=_ENTRY)
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                except Exception as e:  # noqa: BLE001  a broken archive must not stop the run
+                    yield row(name, None, None, str(e) or type(e).__name__)
+                    continue
+                with z:
                     for entry in z.infolist():
-                        wanted = data and entry.filename.lower().endswith(".pdf")
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([entry.filename]), pa.array([z.read(entry) if wanted else None], pa.binary())], schema=_ENTRY)
+                        inflated, error = None, None
+                        if data and entry.filename.lower().endswith(".pdf"):
+                            try:
+                                inflated = z.read(entry)
+                            except Exception as e:  # noqa: BLE001  nor must a broken entry
+                                error = str(e) or type(e).__name__
+                        yield row(name, entry.filename, inflated, error)
 
-    return archives.select("path", "content").mapInArrow(run, "archive string, path string, data binary")
+    return archives.select("path", "content").mapInArrow(run, "archive string, path string, data binary, error string")
 
 
 def entries(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
-    """The entries of the archives at a path, junk left out, with name and is_document."""
-    found = unpacked(spark.read.format("binaryFile").load(path), data).where(~junk(F.col("path")))
-    return found.withColumns({"name": F.element_at(F.split("path", "/"), -1), "is_document": F.col("path").rlike(r"(?i)\.pdf$")})
+    """The entries of the archives at a path, junk left out, with name and is_document; an archive that
+    can't be opened counts as a document by its own name."""
+    found = unpacked(spark.read.format("binaryFile").load(path), data).where(F.col("path").isNull() | ~junk(F.col("path")))
+    at = F.coalesce("path", "archive")
+    return found.withColumns({"name": F.element_at(F.split(at, "/"), -1), "is_document": F.col("path").isNull() | F.col("path").rlike(r"(?i)\.pdf$")})
+
+
+def doc_id(archive: Column, path: Column) -> Column:
+    """What tells documents of all archives apart."""
+    return F.concat_ws("!", archive, path)
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """The documents among entries, with doc_ord: their order by name within the archive."""
-    w = Window.partitionBy("archive").orderBy(F.collate("name", "es"), "path")
-    return found.where("is_document").withColumn("doc_ord", F.row_number().over(w) - 1)
+    """(doc_id, data, error) of the documents among entries."""
+    return found.where("is_document").select(doc_id(F.col("archive"), F.col("path")).alias("doc_id"), "data", "error")
+
+
+def files(found: DataFrame) -> DataFrame:
+    """(doc_id, doc_ord, file, error): the documents of all archives in one sequence by name, from 0 on;
+    equal names by archive and path. Names are numbered, contents stay where they are."""
+    names = found.where("is_document").select(doc_id(F.col("archive"), F.col("path")).alias("doc_id"), F.col("name").alias("file"), "error", "archive", "path")
+    placed = numbered(names, [F.collate("file", "es"), F.col("archive"), F.col("path")], "doc_ord")
+    return placed.select("doc_id", (F.col("doc_ord") - 1).cast("long").alias("doc_ord"), "file", "error")
 
 
 def ignored(found: DataFrame) -> DataFrame:
-    """(file, file_ord) of the entries that aren't documents."""
-    w = Window.partitionBy("archive").orderBy("path")
-    return found.where("not is_document").select(F.col("path").alias("file"), F.row_number().over(w).cast("long").alias("file_ord"))
+    """(file, file_ord) of the entries of all archives that aren't documents."""
+    others = found.where("not is_document").select("archive", F.col("path").alias("file"))
+    return numbered(others, [F.col("archive"), F.col("file")], "file_ord").select("file", F.col("file_ord").cast("long").alias("file_ord"))

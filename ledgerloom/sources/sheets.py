@@ -5,12 +5,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_CELL = pa.schema([("file", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("value", pa.string()), ("is_number", pa.bool_())])
+_CELL = pa.schema([("file", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("value", pa.string()), ("is_number", pa.bool_()), ("error", pa.string())])
+#: Cells that are passed on at a time.
+HELD = 20_000
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -51,16 +54,26 @@ def _cells(content: bytes, part: str):
 
 
 def sheet_cells(spark: SparkSession, path: str, part: str = "xl/worksheets/sheet1.xml") -> DataFrame:
-    """(file, row_no, col_no, value, is_number) of one sheet of every workbook at a path."""
+    """(file, row_no, col_no, value, is_number, error) of one sheet of every workbook at a path. A
+    workbook that can't be read gives one row with its error after what was read of it."""
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = list(_cells(content.as_py(), part))
-                columns = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array(c, f.type) for c, f in zip(columns, list(_CELL)[1:])]], schema=_CELL)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row_no int, col_no int, value string, is_number boolean")
+                cells = _cells(content.as_py(), part)
+                while True:
+                    rows = []
+                    try:
+                        rows += islice(((name, *c, None) for c in cells), HELD)
+                        done = not rows
+                    except Exception as e:  # noqa: BLE001  a broken workbook must not stop the run
+                        rows, done = [*rows, (name, None, None, None, None, str(e) or type(e).__name__)], True
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CELL)], schema=_CELL)
+                    if done:
+                        break
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row_no int, col_no int, value string, is_number boolean, error string")
 
 
 def sheet_table(cells: DataFrame, names: list[str]) -> DataFrame:
@@ -68,4 +81,4 @@ def sheet_table(cells: DataFrame, names: list[str]) -> DataFrame:
     from pyspark.sql import functions as F
 
     picked = [F.max(F.when(F.col("col_no") == n + 1, F.col("value"))).alias(name) for n, name in enumerate(names)]
-    return cells.where("row_no > 1").groupBy("file", "row_no").agg(*picked)
+    return cells.where("row_no > 1 and error is null").groupBy("file", "row_no").agg(*picked)

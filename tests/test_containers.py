@@ -1,7 +1,9 @@
 import io
+import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import config as C
 from ledgerloom.plans import ledger
@@ -11,21 +13,51 @@ from ledgerloom.sources import archive, pdf, sheets
 from . import vouchers
 
 
-def test_archives(spark, tmp_path):
+def zipped(names):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
-        for name in ("b/Ñandu.PDF", "a/zeta.pdf", "nota.txt", "__MACOSX/x.pdf", "a/._zeta.pdf", "a/.DS_Store", "dir/", "Oso.pdf", "c/avión.pdf"):
+        for name in names:
             z.writestr(name, f"data of {name}")
-    (tmp_path / "in.zip").write_bytes(buffer.getvalue())
+    return buffer.getvalue()
+
+
+def test_archives(spark, tmp_path):
+    (tmp_path / "in.zip").write_bytes(zipped(["b/Ñandu.PDF", "a/zeta.pdf", "nota.txt", "__MACOSX/x.pdf", "a/._zeta.pdf", "a/.DS_Store", "dir/", "Oso.pdf", "c/avión.pdf"]))
     found = archive.entries(spark, str(tmp_path / "*.zip"))
-    docs = archive.documents(found).orderBy("doc_ord").collect()
-    assert [d["name"] for d in docs] == ["avión.pdf", "Ñandu.PDF", "Oso.pdf", "zeta.pdf"]
-    assert bytes(docs[2]["data"]) == b"data of Oso.pdf"
+    assert [r["file"] for r in archive.files(found).orderBy("doc_ord").collect()] == ["avión.pdf", "Ñandu.PDF", "Oso.pdf", "zeta.pdf"]
+    docs = {r["doc_id"].split("!")[1]: bytes(r["data"]) for r in archive.documents(found).collect()}
+    assert docs["Oso.pdf"] == b"data of Oso.pdf" and len(docs) == 4
     assert [r["file"] for r in archive.ignored(found).collect()] == ["nota.txt"]
     names = archive.entries(spark, str(tmp_path / "*.zip"), data=False)
     assert names.where("data is not null").count() == 0 and names.count() == 5
 
 
+def test_broken_containers_are_rows(spark, tmp_path):
+    whole = zipped(["x.pdf", "y.pdf"])
+    (tmp_path / "a.zip").write_bytes(whole)
+    (tmp_path / "b.zip").write_bytes(whole.replace(b"data of y.pdf", b"data of Y.pdf"))  # its checksum is wrong
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    found = archive.entries(spark, str(tmp_path / "*.zip"))
+    got = {(r["archive"].split("/")[-1], r["path"]): r["error"] for r in found.collect()}
+    assert {k for k, e in got.items() if e} == {("b.zip", "y.pdf"), ("c.zip", None)} and len(got) == 5
+    files = archive.files(found).orderBy("doc_ord").collect()
+    assert [(r["doc_ord"], r["file"], r["error"] is None) for r in files] == [(0, "c.zip", False), (1, "x.pdf", True), (2, "x.pdf", True), (3, "y.pdf", True), (4, "y.pdf", False)]
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    assert [r["error"] is None for r in sheets.sheet_cells(spark, str(tmp_path / "bad.xlsx")).collect()] == [False]
+
+
+def test_copies_in_two_archives_count_once(spark):
+    """Two vouchers that are both first in their archives, by doc_id alone."""
+    pages = vouchers.sample()[0][2]
+    files, cells, boxes = vouchers.build(spark, [("a!x.pdf", "x.pdf", pages, None), ("b!x.pdf", "x.pdf", pages, None)])
+    result = ledger.process(files.withColumn("doc_ord", F.lit(0)), cells, boxes)
+    assert sorted(r["duplicate_of"] or "" for r in result.documents.collect()) == ["", "x.pdf"]
+    assert {int(r[C.column("impo_afp").name]) for r in result.ledger.collect()} == {1000010, 500000}
+    made = list(result._made)
+    result.release()
+    assert made and not any(os.path.exists(p.removeprefix("file:")) for p in made)
+
+
 def test_workbook_reads_back(spark, tmp_path):
     result = ledger.process(*vouchers.build(spark, vouchers.sample()))
     path = tmp_path / "out.xlsx"
@@ -51,7 +83,7 @@ def test_shared_strings_and_blank_rows(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>a &amp; b</t></si><si><r><t>x</t></r><r><t>y</t></r></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"/><c r="AA1" t="s"><v>1</v></c></row><row r="9"><c r="A9"><v>5</v></c></row></sheetData></worksheet>')
-    got = sorted(tuple(r)[1:] for r in sheets.sheet_cells(spark, str(tmp_path / "s.xlsx")).collect())
+    got = sorted(tuple(r)[1:5] for r in sheets.sheet_cells(spark, str(tmp_path / "s.xlsx")).collect())
     assert got == [(1, 1, "a & b", False), (1, 27, "xy", False), (2, 1, "5", True)]
 
 
