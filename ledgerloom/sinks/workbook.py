@@ -1,7 +1,8 @@
 """The four-sheet workbook of a run: ledger, summary, columns and what to look at.
 
 A workbook is for people and holds a million rows at most; whole results at scale are written
-as Parquet. Rows come to the driver one partition at a time and go straight into the archive.
+as Parquet. The ledger's rows are put into a sheet's form by the tasks that hold them; they come to
+the driver one partition at a time and go straight into the archive.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Iterable
 from decimal import Decimal
+from itertools import chain
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -71,8 +73,8 @@ def review(result: Ledger) -> DataFrame:
 
 
 def widths(rows: DataFrame, headers: list[str], names: list[str]) -> list[int]:
-    """Column widths from the first rows, within bounds."""
-    few = rows.limit(WIDTH_ROWS).agg(*[F.max(F.length(F.coalesce(F.col(n).cast("string"), F.lit("")))).alias(n) for n in names]).first()
+    """Column widths from some rows, within bounds."""
+    few = rows.agg(*[F.max(F.length(F.coalesce(F.col(n).cast("string"), F.lit("")))).alias(n) for n in names]).first()
     return [min(WIDEST, max(NARROWEST, max(len(h), few[n] or 0) + 2)) for h, n in zip(headers, names)]
 
 
@@ -106,6 +108,23 @@ def _cell(row: int, col: int, value) -> str:
     return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
+def rows_in_form(rows: DataFrame, names: list[str], at: Column) -> DataFrame:
+    """(at, row): rows as a sheet holds them, at is the number of a row. Decimals and numbers are written
+    plainly and without trailing zeros, empty cells left out."""
+    cells, kinds = [], dict(rows.dtypes)
+    for n, name in enumerate(names, 1):
+        start = F.concat(F.lit(f'<c r="{_letters(n)}'), F.col("_at"))
+        if kinds[name] == "string":
+            text = F.replace(F.replace(F.replace(F.col(name), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+            cells.append(F.when(F.col(name) != "", F.concat(start, F.lit('" t="inlineStr"><is><t xml:space="preserve">'), text, F.lit("</t></is></c>"))))
+        else:
+            number = F.regexp_replace(F.col(name).cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+            cells.append(F.when(F.col(name).isNotNull(), F.concat(start, F.lit('"><v>'), number, F.lit("</v></c>"))))
+    numbered = rows.withColumn("_at", at.cast("long").cast("string"))
+    # concat_ws passes over nulls
+    return numbered.select(at.cast("long").alias("at"), F.concat(F.lit('<row r="'), F.col("_at"), F.lit('">'), F.concat_ws("", *cells), F.lit("</row>")).alias("row"))
+
+
 def _sheet(archive: zipfile.ZipFile, n: int, rows: Iterable[Iterable], width: list[int], frozen: bool) -> None:
     with archive.open(f"xl/worksheets/sheet{n}.xml", "w") as f:
         put = lambda s: f.write(s.encode())
@@ -117,7 +136,7 @@ def _sheet(archive: zipfile.ZipFile, n: int, rows: Iterable[Iterable], width: li
         for r, row in enumerate(rows, 1):
             if r > ROWS_IN_A_SHEET:
                 raise ValueError("more rows than a sheet holds; write the ledger as Parquet instead")
-            put(f'<row r="{r}">' + "".join(_cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>")
+            put(row if isinstance(row, str) else f'<row r="{r}">' + "".join(_cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>")
             last = r
         put("</sheetData>")
         if frozen and last > 1:
@@ -129,7 +148,8 @@ def write_workbook(result: Ledger, target) -> None:
     """The workbook into a path or binary file on the driver."""
     names, headers = [c.name for c in C.LAYOUT], [c.header for c in C.LAYOUT]
     line = C.column("Linea").name
-    rows = result.ledger.orderBy(line)
+    rows = result.ledger
+    lines = rows_in_form(rows, names, F.col(line) + 1).orderBy("at")
     sums = summary(result).orderBy("block", "ord")
     numbers = {3, 4, 5}
 
@@ -156,7 +176,7 @@ def write_workbook(result: Ledger, target) -> None:
         yield from df.toLocalIterator()
 
     sheets = [
-        (LEDGER, headed(headers, rows), widths(rows, headers, names), True),
+        (LEDGER, chain([headers], (r["row"] for r in lines.toLocalIterator())), widths(rows.where(F.col(line) <= WIDTH_ROWS), headers, names), True),
         (SUMMARY, summary_rows(), [34, 30, 22, 10, 34, 9, 13, 26], False),
         (COLUMNS, headed(["Archivo", "Sección", "Págs.", "#", "Encabezado detectado", "Clave que calzó", "Nivel", "Campo", "Filas con valor", "Suma"], columns(result)), [26, 22, 10, 5, 52, 46, 10, 16, 14, 16], False),
         (REVIEW, headed(["Tipo", "Archivo", "Detalle"], review(result)), [26, 30, 100], False),
