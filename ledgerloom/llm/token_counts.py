@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import batch, id_text, materialize, texts
 
 MARK = "▁"
-HEAD, LONG = 200_000, 64
+HEAD, LONG = 300_000, 64
 #: Distinct pre-tokens that a task holds before it passes its counts on.
 HELD = 300_000
 CONTEXT_LIMIT = 4096
