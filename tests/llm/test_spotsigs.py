@@ -19,9 +19,11 @@ def plain_signatures(text):
     """The set of signatures as the words themselves."""
     words = re.findall(r"\w+", text.lower())
     out = set()
-    for n, w in enumerate(words):
-        chain = [x for x in words[n + 1 :] if x not in ANCHORS][:2]
-        if w in ANCHORS and len(chain) == 2:
+    chain: list[str] = []  # the content words that follow, the nearest first
+    for w in reversed(words):
+        if w not in ANCHORS:
+            chain = [w, *chain[:1]]
+        elif len(chain) == 2:
             out.add((w, *chain))
     if out or not words:
         return out
