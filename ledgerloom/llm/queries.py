@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, rules, secrets, simhash, spotsigs, token_counts, toxicity
+from . import bpe, mixing, pii, quality, rules, secrets, sentencepieces, simhash, spotsigs, token_counts, toxicity
 from .common import documents
 
 
@@ -66,6 +66,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_tokens(documents(spark, sf_dir))
 
 
+def op11_sentencepiece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(sentencepieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith(("op", "spotsigs_")) and callable(f)}
 
