@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, rules, secrets, sentencepieces, simhash, spotsigs, token_counts, toxicity
+from . import bpe, mixing, pii, quality, rules, secrets, sentencepieces, simhash, spotsigs, token_counts, toxicity, whitening
 from .common import documents
 
 
@@ -70,6 +70,11 @@ def op11_sentencepiece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFr
     return sentencepieces.digest(sentencepieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith(("op", "spotsigs_")) and callable(f)}
 
