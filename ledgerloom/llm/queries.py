@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, rules, secrets, sentencepieces, simhash, spotsigs, token_counts, toxicity, whitening
+from . import bpe, mixing, pii, quality, rules, secrets, sentencepieces, simhash, spotsigs, token_counts, toxicity, tries, whitening
 from .common import documents
 
 
@@ -75,6 +75,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith(("op", "spotsigs_")) and callable(f)}
 
