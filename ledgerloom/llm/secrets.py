@@ -12,8 +12,10 @@ Confirmed kinds, reported only if their bytes parse, never by their length alone
           may be real or written as backslash and letter, as in JSON and source code
   der     a private key without armour, in base64 or hex, on one line or several: a DER sequence
           whose nested lengths add up, or an OpenSSH key whose fields do
-Base64 of base64 or of armour counts as what it holds. A candidate ends where its own lengths
-say, so what stands directly before or after it doesn't matter.
+Base64 of base64 or of armour counts as what it holds. A key or token may stand directly after
+letters and digits, and ends where its own lengths say: every run of encoded characters is decoded
+once for each way to align it, and searched for beginnings. Only base64 of base64 has to begin a run.
+The work is linear in the text but for keys that only seem to nest: it is then that of walking their values.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # fixed values: the candidates
-JWT = re.compile(r"(?<![A-Za-z0-9])(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
+TOKEN_HEAD, TOKEN_MARK = re.compile(r"[A-Za-z0-9_-]{14,}"), re.compile(r"e[wy]")
+TOKEN_REST = re.compile(r"\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
 ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*): ?(.*)")
-HEX_KEY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0x))30[0-9A-Fa-f:]{2}")
+DER_START = re.compile(rb"(?=\x30(?:[\x00-\x7f]|\x81[\x80-\xff]|\x82[\x01-\xff].|\x83[\x01-\xff]..|\x84[\x01-\xff]...)\x02\x01[\x00-\x03])", re.DOTALL)
+HEX_KEY, LISTED_HEX = re.compile(r"30:?[0-9A-Fa-f]{2}"), re.compile(r"(?:\\x[0-9A-Fa-f]{2}){7,}|0x[0-9A-Fa-f]{2}(?:,\s*0x[0-9A-Fa-f]{2}){6,}")
 OPENSSH, PEM_START = b"openssh-key-v1\0", b"-----BEGIN "
 # fixed values: runs of encoded bytes, and what may stand between the lines of a wrapped one
-RUN64, RUN16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r":?(?:[0-9A-Fa-f]{2}:?)+")
+RUN64, RUN16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f:]+")
 WRAP = re.compile(r"[ \t\"',\\+]*(?:\r?\n|(?:\\+r)?\\+n)[ \t\"',]*")
 DEK_INFO = re.compile(r"[A-Z0-9-]+,(?:[0-9A-Fa-f]{2})+")
 #: The smallest private key is a sequence of a version and an empty value: 7 bytes.
@@ -72,6 +76,7 @@ def _starters() -> str:
 
 
 BASE64_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{_starters()})(?=[A-Za-z0-9+/_-]{{{-(-LEAST_KEY * 8 // 6) - 2}}})")
+PLAIN64 = re.compile(r"(?=(?:M[A-P]|b3|LS)[A-Za-z0-9+/_-]{8})")  # the first letters of a DER sequence, an OpenSSH key, armour
 NESTED = re.compile(rf"(?:{_starters()}|e[wy])".encode())
 
 
@@ -107,38 +112,67 @@ def _der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return tag, at, at + size
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of DER values that fill data exactly; constructed ones must nest likewise, to
-    any depth."""
-    out, todo, top = [], [(0, len(data))], True
-    while todo:
-        at, end = todo.pop()
-        while at < end:
-            head = _der_head(data, at, end)
+class Der:
+    """Bytes whose DER values are walked from many places. What walks have found is kept: how far
+    valid values follow a place without a gap, and the places where no valid value begins; so walks
+    that meet don't go the same way twice."""
+
+    def __init__(self, data: bytes):
+        self.data, self.far, self.dead, self.whole = data, {}, set(), set()
+
+    def fills(self, begin: int, end: int) -> bool:
+        """Whether DER values fill the bytes from begin to end exactly; constructed ones must nest likewise, to any depth."""
+        todo = [[begin, end, []]]  # where, the end, places on the way
+        while todo:
+            at, end, way = todo[-1]
+            if at == end:
+                self._met(way, at)
+                todo.pop()
+                if todo:
+                    outer = todo[-1]
+                    self.whole.add(outer[0])
+                    outer[2].append(outer[0])
+                    outer[0] = at
+                continue
+            if at < (far := self.far.get(at, 0)) <= end:
+                way.append(at)
+                todo[-1][0] = far
+                continue
+            head = None if at in self.dead else _der_head(self.data, at, len(self.data))
             if head is None or head[2] > end:
-                return None
-            tag, begin, at = head
-            if top:
-                out.append((tag, data[begin:at]))
-            if tag & 0x20:
-                todo.append((begin, at))
-        top = False
-    return out
-
-
-def _der_size(data: bytes) -> int | None:
-    """How many bytes the private key that begins with these has by its outermost length."""
-    head = _der_head(data, 0, len(data)) if data[:1] == b"\x30" else None
-    if head is None or data[head[1] : head[1] + 2] != b"\x02\x01" or not data[head[1] + 2 : head[1] + 3] <= b"\x03":
-        return None
-    return head[2]
+                if head is None:
+                    self.dead.add(at)
+                self._met(way, at)
+                for at, _, way in todo[:-1]:
+                    self.dead.add(at)
+                    self._met(way, at)
+                return False
+            if head[0] & 0x20 and at not in self.whole:
+                todo.append([head[1], head[2], []])
+            else:
+                way.append(at)
+                todo[-1][0] = head[2]
+        return True
+
+    def _met(self, way: list[int], at: int) -> None:
+        for place in way:
+            self.far[place] = at
+
+    def key_size(self, at: int) -> int | None:
+        """How many bytes the private key has that begins at a place: a DER sequence that begins with a version
+        number 0 to 3 and holds further values, or an OpenSSH key whose length-prefixed fields fit."""
+        if self.data.startswith(OPENSSH, at):
+            return _openssh_size(self.data, at)
+        head = _der_head(self.data, at, len(self.data)) if self.data[at : at + 1] == b"\x30" else None
+        if head is None or head[2] > len(self.data) or not re.match(rb"\x02\x01[\x00-\x03]", self.data[head[1] : head[1] + 3]):
+            return None
+        after = head[1] + 3
+        return head[2] - at if after < head[2] and self.fills(after, head[2]) else None
 
 
-def _openssh_size(data: bytes) -> int | None:
-    """How many bytes the OpenSSH key at the start of data has by its fields' lengths."""
-    at = len(OPENSSH)
-    if not data.startswith(OPENSSH):
-        return None
+def _openssh_size(data: bytes, begin: int) -> int | None:
+    """How many bytes the OpenSSH key at a place of data has by its fields' lengths."""
+    at = begin + len(OPENSSH)
     step = lambda at: at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
     for _ in range(3):  # cipher, key derivation and its options
         at = step(at)
@@ -146,21 +180,13 @@ def _openssh_size(data: bytes) -> int | None:
     for _ in range(keys + 1):  # public keys, then the private ones
         if (at := step(at)) > len(data):
             return None
-    return at
+    return at - begin
 
 
 def private_key(data: bytes | None) -> bool:
-    """Whether bytes are a private key: a DER sequence that begins with a version number 0 to 3
-    and holds further values, or an OpenSSH key whose length-prefixed fields fit."""
-    if not data:
-        return False
-    if data.startswith(OPENSSH):
-        return _openssh_size(data) is not None
-    if _der_size(data) != len(data):
-        return False
-    outer = der_items(data)
-    inner = der_items(outer[0][1]) if outer else None
-    return bool(inner) and len(inner) >= 2
+    """Whether bytes are a private key, from their first to their last."""
+    size = Der(data).key_size(0) if data else None
+    return size is not None and (size == len(data) or data.startswith(OPENSSH))
 
 
 def _secret_packets(data: bytes) -> bool:
@@ -206,18 +232,48 @@ def armoured_key(body: str, label: str) -> bool:
         return _secret_packets(data)
     if "DEK-Info" in headers:
         return DEK_INFO.fullmatch(headers["DEK-Info"].strip()) is not None and len(data) % 8 == 0
-    return private_key(data) or data[0] == 0x30 and der_items(data) is not None
+    return private_key(data) or data[0] == 0x30 and Der(data).fills(0, len(data))
+
+
+def _object_start(data: bytes) -> int | None:
+    """Where the JSON object begins that ends data: braces outside strings are counted from the end. A quote
+    ends or begins a string unless an odd number of backslashes stands before it."""
+    depth, inside = 0, False
+    for m in reversed(list(re.finditer(rb'\\*"|[{}]', data.rstrip()))):
+        if m[0].endswith(b'"'):
+            inside ^= len(m[0]) % 2 == 1
+        elif not inside:
+            depth += 1 if m[0] == b"}" else -1
+            if depth <= 0:
+                return m.start() if depth == 0 else None
+    return None
 
 
-def _token_end(m: re.Match) -> int | None:
-    """Where the token of a JWT match ends, if its header is one: an encrypted one has two parts more."""
-    try:
-        head = json.loads(unbase64(m[1]) or b"")
-    except (ValueError, UnicodeDecodeError, RecursionError):
-        return None
-    if not isinstance(head, dict) or not isinstance(head.get("alg"), str) or unbase64(m[2]) is None:
-        return None
-    return m.end() if "enc" in head else m.end(3)
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens: a run of base64url whose end is a JSON object with "alg", then payload and signature;
+    an encrypted one has two parts more. Each run is decoded once for each alignment of a mark in it."""
+    out, taken = [], 0
+    for run in TOKEN_HEAD.finditer(text):
+        if run.start() < taken or not text.startswith(".", run.end()) or not (rest := TOKEN_REST.match(text, run.end())) or unbase64(rest[1]) is None:
+            continue
+        chars, best = run[0], None
+        for r in sorted({m.start() % 4 for m in TOKEN_MARK.finditer(chars)}):
+            data = unbase64(chars[r:])
+            start = _object_start(data) if data and data.rstrip().endswith(b"}") else None
+            if start is None or start % 3:
+                continue
+            try:
+                head = json.loads(data[start:])
+            except (ValueError, UnicodeDecodeError, RecursionError):
+                continue
+            if isinstance(head, dict) and isinstance(head.get("alg"), str):
+                at = run.start() + r + start // 3 * 4
+                if best is None or at < best[0]:
+                    best = at, rest.end() if "enc" in head else rest.end(2)
+        if best:
+            out.append(("jwt", *best))
+            taken = best[1]
+    return out
 
 
 class _Lines:
@@ -248,6 +304,10 @@ class _Lines:
         k = bisect_left(self.counts, n) - 1
         return self.places[k] + n - self.counts[k]
 
+    def start(self, n: int) -> int:
+        """Where in the text the character begins that n others stand before."""
+        return self.end(n + 1) - 1
+
 
 def _padded(text: str, end: int) -> int:
     while end < len(text) and text[end] == "=":
@@ -273,16 +333,11 @@ class _Tried:
 
 
 def _base64_key(text: str, at: int, tried: _Tried) -> tuple[str, int] | None:
-    """(kind, end) of the key in base64 at a place of the text, if there is one."""
+    """(kind, end) of what is in base64 of text at a place of the text: a key in base64 again, armour or a token."""
     lines = _Lines(text, at, RUN64)
     begin = unbase64(lines.upto(24)) if len(lines.upto(24)) % 4 != 1 else unbase64(lines.upto(24)[:-1])
     if not begin:
         return None
-    if begin[0] == 0x30:
-        size = _der_size(begin)
-        if size is None or size * 8 // 6 > len(text) - at or not private_key(unbase64(lines.upto(_chars(size)))):
-            return None
-        return "der", _padded(text, lines.end(_chars(size)))
     if not begin.startswith((OPENSSH, PEM_START)) and not NESTED.match(begin):
         return None
     run = tried.run(text, at)
@@ -296,8 +351,7 @@ def _base64_key(text: str, at: int, tried: _Tried) -> tuple[str, int] | None:
         if not data:
             continue
         if data.startswith(OPENSSH):
-            size = _openssh_size(data)
-            if size is not None:
+            if (size := _openssh_size(data, 0)) is not None:
                 return "der", _padded(text, lines.end(_chars(size)))
             continue
         plain = re.match(rb"[\t\n\r -~]*", data)[0].decode()
@@ -306,19 +360,60 @@ def _base64_key(text: str, at: int, tried: _Tried) -> tuple[str, int] | None:
     return None
 
 
-def _hex_key(text: str, at: int) -> int | None:
-    """Where the private key in hex at a place of the text ends."""
-    lines = _Lines(text, at, RUN16)
-    bare = lambda n: lines.upto(n).replace(":", "")
-    begin = bare(60)
-    size = _der_size(bytes.fromhex(begin[: len(begin) // 2 * 2]))
-    if size is None or size * 2 > len(text) - at:
-        return None
-    n = 3 * size - 1 if lines.chars[2:3] == ":" else 2 * size
-    digits = bare(n)
-    if len(digits) != 2 * size or not private_key(bytes.fromhex(digits)):
-        return None
-    return lines.end(n)
+def _keys(data: bytes, step: int = 1) -> list[tuple[int, int]]:
+    """(start, size) of the private keys in data that begin at a multiple of step, none in another."""
+    out, taken, der = [], 0, Der(data)
+    starts = [m.start() for m in DER_START.finditer(data)] + [m.start() for m in re.finditer(re.escape(OPENSSH), data)]
+    for at in sorted(starts):
+        if at >= taken and at % step == 0 and (size := der.key_size(at)) is not None:
+            out.append((at, size))
+            taken = at + size
+    return out
+
+
+def _in_base64(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of private keys and armour in base64, wherever in a run they begin."""
+    out, run_end = [], 0
+    for m in PLAIN64.finditer(text):
+        if m.start() < run_end:
+            continue
+        lines = _Lines(text, m.start(), RUN64)
+        chars = lines.upto(len(text))
+        run_end = lines.end(len(chars))
+        for r in {x.start() % 4 for x in PLAIN64.finditer(chars)}:
+            n = (len(chars) - r) // 4 * 4 + ((len(chars) - r) % 4 if (len(chars) - r) % 4 > 1 else 0)
+            data = unbase64(chars[r : r + n])
+            found = [("der", at, size) for at, size in _keys(data, 3)]
+            if PEM_START in data:
+                found += [("pem", a, b - a) for _, a, b in _armoured(data.decode("latin-1")) if a % 3 == 0]
+            for kind, at, size in found:
+                first = r + at // 3 * 4
+                out.append((lines.start(first), kind, _padded(text, lines.end(first + _chars(size)))))
+    return out
+
+
+def _in_hex(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of private keys in hex: bare, with colons, on lines, or as listed bytes."""
+    out, run_end = [], 0
+    for m in HEX_KEY.finditer(text):
+        if m.start() < run_end:
+            continue
+        lines = _Lines(text, m.start(), RUN16)
+        chars = lines.upto(len(text))
+        if not chars:
+            continue
+        run_end = lines.end(len(chars))
+        places = [i for i, c in enumerate(chars) if c != ":"] if ":" in chars else range(len(chars))
+        digits = chars.replace(":", "")
+        for r in (0, 1):
+            for at, size in _keys(bytes.fromhex(digits[r : r + (len(digits) - r) // 2 * 2])):
+                first, last = r + 2 * at, r + 2 * (at + size) - 1
+                out.append((lines.start(places[first]), "der", lines.end(places[last] + 1)))
+    for m in LISTED_HEX.finditer(text) if "x30" in text else ():
+        bytes_ = list(re.finditer(r"x([0-9A-Fa-f]{2})", m[0]))
+        for at, size in _keys(bytes.fromhex("".join(x[1] for x in bytes_))):
+            out.append((m.start() + bytes_[at].start() - 1, "der", m.start() + bytes_[at + size - 1].end()))
+    return out
 
 
 def _armoured(text: str) -> list[tuple[str, int, int]]:
@@ -333,24 +428,20 @@ def structures(text: str) -> list[tuple[str, int, int]]:
     else the first."""
     found = _armoured(text) if "PRIVATE KEY" in text else []
     if "." in text:
-        found += [("jwt", m.start(), end) for m in JWT.finditer(text) if (end := _token_end(m))]
+        found += _tokens(text)
     found.sort(key=lambda f: f[1])
     taken, out = 0, []
     tried = _Tried()
-    candidates = [(m.start(), BASE64_KEY) for m in BASE64_KEY.finditer(text)] + [(m.start(), HEX_KEY) for m in HEX_KEY.finditer(text)]
+    candidates = _in_base64(text) + _in_hex(text) + [(m.start(), "", 0) for m in BASE64_KEY.finditer(text)]
     known = iter([*found, ("", len(text) + 1, 0)])
     ahead = next(known)
-    for at, kind in sorted(candidates, key=lambda c: c[0]):
+    for at, kind, end in sorted(candidates, key=lambda c: (c[0], not c[1])):
         while ahead[1] <= at:
             taken = max(taken, ahead[2])
             ahead = next(known)
         if at < taken:
             continue
-        if kind is HEX_KEY:
-            end = _hex_key(text, at)
-            got = ("der", end) if end else None
-        else:
-            got = _base64_key(text, at, tried)
+        got = (kind, end) if kind else _base64_key(text, at, tried)
         if got:
             out.append((got[0], at, got[1]))
             taken = got[1]
@@ -374,7 +465,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) for every row of docs(doc_id, text, ...).
 
     Spans are in code points, the end exclusive, in the order of scan(). A null or empty text
-    has none. Repeated rows are each returned; other columns are ignored; no rows give no rows.
+    has none; texts of any length are scanned whole, in linear time. Repeated rows are each returned;
+    other columns are ignored; no rows give no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("spans", kind)])
