@@ -12,8 +12,9 @@ level, and that level is found by sums over the table: sources that are full at
 others a higher one, until no more are full.
 
 A leaf's budget is whole epochs of all its documents and a prefix of one more: the documents
-in the order of a seeded hash of (epoch, doc_id), as long as their tokens fit. The prefix ends
-at one hash value. It is found from token sums over 1,024 ranges of the hash, then over 1,024
+in the order of a seeded hash of (epoch, doc_id), as long as their tokens fit. The hash is of
+the id and the text, so only rows that agree in both have one place; of those at the end of the prefix
+as many copies are taken as fit. The prefix ends at one hash value. It is found from token sums over 1,024 ranges of the hash, then over 1,024
 ranges of the one in which the budget ends, and so on until that range is small. So no leaf is
 ever sorted in one task, and the selection itself is a filter.
 """
@@ -32,6 +33,9 @@ KEYS = ["_d", "_l", "_s"]
 #: Bits of the hash by which ranges get narrower, and documents that a last range holds at most if
 #: their hashes differ.
 RANGE_BITS, LAST_RANGE = 10, 50_000
+#: A leaf with more than FEW documents and more than 1 / SHARE of all is joined by broadcast (no more than
+#: SHARE leaves can be), so that no key of a shuffled join is hot.
+FEW, SHARE = 100_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -105,9 +109,24 @@ def _leaves(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_d": domain, "_l": named("lang"), "_s": named("source")})
 
 
+def _own(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _order(seed: int) -> Column:
     """The place of a document in the order of its leaf's last epoch."""
-    return F.xxhash64(F.lit(seed), F.col("_full"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    return F.xxhash64(F.lit(seed), F.col("_full"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("_own"))
+
+
+def _at_leaf(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined to table by leaf; table's large leaves (_large) are broadcast, the others shuffled."""
+    large = table.where("_large")
+    if large.isEmpty():
+        return rows.join(table, KEYS)
+    more = [c for c in table.columns if c not in KEYS]
+    put = rows.join(F.broadcast(large), KEYS, "left")
+    rest = put.where("_large is null").drop(*more).join(table.where("not _large"), KEYS)
+    return put.where("_large").unionByName(rest)
 
 
 def _leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -120,7 +139,7 @@ def _leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     named = [(*p, float(w)) for p, w in mix.weights.items() if len(p) == 3]
     weights = spark.createDataFrame(named, "_d string, _l string, _s string, _named double")  # of the configuration
     parents = ["_d", "_l"]
-    rows = leaves.join(F.broadcast(weights), KEYS, "left").select(*KEYS, "_tokens", (F.col("_tokens") * mix.max_epochs).alias("_room"), F.coalesce("_named", F.lit(1.0)).alias("_w"))
+    rows = leaves.join(F.broadcast(weights), KEYS, "left").select(*KEYS, "_tokens", "_large", (F.col("_tokens") * mix.max_epochs).alias("_room"), F.coalesce("_named", F.lit(1.0)).alias("_w"))
     sums = {(r["_d"], r["_l"]): r for r in rows.groupBy(*parents).agg(F.sum("_tokens").alias("n"), F.sum("_w").alias("w")).collect()}
     shares = budgets({p: r["n"] for p, r in sums.items()}, mix) if sums else {}
     levels = {p: (float(shares[p]), float(r["w"])) for p, r in sums.items()}
@@ -137,51 +156,63 @@ def _leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
             break
         levels = after
     share = F.when(F.col("_full_up"), F.col("_room")).when(F.col("_open") > 0, F.floor(F.col("_left") * F.col("_w") / F.col("_open"))).otherwise(0)
-    return leveled().select(*KEYS, "_tokens", share.cast("long").alias("_budget"))
+    return leveled().select(*KEYS, "_tokens", "_large", share.cast("long").alias("_budget"))
 
 
 def _prefix_ends(tokens: DataFrame, table: DataFrame, seed: int) -> DataFrame:
-    """(KEYS, _cut): the last hash of the prefix of each leaf with a rest; null for an empty one."""
-    placed = tokens.join(table.where("_rest > 0"), KEYS).select(*KEYS, "_rest", "n_tokens", _order(seed).alias("h"))
+    """(KEYS, _cut, _next, _take) of each leaf with a rest: the last hash of its prefix, null for an empty one; the
+    hash after it, and how many of the equal documents there still fit."""
+    placed = _at_leaf(tokens, table.where("_rest > 0")).select(*KEYS, "_rest", "n_tokens", _order(seed).alias("h"))
     placed, ends, bits = materialize(placed.withColumn("_before", F.lit(0).cast("long"))), None, 0
     while True:
         rows, bits = placed, bits + RANGE_BITS
         if ends is not None:
-            rows = placed.drop("_before").join(ends, KEYS).where(F.shiftright("h", 64 - bits + RANGE_BITS) == F.col("_range")).drop("_range", "_n")
+            rows = _at_leaf(placed.drop("_before"), ends).where(F.shiftright("h", 64 - bits + RANGE_BITS) == F.col("_range")).drop("_range", "_n", "_large")
         sums = rows.groupBy(*KEYS, "_rest", "_before", F.shiftright("h", 64 - bits).alias("_range")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("_n"))
         reached = F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("_range"))  # 1,024 rows at most
         over = sums.withColumn("_reached", reached).where("_reached > _rest and _reached - n <= _rest")
-        ends = materialize(over.select(*KEYS, "_range", (F.col("_reached") - F.col("n")).alias("_before"), "_n"), compact=True)
+        found = over.select(*KEYS, "_range", (F.col("_reached") - F.col("n")).alias("_before"), "_n")
+        ends = materialize(found.join(table.select(*KEYS, "_large"), KEYS), compact=True)
         largest = ends.agg(F.max("_n")).first()[0] or 0
         if largest <= LAST_RANGE or bits + RANGE_BITS > 62:
             break
-    last = placed.drop("_before").join(ends, KEYS).where(F.shiftright("h", 64 - bits) == F.col("_range"))
-    by_hash = last.groupBy(*KEYS, "_rest", "_range", "_before", "h").agg(F.sum("n_tokens").alias("n"))  # equal hashes stand or fall together
-    fits = F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("h")) <= F.col("_rest")
+    last = _at_leaf(placed.drop("_before"), ends).where(F.shiftright("h", 64 - bits) == F.col("_range"))
+    by_hash = last.groupBy(*KEYS, "_rest", "_range", "_before", "h").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("_equal"))
+    reached = F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("h"))
+    fits = F.col("_reached") <= F.col("_rest")
     least = F.when(F.col("_range") > -(1 << (bits - 1)), F.shiftleft("_range", 64 - bits) - 1)  # none fits: all before the range
-    return by_hash.withColumn("_fits", fits).groupBy(*KEYS).agg(F.coalesce(F.max(F.when(F.col("_fits"), F.col("h"))), F.max(least)).alias("_cut"))
+    take = F.when(F.col("n") > 0, F.expr("(_rest - _reached + n) * _equal div n"))
+    after = F.min(F.when(~fits, F.struct("h", take.alias("take"))))
+    ends = by_hash.withColumn("_reached", reached).groupBy(*KEYS).agg(F.coalesce(F.max(F.when(fits, F.col("h"))), F.max(least)).alias("_cut"), after.alias("_after"))
+    return ends.select(*KEYS, "_cut", F.col("_after.h").alias("_next"), F.coalesce("_after.take", F.lit(0)).alias("_take"))
 
 
 def plan(docs: DataFrame, mix: Mix = PRODUCTION) -> tuple[DataFrame, DataFrame]:
     """(selection table, token table). The first has a row for each leaf: _d, _l, _s, _tokens,
-    _budget, _full (whole epochs) and _cut (the last hash of the prefix, null for none); the
-    second has doc_id, _d, _l, _s, n_tokens for every row of docs. Both are written tables, so
+    _budget, _full (whole epochs), _cut (the last hash of the prefix, null for none), _next and _take (see
+    _prefix_ends); the second has doc_id, _d, _l, _s, _own (a hash of the text), n_tokens for every row of docs. Both are written tables, so
     Spark knows their size and broadcasts the first only where it is small.
     """
-    tokens = materialize(_leaves(docs).select("doc_id", "_d", "_l", "_s", token_estimate(F.col("text")).alias("n_tokens")))
-    leaves = materialize(tokens.groupBy(*KEYS).agg(F.sum("n_tokens").alias("_tokens")), compact=True)
+    tokens = materialize(_leaves(docs).select("doc_id", "_d", "_l", "_s", _own(F.col("text")).alias("_own"), token_estimate(F.col("text")).alias("n_tokens")))
+    leaves = materialize(tokens.groupBy(*KEYS).agg(F.sum("n_tokens").alias("_tokens"), F.count("*").alias("_docs")), compact=True)
+    most = max(FEW, (leaves.agg(F.sum("_docs")).first()[0] or 0) // SHARE)
+    leaves = leaves.withColumn("_large", F.col("_docs") > most).drop("_docs")
     some = F.col("_tokens") > 0
     parts = {"_full": F.when(some, F.expr("_budget div _tokens")).otherwise(0), "_rest": F.when(some, F.col("_budget") % F.col("_tokens")).otherwise(0)}
     shares = materialize(_leaf_budgets(leaves, mix).withColumns(parts), compact=True)
-    table = shares.join(_prefix_ends(tokens, shares, mix.seed), KEYS, "left").select(*KEYS, "_tokens", "_budget", "_full", "_cut")
+    table = shares.join(_prefix_ends(tokens, shares, mix.seed), KEYS, "left").select(*KEYS, "_tokens", "_budget", "_large", "_full", "_cut", "_next", "_take")
     return materialize(table, compact=True), tokens
 
 
 def _selected(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
     """rows with _epoch, once for each epoch in which their leaf takes them."""
-    placed = rows.join(table, KEYS)
-    copies = F.col("_full") + F.coalesce(_order(seed) <= F.col("_cut"), F.lit(False)).cast("long")
-    return placed.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    placed = _at_leaf(rows, table).withColumn("_h", _order(seed))
+    at_end = F.coalesce((F.col("_h") == F.col("_next")) & (F.col("_take") > 0), F.lit(False))
+    # equal documents at the end of a prefix: a few rows of each leaf, but for copies without an id
+    number = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.lit(0)))
+    ends = placed.where(at_end).withColumn("_copies", F.col("_full") + (number <= F.col("_take")).cast("long"))
+    inside = placed.where(~at_end).withColumn("_copies", F.col("_full") + F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False)).cast("long"))
+    return inside.unionByName(ends).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
 
 
 def select_tokens(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
@@ -189,9 +220,9 @@ def select_tokens(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     each epoch in which it is.
 
     docs has doc_id and text, and may have domain, lang and source; null names are the empty
-    name, a null text has no tokens. Leaves without tokens give nothing. Rows that repeat a
-    doc_id have one place in the order and stand or fall together. No rows give no rows. Texts of
-    any length are counted whole.
+    name, a null text has no tokens. Leaves without tokens give nothing. Rows with one
+    doc_id (or none) and one text have one place in the order; where the prefix ends there, as many of
+    them as fit are taken, no matter which. No rows give no rows. Texts of any length are counted whole.
     """
     table, tokens = plan(docs, mix)
     return _selected(tokens, table, mix.seed).select("doc_id", F.col("_d").alias("domain"), F.col("_l").alias("lang"), F.col("_s").alias("source"), "n_tokens", F.col("_epoch").alias("epoch"))
@@ -204,5 +235,5 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """
     table, _ = plan(docs, mix)
     named = [c for c in ("doc_id", *LEAF) if c in docs.columns]
-    rows = _leaves(docs.select(*named, F.struct(*docs.columns).alias("_row")))
+    rows = _leaves(docs.select(*named, _own(F.col("text")).alias("_own"), F.struct(*docs.columns).alias("_row")))
     return _selected(rows, table, mix.seed).select("_row.*")

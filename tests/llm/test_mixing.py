@@ -28,10 +28,11 @@ def test_siblings_take_a_shortage_before_ancestors_do():
     assert got[("a", "en", "x")] == 10 and got[("a", "en", "y")] == 20 and got[("a", "de", "z")] == 170 and got[("b", "en", "w")] == 200
 
 
-def _hash(seed, full, doc_id):
-    """xxhash64 of three columns (int, long, long), chained as Spark chains its seed."""
+def _hash(seed, full, doc_id, text):
+    """xxhash64 of four columns (int and three longs, of which the last is the text's own), chained as Spark chains its seed."""
+    own = xxhash.xxh64_intdigest(text.encode(), seed=42)
     h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), seed=42)
-    for v in (full, doc_id):
+    for v in (full, doc_id, own - (1 << 64) if own >> 63 else own):
         h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed=h)
     return h - (1 << 64) if h >> 63 else h
 
@@ -70,24 +71,27 @@ def plain_budgets(totals, mix):
 def brute(rows, mix):
     leaves = defaultdict(list)
     for d, t, lang, source, domain, _ in rows:
-        leaves[(domain or "", lang or "", source or "")].append((d, len((t or "").split())))
-    shares = plain_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, mix)
+        leaves[(domain or "", lang or "", source or "")].append((d, len((t or "").split()), t or ""))
+    shares = plain_budgets({k: sum(n for _, n, _ in v) for k, v in leaves.items()}, mix)
     out = []
     for leaf, docs in leaves.items():
-        total = sum(n for _, n in docs)
+        total = sum(n for _, n, _ in docs)
         if not total:
             continue
         full, rest = divmod(shares[leaf], total)
-        out += [(d, *leaf, n, e) for d, n in docs for e in range(full)]
+        out += [(d, *leaf, n, e) for d, n, _ in docs for e in range(full)]
         groups = defaultdict(list)
-        for d, n in docs:
-            groups[_hash(mix.seed, full, -1 if d is None else d)].append((d, n))
+        for d, n, t in docs:
+            groups[_hash(mix.seed, full, -1 if d is None else d, t)].append((d, n))
         used = 0
         for h in sorted(groups):
-            used += sum(n for _, n in groups[h])
-            if used > rest or not rest:
+            fit = [x for k, x in enumerate(groups[h], 1) if used + k * x[1] <= rest]
+            if not rest:
+                break
+            out += [(d, *leaf, n, full) for d, n in fit]
+            used += sum(n for _, n in fit)
+            if len(fit) < len(groups[h]):
                 break
-            out += [(d, *leaf, n, full) for d, n in groups[h]]
     return sorted(out, key=str)
 
 
@@ -125,3 +129,25 @@ def test_empty_and_no_domain(spark):
     df = spark.createDataFrame([(i, "a b c", "en", f"src{i % 5}") for i in range(200)], "doc_id long, text string, lang string, source string")
     taken = mixing.select_tokens(df).toPandas()
     assert 300 < taken.n_tokens.sum() <= 360 and set(taken.domain) <= {f"domain{d}" for d in range(4)}
+
+
+@pytest.mark.parametrize("seed", [11, 5, 3])
+@pytest.mark.parametrize("texts", ["all differ", "without an id all equal"])
+def test_the_budget_is_met_when_a_third_has_no_id(spark, seed, texts):
+    rows = [(i if i % 3 else None, f"w{i if i % 3 or texts == 'all differ' else 0} " + "a b c d e f g h i"[: 2 * (i % 3 * 2)], "en", "s", "d", "x") for i in range(3000)]
+    total = sum(len(r[1].split()) for r in rows)
+    mix = Mix(share=0.5, max_epochs=1, seed=seed)
+    got = [tuple(r) for r in mixing.select_tokens(spark.createDataFrame(rows, SCHEMA), mix).collect()]
+    assert total // 2 - 10 < sum(r[4] for r in got) <= total // 2
+    assert sorted(got, key=str) == sorted(brute(rows, mix), key=str)
+    assert mixing.mixed(spark.createDataFrame(rows, SCHEMA), mix).count() == len(got)
+
+
+def test_large_leaves_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 30)
+    monkeypatch.setattr(mixing, "LAST_RANGE", 4)
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.randrange(1, 30), "en", "hot" if i % 3 == 0 else f"s{i % 40}", "d", "x") for i in range(400)]
+    mix = Mix(share=0.4, max_epochs=2, seed=2)
+    got = sorted((tuple(r) for r in mixing.select_tokens(spark.createDataFrame(rows, SCHEMA), mix).collect()), key=str)
+    assert got == sorted(brute(rows, mix), key=str)
