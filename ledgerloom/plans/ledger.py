@@ -175,11 +175,15 @@ def from_archives(spark: SparkSession, path: str, reader: Callable[[bytes], Iter
     all archives are numbered in one sequence by name, and a voucher that is in two archives counts
     once. reader turns a document's bytes into cells and boxes (see sources.pdf). What can't be read,
     archive or document, is a file with an error; the rest goes on."""
-    listed = cut(archive.entries(spark, path, data=False))
-    items = cut(pdf.drawn(archive.documents(archive.entries(spark, path)), reader))
-    files = archive.files(listed).join(pdf.errors(items).withColumnRenamed("error", "_error"), "doc_id", "left")
-    files = files.select("doc_id", "doc_ord", "file", F.coalesce("error", "_error").alias("error"))
-    return process(cut(files), pdf.cells(items), pdf.boxes(items), archive.ignored(listed))
+    made: list[str] = []
+    with into(made):
+        listed = cut(archive.entries(spark, path, data=False))
+        items = cut(pdf.drawn(archive.documents(archive.entries(spark, path)), reader))
+        files = archive.files(listed).join(pdf.errors(items).withColumnRenamed("error", "_error"), "doc_id", "left")
+        files = files.select("doc_id", "doc_ord", "file", F.coalesce("error", "_error").alias("error"))
+        run = process(cut(files), pdf.cells(items), pdf.boxes(items), archive.ignored(listed))
+    run._made += made
+    return run
 
 
 def _first_per_document(bad: DataFrame, most: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import config as C
-from ..sources.archive import junk, unpacked
+from ..sources.archive import is_document, junk, unpacked
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 LINES = "person string, field string, value decimal(20,6), at timestamp"
@@ -17,7 +17,7 @@ LINES = "person string, field string, value decimal(20,6), at timestamp"
 def arriving_entries(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
     """A stream of the entries of ZIP archives as they are dropped into a folder."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.zip").load(folder)
-    return unpacked(files).where(F.col("path").isNull() | ~junk(F.col("path"))).withColumn("is_document", F.col("path").isNull() | F.col("path").rlike(r"(?i)\.pdf$"))
+    return unpacked(files).where(F.col("path").isNull() | ~junk(F.col("path"))).withColumn("is_document", F.col("path").isNull() | is_document(F.col("path")))
 
 
 def running_sums(lines: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import config as C
 from ledgerloom.plans import ledger
 from ledgerloom.sinks import workbook
-from ledgerloom.sources import archive, pdf, sheets
+from ledgerloom.sources import archive, pdf, ranges, sheets
 
 from . import vouchers
 
@@ -46,6 +47,40 @@ def test_broken_containers_are_rows(spark, tmp_path):
     assert [r["error"] is None for r in sheets.sheet_cells(spark, str(tmp_path / "bad.xlsx")).collect()] == [False]
 
 
+def test_archives_by_byte_ranges(spark, tmp_path, monkeypatch):
+    """Archives in runs of a few bytes, read by many tasks, give what whole ones do."""
+    rnd = random.Random(4)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for n in range(40):
+            data = rnd.randbytes(rnd.randrange(5000)) if n % 3 else b"\n" * rnd.randrange(900) + b"text " * rnd.randrange(900)
+            z.writestr(zipfile.ZipInfo(f"d/ñ{n}.pdf" if n % 5 else f"d/n{n}.txt"), data, zipfile.ZIP_DEFLATED if n % 2 else zipfile.ZIP_STORED)
+        z.writestr("twice.pdf", b"one")
+        z.writestr("twice.pdf", b"two")
+        z.comment = b"a comment\n" * 30
+    whole = zipped(["x.pdf", "y.pdf", "dir/"])
+    (tmp_path / "b.zip").write_bytes(b"some\nbytes before" + whole.replace(b"data of y.pdf", b"data of Y.pdf"))
+    (tmp_path / "c.zip").write_bytes(b"no\narchive")
+    (tmp_path / "d.zip").write_bytes(zipped([]))
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z, z.open(zipfile.ZipInfo("big.pdf"), "w", force_zip64=True) as f:
+        f.write(b"sizes in 64 bits")
+    with zipfile.ZipFile(tmp_path / "f.zip", "w", zipfile.ZIP_BZIP2) as z:
+        z.writestr("b.pdf", b"another method")
+    rows = lambda: sorted(((r["archive"].split("/")[-1], r["no"] if r["no"] is not None else -1, r["path"], r["data"] and bytes(r["data"]), bool(r["error"])) for r in archive.entries(spark, str(tmp_path / "*.zip")).collect()), key=str)
+    want = [r if r[0] != "f.zip" else (*r[:3], None, True) for r in rows()]
+    monkeypatch.setattr(archive, "WHOLE", 0)
+    monkeypatch.setattr(ranges, "RUN", 700)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert rows() == want and len({r[1] for r in want if r[2] == "twice.pdf"}) == 2
+        found = ranges.runs(spark, [str(tmp_path / "a.zip")])
+        assert b"".join(bytes(r["data"]) for r in found.orderBy("at").collect())[: os.path.getsize(tmp_path / "a.zip")] == (tmp_path / "a.zip").read_bytes()
+        assert archive.entries(spark, str(tmp_path / "a.zip"), data=False).where("data is not null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_copies_in_two_archives_count_once(spark):
     """Two vouchers that are both first in their archives, by doc_id alone."""
     pages = vouchers.sample()[0][2]
