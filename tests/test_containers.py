@@ -102,7 +102,7 @@ def test_workbook_reads_back(spark, tmp_path):
     assert [cells.get((1, c.at + 1), "") for c in C.LAYOUT] == [c.header for c in C.LAYOUT]
     at = C.column("impo_afp").at + 1
     assert cells[(4, at)] == "1000010" and cells[(2, C.column("rut").at + 1)] == "12786960" and (5, 1) not in cells
-    table = sheets.sheet_table(sheets.sheet_cells(spark, str(path), "xl/worksheets/sheet4.xml"), ["kind", "where", "detail"]).orderBy("row_no").collect()
+    table = sheets.sheet_table(sheets.sheet_cells(spark, str(path), "xl/worksheets/sheet4.xml"), ["kind", "where", "detail"]).orderBy("_row").collect()
     want = [tuple(r) for r in workbook.review(result).collect()]
     assert [(r["kind"], r["where"] or "", r["detail"]) for r in table] == want
     second = [r for r in sheets.sheet_cells(spark, str(path), "xl/worksheets/sheet2.xml").collect()]
@@ -122,6 +122,37 @@ def test_shared_strings_and_blank_rows(spark, tmp_path):
     assert got == [(1, 1, "a & b", False), (1, 27, "xy", False), (2, 1, "5", True)]
 
 
+def test_headings_of_any_name(spark):
+    cells = spark.createDataFrame([("f", r, c, f"{r}{c}", False, None) for r in (1, 2, 3) for c in (1, 2, 3)], "file string, row_no int, col_no int, value string, is_number boolean, error string")
+    got = sheets.sheet_table(cells, ["file", "row_no", "value"]).orderBy("_row").collect()
+    assert [tuple(r) for r in got] == [("f", 2, "21", "22", "23"), ("f", 3, "31", "32", "33")]
+
+
+@pytest.mark.parametrize("way", ["whole", "ranges"])
+def test_large_sheets_are_cut_into_fragments(spark, tmp_path, monkeypatch, way):
+    ns = 'xmlns:m="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:y="urn:y"'
+    texts = [f"t{n} < & é" for n in range(300)]
+    rows, want = [], []
+    for r in range(1, 1500):
+        if r % 7 == 0:
+            rows.append(f'<m:row r="{r}" y:a="b"/>' if r % 2 else "<m:row></m:row>")
+            continue
+        want += [(r, 1, texts[r % 300], False), (r, 28, str(r), True), (r, 29, "in  line", False)]
+        rows.append(f'<m:row y:a="b"><m:c r="A{r}" t="s"><m:v>{r % 300}</m:v></m:c><m:c r="AB{r}" s="1"><m:v>{r}</m:v></m:c><m:c t="inlineStr"><m:is><m:t>in  line</m:t></m:is></m:c></m:row>')
+    escaped = [t.replace("&", "&amp;").replace("<", "&lt;") for t in texts]
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0"?><m:worksheet {ns}><m:cols/><m:sheetData>{"".join(rows)}</m:sheetData><m:rowBreaks count="1"/></m:worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<m:sst {ns}>{"".join(f"<m:si><m:t>{t}</m:t></m:si>" for t in escaped)}</m:sst>')
+    (tmp_path / "t.xlsx").write_bytes(zipped(["other"]))
+    monkeypatch.setattr(sheets, "FRAGMENT", 2000)
+    monkeypatch.setattr(ranges, "RUN", 1500)
+    if way == "ranges":
+        monkeypatch.setattr(archive, "WHOLE", 0)
+    cells = sheets.sheet_cells(spark, str(tmp_path / "*.xlsx"))
+    assert sorted(tuple(r)[1:5] for r in cells.where("error is null").collect()) == sorted(want)
+    assert [r["file"].split("/")[-1] for r in cells.where("error is not null").collect()] == ["t.xlsx"]
+
+
 def test_pdf_plug(spark):
     docs = spark.createDataFrame([("d", b"ok"), ("e", b"bad")], "doc_id string, data binary")
     with pytest.raises(RuntimeError, match="reader"):
