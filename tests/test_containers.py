@@ -1,14 +1,18 @@
 import io
 import os
 import random
+import re
 import zipfile
+import zlib
+from types import SimpleNamespace
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import config as C
 from ledgerloom.plans import ledger
-from ledgerloom.sinks import workbook
+from ledgerloom.sinks import ooxml, workbook
 from ledgerloom.sources import archive, pdf, ranges, sheets
 
 from . import vouchers
@@ -113,6 +117,49 @@ def test_workbook_reads_back(spark, tmp_path):
     assert workbook.metadata(result).count() == 5
 
 
+def _bare(spark, n):
+    """A result of n lines and nothing else, with texts that XML can't hold."""
+    spoilt = "a\x0cb<&>\x00\ufffe é\t"
+    value = lambda c: F.col("id").cast("decimal(20,6)") / 4 if c.kind == "N" else F.lit(spoilt) if c.header == "ape_pat" else F.concat(F.lit("x"), "id")
+    lines = spark.range(1, n + 1).select(*[(F.col("id").cast("decimal(20,6)") if c.header == "Linea" else value(c)).alias(c.name) for c in C.LAYOUT])
+    kinds = {
+        "documents": "doc_ord long, file string, institution string, folio string, period struct<text:string>, employer struct<name:string>, pages int, n_records long, error string, duplicate_of string, profile string, state string, n_compared long, reasons array<string>",
+        "control": "doc_ord long, pair_ord int, file string, label string, amount decimal(20,6), extracted decimal(20,6), ok boolean",
+        "columns": "doc_ord long, file string, section string, i int, label string, key string, level string, field string, first_page int, last_page int, with_value long, total decimal(20,6)",
+        "warnings": "prio int, ord array<bigint>, kind string, file string, detail string",
+    }
+    return SimpleNamespace(ledger=lines, **{name: spark.createDataFrame([], kind) for name, kind in kinds.items()})
+
+
+@pytest.mark.parametrize("n, most", [(0, 1 << 20), (25, 1 << 20), (25, 11), (20, 11)])
+def test_long_ledgers_go_on_in_further_sheets(spark, tmp_path, monkeypatch, n, most):
+    monkeypatch.setattr(workbook, "ROWS_IN_A_SHEET", most)
+    monkeypatch.setattr(ooxml, "PART", 4)
+    path = tmp_path / "out.xlsx"
+    workbook.write_workbook(_bare(spark, n), path)
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None
+        names = re.findall(r'sheet name="([^"]*)"', z.read("xl/workbook.xml").decode())
+        parts = [x for x in z.namelist() if "worksheets" in x]
+        for part in parts:
+            ElementTree.fromstring(z.read(part))
+    more = max(0, -(-n // (most - 1)) - 1)
+    assert names == [workbook.LEDGER, *(f"{workbook.LEDGER} ({k + 2})" for k in range(more)), workbook.SUMMARY, workbook.COLUMNS, workbook.REVIEW] and len(parts) == 4 + more
+    read = []
+    for part in (1, *range(5, 5 + more)):
+        cells = sheets.sheet_cells(spark, str(path), f"xl/worksheets/sheet{part}.xml")
+        table = sheets.sheet_table(cells, [c.name for c in C.LAYOUT]).orderBy("_row")
+        read += [(r["_row"], r[C.column("Linea").name], r[C.column("ape_pat").name]) for r in table.collect()]
+    assert read == [((k - 1) % (most - 1) + 2, str(k), "a\ufffdb<&>\ufffd\ufffd é\t") for k in range(1, n + 1)]
+
+
+def test_check_sums_are_joined():
+    rnd = random.Random(1)
+    for _ in range(50):
+        a, b = rnd.randbytes(rnd.randrange(300)), rnd.randbytes(rnd.randrange(300))
+        assert ooxml.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_shared_strings_and_blank_rows(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
