@@ -1,8 +1,8 @@
 """Queries over containers: archives to a ledger, workbooks, fixtures and drawn paths.
 
-The archives hold one voucher for each region, with its nations as persons, as lines of JSON in place of
-PDF: what a PDF reader would give. One voucher is in two archives, one document and one archive are
-broken. These tables have a fixed size, so the driver may write them into archives.
+The archives hold a voucher for every 40 customers, as lines of JSON in place of PDF: what a PDF reader
+would give. Every eighth voucher is in two archives; each archive has a broken document and a note, and
+one archive is broken. Tasks make the archives, and Spark's text sink writes them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import config as C
@@ -34,15 +35,15 @@ def _printed(n: int) -> str:
     return f"{n:,}".replace(",", ".")
 
 
-def _voucher(region: int, nations: list[int]) -> bytes:
-    items: list[tuple] = [("cell", 1, n, 20, 300, 20 + 8 * n, t) for n, t in enumerate(("COMPROBANTE DE PAGO DE COTIZACIONES PREVISIONALES", f"Número de Folio: R{region}", "AFP PlanVital", "Período de Remuneraciones: 07/2026", "FONDO DE PENSIONES"))]
-    base = {n: 1000 * (n + 1) for n in nations}
-    for k, (label, amount) in enumerate((("Renta Imponible", sum(base.values())), ("Cotización Obligatoria", sum(base.values()) // 10), ("NUMERO AFILIADOS INFORMADOS", len(nations)))):
+def _voucher(number: int, people: list[int]) -> bytes:
+    items: list[tuple] = [("cell", 1, n, 20, 300, 20 + 8 * n, t) for n, t in enumerate(("COMPROBANTE DE PAGO DE COTIZACIONES PREVISIONALES", f"Número de Folio: V{number:06d}", "AFP PlanVital", "Período de Remuneraciones: 07/2026", "FONDO DE PENSIONES"))]
+    base = {n: 1000 * (n + 1) for n in people}
+    for k, (label, amount) in enumerate((("Renta Imponible", sum(base.values())), ("Cotización Obligatoria", sum(base.values()) // 10), ("NUMERO AFILIADOS INFORMADOS", len(people)))):
         items += [("cell", 1, 20 + 2 * k, 20, 200, 80 + 8 * k, label), ("cell", 1, 21 + 2 * k, 300, 360, 80 + 8 * k, _printed(amount))]
     items += [("cell", 2, 0, 20, 400, 40, TITLE)] + [("cell", 2, 1 + n, (a + b) / 2 - 20, (a + b) / 2 + 20, 98, t) for n, (t, a, b) in enumerate(GROUPS)] + [("cell", 2, 10 + n, at - 12, at + 12, 110, t) for n, (t, _, _, at) in enumerate(COLUMNS)]
-    for row, n in enumerate(nations):
+    for row, n in enumerate(people):
         body = 1_000_000 + n
-        texts = (f"{_printed(body)}-{_digit(str(body))}", f"NACION R{region} N{n:02d}", _printed(base[n]), _printed(base[n] // 10))
+        texts = (f"{_printed(body)}-{_digit(str(body))}", f"CLIENTE V{number:06d} N{n:09d}", _printed(base[n]), _printed(base[n] // 10))
         items += [("cell", 2, 100 + 4 * row + k, at - 10, at + 10, 130 + 8 * row, t) for k, (t, (*_, at)) in enumerate(zip(texts, COLUMNS))]
     items += [("box", 2, a, b, 90, 100) for _, a, b in GROUPS] + [("box", 2, a, b, y0, y1) for _, a, b, _ in COLUMNS for y0, y1 in ((100, 122), (122, 500))]
     return "\n".join(map(json.dumps, items)).encode()
@@ -56,41 +57,59 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
     """Bytes into a file of any store that Spark knows."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    out.write(bytearray(data))
+    for k in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[k : k + (1 << 20)]))
     out.close()
 
 
+#: Customers of a voucher and vouchers of an archive.
+PEOPLE, VOUCHERS = 40, 8
+
+
 def _archives(spark: SparkSession, sf: str) -> str:
     """Writes the archives and returns a pattern that finds them."""
-    members: dict[int, list[int]] = {}
-    for r in table(spark, sf, "nation").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect():
-        members.setdefault(r["n_regionkey"], []).append(r["n_nationkey"])
+
+    def zipped(batches):
+        for b in batches:
+            for name, vouchers in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    for v in vouchers:
+                        z.writestr(f"docs/v{v['v']:06d}.pdf", _voucher(v["v"], v["people"]))
+                    z.writestr("__MACOSX/docs/v0.pdf", b"")
+                    z.writestr(f"roto-{name}.PDF", b"not a page")
+                    z.writestr(f"nota-{name}.txt", b"read me")
+                yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary()), pa.array([name], pa.string())], names=["data", "archive"])
+
     folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
-    for name, some in (("a.zip", (0, 1, 2)), ("b.zip", (2, 3, 4))):
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for r in some:
-                z.writestr(f"docs/r{r}.pdf", _voucher(r, members.get(r, [])))
-            z.writestr("__MACOSX/docs/r0.pdf", b"")
-            if name == "b.zip":
-                z.writestr("roto.PDF", b"not a page")
-                z.writestr("nota.txt", b"read me")
-        put(spark, f"{folder}/{name}", buffer.getvalue())
-    put(spark, f"{folder}/c.zip", b"PK, but no archive")
-    return f"{folder}/*.zip"
-
-
-def _base(column):
-    return F.element_at(F.split(column, "/"), -1)
-
-
-@query("""SELECT * FROM (VALUES ('a.zip', 'r0.pdf', true, 1), ('a.zip', 'r1.pdf', true, 2), ('a.zip', 'r2.pdf', true, 3), ('b.zip', 'r2.pdf', true, 4), ('b.zip', 'r3.pdf', true, 5), ('b.zip', 'r4.pdf', true, 6), ('b.zip', 'roto.PDF', true, 7), ('c.zip', 'c.zip', true, 0), ('b.zip', 'nota.txt', false, 1)) AS t(archive, file, is_document, ord)
-  WHERE EXISTS (SELECT 1 FROM nation)""")
+    made = table(spark, sf, "customer").groupBy(F.expr(f"c_custkey div {PEOPLE}").alias("v")).agg(F.array_sort(F.collect_list("c_custkey")).alias("people"))
+    at = F.expr(f"v div {VOUCHERS}")
+    places = F.explode(F.when(F.col("v") % VOUCHERS == 0, F.array(at, at + 1)).otherwise(F.array(at))).alias("a")
+    grouped = made.select(places, "v", "people").groupBy(F.lpad(F.col("a").cast("string"), 6, "0").alias("archive")).agg(F.array_sort(F.collect_list(F.struct("v", "people"))).alias("vouchers"))
+    archives = grouped.mapInArrow(zipped, "data binary, archive string")
+    broken = spark.range(1).select(F.lit(b"PK, but no archive").alias("data"), F.lit("broken").alias("archive"))
+    archives.unionByName(broken).select(F.col("data").cast("string").alias("data"), "archive").write.partitionBy("archive").text(folder)
+    return f"{folder}/*/part-*"
+
+
+_MADE = f"""vouchers AS (SELECT DISTINCT c_custkey // {PEOPLE} AS v FROM customer),
+inside AS (SELECT v, v // {VOUCHERS} AS a FROM vouchers UNION ALL SELECT v, v // {VOUCHERS} + 1 FROM vouchers WHERE v % {VOUCHERS} = 0),
+listed AS (SELECT lpad(CAST(a AS VARCHAR), 6, '0') AS archive, 'v' || lpad(CAST(v AS VARCHAR), 6, '0') || '.pdf' AS file FROM inside
+  UNION ALL SELECT DISTINCT lpad(CAST(a AS VARCHAR), 6, '0'), 'roto-' || lpad(CAST(a AS VARCHAR), 6, '0') || '.PDF' FROM inside UNION ALL SELECT 'broken', 'broken')"""
+
+
+def _archive(column):
+    return F.regexp_extract(column, "archive=([^/]*)", 1)
+
+
+@query(f"""WITH {_MADE} SELECT archive, file, true AS is_document, CAST(row_number() OVER (ORDER BY file, archive) - 1 AS INTEGER) AS ord FROM listed
+  UNION ALL SELECT archive, 'nota-' || archive || '.txt', false, CAST(row_number() OVER (ORDER BY archive) AS INTEGER) FROM (SELECT DISTINCT archive FROM listed WHERE archive <> 'broken')""")
 def archive_entries(spark, sf):
     """Documents of all archives in one sequence by name, and what isn't one."""
     found = archive.entries(spark, _archives(spark, sf), data=False)
-    names = archive.files(found).select(_base(F.split_part("doc_id", F.lit("!"), F.lit(1))).alias("archive"), "file", F.lit(True).alias("is_document"), F.col("doc_ord").cast("int").alias("ord"))
-    others = archive.ignored(found).select(F.lit("b.zip").alias("archive"), "file", F.lit(False).alias("is_document"), F.col("file_ord").cast("int").alias("ord"))
+    at = _archive("doc_id")
+    names = archive.files(found).select(at.alias("archive"), F.when(at == "broken", "broken").otherwise(F.col("file")).alias("file"), F.lit(True).alias("is_document"), F.col("doc_ord").cast("int").alias("ord"))
+    others = archive.ignored(found).select(F.regexp_extract("file", "[0-9]+", 0).alias("archive"), "file", F.lit(False).alias("is_document"), F.col("file_ord").cast("int").alias("ord"))
     return names.unionByName(others)
 
 
@@ -98,7 +117,7 @@ def _result(spark: SparkSession, sf: str) -> ledger.Ledger:
     return ledger.from_archives(spark, _archives(spark, sf), _reader)
 
 
-_PEOPLE = "SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS line, CAST(1000000 + n_nationkey AS VARCHAR) AS body, 'R' || n_regionkey AS maternal, 1000.0 * (n_nationkey + 1) AS base, 100.0 * (n_nationkey + 1) AS paid FROM nation"
+_PEOPLE = f"SELECT row_number() OVER (ORDER BY c_custkey) AS line, CAST(1000000 + c_custkey AS VARCHAR) AS body, 'V' || lpad(CAST(c_custkey // {PEOPLE} AS VARCHAR), 6, '0') AS maternal, 1000.0 * (c_custkey + 1) AS base, 100.0 * (c_custkey + 1) AS paid FROM customer"
 
 
 @query(f"SELECT line, body, maternal, CAST(base AS DOUBLE) AS base, CAST(paid AS DOUBLE) AS paid FROM ({_PEOPLE})")
@@ -108,10 +127,13 @@ def archive_ledger(spark, sf):
     return _result(spark, sf).ledger.select(c("Linea").cast("long").alias("line"), c("rut").alias("body"), c("ape_mat").alias("maternal"), c("impo_afp").cast("double").alias("base"), c("cot_obli_afp").cast("double").alias("paid"))
 
 
-@query("""SELECT 'r' || r_regionkey || '.pdf' AS file, CAST(NULL AS VARCHAR) AS duplicate_of, 'verificado' AS state, false AS broken, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS records FROM region
-UNION ALL SELECT 'r2.pdf', 'r2.pdf', NULL, false, (SELECT count(*) FROM nation WHERE n_regionkey = 2) UNION ALL SELECT f, NULL, 'no cuadra', true, 0 FROM (VALUES ('roto.PDF'), ('c.zip')) AS t(f)""")
+@query(f"""WITH {_MADE}, counted AS (SELECT 'v' || lpad(CAST(c_custkey // {PEOPLE} AS VARCHAR), 6, '0') || '.pdf' AS file, count(*) AS n FROM customer GROUP BY 1),
+ranked AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY archive) AS k FROM listed)
+SELECT r.file, CASE WHEN k > 1 THEN r.file END AS duplicate_of, CASE WHEN k = 1 THEN CASE WHEN n IS NULL THEN 'no cuadra' ELSE 'verificado' END END AS state, n IS NULL AS broken, coalesce(n, 0) AS records
+FROM ranked r LEFT JOIN counted c ON c.file = r.file""")
 def archive_documents(spark, sf):
-    return _result(spark, sf).documents.select("file", "duplicate_of", "state", F.col("error").isNotNull().alias("broken"), F.col("n_records").alias("records"))
+    name = F.when(_archive("doc_id") == "broken", "broken").otherwise(F.col("file")).alias("file")
+    return _result(spark, sf).documents.select(name, "duplicate_of", "state", F.col("error").isNotNull().alias("broken"), F.col("n_records").alias("records"))
 
 
 def _workbook(spark: SparkSession, sf: str) -> str:
@@ -128,8 +150,8 @@ def workbook_ledger(spark, sf):
     return sheets.sheet_table(cells, [c.name for c in C.LAYOUT]).select(*[F.col(C.column(h).name).alias(name) for h, name in (("Linea", "line"), ("rut", "body"), ("ape_mat", "maternal"), ("impo_afp", "base"))])
 
 
-@query("""SELECT 'r' || r_regionkey || '.pdf' AS file, label, CAST(CASE label WHEN 'Renta Imponible' THEN b WHEN 'Cotización Obligatoria' THEN b // 10 ELSE n END AS VARCHAR) AS declared, '✔' AS ok FROM
-  (SELECT n_regionkey AS r_regionkey, CAST(sum(1000 * (n_nationkey + 1)) AS BIGINT) AS b, count(*) AS n FROM nation GROUP BY 1), (VALUES ('Renta Imponible'), ('Cotización Obligatoria'), ('NUMERO AFILIADOS INFORMADOS')) AS l(label)""")
+@query(f"""SELECT 'v' || lpad(CAST(v AS VARCHAR), 6, '0') || '.pdf' AS file, label, CAST(CASE label WHEN 'Renta Imponible' THEN b WHEN 'Cotización Obligatoria' THEN b // 10 ELSE n END AS VARCHAR) AS declared, '✔' AS ok FROM
+  (SELECT c_custkey // {PEOPLE} AS v, CAST(sum(1000 * (c_custkey + 1)) AS BIGINT) AS b, count(*) AS n FROM customer GROUP BY 1), (VALUES ('Renta Imponible'), ('Cotización Obligatoria'), ('NUMERO AFILIADOS INFORMADOS')) AS l(label)""")
 def workbook_control(spark, sf):
     """The control table below the summary, written and read back."""
     cells = sheets.sheet_cells(spark, _workbook(spark, sf), "xl/worksheets/sheet2.xml")
@@ -137,6 +159,36 @@ def workbook_control(spark, sf):
     return rows.where("ok in ('✔', '✘') and declared = extracted").select("file", "label", "declared", "ok")
 
 
+@query(f"""WITH {_MADE}, counted AS (SELECT 'v' || lpad(CAST(c_custkey // {PEOPLE} AS VARCHAR), 6, '0') || '.pdf' AS file, count(*) AS n, CAST(sum(1000 * (c_custkey + 1)) AS BIGINT) AS b FROM customer GROUP BY 1),
+heads AS (SELECT * FROM (VALUES (0, 'Identificación del Trabajador > RUT', 'identificacion del trabajador rut', 'rut'), (1, 'Identificación del Trabajador > Apellido Paterno Materno Nombres', 'identificacion del trabajador apellido paterno materno nombres', 'nombre'),
+  (2, 'Fondo de Pensiones > Remuneración Imponible', 'fondo de pensiones remuneracion imponible', 'impAfp'), (3, 'Fondo de Pensiones > Cotización Obligatoria', 'fondo de pensiones cotizacion obligatoria', 'cotObliAfp')) AS t(i, label, key, field))
+SELECT file, 'afp-cotizaciones' AS section, '2' AS pages, CAST(i AS VARCHAR) AS i, label, key, 'ancestro' AS level, field, CAST(n AS VARCHAR) AS with_value, CAST(CASE i WHEN 2 THEN b WHEN 3 THEN b // 10 ELSE 0 END AS VARCHAR) AS total
+FROM listed JOIN counted USING (file), heads""")
+def workbook_columns(spark, sf):
+    """The audit of every column read, written and read back."""
+    cells = sheets.sheet_cells(spark, _workbook(spark, sf), "xl/worksheets/sheet3.xml")
+    return sheets.sheet_table(cells, ["file", "section", "pages", "i", "label", "key", "level", "field", "with_value", "total"]).drop("_file", "_row")
+
+
+@query(f"""WITH {_MADE}, bad AS (SELECT file FROM listed WHERE file = 'broken' OR file LIKE 'roto%'), twice AS (SELECT file FROM listed GROUP BY file HAVING count(*) > 1)
+SELECT 1 AS kind_place, 'Error al leer el PDF' AS kind, file, CAST(NULL AS VARCHAR) AS detail FROM bad
+UNION ALL SELECT 2, 'PDF duplicado', file, 'Mismo folio ' || upper(file[1:7]) || ' que "' || file || '". Se procesó una sola vez para no duplicar los montos.' FROM twice
+UNION ALL SELECT 3, 'Documento que no cuadra', file, NULL FROM bad
+UNION ALL SELECT 4, 'PDF no reconocido', file, 'No se identificó la institución; el archivo no aportó datos.' FROM bad
+UNION ALL SELECT 5, 'Columnas constantes en el consolidado', NULL, NULL
+UNION ALL SELECT 6, 'Archivo ignorado', 'nota-' || archive || '.txt', 'No es un .pdf' FROM (SELECT DISTINCT archive FROM listed WHERE archive <> 'broken')""")
+def workbook_review(spark, sf):
+    """What to look at, kind by kind in its order, written and read back. What the readers of broken
+    files say, and the names of constant columns, are left out."""
+    cells = sheets.sheet_cells(spark, _workbook(spark, sf), "xl/worksheets/sheet4.xml")
+    rows = sheets.sheet_table(cells, ["kind", "file", "detail"])
+    first = rows.groupBy("kind").agg(F.min("_row").alias("first"))  # a row for each kind
+    ranked = first.select("kind", F.dense_rank().over(Window.orderBy("first")).alias("kind_place"))
+    file = F.when(F.col("file").startswith("part-"), "broken").otherwise(F.col("file")).alias("file")
+    told = F.when(F.col("kind").isin("PDF duplicado", "PDF no reconocido", "Archivo ignorado"), F.col("detail")).alias("detail")
+    return rows.join(ranked, "kind").select("kind_place", "kind", file, told)
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Error: x' || o_orderkey WHEN o_orderkey % 5 = 0 THEN 'Duplicado de d.pdf' WHEN o_orderkey % 3 = 0 THEN 'Institución no reconocida' WHEN o_orderstatus = 'F' THEN 'NO CUADRA' WHEN o_orderstatus = 'O' THEN 'Verificado (' || o_custkey || ' totales)' ELSE 'SIN VERIFICAR' END AS state FROM orders""")
 def shown_states(spark, sf):
     k = F.col("o_orderkey")
