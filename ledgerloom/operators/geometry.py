@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.taxid import looks_like_tax_id
 from ..functions.text import is_value, norm, to_number, trimmed
 from . import config as C
-from .cluster import anchor_clusters, first_near, pair_anchors
+from .cluster import first_near, page_clusters, pair_anchors
 from .match import overlap
 
 PAGE = ["doc_id", "page"]
@@ -60,7 +60,7 @@ def rows_of(cells: DataFrame) -> DataFrame:
     """(doc_id, page, row_no, y, cells, text): cells in visual rows, from the top; a row's y is
     that of its first cell, and cells within the tolerance of it belong to the row."""
     shown = cells.where(trimmed(F.col("text")) != "")
-    placed = anchor_clusters(shown, PAGE, "y", C.ROW)
+    placed = page_clusters(shown, PAGE, "y", C.ROW)
     text = F.col("text")
     cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", norm(text).alias("n"), looks_like_tax_id(text).alias("id"), is_value(text).alias("value"), to_number(text).alias("number"))
     rows = placed.groupBy(*PAGE, F.col("cluster").alias("row_no")).agg(F.first("anchor").alias("y"), F.array_sort(F.collect_list(cell)).alias("cells"))

@@ -40,21 +40,40 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(width > 0, width / F.greatest(F.least(a1 - a0, b1 - b0), F.lit(1e-6))).otherwise(0.0)
 
 
-def best_overlap(cells: DataFrame, heads: DataFrame, on: list[str], head: str, least: float, bin: float) -> DataFrame:
+def best_overlap(cells: DataFrame, heads: DataFrame, on: list[str], head: str, least: float) -> DataFrame:
     """(on, x0, x1, heading, share in millionths) for each distinct range x0, x1 of cells: of the
     heads of its group that it overlaps by a share of `least` (above 0) or more, the largest share
     rounded and then the largest head. heads have g0, g1.
 
-    Equal ranges are merged first. The axis is cut into bins and only ranges in a common bin are
-    joined, each pair in the first bin that both have.
+    Equal ranges are merged first. A range has a level, the power of two that its width reaches, and
+    lies in two or three of the level's stretches of the axis. Two ranges meet at the wider one's level: it
+    waits in its own stretches, and the narrower one calls at those above its own, two or three a level. So a
+    range is as many rows as there are levels, however wide it is, and each pair meets once, in the
+    first stretch that both have.
     """
-    at = lambda x: F.floor(F.col(x) / bin)
-    binned = lambda df, x0, x1: df.select("*", at(x0).alias(f"_{x0}"), F.explode(F.sequence(at(x0), at(x1))).alias("_bin"))
-    c = binned(cells.select(*on, "x0", "x1").distinct().where("x0 < x1"), "x0", "x1")
-    h = binned(heads.groupBy(*on, "g0", "g1").agg(F.max(head).alias("heading")).where("g0 < g1"), "g0", "g1")
-    near = c.join(h, [*on, "_bin"]).where(F.col("_bin") == F.greatest("_x0", "_g0"))
-    near = near.withColumn("o", overlap(F.col("x0"), F.col("x1"), F.col("g0"), F.col("g1"))).where(F.col("o") >= least)
-    scored = near.withColumn("share", F.round(F.col("o") * 1e6).cast("long"))
+    level = lambda a, b: F.ceil(F.log2(F.col(b) - F.col(a))).cast("int")
+    ranges = {"x": cells.select(*on, "x0", "x1").distinct().where("x0 < x1").withColumn("_lx", level("x0", "x1"))}
+    ranges["g"] = heads.groupBy(*on, "g0", "g1").agg(F.max(head).alias("heading")).where("g0 < g1").withColumn("_lg", level("g0", "g1"))
+    top = {s: ranges[s].agg(F.max(f"_l{s}")).first()[0] for s in ranges}  # one number each
+    near = lambda s, at: [F.floor(F.col(f"{s}{n}") / F.pow(F.lit(2.0), at)) for n in (0, 1)]
+
+    def stretched(s: str, levels: Column) -> DataFrame:
+        """The stretches of one side's ranges at some levels; _s is the first of a level."""
+        put = ranges[s].withColumn("_level", F.explode(levels))
+        first, last = near(s, F.col("_level"))
+        return put.withColumn(f"_s{s}", first).withColumn("_at", F.explode(F.sequence(first, last)))
+
+    def met(narrow: str, wide: str, below: Column) -> DataFrame:
+        if None in top.values():
+            return stretched(narrow, F.array(F.col(f"_l{narrow}"))).join(stretched(wide, F.array(F.col(f"_l{wide}"))), [*on, "_level", "_at"])
+        calls = F.when(F.col(f"_l{narrow}") <= top[wide], F.sequence(F.col(f"_l{narrow}"), F.lit(top[wide])))
+        return stretched(narrow, calls).join(stretched(wide, F.array(F.col(f"_l{wide}"))), [*on, "_level", "_at"]).where(below)
+
+    names = [*on, "x0", "x1", "g0", "g1", "heading", "_sx", "_sg", "_at"]
+    pairs = met("x", "g", F.col("_lx") <= F.col("_lg")).select(*names).unionByName(met("g", "x", F.col("_lg") < F.col("_lx")).select(*names))
+    pairs = pairs.where(F.col("_at") == F.greatest("_sx", "_sg"))
+    pairs = pairs.withColumn("o", overlap(F.col("x0"), F.col("x1"), F.col("g0"), F.col("g1"))).where(F.col("o") >= least)
+    scored = pairs.withColumn("share", F.round(F.col("o") * 1e6).cast("long"))
     return scored.groupBy(*on, "x0", "x1").agg(F.max_by("heading", F.struct("share", "heading")).alias("heading"), F.max("share").alias("share"))
 
 

@@ -48,7 +48,7 @@ def overlap_best(spark, sf):
     at = lambda k: (F.col("event_id") * k % 500).cast("double")
     cells = rows.select("user_id", "sheet", "event_id", at(37).alias("x0"), (at(37) + 5 + F.col("event_id") % 40).alias("x1"))
     heads = rows.select("user_id", "sheet", "event_id", at(61).alias("g0"), (at(61) + 30 + F.col("event_id") % 90).alias("g1"))
-    best = match.best_overlap(cells, heads, ["user_id", "sheet"], "event_id", 0.4, 40.0)
+    best = match.best_overlap(cells, heads, ["user_id", "sheet"], "event_id", 0.4)
     return cells.join(best, ["user_id", "sheet", "x0", "x1"]).select("event_id", "heading", "share")
 
 
@@ -62,7 +62,7 @@ def overlap_best_all(spark, sf):
     at = lambda k: (F.col("event_id") * k % 500).cast("double")
     cells = rows.select("user_id", "day", "event_id", at(37).alias("x0"), (at(37) + 5 + F.col("event_id") % 40).alias("x1"))
     heads = rows.select("user_id", "day", "event_id", at(61).alias("g0"), (at(61) + 30 + F.col("event_id") % 90).alias("g1"))
-    best = match.best_overlap(cells, heads, ["user_id", "day"], "event_id", 0.4, 40.0)
+    best = match.best_overlap(cells, heads, ["user_id", "day"], "event_id", 0.4)
     return cells.join(best, ["user_id", "day", "x0", "x1"]).select("event_id", "heading", "share")
 
 
