@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, texts
+from .common import batch, id_text, materialize, texts
 from .labelled import held_out, training_rows
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-#: Labelled rows that a model may be fitted on, and passes over them.
-TRAIN_ROWS, EPOCHS = 12_000, 4
+#: Labelled rows that a model may be fitted on, the bytes that their bucket numbers may take on the driver (4 each),
+#: and passes over them.
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 12_000, 400 << 20, 4
 #: Hash buckets: the bound of what is broadcast (8 bytes for each weight).
 BUCKETS = 1 << 20
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.01
@@ -33,7 +34,7 @@ STARTS = (4, 5, 6, 7)
 KEPT = 200_000
 
 _WORD = re.compile(r"\w+")
-_FEATURES = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.int32()))])
+_FEATURES = pa.schema([("label", pa.int32()), ("features", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int32())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -114,8 +115,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
     """A model from at most `limit` labelled rows outside the held-out fold.
 
-    Executors hash the sample's texts; only bucket numbers of that bounded sample come to the
-    driver. A text moves a coordinate by less than 1 in a pass, so one that no more than
+    Executors hash the sample's texts and write bucket numbers; those come to the driver one partition
+    at a time, in the order of a hash of theirs, until all are there or TRAIN_BYTES are. A text moves a coordinate by less than 1 in a pass, so one that no more than
     L1 / EPOCHS texts have never gets a weight: such buckets are left out beforehand, which changes
     no weight. Without rows of both classes the model is their rate alone.
     """
@@ -137,19 +138,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     def run(batches):
         kept = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            found = [ids[kept[ids]] for ids in map(feature_ids, texts(b.column(0)))]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
-            yield pa.RecordBatch.from_arrays([b.column(1), lists], schema=_FEATURES)
-
-    table = sample.mapInArrow(run, "label int, features array<int>").toArrow()
-    y = np.array(table.column(0).to_pylist(), float)
-    rows = [np.asarray(x) for c in table.column(1).chunks for x in (c[i].values.to_numpy() for i in range(len(c)))]
+            found = [ids[kept[ids]].tobytes() for ids in map(feature_ids, texts(b.column(0)))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], schema=_FEATURES)
+
+    table = materialize(sample.mapInArrow(run, "label int, features binary"))
+    rows, found, size = [], [], 0
+    for r in table.orderBy(F.xxhash64("features"), "label").toLocalIterator():  # whatever order partitions came in
+        if (size := size + len(r["features"])) > TRAIN_BYTES:
+            break
+        rows.append(np.frombuffer(r["features"], np.int32))
+        found.append(r["label"])
+    y = np.array(found, float)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return float(np.log(rate / (1 - rate))), np.empty(0, np.int32), np.empty(0, np.float32)
-    order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # whatever order partitions came in
-    return train([rows[i] for i in order], y[order])
+    return train(rows, y)
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:

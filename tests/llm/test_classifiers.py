@@ -153,11 +153,13 @@ def test_ftrl_against_plain_python():
 
 
 def test_recall_on_held_out_labels_of_the_tables(spark):
-    """Of sf0.01's held-out toxic documents a share carries no toxic word at all (see README)."""
-    sf = "/root/testdata/sf0.01"
+    """With some 3,000 labels; with a tenth of them too few toxic words are seen (see README)."""
+    sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
-    assert sum(r["predicted"] and r["toxic"] for r in rows) >= 8 and sum(r["predicted"] and not r["toxic"] for r in rows) == 0
+    toxic = [r["predicted"] for r in rows if r["toxic"]]
+    print("caught", sum(toxic), "of", len(toxic), "false", sum(r["predicted"] and not r["toxic"] for r in rows))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(r["predicted"] and not r["toxic"] for r in rows) <= 0.02 * len(rows)
 
 
 def test_tree_rules_refuse_other_lines():
