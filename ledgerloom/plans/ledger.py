@@ -18,6 +18,7 @@ from ..operators import checks, classify, consolidate, cover, geometry, records,
 from ..operators import config as C
 from ..sources import archive, pdf
 from .cuts import cut, into, numbered, release
+from .progress import Watch
 
 
 class Ledger:
@@ -136,6 +137,17 @@ class Ledger:
         own = verify.document_warnings(self._read.where("duplicate_of is null"), audit, self._compared, _first_per_document(unread, 20))
         return own.unionByName(verify.run_warnings(self._read, self._states, self._compared, self.people, constants, self._ignored))
 
+    #: The tables of a run in the order in which they need each other.
+    PHASES = ("pages", "_docs", "tables", "_mapped", "_typed", "records", "columns", "people", "_compared", "_read", "_states")
+
+    def worked_out(self, callback: Callable[[int, str], None]) -> "Ledger":
+        """Works out all tables and calls back with (percent, phase) meanwhile (see plans.progress)."""
+        with Watch(self._files.sparkSession, [p.strip("_") for p in self.PHASES], callback) as watch:
+            for name in self.PHASES:
+                watch.phase()
+                getattr(self, name)
+        return self
+
     def state(self) -> DataFrame:
         """One row: the worst state of the documents that were used."""
         return self._states.agg(checks.worst(F.col("state")).alias("state"))

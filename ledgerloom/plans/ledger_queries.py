@@ -114,3 +114,24 @@ UNION ALL SELECT 'Columnas constantes en el consolidado', 1 UNION ALL SELECT 'Ce
 UNION ALL SELECT 'Dos celdas en la misma columna', count(*) FROM s WHERE colliding > 0 HAVING count(*) > 0 UNION ALL SELECT 'Filas de datos descartadas', count(*) FROM s WHERE dropped > 0 HAVING count(*) > 0""")
 def voucher_warnings(spark, sf):
     return processed(spark, sf).warnings.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def without_boxes(spark: SparkSession, sf: str) -> ledger.Ledger:
+    """The same vouchers without a drawn box: columns are those of the header row, cells go to the nearest one, and
+    groups to the headings that they overlap or reign over."""
+    files, cells, boxes = vouchers(spark, sf)
+    return ledger.process(files, cells, boxes.where("false"))
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, CAST(sum(base) FILTER (WHERE o_orderkey % 89 <> 0) AS DOUBLE) AS b, CAST(sum(base // 10) FILTER (WHERE o_orderkey % 97 <> 0) AS DOUBLE) AS c FROM ({_LINES}) GROUP BY c_nationkey)
+SELECT 'n' || c_nationkey || '.pdf' AS file, CAST(i AS INTEGER) AS i, label, field, level, CAST(n AS BIGINT) AS with_value, CASE i WHEN 2 THEN b WHEN 3 THEN c ELSE 0 END AS total FROM s,
+  (VALUES (0, 'RUT', 'rut', 'hoja'), (1, 'Identificación del Trabajador > Apellido Paterno Materno Nombres', 'nombre', 'ancestro'), (2, 'Fondo de Pensiones > Remuneración Imponible', 'impAfp', 'ancestro'), (3, 'Fondo de Pensiones > Cotización Obligatoria', 'cotObliAfp', 'ancestro')) AS v(i, label, field, level)""")
+def voucher_plain_columns(spark, sf):
+    """An amount with a stray cell beside it can't be read, and is missing in its column's total."""
+    return without_boxes(spark, sf).columns.select("file", "i", "label", "field", "level", "with_value", F.col("total").cast("double").alias("total"))
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, count(*) AS n, {_ODD} FROM ({_LINES}) GROUP BY c_nationkey)
+SELECT 'n' || c_nationkey || '.pdf' AS file, CAST(n AS BIGINT) AS records, CAST(0 AS BIGINT) AS outside, CAST(outside + colliding AS BIGINT) AS colliding, dropped FROM s""")
+def voucher_plain_states(spark, sf):
+    return without_boxes(spark, sf).documents.select("file", F.col("n_records").alias("records"), "outside", "colliding", "dropped")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +106,39 @@ def compare_fixtures(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return stats.differences(expected.select(one, "path", "value"), actual.select(one, "path", "value"), ["run"], ("sha256",)).drop("run")
 
 
+class Leak(Exception):
+    """Personal data in what was to be handed over; nothing was."""
+
+
+def publish(result: Ledger, write: Callable[[str], None], texts: Callable[[str], DataFrame], target: str) -> str:
+    """Hands output over only if it has no personal data, and returns where: all of it or none.
+
+    write puts the output into a folder that it is given, beside the target. texts gives it back as
+    (text_id, text), as it was written; if the gate finds nothing, the folder is renamed to the target,
+    which only ever holds output that was looked through. An output that is there stays until then. What a
+    run that was stopped left beside the target is deleted by the next one.
+    """
+    spark = result.records.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in fs.globStatus(at.suffix(".staged-*")) or ():
+        fs.delete(left.getPath(), True)
+    staged = f"{target}.staged-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    write(staged)
+    try:
+        leaks = privacy_gate(result, texts(staged)).where("ids > 0 or names > 0").agg(F.count("*"), F.sum("ids"), F.sum("names")).first()
+        if leaks[0]:
+            raise Leak(f"{leaks[0]} texts with {leaks[1]} tax ids and {leaks[2]} names")
+    except Exception:
+        fs.delete(path, True)
+        raise
+    fs.delete(at, True)
+    if not fs.rename(path, at):
+        raise OSError(f"{staged} can't be renamed to {target}")
+    return target
+
+
 def privacy_gate(result: Ledger, texts: DataFrame) -> DataFrame:
     """(text_id, ids, names): personal data in texts(text_id, text) that are to leave: tax ids, and
     the distinct first words of all names in every document's records that the text contains. A

@@ -1,10 +1,12 @@
+import os
+import time
 import zipfile
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import ledger, report
+from ledgerloom.plans import ledger, progress, report
 from ledgerloom.streaming import drops
 
 from . import vouchers
@@ -58,6 +60,58 @@ def test_privacy_gate_knows_every_name(spark):
     assert {r["text_id"]: (r["ids"], r["names"]) for r in got} == {1: (0, 2), 2: (0, 2), 3: (0, 0), 4: (0, 0), 5: (0, 502)}
 
 
+def test_nothing_leaves_that_the_gate_holds_back(spark, result, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    write = lambda rows: lambda at: spark.createDataFrame([(r,) for r in rows], "text string").write.text(at)
+    texts = lambda at: spark.read.text(at).select(F.col("value").alias("text"), F.monotonically_increasing_id().alias("text_id"))
+    with pytest.raises(report.Leak, match="1 texts with 1 tax ids"):
+        report.publish(result, write(["fine", "RUT 9.068.054-4"]), texts, target)
+    assert os.listdir(tmp_path) == []
+    assert report.publish(result, write(["fine", "12.345"]), texts, target) == target
+    assert sorted(r["text"] for r in texts(target).collect()) == ["12.345", "fine"]
+    gate = report.privacy_gate
+    monkeypatch.setattr(report, "privacy_gate", lambda *_: (_ for _ in ()).throw(OSError("an executor is gone")))
+    with pytest.raises(OSError, match="gone"):
+        report.publish(result, write(["newer"]), texts, target)
+    os.makedirs(f"{target}.staged-left")  # as of a run that was stopped between the steps
+    assert sorted(r["text"] for r in texts(target).collect()) == ["12.345", "fine"]
+    monkeypatch.setattr(report, "privacy_gate", gate)
+    report.publish(result, write(["newer"]), texts, target)
+    assert os.listdir(tmp_path) == ["out"] and [r["text"] for r in texts(target).collect()] == ["newer"]
+
+
+def test_progress(spark):
+    told = []
+    run = ledger.process(*vouchers.build(spark, vouchers.sample())).worked_out(lambda percent, phase: told.append((percent, phase)))
+    percents = [p for p, _ in told]
+    assert percents == sorted(set(percents)) and percents[0] == 0 and percents[-1] == 100 and percents[-2] <= 99
+    places = [[p.strip("_") for p in ledger.Ledger.PHASES].index(phase) for _, phase in told]  # a phase may add nothing to the one before
+    assert places == sorted(places) and len(set(places)) > 5
+    assert run.documents.count() == 5
+    run.release()
+
+
+def test_progress_counts_a_task_once_and_fails_silently(spark, tmp_path):
+    told, seen = [], tmp_path / "seen"
+
+    def twice(batches):
+        if not seen.exists():
+            seen.touch()
+            raise RuntimeError("lost")
+        yield from batches
+
+    with pytest.raises(Exception, match="lost"), progress.Watch(spark, ["one", "two"], lambda *x: told.append(x), every=0.01) as watch:
+        watch.phase()
+        spark.range(10, numPartitions=1).mapInArrow(twice, "id long").count()
+    assert told and all(p < 50 for p, _ in told)
+    with progress.Watch(spark, ["one", "two"], lambda *x: told.append(x), every=0.01) as watch:
+        watch.phase()
+        spark.range(10).repartition(3).count()
+        time.sleep(0.1)
+        assert watch.share(watch.group) == 1.0
+    assert told[-1] == (100, "two")
+
+
 def test_archives_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with zipfile.ZipFile(tmp_path / "in/a.zip", "w") as z:
