@@ -29,12 +29,12 @@ def cells_outside_and_colliding(spark, sf):
     return put.groupBy("l_orderkey").agg(F.count("*").alias("cells"), F.count_if(F.col("band").isNull()).alias("outside"), (F.count("band") - F.count_distinct("band")).alias("collisions"))
 
 
-@query("""WITH c AS (SELECT p_size, CAST(row_number() OVER (ORDER BY p_size) AS INTEGER) AS number, min(CAST(p_retailprice AS DECIMAL(20,2))) AS centre FROM part GROUP BY p_size HAVING p_size <= 8)
+@query("""WITH c AS (SELECT p_size, CAST(row_number() OVER (ORDER BY p_size) AS INTEGER) AS number, min(CAST(p_retailprice AS DECIMAL(20,2))) AS centre FROM part GROUP BY p_size)
 SELECT p_partkey, (SELECT arg_min(number, [abs(CAST(p.p_retailprice AS DECIMAL(20,2)) - centre), number]) FROM c) AS number FROM part p""")
 def nearest_column(spark, sf):
     part = table(spark, sf, "part").withColumn("price", F.col("p_retailprice").cast("decimal(20,2)"))
-    centres = part.where("p_size <= 8").groupBy("p_size").agg(F.min("price").alias("centre"))
-    centres = centres.select(F.row_number().over(Window.orderBy("p_size")).alias("number"), "centre", F.lit(1).alias("page"))  # eight rows
+    centres = part.groupBy("p_size").agg(F.min("price").alias("centre"))
+    centres = centres.select(F.row_number().over(Window.orderBy("p_size")).alias("number"), "centre", F.lit(1).alias("page"))  # as many rows as sizes
     return match.nearest(part.select("p_partkey", "price", F.lit(1).alias("page")), F.broadcast(centres), ["page"], "price", "centre", "number").select("p_partkey", "number")
 
 
@@ -67,10 +67,10 @@ def overlap_best_all(spark, sf):
 
 
 @query("""SELECT p_partkey, (lag(x1) OVER w + x0) / 2 AS "left", (x1 + lead(x0) OVER w) / 2 AS "right" FROM
-  (SELECT p_partkey, p_size, CAST(p_partkey * 10 AS DOUBLE) AS x0, CAST(p_partkey * 10 + p_size % 7 AS DOUBLE) AS x1 FROM part) WINDOW w AS (PARTITION BY p_size ORDER BY x0)""")
+  (SELECT p_partkey, p_partkey // 40 AS page, CAST(p_partkey * 10 AS DOUBLE) AS x0, CAST(p_partkey * 10 + p_size % 7 AS DOUBLE) AS x1 FROM part) WINDOW w AS (PARTITION BY page ORDER BY x0)""")
 def midpoint_domain(spark, sf):
-    cells = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_partkey") * 10).cast("double").alias("x0"), (F.col("p_partkey") * 10 + F.col("p_size") % 7).cast("double").alias("x1"))
-    return match.midpoint_domains(cells, ["p_size"], "x0").select("p_partkey", "left", "right")
+    cells = table(spark, sf, "part").select("p_partkey", F.expr("p_partkey div 40").alias("page"), (F.col("p_partkey") * 10).cast("double").alias("x0"), (F.col("p_partkey") * 10 + F.col("p_size") % 7).cast("double").alias("x1"))
+    return match.midpoint_domains(cells, ["page"], "x0").select("p_partkey", "left", "right")
 
 
 @query("""WITH b AS (SELECT page_id, g.k AS band, CAST(g.k * 10 AS DOUBLE) AS y0, CAST(g.k * 10 + 12 + page_id % 5 AS DOUBLE) AS y1, 1 + (page_id * 7 + g.k * 3) % 6 AS cells FROM pages, (SELECT unnest(range(0, 12)) AS k) g),
@@ -226,3 +226,29 @@ def band_pairs(spark, sf):
     pairs = F.array_sort(F.collect_set(F.struct(y0.alias("a"), (y0 + 5 + F.col("event_id") * 11 % 40).alias("b"))))  # 120 at most
     kept = table(spark, sf, "events").groupBy("user_id").agg(cluster.pair_anchors(pairs, 6.0).alias("kept"))
     return kept.select("user_id", F.explode("kept").alias("p")).select("user_id", F.col("p.a").alias("y0"), F.col("p.b").alias("y1"))
+
+
+COVERS = [
+    ("Caja de Compensación Los Andes\nC.C.A.F.\nAsignación Familiar", "DETALLE DE PAGO DE COTIZACIONES PREVISIONALES", "ccaf", 18, None, "Caja de Compensación Los Andes", "ccaf-cotizaciones"),
+    ("AFP Modelo\nFONDO DE PENSIONES\nSIS", "DETALLE DE PAGO DE COTIZACIONES PARA TRABAJOS PESADOS", "afp", 17, "afc", "AFP Modelo", "afp-trabajos-pesados"),
+    ("Fondo Nacional de Salud\nIPS", "DETALLE DE PAGO", "fonasa", 18, None, "Fonasa", "fonasa-detalle"),
+    ("Isapre Colmena", "DETALLE DE PAGO", "isapre", 20, None, "Isapre", "isapre-detalle"),
+    ("Asociación Chilena de Seguridad\nACHS", "DETALLE DE PAGO", "mutual", 16, None, "Mutual", "mutual-detalle"),
+    ("Administradora de Fondos de Cesantía\nAFC Chile\nSeguro de Cesantía", "DETALLE DE PAGO", "afc", 17, None, "AFC", "afc-detalle"),
+    ("Municipalidad", "DETALLE DE PAGO", None, None, None, "(no reconocida)", None),
+    ("Mutual\nFonasa", "OTRA COSA", "fonasa", 10, "mutual", "Fonasa", None),
+    ("Caja de Compensación La Araucana", "DETALLE DE PAGO DE OTRAS PRESTACIONES", "ccaf", 10, None, "Caja de Compensación La Araucana", "ccaf-prestaciones"),
+]
+_WANT = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in (n, *c[2:])) + ")" for n, c in enumerate(COVERS))
+
+
+@query(f"""SELECT o_orderkey, profile, CAST(score AS INTEGER) AS score, second, coalesce(profile = 'fonasa' AND second = 'mutual', false) AS ambiguous, institution, section
+FROM orders JOIN (VALUES {_WANT}) AS c(k, profile, score, second, institution, section) ON o_orderkey % {len(COVERS)} = k""")
+def institution_profiles(spark, sf):
+    """A cover of each institution, of none and of two, with an order's number on it: its profile, name and section."""
+    k = F.col("o_orderkey") % len(COVERS)
+    pick = lambda at: F.get(F.array(*[F.lit(c[at]) for c in COVERS]), k.cast("int"))
+    lines = F.concat(F.lit("COMPROBANTE\nNúmero de Folio: "), F.col("o_orderkey").cast("string"), F.lit("\n"), pick(0))
+    docs = classify.classified(table(spark, sf, "orders").select("o_orderkey", pick(1).alias("title"), lines.alias("lines")))
+    section, _ = classify.section_of(F.col("profile"), F.col("title"))
+    return docs.select("o_orderkey", "profile", F.col("score").cast("int").alias("score"), "second", "ambiguous", "institution", section.alias("section"))
