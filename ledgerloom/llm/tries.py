@@ -5,7 +5,7 @@
 2. Conversations that are equal are one path with a count, and the digest of their ids.
 3. A prefix with more than SHARD turns of distinct paths below it is heavy. Where a path leaves the
    heavy prefixes a shard begins, so a shard is bounded, however many conversations share its
-   beginning. A task takes whole shards, SHARD turns at a time, and numpy builds one level-order
+   beginning. A task takes whole shards, CHUNK turns at a time, and numpy builds one level-order
    trie of them: a LOUDS bit vector (a 1 for each child and a 0 to end, for each node, level by level) and
    the arrays of labels. The parents read off the bits carry the sums upwards, level by level from
    the last.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, batch, materialize, small_batches
 
-#: Turns below a prefix from which it is heavy, and turns of which one trie is built at a time.
-SHARD = 50_000
+#: Turns below a prefix from which it is heavy; turns of which tries are built at a time, from whole shards.
+SHARD, CHUNK = 2_000, 50_000
 #: Conversations with the same id but for the rest by REBASED begin like the one with rest 0, by fewer than HEADS turns.
 REBASED, HEADS = 20, 4
 #: Ids that are written out together before the digest of a path's members, as a power of two.
@@ -164,12 +164,12 @@ def heavy_prefixes(rows: DataFrame) -> DataFrame:
 
 
 def _whole_shards(batches):
-    """Arrow batches as tables of whole shards with SHARD turns or more, but for the last."""
+    """Arrow batches as tables of whole shards with CHUNK turns or so."""
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n >= 2 * SHARD:
+        if n >= CHUNK:
             table = pa.Table.from_batches(held).combine_chunks()
             s1, s2 = (table.column(c).to_numpy() for c in ("s1", "s2"))
             new = np.flatnonzero((s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])) + 1

@@ -66,9 +66,10 @@ def made(n, seed, words=3, longest=7):
     return rows
 
 
-@pytest.mark.parametrize("shard", [50_000, 60, 1])
-def test_against_the_direct_way(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, chunk", [(2_000, 50_000), (60, 100), (1, 50_000), (1, 2)])
+def test_against_the_direct_way(spark, monkeypatch, shard, chunk):
     monkeypatch.setattr(tries, "SHARD", shard)
+    monkeypatch.setattr(tries, "CHUNK", chunk)
     rows = made(150, shard)
     assert run(spark, rows) == plain(rows)
 
