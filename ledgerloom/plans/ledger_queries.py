@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.taxid import check_digit
 from ..functions.text import printed
 from ..operators import config as C
-from . import ledger
+from ..sinks import workbook
+from . import ledger, report
 from .catalogue import query, table
 
 # the layout of a page: heading, box, centre of the data below
@@ -135,3 +136,20 @@ def voucher_plain_columns(spark, sf):
 SELECT 'n' || c_nationkey || '.pdf' AS file, CAST(n AS BIGINT) AS records, CAST(0 AS BIGINT) AS outside, CAST(outside + colliding AS BIGINT) AS colliding, dropped FROM s""")
 def voucher_plain_states(spark, sf):
     return without_boxes(spark, sf).documents.select("file", F.col("n_records").alias("records"), "outside", "colliding", "dropped")
+
+
+@query(f"""SELECT 'n' || c_nationkey || '.pdf' AS file, 'afp-cotizaciones' AS section, CAST(4 AS BIGINT) AS columns, CAST(min(2 + o_orderkey // {ROWS}) AS INTEGER) AS first_page, CAST(max(2 + o_orderkey // {ROWS}) AS INTEGER) AS last_page FROM ({_LINES}) GROUP BY c_nationkey""")
+def voucher_sections(spark, sf):
+    return report.sections(processed(spark, sf))
+
+
+@query(f"""SELECT DISTINCT 'n' || c_nationkey || '.pdf' AS file, 'cotObliAfp,impAfp' AS fields, 'Fondo de Pensiones,Identificación del Trabajador' AS groups FROM ({_LINES})""")
+def voucher_concepts(spark, sf):
+    return report.concepts(processed(spark, sf)).select("file", F.array_join("fields", ",").alias("fields"), F.array_join("groups", ",").alias("groups"))
+
+
+@query(f"""SELECT CAST(c_nationkey AS INTEGER) AS doc_ord, 'n' || c_nationkey || '.pdf' AS file, CAST(max(2 + o_orderkey // {ROWS}) AS INTEGER) AS pages, 'AFP PlanVital' AS institution, '07/2026' AS period, '' AS employer, count(*) AS records, CASE WHEN c_nationkey % 5 = 0 THEN 'no cuadra' ELSE 'verificado' END AS state
+FROM ({_LINES}) GROUP BY c_nationkey""")
+def voucher_metadata(spark, sf):
+    """What a user interface shows of each document."""
+    return workbook.metadata(processed(spark, sf)).select("doc_ord", "file", "pages", "institution", "period", "employer", "records", "state")
