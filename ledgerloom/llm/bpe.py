@@ -195,7 +195,8 @@ def decoder(path: str) -> Decoder:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs(doc_id, text, ...).
 
-    A null or empty text has no ids. Repeated rows are each returned; other columns are ignored.
+    A null or empty text has no ids. Repeated rows are each returned; other columns are ignored; texts of any
+    length are taken whole; no rows give no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 

@@ -186,7 +186,8 @@ def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     in the plan: keep event logs and explained plans as safe as the key, or have Spark redact them.
 
     Null texts stay null with counts of 0; other columns stay as they are, but for any of the
-    count columns' names, which are replaced. Repeated rows are each returned. Addresses are
+    count columns' names, which are replaced. Repeated rows are each returned, empty texts stay empty, texts of
+    any length are taken whole, and no rows give no rows. Addresses are
     replaced first, so their digits are not taken for numbers.
     """
     key = key or session_key(docs.sparkSession)

@@ -130,7 +130,7 @@ def apply_rules(docs: DataFrame, table=TABLE) -> DataFrame:
     """statistics(docs) with base_failed and kept.
 
     A null text counts as empty and fails for want of words. Repeated rows are each returned;
-    other columns are ignored. n_repeat_words counts word places inside 5-word windows that
+    other columns are ignored; texts of any length are taken whole; no rows give no rows. n_repeat_words counts word places inside 5-word windows that
     occur twice or more in the text; windows are compared by 64-bit hashes.
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))

@@ -116,7 +116,8 @@ def length_partition(n: Column, threshold: float = THRESHOLD) -> Column:
 
 def spot_signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint string, signatures array<long> sorted as unsigned, n, part int) for every
-    row of docs(doc_id, text, ...). A null text counts as empty; repeated rows are each returned."""
+    row of docs(doc_id, text, ...). A null text counts as empty; repeated rows are each returned; texts of any
+    length are taken whole; no rows give no rows."""
 
     def run(batches):
         for b in batches:

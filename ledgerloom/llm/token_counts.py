@@ -123,7 +123,8 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of docs(doc_id, text, ...).
 
     A null text counts as empty: 0 bytes and 0 tokens. Rows that repeat a doc_id, or a whole
-    row, are each returned. Other columns are ignored. No rows give no rows.
+    row, are each returned. Other columns are ignored. Texts of any length are counted whole. No rows
+    give no rows.
     """
     spark = docs.sparkSession
     vocab = materialize(vocabulary(docs, model_path))
