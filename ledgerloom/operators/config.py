@@ -1,11 +1,14 @@
 """The dimension tables: fields, output layout, profiles, totals, rules and codes.
 
-All are literals of fixed size, so joins with them may be broadcast.
+All are literals of fixed size, so joins with them may be broadcast. What is known of institutions can be
+extended by tables (Config.with_tables) for the plans of one run.
 """
 
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -219,7 +222,7 @@ FIELDS: dict[str, tuple[str, str | None]] = {
 }
 
 # fixed values: printed headings, normalised, and their fields by section; the common ones hold in every section
-LABELS = [
+_LABELS = [
     ("common", "rut", "rut"),
     ("common", "nombre afiliado", "nombre"),
     ("common", "nombre del afiliado", "nombre"),
@@ -309,7 +312,7 @@ LABELS = [
 
 # fixed values: totals that covers declare, by profile: label, kind and fields; prefix: the label goes on;
 # where: only persons with an amount of this field; why: the reason why nothing is compared
-TOTALS = [
+_TOTALS = [
     Total("ccaf", "cotizacion no afiliados a isapre", "field", plus=("cotCcaf",)),
     Total("ccaf", "asignacion familiar", "field", plus=("asigFam",)),
     Total("ccaf", "asignacion familiar retroactiva", "field", plus=("asigFamRetro",)),
@@ -359,7 +362,7 @@ _SECTIONS = (
 )
 
 # fixed values: profiles' names, pension regime, health institution code, fields that no cover can back
-PROFILES = {
+_PROFILES = {
     "ccaf": ("Caja de Compensación", None, None, ("impCcaf",)),
     "afp": ("AFP", "AFP", None, ("impTrabPesado",)),
     "fonasa": ("Fonasa", None, 7, ()),
@@ -390,7 +393,6 @@ _RULES = [
     ('mutual', 'institution', 10, r"(?iu)mutual|asociaci[oó]n\s+chilena\s+de\s+seguridad|instituto\s+de\s+seguridad\s+(del\s+trabajo|laboral)"),
     ('mutual', 'institution', 6, r"(?iu)\b(achs|ist|isl)\b"),
 ]
-RULES = [(profile, scope, weight, spaced(pattern)) for profile, scope, weight, pattern in _RULES]
 MARGIN = 4
 
 # fixed values: codes of institutions by normalised name
@@ -417,7 +419,6 @@ SUBSIDY = r"^([\d.]+)-([\dkK])$"
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 LAYOUT = [Column(at, header, kind, default) for at, (header, kind, default) in enumerate(_LAYOUT)]
-SECTIONS = {s[0]: s[1:] for s in _SECTIONS}
 NUMERIC = tuple(f for f, (rule, _) in FIELDS.items() if rule in ("sum", "max"))
 
 
@@ -428,10 +429,79 @@ def column(header: str) -> Column:
     return next(c for c in LAYOUT if c.header and c.header == header)
 
 
+@dataclass(frozen=True)
+class Config:
+    """What is known of institutions. profiles: name, pension regime, health code and fields that no cover can back;
+    rules: (profile, scope, weight, pattern); sections: profile, title pattern, anchors and fields fed by several
+    columns; labels: (section or "common", heading, field); totals that covers declare."""
+
+    profiles: dict[str, tuple]
+    rules: list[tuple[str, str, int, str]]
+    sections: dict[str, tuple]
+    labels: list[tuple[str, str, str]]
+    totals: list[Total]
+
+    def checked(self, spark: SparkSession) -> "Config":
+        """self, if every name that is used is known and every pattern is one; else a ValueError that lists what isn't."""
+        wrong = [f"rule of an unknown profile: {r[0]}" for r in self.rules if r[0] not in self.profiles]
+        wrong += [f"rule of an unknown scope: {r[1]}" for r in self.rules if r[1] not in ("cover", "institution")]
+        wrong += [f"section {s} of an unknown profile: {spec[0]}" for s, spec in self.sections.items() if spec[0] not in self.profiles]
+        wrong += [f"label of an unknown section: {x[0]}" for x in self.labels if x[0] != "common" and x[0] not in self.sections]
+        wrong += [f"heading that isn't normal: {x[1]}" for x in self.labels if not normal(x[1])]
+        wrong += [f"total of an unknown profile: {t.profile}" for t in self.totals if t.profile not in self.profiles]
+        wrong += [f"total of an unknown kind: {t.kind}" for t in self.totals if t.kind not in ("field", "terms", "count", "any", "note")]
+        used = [x[2] for x in self.labels] + [f for t in self.totals for f in (*t.plus, *t.minus, *([t.where] if t.where else []))] + [f for *_, own in self.profiles.values() for f in own] + [f for *_, own in self.sections.values() for f in own]
+        wrong += [f"unknown field: {f}" for f in dict.fromkeys(used) if f not in FIELDS]
+        for pattern in [r[3] for r in self.rules] + [spec[1] for spec in self.sections.values()]:
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(pattern)
+            except Exception:  # noqa: BLE001  whatever the JVM's bridge raises
+                wrong.append(f"no pattern: {pattern}")
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        return self
+
+    def with_tables(self, profiles: DataFrame, rules: DataFrame, sections: DataFrame, labels: DataFrame, totals: DataFrame) -> "Config":
+        """self and what tables add to it; a profile or section of a known name takes its place.
+
+        profiles(profile, shown, regime, health_code, unbacked), rules(profile, scope, weight, pattern, in order of
+        ord), sections(section, profile, title, anchors, additive), labels(section, heading, field),
+        totals(profile, key, kind, plus, minus, only, why, prefix, ord). Configuration is small: a few rows for each
+        institution come to the driver and end as literals of the plan.
+        """
+        p = {r["profile"]: (r["shown"], r["regime"], r["health_code"], tuple(r["unbacked"] or ())) for r in profiles.orderBy("profile").collect()}
+        s = {r["section"]: (r["profile"], r["title"], tuple(r["anchors"]), tuple(r["additive"] or ())) for r in sections.orderBy("section").collect()}
+        more = [(r["profile"], r["scope"], r["weight"], spaced(r["pattern"])) for r in rules.orderBy("ord").collect()]
+        heads = [(r["section"], r["heading"], r["field"]) for r in labels.orderBy("section", "heading").collect()]
+        declared = [Total(r["profile"], r["key"], r["kind"], tuple(r["plus"] or ()), tuple(r["minus"] or ()), r["only"], r["why"], bool(r["prefix"])) for r in totals.orderBy("ord").collect()]
+        return Config(self.profiles | p, self.rules + more, self.sections | s, heads + self.labels, self.totals + declared).checked(profiles.sparkSession)
+
+
+BASE = Config(_PROFILES, [(profile, scope, weight, spaced(pattern)) for profile, scope, weight, pattern in _RULES], {s[0]: s[1:] for s in _SECTIONS}, _LABELS, _TOTALS)
+_current: ContextVar[Config] = ContextVar("config", default=BASE)
+
+
+@contextmanager
+def using(config: Config):
+    """Plans that are declared inside are those of this configuration: PROFILES, RULES, SECTIONS, LABELS and TOTALS are its."""
+    token = _current.set(config)
+    try:
+        yield config
+    finally:
+        _current.reset(token)
+
+
+def __getattr__(name: str):
+    if name in ("PROFILES", "RULES", "SECTIONS", "LABELS", "TOTALS"):
+        return getattr(_current.get(), name.lower())
+    raise AttributeError(name)
+
+
 def labels() -> dict[str, dict[str, str]]:
     """Section to key to field: a section's own entries before the common ones."""
-    common = {k: f for s, k, f in LABELS if s == "common"}
-    return {s: common | {k: f for o, k, f in LABELS if o == s} for s in SECTIONS}
+    now = _current.get()
+    common = {k: f for s, k, f in now.labels if s == "common"}
+    return {s: common | {k: f for o, k, f in now.labels if o == s} for s in now.sections}
 
 
 def fields(spark: SparkSession) -> DataFrame:
@@ -444,11 +514,11 @@ def name_of(total: Total) -> str:
 
 def terms() -> list[tuple[str, str, int, int]]:
     """(name, field, sign, ord) of totals that add fields up or are any of them."""
-    return [(name_of(t), f, sign, n) for t in TOTALS for sign, part in ((1, t.plus), (-1, t.minus)) for n, f in enumerate(part)]
+    return [(name_of(t), f, sign, n) for t in _current.get().totals for sign, part in ((1, t.plus), (-1, t.minus)) for n, f in enumerate(part)]
 
 
 def excused(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, f) for p, (*_, own) in PROFILES.items() for f in own], "profile string, field string")
+    return spark.createDataFrame([(p, f) for p, (*_, own) in _current.get().profiles.items() for f in own], "profile string, field string")
 
 
 def normal(text: str) -> bool:

@@ -9,7 +9,7 @@ documents are rows, not iterations.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,27 @@ from .cuts import cut, into, numbered, release
 from .progress import Watch
 
 
+def _configured(cls):
+    """Every result of a class is declared under the configuration of its own."""
+
+    def under(f):
+        @wraps(f)
+        def declared(self, *args, **named):
+            with C.using(self.config):
+                return f(self, *args, **named)
+
+        return declared
+
+    for name, attribute in list(vars(cls).items()):
+        if isinstance(attribute, cached_property):
+            attribute.func = under(attribute.func)
+        elif isinstance(attribute, property):
+            setattr(cls, name, property(under(attribute.fget), doc=attribute.__doc__))
+    cls.state = under(cls.state)
+    return cls
+
+
+@_configured
 class Ledger:
     """The results for all documents. Every table is worked out when it is first asked for and
     written once, so what isn't asked for costs nothing and nothing is read twice.
@@ -29,7 +50,8 @@ class Ledger:
     are wanted are written elsewhere, release() deletes the tables that were written on the way.
     """
 
-    def __init__(self, files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None):
+    def __init__(self, files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None, config: C.Config = C.BASE):
+        self.config = config
         self._files, self._cells, self._boxes = files, cells, boxes
         self._made: list[str] = []
         self._ignored = ignored if ignored is not None else files.sparkSession.createDataFrame([], "file string, file_ord long")
@@ -178,11 +200,12 @@ def _reading(tables: DataFrame, values: DataFrame) -> DataFrame:
     return counts.join(good, "doc_id", "left")
 
 
-def process(files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None) -> Ledger:
-    return Ledger(files, cells, boxes, ignored)
+def process(files: DataFrame, cells: DataFrame, boxes: DataFrame, ignored: DataFrame | None = None, config: C.Config = C.BASE) -> Ledger:
+    """The run over these tables; config is what is known of institutions (see operators.config)."""
+    return Ledger(files, cells, boxes, ignored, config)
 
 
-def from_archives(spark: SparkSession, path: str, reader: Callable[[bytes], Iterator[tuple]] | None) -> Ledger:
+def from_archives(spark: SparkSession, path: str, reader: Callable[[bytes], Iterator[tuple]] | None, config: C.Config = C.BASE) -> Ledger:
     """The whole way from ZIP archives at a path (any store and pattern that Spark reads): documents of
     all archives are numbered in one sequence by name, and a voucher that is in two archives counts
     once. reader turns a document's bytes into cells and boxes (see sources.pdf). What can't be read,
@@ -193,7 +216,7 @@ def from_archives(spark: SparkSession, path: str, reader: Callable[[bytes], Iter
         items = cut(pdf.drawn(archive.documents(archive.entries(spark, path)), reader))
         files = archive.files(listed).join(pdf.errors(items).withColumnRenamed("error", "_error"), "doc_id", "left")
         files = files.select("doc_id", "doc_ord", "file", F.coalesce("error", "_error").alias("error"))
-        run = process(cut(files), pdf.cells(items), pdf.boxes(items), archive.ignored(listed))
+        run = process(cut(files), pdf.cells(items), pdf.boxes(items), archive.ignored(listed), config)
     run._made += made
     return run
 

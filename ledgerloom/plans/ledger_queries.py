@@ -153,3 +153,28 @@ FROM ({_LINES}) GROUP BY c_nationkey""")
 def voucher_metadata(spark, sf):
     """What a user interface shows of each document."""
     return workbook.metadata(processed(spark, sf)).select("doc_ord", "file", "pages", "institution", "period", "employer", "records", "state")
+
+
+OWN = "GREMIO SOLIDARIO"
+
+
+def own_institution(spark: SparkSession) -> C.Config:
+    """A seventh institution that tables describe."""
+    return C.BASE.with_tables(
+        spark.createDataFrame([("gremio", "Gremio", None, None, [])], "profile string, shown string, regime string, health_code int, unbacked array<string>"),
+        spark.createDataFrame([(1, "gremio", "institution", 12, r"(?iu)gremio\s+solidario"), (2, "afp", "institution", -20, r"(?iu)gremio")], "ord int, profile string, scope string, weight int, pattern string"),
+        spark.createDataFrame([("gremio-detalle", "gremio", r"(?imu)^DETALLE DE PAGO", ["RUT"], [])], "section string, profile string, title string, anchors array<string>, additive array<string>"),
+        spark.createDataFrame([("gremio-detalle", "fondo de pensiones remuneracion imponible", "impCcaf"), ("gremio-detalle", "fondo de pensiones cotizacion obligatoria", "credPersonal")], "section string, heading string, field string"),
+        spark.createDataFrame([(1, "gremio", "cotizacion obligatoria", "field", ["credPersonal"], [], None, None, False), (2, "gremio", "numero afiliados informados", "count", [], [], None, None, False)], "ord int, profile string, key string, kind string, plus array<string>, minus array<string>, only string, why string, prefix boolean"),
+    )
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, CAST(sum(base) AS DOUBLE) AS b, CAST(sum(base // 10) AS DOUBLE) AS c, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS n FROM ({_LINES}) GROUP BY c_nationkey)
+SELECT 'n' || c_nationkey || '.pdf' AS file, 'Gremio' AS institution, 'Cotización Obligatoria' AS label, 'credPersonal' AS field, c AS declared, c AS extracted, true AS ok FROM s
+UNION ALL SELECT 'n' || c_nationkey || '.pdf', 'Gremio', 'NUMERO AFILIADOS INFORMADOS', '(rut únicos)', n, n, true FROM s""")
+def voucher_own_institution(spark, sf):
+    """The same vouchers, of an institution that only tables know."""
+    files, cells, boxes = vouchers(spark, sf)
+    named = cells.withColumn("text", F.when(F.col("text") == "AFP PlanVital", OWN).otherwise(F.col("text")))
+    run = ledger.process(files, named, boxes, config=own_institution(spark))
+    return run.control.select("file", "institution", "label", "field", F.col("amount").cast("double").alias("declared"), F.col("extracted").cast("double").alias("extracted"), "ok")

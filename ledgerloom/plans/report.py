@@ -42,6 +42,11 @@ def populations(result: Ledger) -> DataFrame:
 def coverage(result: Ledger) -> DataFrame:
     """(source, items): layout columns without a value that only absent institutions could fill."""
     spark = result.ledger.sparkSession
+    with C.using(result.config):
+        return _coverage(spark, result)
+
+
+def _coverage(spark: SparkSession, result: Ledger) -> DataFrame:
     can = sorted({(C.PROFILES[C.SECTIONS[s][0]][0], C.FIELDS[f][1]) for s in C.SECTIONS for b, _, f in C.LABELS if b in (s, "common") and C.FIELDS[f][1]})
     names = {p: spec[0] for p, spec in C.PROFILES.items()}
     label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])

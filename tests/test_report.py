@@ -112,6 +112,25 @@ def test_progress_counts_a_task_once_and_fails_silently(spark, tmp_path):
     assert told[-1] == (100, "two")
 
 
+def test_configuration_from_tables(spark):
+    from ledgerloom.operators import config as C
+    from ledgerloom.plans import ledger_queries
+
+    own = ledger_queries.own_institution(spark)
+    assert "gremio" in own.profiles and "gremio" not in C.PROFILES and C.labels().keys() == C.BASE.sections.keys()
+    with C.using(own):
+        assert "gremio" in C.PROFILES and C.labels()["gremio-detalle"]["fondo de pensiones remuneracion imponible"] == "impCcaf"
+    assert C.PROFILES is C.BASE.profiles
+    none = {n: spark.createDataFrame([], s) for n, s in (("profiles", "profile string, shown string, regime string, health_code int, unbacked array<string>"), ("sections", "section string, profile string, title string, anchors array<string>, additive array<string>"), ("labels", "section string, heading string, field string"), ("totals", "ord int, profile string, key string, kind string, plus array<string>, minus array<string>, only string, why string, prefix boolean"))}
+    assert C.BASE.with_tables(**none, rules=spark.createDataFrame([], "ord int, profile string, scope string, weight int, pattern string")) == C.BASE
+    bad = spark.createDataFrame([(1, "nobody", "page", 1, "(")], "ord int, profile string, scope string, weight int, pattern string")
+    with pytest.raises(ValueError, match="unknown profile: nobody.*unknown scope: page.*no pattern"):
+        C.BASE.with_tables(**none, rules=bad)
+    wrong = none | {"labels": spark.createDataFrame([("common", "Not Normal", "noField")], "section string, heading string, field string")}
+    with pytest.raises(ValueError, match="isn't normal: Not Normal.*unknown field: noField"):
+        C.BASE.with_tables(**wrong, rules=bad.limit(0))
+
+
 def test_archives_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with zipfile.ZipFile(tmp_path / "in/a.zip", "w") as z:
