@@ -22,6 +22,8 @@ from . import ooxml
 # fixed values: the sheets' names
 LEDGER, SUMMARY, COLUMNS, REVIEW = "TXT CONSOLIDADO", "Resumen", "Columnas", "Revisar"
 WIDTH_ROWS, NARROWEST, WIDEST = 200, 8, 26
+#: Compressed bytes that come to the driver at once; more come one partition at a time.
+AT_ONCE = 32 << 20
 #: fixed value: rows of a sheet, its heading included
 ROWS_IN_A_SHEET = 1_048_576
 
@@ -179,9 +181,13 @@ def _write(result: Ledger, target) -> None:
     made = cut(ooxml.parts(rows))
     order = ["sheet", "segment", "part"]
     sums_of: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for r in made.select(*order, "crc", "raw", "packed").orderBy(*order).collect():  # a row for each part
-        sums_of.setdefault((r["sheet"], r["segment"]), []).append((r["crc"], r["raw"], r["packed"]))
-    flow = (bytes(r["data"]) for r in made.orderBy(*order).select("data").toLocalIterator())
+    known = sorted(map(tuple, made.select(*order, "crc", "raw", "packed").collect()))  # a row for each part
+    for sheet_no, segment, _, *sums_ in known:
+        sums_of.setdefault((sheet_no, segment), []).append(tuple(sums_))
+    if sum(k[-1] for k in known) <= AT_ONCE:
+        flow = (bytes(r["data"]) for r in sorted(made.select(*order, "data").collect(), key=lambda r: tuple(r)[:3]))
+    else:
+        flow = (bytes(r["data"]) for r in made.orderBy(*order).select("data").toLocalIterator())
 
     ledger_widths = widths(lines.where(F.col(line) <= WIDTH_ROWS), headers, names)
     block = lambda first, rows: "".join(_row(first + n, r) for n, r in enumerate(rows))

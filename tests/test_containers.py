@@ -135,6 +135,7 @@ def _bare(spark, n):
 def test_long_ledgers_go_on_in_further_sheets(spark, tmp_path, monkeypatch, n, most):
     monkeypatch.setattr(workbook, "ROWS_IN_A_SHEET", most)
     monkeypatch.setattr(ooxml, "PART", 4)
+    monkeypatch.setattr(workbook, "AT_ONCE", 32 << 20 if n == 25 else 0)
     path = tmp_path / "out.xlsx"
     workbook.write_workbook(_bare(spark, n), path)
     with zipfile.ZipFile(path) as z:
