@@ -27,7 +27,7 @@ def rank_in(sorted_values: Column, value: Column) -> Column:
 
 def page_clusters(rows: DataFrame, on: list[str], value: str, tolerance: float) -> DataFrame:
     """rows with cluster (1, 2, ...) and anchor, the cluster's first value; groups are as small as pages."""
-    found = rows.groupBy(*on).agg(anchors(F.array_sort(F.collect_set(F.col(value).cast("double"))), tolerance).alias("_anchors"))
+    found = rows.groupBy(*on).agg(anchors(F.sort_array(F.collect_set(F.col(value).cast("double"))), tolerance).alias("_anchors"))
     number = rank_in(F.col("_anchors"), F.col(value).cast("double"))
     return rows.join(found, on).withColumn("cluster", number).withColumn("anchor", F.get("_anchors", F.col("cluster") - 1)).drop("_anchors")
 

@@ -48,7 +48,7 @@ def before_stop(rows: Column, stops, number: str) -> Column:
 def widest_band(bands: Column, y: Column) -> Column:
     """Of the bands with y0 <= y <= y1 and more than one cell that with most cells, the topmost of equal ones."""
     fit = F.filter(bands, lambda b: (y >= b["y0"]) & (y <= b["y1"]) & (F.size(b["cells"]) > 1))
-    return head(F.array_sort(F.transform(fit, lambda b: F.struct((-F.size(b["cells"])).alias("n"), b["y0"].alias("y0"), b["band_no"].alias("band_no"), b["cells"].alias("cells")))))
+    return head(F.sort_array(F.transform(fit, lambda b: F.struct((-F.size(b["cells"])).alias("n"), b["y0"].alias("y0"), b["band_no"].alias("band_no"), b["cells"].alias("cells")))))
 
 
 def last_levels(values: Column, n: int) -> Column:
@@ -59,11 +59,13 @@ def last_levels(values: Column, n: int) -> Column:
 def rows_of(cells: DataFrame) -> DataFrame:
     """(doc_id, page, row_no, y, cells, text): cells in visual rows, from the top; a row's y is
     that of its first cell, and cells within the tolerance of it belong to the row."""
-    shown = cells.where(trimmed(F.col("text")) != "")
-    placed = page_clusters(shown, PAGE, "y", C.ROW)
     text = F.col("text")
-    cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", norm(text).alias("n"), looks_like_tax_id(text).alias("id"), is_value(text).alias("value"), to_number(text).alias("number"))
-    rows = placed.groupBy(*PAGE, F.col("cluster").alias("row_no")).agg(F.first("anchor").alias("y"), F.array_sort(F.collect_list(cell)).alias("cells"))
+    shown = cells.where(trimmed(text) != "")
+    placed = page_clusters(shown, PAGE, "y", C.ROW).withColumnRenamed("cluster", "row_no")
+    # worked out ahead of the grouping, where they are compiled and share their parts
+    placed = placed.withColumns({"n": norm(text), "id": looks_like_tax_id(text), "value": is_value(text), "number": to_number(text)})
+    cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", "n", "id", "value", "number")
+    rows = placed.groupBy(*PAGE, "row_no").agg(F.first("anchor").alias("y"), F.sort_array(F.collect_list(cell)).alias("cells"))
     return rows.withColumn("text", joined(F.col("cells")))
 
 
@@ -72,18 +74,18 @@ def bands_of(boxes: DataFrame) -> DataFrame:
     from the top; lines are left out, and a cell that is drawn twice counts once."""
     real = boxes.where((F.col("x1") - F.col("x0") >= C.BOX_WIDTH) & (F.col("y1") - F.col("y0") >= C.BOX_HEIGHT))
     edges = real.groupBy(*PAGE, "y0", "y1").agg(F.min("x0").alias("o"))
-    kept = edges.groupBy(*PAGE).agg(pair_anchors(F.array_sort(F.collect_list(F.struct(F.col("y0").alias("a"), "o", F.col("y1").alias("b")))), C.BAND).alias("kept"))
+    kept = edges.groupBy(*PAGE).agg(pair_anchors(F.sort_array(F.collect_list(F.struct(F.col("y0").alias("a"), "o", F.col("y1").alias("b")))), C.BAND).alias("kept"))
     at = real.join(kept, PAGE).withColumn("band_no", first_near(F.col("kept"), F.col("y0"), F.col("y1"), C.BAND))
-    drawn = F.array_sort(F.collect_list(F.struct("y0", F.col("x0").alias("a"), F.col("x1").alias("b"))))
+    drawn = F.sort_array(F.collect_list(F.struct("y0", F.col("x0").alias("a"), F.col("x1").alias("b"))))
     found = at.groupBy(*PAGE, "band_no").agg(head(F.first(F.slice("kept", F.col("band_no").cast("int"), 1))).alias("k"), pair_anchors(drawn, C.SAME_CELL).alias("cells"))
-    cells = F.array_sort(F.transform("cells", lambda c: F.struct(c["a"].alias("x0"), c["b"].alias("x1"))))
+    cells = F.sort_array(F.transform("cells", lambda c: F.struct(c["a"].alias("x0"), c["b"].alias("x1"))))
     return found.select(*PAGE, "band_no", F.col("k")["a"].alias("y0"), F.col("k")["b"].alias("y1"), cells.alias("cells"))
 
 
 def pages_of(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """One row for each page: rows and bands as arrays from the top."""
-    r = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row_no", "y", "cells", "text"))).alias("rows"))
-    b = bands.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "band_no", "y1", "cells"))).alias("bands"))
+    r = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row_no", "y", "cells", "text"))).alias("rows"))
+    b = bands.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "band_no", "y1", "cells"))).alias("bands"))
     title = F.array_join(F.transform(F.slice("rows", 1, 3), lambda x: x["text"]), "\n")
     both = r.join(b, PAGE, "left").withColumns({"title": title, "lines": F.array_join(F.transform("rows", lambda x: x["text"]), "\n")})
     return both.withColumn("bands", F.coalesce("bands", F.slice("bands", 1, 0), F.array().cast(both.schema["bands"].dataType)))
@@ -134,7 +136,7 @@ def _ruled(page: dict[str, Column]) -> Column:
             def groups(anchors):
                 named = F.transform(anchors, lambda g, n: F.struct(g["y0"].alias("y0"), n.alias("n"), g["a"].alias("a"), g["b"].alias("b"), F.trim(joined(F.filter(over, lambda t: first_near(anchors, t["a"], t["b"], C.ALIGNED) == n + 1))).alias("text")))
                 levels = last_levels(F.transform(anchors, lambda g: g["y0"]), C.ANCESTOR_LEVELS)
-                return F.filter(F.array_sort(named), lambda g: F.array_contains(levels, g["y0"]) & (g["text"] != "") & ~is_value(g["text"]))
+                return F.filter(F.sort_array(named), lambda g: F.array_contains(levels, g["y0"]) & (g["text"] != "") & ~is_value(g["text"]))
 
             def made(gs):
                 def one(k, i):

@@ -15,7 +15,7 @@ def gathered(rows: DataFrame, on: list[str], order: list[str], name: str) -> Dat
     """One row for each `on` with its rows as a sorted array of structs; groups are pages,
     documents or bands, whose size the printed form bounds."""
     rest = [c for c in rows.columns if c not in on and c not in order]
-    return rows.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+    return rows.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
 
 
 def contained(points: DataFrame, ranges: DataFrame, on: list[str], x: str, low: str, high: str, order: list[str], how: str = "left") -> DataFrame:
@@ -130,7 +130,7 @@ def longest_pattern(text: Column, patterns: dict[str, str]) -> tuple[Column, Col
     """(name of the pattern with the longest match, names of all that match in that order or
     null if it is the only one); the first listed wins ties."""
     hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct((-F.length(F.regexp_extract(text, p, 0))).alias("n"), F.lit(i).alias("i"), F.lit(name).alias("name"))) for i, (name, p) in enumerate(patterns.items())]))
-    ordered = F.array_sort(hits)
+    ordered = F.sort_array(hits)
     return F.get(ordered, F.lit(0))["name"], F.when(F.size(ordered) > 1, F.array_join(F.transform(ordered, lambda h: h["name"]), " / "))
 
 
@@ -150,7 +150,7 @@ def scored(texts: dict[str, Column], rules: list[tuple[str, str, int, str]], mar
         first = F.least(*[F.when(hit(r), F.lit(i)) for i, r in own], F.lit(None).cast("int")) if len(own) > 1 else F.when(hit(own[0][1]), F.lit(own[0][0]))
         proof = F.array_compact(F.array(*[F.when(hit(r), F.concat_ws(":", F.lit(r[1]), F.lit(str(r[2])), F.trim(F.regexp_extract(texts[r[1]], r[3], 0)))) for _, r in own]))
         entries.append(F.when(first.isNotNull(), F.struct((-total).alias("n"), first.alias("i"), F.lit(label).alias("label"), proof.alias("proof"))))
-    ordered = F.array_sort(F.array_compact(F.array(*entries)))
+    ordered = F.sort_array(F.array_compact(F.array(*entries)))
     top, next_ = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
     won = top["n"] < 0
     return {

@@ -39,7 +39,7 @@ def merged(rule: str, value: Column, order: list[Column], sign: list[Column]) ->
 
 def kinds_of(kind: Column) -> Column:
     """The distinct kinds of a group's rows, sorted."""
-    return F.array_sort(F.collect_set(kind))
+    return F.sort_array(F.collect_set(kind))
 
 
 def first_where(value: Column, where: Column, order: list[Column]) -> Column:

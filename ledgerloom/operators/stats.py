@@ -36,7 +36,7 @@ def histogram_with_details(rows: DataFrame, kind: str, detail: str, order: list[
     """(kind, count, first, details): groups by size, each with its first details."""
     per = rows.groupBy(kind).agg(F.count("*").alias("count"), F.min(F.struct(*order)).alias("first"))
     top = first_of_each(rows.select(kind, *order, F.col(detail).alias("_d")), [kind], [*order, "_d"], most)
-    details = top.groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "_d"))), lambda p: p["_d"].cast("string")), "|").alias("details"))
+    details = top.groupBy(kind).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "_d"))), lambda p: p["_d"].cast("string")), "|").alias("details"))
     return per.join(details, kind)
 
 
@@ -76,7 +76,7 @@ def missing_coverage(can_fill: DataFrame, present: DataFrame, filled: DataFrame)
     empty = can_fill.join(filled, "item", "left_anti")
     explained = empty.join(present, "source", "left_semi").select("item").distinct()
     lacking = empty.join(explained, "item", "left_anti").join(present, "source", "left_anti")
-    return lacking.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
+    return lacking.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("item")), ",").alias("items"))
 
 
 def reconcile(mine: DataFrame, theirs: DataFrame, key: str, fields: list[str], kind: str = "decimal(20,6)") -> DataFrame:

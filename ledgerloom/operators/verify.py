@@ -65,13 +65,13 @@ def states(docs: DataFrame, compared: DataFrame, values: DataFrame) -> DataFrame
     """
     control = compared.where("outcome = 'compared'")
     says = said(REASONS["failed"], F.col("label"), shown(F.col("amount")), shown(F.col("extracted")))
-    per = control.groupBy("doc_id").agg(F.count("*").alias("n_control"), F.count_if(~F.col("ok")).alias("n_failed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("pair_ord", says.alias("says"))))).alias("failed"))
+    per = control.groupBy("doc_id").agg(F.count("*").alias("n_control"), F.count_if(~F.col("ok")).alias("n_failed"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.struct("pair_ord", says.alias("says"))))).alias("failed"))
     backed = control.select("doc_id", F.explode(F.split("field", r"[+−\s]+")).alias("field")).distinct()
     spark = docs.sparkSession
     summed = [f for f, (rule, _) in C.FIELDS.items() if rule == "sum"]
     sums = values.where(F.col("field").isin(*summed)).groupBy("doc_id", "field").agg(F.bool_or(F.col("num") != 0).alias("any_amount"))
     excused = docs.select("doc_id", "profile").join(F.broadcast(C.excused(spark)), "profile").select("doc_id", "field")
-    bare = checks.unbacked_fields(sums, backed, excused).groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("bare"))
+    bare = checks.unbacked_fields(sums, backed, excused).groupBy("doc_id").agg(F.sort_array(F.collect_set("field")).alias("bare"))
     all_ = docs.join(per, "doc_id", "left").join(bare, "doc_id", "left")
     listed = lambda name: F.when(F.size(name) > 0, said(REASONS[name], F.array_join(F.transform(name, lambda x: x.cast("string")), ", ")))
     ambiguous = said(REASONS["ambiguous"], *[F.col(c) for c in ("profile", "score", "second", "second_score")], C.MARGIN)

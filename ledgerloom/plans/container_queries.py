@@ -82,10 +82,10 @@ def _archives(spark: SparkSession, sf: str) -> str:
                 yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary()), pa.array([name], pa.string())], names=["data", "archive"])
 
     folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
-    made = table(spark, sf, "customer").groupBy(F.expr(f"c_custkey div {PEOPLE}").alias("v")).agg(F.array_sort(F.collect_list("c_custkey")).alias("people"))
+    made = table(spark, sf, "customer").groupBy(F.expr(f"c_custkey div {PEOPLE}").alias("v")).agg(F.sort_array(F.collect_list("c_custkey")).alias("people"))
     at = F.expr(f"v div {VOUCHERS}")
     places = F.explode(F.when(F.col("v") % VOUCHERS == 0, F.array(at, at + 1)).otherwise(F.array(at))).alias("a")
-    grouped = made.select(places, "v", "people").groupBy(F.lpad(F.col("a").cast("string"), 6, "0").alias("archive")).agg(F.array_sort(F.collect_list(F.struct("v", "people"))).alias("vouchers"))
+    grouped = made.select(places, "v", "people").groupBy(F.lpad(F.col("a").cast("string"), 6, "0").alias("archive")).agg(F.sort_array(F.collect_list(F.struct("v", "people"))).alias("vouchers"))
     archives = grouped.mapInArrow(zipped, "data binary, archive string")
     broken = spark.range(1).select(F.lit(b"PK, but no archive").alias("data"), F.lit("broken").alias("archive"))
     archives.unionByName(broken).select(F.col("data").cast("string").alias("data"), "archive").write.partitionBy("archive").text(folder)

@@ -188,15 +188,15 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
 
 def _reading(tables: DataFrame, values: DataFrame) -> DataFrame:
     """What was read and what wasn't, by document."""
-    pages = lambda where: F.array_sort(F.collect_set(F.when(where, F.col("page"))))
+    pages = lambda where: F.sort_array(F.collect_set(F.when(where, F.col("page"))))
     counts = tables.groupBy("doc_id").agg(
         pages(F.col("section").isNull()).alias("no_section"),
         pages(F.col("section").isNotNull() & F.col("path").isNull()).alias("no_table"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("other_sections").isNotNull(), F.struct("page", "other_sections")))), lambda s: s["other_sections"]).alias("ambiguous_sections"),
-        F.array_sort(F.collect_set("path")).alias("paths"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("other_sections").isNotNull(), F.struct("page", "other_sections")))), lambda s: s["other_sections"]).alias("ambiguous_sections"),
+        F.sort_array(F.collect_set("path")).alias("paths"),
         *[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("read", "dropped", "outside", "colliding")],
     )
-    good = values.groupBy("doc_id").agg(F.count_if(F.col("field") == "rut").alias("n_records"), F.array_sort(F.collect_set(F.when(F.col("repeated"), F.col("field")))).alias("repeated"))
+    good = values.groupBy("doc_id").agg(F.count_if(F.col("field") == "rut").alias("n_records"), F.sort_array(F.collect_set(F.when(F.col("repeated"), F.col("field")))).alias("repeated"))
     return counts.join(good, "doc_id", "left")
 
 

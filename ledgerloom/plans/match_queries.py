@@ -81,7 +81,7 @@ def widest_band(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("k"))
     size = (1 + (F.col("page_id") * 7 + k * 3) % 6).cast("int")
     band = F.struct((k * 10).cast("double").alias("y0"), k.alias("band_no"), (k * 10 + 12 + F.col("page_id") % 5).cast("double").alias("y1"), F.sequence(F.lit(1), size).alias("cells"))
-    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(band)).alias("bands"))
+    pages = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(band)).alias("bands"))
     found = pages.withColumn("b", geometry.widest_band(F.col("bands"), (F.col("page_id") * 13 % 110).cast("double"))).where("b is not null")
     return found.select("page_id", F.col("b.band_no").alias("band"), F.size("b.cells").cast("long").alias("cells"))
 
@@ -121,14 +121,14 @@ i AS (SELECT *, coalesce(sum(CAST(numeric AS INTEGER)) OVER (PARTITION BY l_orde
 SELECT l_orderkey, CAST(island AS BIGINT) AS island, coalesce(string_agg(t, ' ' ORDER BY n) FILTER (WHERE NOT numeric), '') AS label FROM i GROUP BY l_orderkey, island HAVING bool_or(numeric)""")
 def running_label(spark, sf):
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("text"), F.when(F.col("l_quantity") % 3 == 0, F.col("l_quantity")).alias("number"))
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("cells"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("cells"))
     labels = cover.running_labels(F.col("cells"), "string", lambda label, c: label)
     return rows.select("l_orderkey", F.posexplode(labels).alias("island", "label")).withColumn("island", F.col("island").cast("long"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, min(CASE WHEN l_quantity > 45 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS stop FROM lineitem) WHERE stop IS NULL OR l_linenumber < stop""")
 def prefix_until_total(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("rows"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("rows"))
     live = geometry.before_stop(F.col("rows"), lambda r: r["l_quantity"] > 45, "l_linenumber")
     return rows.select("l_orderkey", F.explode(live).alias("r")).select("l_orderkey", "r.l_linenumber", "r.l_partkey", "r.l_suppkey")
 
@@ -200,7 +200,7 @@ def last_levels(spark, sf):
 SELECT DISTINCT user_id, a, b FROM e""", name="distinct_boxes")
 def distinct_boxes(spark, sf):
     at = lambda k, m: (F.col("event_id") * k % m).cast("double")
-    pairs = F.array_sort(F.collect_set(F.struct(at(7, 60).alias("a"), at(11, 40).alias("b"))))  # 120 at most
+    pairs = F.sort_array(F.collect_set(F.struct(at(7, 60).alias("a"), at(11, 40).alias("b"))))  # 120 at most
     kept = table(spark, sf, "events").groupBy("user_id").agg(cluster.pair_anchors(pairs, 0.0).alias("kept"))
     return kept.select("user_id", F.explode("kept").alias("p")).select("user_id", "p.a", "p.b")
 
@@ -210,7 +210,7 @@ c AS (SELECT user_id, n, a AS anchor, a FROM e WHERE n = 1 UNION ALL SELECT e.us
 SELECT user_id, CAST(count(DISTINCT anchor) AS INTEGER) AS bands FROM c GROUP BY user_id""")
 def band_cluster(spark, sf):
     a = (F.col("event_id") % 8).cast("double")
-    pairs = F.array_sort(F.collect_set(F.struct(a.alias("a"), a.alias("b"))))
+    pairs = F.sort_array(F.collect_set(F.struct(a.alias("a"), a.alias("b"))))
     return table(spark, sf, "events").groupBy("user_id").agg(F.size(cluster.pair_anchors(pairs, 1.0)).alias("bands"))
 
 
@@ -223,7 +223,7 @@ SELECT user_id, p.a AS y0, p.b AS y1 FROM u""")
 def band_pairs(spark, sf):
     """Bands (y0, y1) of every event, without those near an earlier one of the user."""
     y0 = (F.col("event_id") * 7 % 60).cast("double")
-    pairs = F.array_sort(F.collect_set(F.struct(y0.alias("a"), (y0 + 5 + F.col("event_id") * 11 % 40).alias("b"))))  # 120 at most
+    pairs = F.sort_array(F.collect_set(F.struct(y0.alias("a"), (y0 + 5 + F.col("event_id") * 11 % 40).alias("b"))))  # 120 at most
     kept = table(spark, sf, "events").groupBy("user_id").agg(cluster.pair_anchors(pairs, 6.0).alias("kept"))
     return kept.select("user_id", F.explode("kept").alias("p")).select("user_id", F.col("p.a").alias("y0"), F.col("p.b").alias("y1"))
 

@@ -28,7 +28,7 @@ def concepts(result: Ledger) -> DataFrame:
     """(file, fields, groups): the fields and top headings of each document."""
     top = F.when(F.col("label").contains(" > "), F.split_part("label", F.lit(" > "), F.lit(1)))
     fields = F.when(F.col("field").isNotNull() & ~F.col("field").isin(*IDENTIFYING), F.col("field"))
-    return result.columns.groupBy("file").agg(F.array_sort(F.collect_set(fields)).alias("fields"), F.array_sort(F.collect_set(top)).alias("groups"))
+    return result.columns.groupBy("file").agg(F.sort_array(F.collect_set(fields)).alias("fields"), F.sort_array(F.collect_set(top)).alias("groups"))
 
 
 def populations(result: Ledger) -> DataFrame:

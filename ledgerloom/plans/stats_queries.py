@@ -142,7 +142,7 @@ def nested_diff(spark, sf):
     n = F.col("n")
     tag = F.when(n % 3 == 0, F.format_string('{"k":%d}', n % 5)).when(n % 3 == 1, F.when(n % 4 == 0, F.format_string("[%d]", n % 5)).otherwise(F.format_string("[%d, 1]", n % 5))).otherwise((n % 5).cast("string"))
     turn = F.concat(F.format_string('{"chars": %d, "tag": ', n), tag, F.when(n % 2 == 0, F.format_string(', "only": %d', n % 7)).otherwise(""), F.format_string(', "role": "%s"}', "role"))
-    docs = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", turn.alias("t")))), lambda x: x["t"]), ",").alias("turns"))
+    docs = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", turn.alias("t")))), lambda x: x["t"]), ",").alias("turns"))
     docs = docs.select(F.expr("conv_id div 2").alias("k"), (F.col("conv_id") % 2).alias("side"), F.format_string('{"turns": [%s], "n": %d}', "turns", "n").alias("doc"))
     pairs = docs.where("side = 0").select("k", F.col("doc").alias("e")).join(docs.where("side = 1").select("k", F.col("doc").alias("a")), "k")
     return trees.nested_differences(pairs, ["k"], "e", "a")

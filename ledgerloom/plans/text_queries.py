@@ -136,7 +136,7 @@ def institution_codes(spark, sf):
 @query("""SELECT l_orderkey, min(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS header, (SELECT min(b.l_linenumber) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = 'N' AND b.l_linenumber > (SELECT min(c.l_linenumber) FROM lineitem c WHERE c.l_orderkey = a.l_orderkey AND c.l_returnflag = 'R')) AS data
   FROM lineitem a WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey""")
 def header_and_data_rows(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("rows"))
+    rows = table(spark, sf, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("rows"))
     header = geometry.head(F.filter("rows", lambda r: r["l_returnflag"] == "R"))["l_linenumber"]
     rows = rows.withColumn("header", header)
     data = geometry.head(F.filter("rows", lambda r: (r["l_returnflag"] == "N") & (r["l_linenumber"] > F.col("header"))))["l_linenumber"]

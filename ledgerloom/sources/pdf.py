@@ -78,7 +78,7 @@ def replayed(operators: DataFrame, views: DataFrame) -> DataFrame:
     the map from the page to visual points. A restore without a save leaves the map as it is. A page's
     operators are one row, whose size the printed page bounds.
     """
-    pages = operators.where("op in ('save', 'restore', 'transform', 'path')").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "op", "args"))).alias("ops"))
+    pages = operators.where("op in ('save', 'restore', 'transform', 'path')").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "op", "args"))).alias("ops"))
     path = "array<struct<box:array<double>,map:array<double>>>"
     start = F.struct(F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))).alias("map"), F.array().cast("array<array<double>>").alias("saved"), F.array().cast(path).alias("out"))
 
