@@ -57,7 +57,7 @@ def _ruled_pairs(rows: Column, bands: Column) -> Column:
 
     def pairs(band):
         inside = F.flatten(F.transform(F.filter(rows, lambda r: (r["y"] >= band["y0"]) & (r["y"] <= band["y1"])), lambda r: r["cells"]))
-        put = F.transform(inside, lambda c: F.struct(containing(band["cells"], c["xc"]).alias("k"), c["text"].alias("text")))
+        put = F.transform(inside, lambda c: F.struct(containing(band, c["xc"]).alias("k"), c["text"].alias("text")))
         texts = F.transform(band["cells"], lambda k: squish(F.array_join(F.transform(F.filter(put, lambda p: p["k"] == k), lambda p: p["text"]), " ")))
 
         def made(ts):

@@ -16,16 +16,12 @@ from ..functions.taxid import looks_like_tax_id
 from ..functions.text import is_value, norm, to_number, trimmed
 from . import config as C
 from .cluster import first_near, page_clusters, pair_anchors
+from .edges import centre_index, cover_index, let, nearest_of, place_of
 from .match import overlap
 
 PAGE = ["doc_id", "page"]
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value worked out once for each row."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def head(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
@@ -34,9 +30,9 @@ def joined(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: c["text"]), " ")
 
 
-def containing(boxes: Column, x: Column) -> Column:
+def containing(band: Column, x: Column) -> Column:
     """The first of a band's boxes, left to right, with x0 <= x < x1; null for none."""
-    return head(F.filter(boxes, lambda k: (x >= k["x0"]) & (x < k["x1"])))
+    return F.get(band["cells"], place_of(band["index"], x))
 
 
 def before_stop(rows: Column, stops, number: str) -> Column:
@@ -70,8 +66,8 @@ def rows_of(cells: DataFrame) -> DataFrame:
 
 
 def bands_of(boxes: DataFrame) -> DataFrame:
-    """(doc_id, page, band_no, y0, y1, cells array<struct<x0, x1>>): boxes of equal top and bottom,
-    from the top; lines are left out, and a cell that is drawn twice counts once."""
+    """(doc_id, page, band_no, y0, y1, cells array<struct<x0, x1>>, index of the cells' edges): boxes of equal
+    top and bottom, from the top; lines are left out, and a cell that is drawn twice counts once."""
     real = boxes.where((F.col("x1") - F.col("x0") >= C.BOX_WIDTH) & (F.col("y1") - F.col("y0") >= C.BOX_HEIGHT))
     edges = real.groupBy(*PAGE, "y0", "y1").agg(F.min("x0").alias("o"))
     kept = edges.groupBy(*PAGE).agg(pair_anchors(F.sort_array(F.collect_list(F.struct(F.col("y0").alias("a"), "o", F.col("y1").alias("b")))), C.BAND).alias("kept"))
@@ -79,13 +75,14 @@ def bands_of(boxes: DataFrame) -> DataFrame:
     drawn = F.sort_array(F.collect_list(F.struct("y0", F.col("x0").alias("a"), F.col("x1").alias("b"))))
     found = at.groupBy(*PAGE, "band_no").agg(head(F.first(F.slice("kept", F.col("band_no").cast("int"), 1))).alias("k"), pair_anchors(drawn, C.SAME_CELL).alias("cells"))
     cells = F.sort_array(F.transform("cells", lambda c: F.struct(c["a"].alias("x0"), c["b"].alias("x1"))))
-    return found.select(*PAGE, "band_no", F.col("k")["a"].alias("y0"), F.col("k")["b"].alias("y1"), cells.alias("cells"))
+    found = found.select(*PAGE, "band_no", F.col("k")["a"].alias("y0"), F.col("k")["b"].alias("y1"), cells.alias("cells"))
+    return found.withColumn("index", cover_index(F.col("cells"), "x0", "x1"))
 
 
 def pages_of(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """One row for each page: rows and bands as arrays from the top."""
     r = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row_no", "y", "cells", "text"))).alias("rows"))
-    b = bands.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "band_no", "y1", "cells"))).alias("bands"))
+    b = bands.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "band_no", "y1", "cells", "index"))).alias("bands"))
     title = F.array_join(F.transform(F.slice("rows", 1, 3), lambda x: x["text"]), "\n")
     both = r.join(b, PAGE, "left").withColumns({"title": title, "lines": F.array_join(F.transform("rows", lambda x: x["text"]), "\n")})
     return both.withColumn("bands", F.coalesce("bands", F.slice("bands", 1, 0), F.array().cast(both.schema["bands"].dataType)))
@@ -96,8 +93,8 @@ def _ruled(page: dict[str, Column]) -> Column:
     rows, bands, y = page["rows"], page["bands"], page["data"]["y"]
     data = widest_band(bands, y)
     inside = lambda b, r: (r["y"] >= b["y0"]) & (r["y"] <= b["y1"])
-    holds = lambda b: F.exists(rows, lambda r: inside(b, r) & F.exists(r["cells"], lambda c: c["value"] & containing(b["cells"], c["xc"]).isNotNull()))
-    marked = F.transform(bands, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), b["cells"].alias("cells"), holds(b).alias("holds")))
+    holds = lambda b: F.exists(rows, lambda r: inside(b, r) & F.exists(r["cells"], lambda c: c["value"] & place_of(b["index"], c["xc"]).isNotNull()))
+    marked = F.transform(bands, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), b["cells"].alias("cells"), b["index"].alias("index"), holds(b).alias("holds")))
 
     def climbed(d, marked):
         """The bands above the data band, level by level, up to one that holds a value."""
@@ -124,7 +121,7 @@ def _ruled(page: dict[str, Column]) -> Column:
             """A row's header cells with the narrowest drawn cell that holds each."""
 
             def best(c):
-                options = F.transform(zone, lambda b, i: F.when(inside(b, r), let(containing(b["cells"], c["xc"]), lambda k: F.when(k.isNotNull(), F.struct((k["x1"] - k["x0"]).alias("w"), i.alias("i"), k["x0"].alias("a"), k["x1"].alias("b"), b["y0"].alias("y0"))))))
+                options = F.transform(zone, lambda b, i: F.when(inside(b, r), let(containing(b, c["xc"]), lambda k: F.when(k.isNotNull(), F.struct((k["x1"] - k["x0"]).alias("w"), i.alias("i"), k["x0"].alias("a"), k["x1"].alias("b"), b["y0"].alias("y0"))))))
                 return let(F.array_min(F.array_compact(options)), lambda k: F.when(k.isNotNull(), F.struct(k["a"].alias("a"), k["b"].alias("b"), k["y0"].alias("y0"), c["text"].alias("text"), first_near(F.transform(d["cells"], lambda x: F.struct(x["x0"].alias("a"), x["x1"].alias("b"))), k["a"], k["b"], C.ALIGNED).alias("column"))))
 
             return F.array_compact(F.transform(r["cells"], best))
@@ -158,7 +155,6 @@ def _heuristic(page: dict[str, Column]) -> Column:
     """The columns by the header row's cells alone, for pages without drawn cells."""
     rows, header, data = page["rows"], page["header"], page["data"]
     heads = header["cells"]
-    nearest = lambda xc: F.array_min(F.transform(heads, lambda h, i: F.struct(F.abs(h["xc"] - xc).alias("d"), i.alias("i"))))["i"]
     below = F.flatten(F.transform(F.filter(rows, lambda r: (r["row_no"] > header["row_no"]) & (r["row_no"] < data["row_no"])), lambda r: r["cells"]))
     above = F.filter(rows, lambda r: (r["row_no"] < header["row_no"]) & (r["row_no"] >= header["row_no"] - C.ANCESTOR_LEVELS) & (header["y"] - r["y"] <= C.ANCESTOR_HEIGHT))
 
@@ -183,12 +179,15 @@ def _heuristic(page: dict[str, Column]) -> Column:
 
         return F.array_compact(F.transform(above, of))
 
-    def one(h, i):
-        more = F.transform(F.filter(below, lambda c: nearest(c["xc"]) == i), lambda c: c["text"])
+    numbered = F.transform(heads, lambda h, i: F.struct(h["xc"].alias("xc"), i.alias("i")))
+    near = let(centre_index(numbered, "xc", "i"), lambda index: F.transform(below, lambda c: F.struct(nearest_of(index, c["xc"]).alias("i"), c["text"].alias("text"))))
+
+    def one(h, i, near):
+        more = F.transform(F.filter(near, lambda c: c["i"] == i), lambda c: c["text"])
         leaf = F.trim(F.array_join(F.concat(F.array(h["text"]), more), " "))
         return F.struct(i.alias("i"), h["x0"].alias("x0"), h["x1"].alias("x1"), h["xc"].alias("xc"), leaf.alias("leaf"), ancestor(h).alias("ancestors"))
 
-    return F.transform(heads, one)
+    return let(near, lambda near: F.transform(heads, lambda h, i: one(h, i, near)))
 
 
 def search_keys(ancestors: Column, leaf: Column) -> Column:
@@ -225,10 +224,12 @@ def read_rows(tables: DataFrame) -> DataFrame:
     tables = tables.withColumn("live", before_stop(F.col("data_rows"), lambda r: r["text"].rlike(C.TOTALS_ROW), "row_no"))
     kept = F.filter("live", lambda r: F.exists(r["cells"], lambda c: c["id"]))
     columns = F.col("columns")
-    inside = lambda c: F.coalesce(containing(columns, c["xc"])["i"], F.lit(-1))
-    nearest = lambda c: F.array_min(F.transform(columns, lambda k: F.struct(F.abs(k["xc"] - c["xc"]).alias("d"), k["i"].alias("i"))))["i"]
-    placed = lambda r: F.transform(r["cells"], lambda c: F.struct(F.when(F.col("path") == "rayado", inside(c)).otherwise(nearest(c)).alias("i"), c["text"].alias("text")))
-    tables = tables.withColumn("placed", F.transform(kept, lambda r: F.struct(r["row_no"].alias("row_no"), placed(r).alias("cells"))))
+    inside = lambda index: lambda c: F.coalesce(F.get(columns, place_of(index, c["xc"]))["i"], F.lit(-1))
+    nearest = lambda index: lambda c: nearest_of(index, c["xc"])
+    placed = lambda of: F.transform(kept, lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(r["cells"], lambda c: F.struct(of(c).alias("i"), c["text"].alias("text"))).alias("cells")))
+    ruled = let(cover_index(columns, "x0", "x1"), lambda index: placed(inside(index)))
+    plain = let(centre_index(columns, "xc", "i"), lambda index: placed(nearest(index)))
+    tables = tables.withColumn("placed", F.when(F.col("path") == "rayado", ruled).otherwise(plain))
     line = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(columns, lambda k: joined(F.filter(r["cells"], lambda c: c["i"] == k["i"]))).alias("values"))
     total = lambda array, f: F.aggregate(array, F.lit(0), lambda s, r: s + f(r))
     out = F.filter(F.flatten(F.transform("placed", lambda r: r["cells"])), lambda c: c["i"] < 0)

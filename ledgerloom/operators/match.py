@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edges import centre_index, cover_index, nearest_of, place_of
+
 
 def gathered(rows: DataFrame, on: list[str], order: list[str], name: str) -> DataFrame:
     """One row for each `on` with its rows as a sorted array of structs; groups are pages,
@@ -20,8 +22,9 @@ def gathered(rows: DataFrame, on: list[str], order: list[str], name: str) -> Dat
 
 def contained(points: DataFrame, ranges: DataFrame, on: list[str], x: str, low: str, high: str, order: list[str], how: str = "left") -> DataFrame:
     """Each point with the first range of its group, by order, that has low <= x < high."""
-    put = points.join(gathered(ranges, on, order, "_ranges"), on, how)
-    hit = F.get(F.filter("_ranges", lambda r: (F.col(x) >= r[low]) & (F.col(x) < r[high])), F.lit(0))
+    indexed = gathered(ranges, on, order, "_ranges").withColumn("_index", cover_index(F.col("_ranges"), low, high))
+    put = points.join(indexed, on, how)
+    hit = F.get("_ranges", place_of(F.col("_index"), F.col(x)))
     names = [c for c in ranges.columns if c not in on]
     out = put.withColumn("_hit", hit).select(*points.columns, *[F.col("_hit")[c].alias(c) for c in names if c not in points.columns])
     return out if how == "left" else out.where(F.col(low).isNotNull())
@@ -29,9 +32,9 @@ def contained(points: DataFrame, ranges: DataFrame, on: list[str], x: str, low:
 
 def nearest(points: DataFrame, centres: DataFrame, on: list[str], x: str, centre: str, number: str) -> DataFrame:
     """Each point with the number of its group's nearest centre, the first of equally near ones."""
-    put = points.join(gathered(centres.select(*on, number, centre), on, [number], "_centres"), on, "left")
-    best = F.array_min(F.transform("_centres", lambda c: F.struct(F.abs(F.col(x) - c[centre]).alias("d"), c[number].alias("n"))))
-    return put.select(*points.columns, best["n"].alias(number))
+    grouped = gathered(centres.select(*on, number, centre), on, [number], "_centres")
+    indexed = grouped.select(*on, centre_index(F.col("_centres"), centre, number).alias("_index"))
+    return points.join(indexed, on, "left").select(*points.columns, nearest_of(F.col("_index"), F.col(x)).alias(number))
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
