@@ -2,7 +2,8 @@
 
 The ends of a group's ranges cut the axis into gaps, and within a gap the first range that covers a point is
 the same throughout. An index holds the sorted ends and that range for each gap, once for a group; a point
-then takes a binary search instead of a look at every range. Both are expressions.
+then takes a binary search instead of a look at every range. Both are expressions. Numbers keep their type, so
+decimals are compared exactly.
 """
 
 from __future__ import annotations
@@ -27,25 +28,24 @@ def cover_index(ranges: Column, low: str, high: str) -> Column:
     the 0-based place of the first range with low <= x < high there, null for none. Ranges without an end or
     of no width cover nothing; the index of null is null, and that of no ranges is empty."""
     first = lambda e: F.nullif(F.array_position(F.transform(ranges, lambda r: (r[low] <= e) & (e < r[high])), True), F.lit(0)) - 1
-    ends = _sorted(F.concat(F.transform(ranges, lambda r: r[low].cast("double")), F.transform(ranges, lambda r: r[high].cast("double"))))
+    ends = _sorted(F.concat(F.transform(ranges, lambda r: r[low]), F.transform(ranges, lambda r: r[high])))
     return let(ends, lambda es: F.when(es.isNotNull(), F.struct(es.alias("edges"), F.transform(es, lambda e: first(e).cast("int")).alias("cover"))))
 
 
 def place_of(index: Column, x: Column) -> Column:
     """The 0-based place of the first range of an index that holds x; null for none or without x."""
-    return F.get(index["cover"], rank_in(index["edges"], x.cast("double")) - 1)
+    return F.get(index["cover"], rank_in(index["edges"], x) - 1)
 
 
 def centre_index(centres: Column, at: str, number: str) -> Column:
     """struct<edges, number>: the sorted distinct places of an array of centres and the least number at each."""
-    least = lambda e: F.array_min(F.transform(F.filter(centres, lambda c: c[at].cast("double") == e), lambda c: c[number]))
-    places = _sorted(F.transform(centres, lambda c: c[at].cast("double")))
+    least = lambda e: F.array_min(F.transform(F.filter(centres, lambda c: c[at] == e), lambda c: c[number]))
+    places = _sorted(F.transform(centres, lambda c: c[at]))
     return let(places, lambda es: F.when(es.isNotNull(), F.struct(es.alias("edges"), F.transform(es, least).alias("number"))))
 
 
 def nearest_of(index: Column, x: Column) -> Column:
     """The number of the centre nearest to x, the least one of equally near ones; null without centres or x."""
-    x = x.cast("double")
 
     def nearer(rank: Column) -> Column:
         side = lambda k: F.when(F.get(index["edges"], k).isNotNull(), F.struct(F.abs(x - F.get(index["edges"], k)).alias("d"), F.get(index["number"], k).alias("n")))

@@ -40,3 +40,10 @@ def test_nearest_centre_and_ties(spark, n):
 def test_no_array_at_all(spark):
     row = spark.createDataFrame([(1.0, None)], f"x double, r {RANGES}")
     assert row.select(edges.place_of(edges.cover_index(F.col("r"), "a", "b"), F.col("x"))).first()[0] is None
+
+
+def test_ties_of_decimals_are_exact(spark):
+    """As doubles, 910.03 is nearer to one of the two."""
+    rows = spark.sql("SELECT CAST(x AS DECIMAL(20,2)) AS x, array(named_struct('at', CAST(910.01 AS DECIMAL(20,2)), 'i', 2), named_struct('at', CAST(910.05 AS DECIMAL(20,2)), 'i', 1)) AS c FROM VALUES ('910.03'), ('910.02') AS t(x)")
+    got = rows.select("x", edges.nearest_of(edges.centre_index(F.col("c"), "at", "i"), F.col("x")).alias("i")).collect()
+    assert {(str(r.x), r.i) for r in got} == {("910.03", 1), ("910.02", 2)}
