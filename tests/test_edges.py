@@ -43,7 +43,7 @@ def test_no_array_at_all(spark):
 
 
 def test_ties_of_decimals_are_exact(spark):
-    """As doubles, 910.03 is nearer to one of the two."""
-    rows = spark.sql("SELECT CAST(x AS DECIMAL(20,2)) AS x, array(named_struct('at', CAST(910.01 AS DECIMAL(20,2)), 'i', 2), named_struct('at', CAST(910.05 AS DECIMAL(20,2)), 'i', 1)) AS c FROM VALUES ('910.03'), ('910.02') AS t(x)")
+    """0.2 is halfway between 0.1 and 0.3; as doubles it is nearer to 0.3."""
+    rows = spark.sql("SELECT CAST(x AS DECIMAL(20,2)) AS x, array(named_struct('at', CAST(0.1 AS DECIMAL(20,2)), 'i', 1), named_struct('at', CAST(0.3 AS DECIMAL(20,2)), 'i', 2)) AS c FROM VALUES ('0.20'), ('0.29') AS t(x)")
     got = rows.select("x", edges.nearest_of(edges.centre_index(F.col("c"), "at", "i"), F.col("x")).alias("i")).collect()
-    assert {(str(r.x), r.i) for r in got} == {("910.03", 1), ("910.02", 2)}
+    assert {(str(r.x), r.i) for r in got} == {("0.20", 1), ("0.29", 2)}
