@@ -5,13 +5,15 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import lru_cache
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space in printed text: ASCII controls, the Unicode spaces and the byte order mark.
 BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-
+#: The same characters one by one.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def spaced(pattern: str) -> str:
@@ -43,17 +45,19 @@ def _folds() -> tuple[str, str]:
 
 def norm(s: Column) -> Column:
     """Without accents, lower case, everything but letters and digits as one space; null as ''."""
-    bare = F.lower(F.translate(F.coalesce(s, F.lit("")), *_folds()))
+    source, target = _folds()
+    # capitals go with the accents: of the rest, lower() makes no letter from a to z
+    bare = F.translate(F.coalesce(s, F.lit("")), ascii_uppercase + source, ascii_lowercase + target.lower())
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(F.coalesce(s, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(F.coalesce(s, F.lit("")), F.lit(BLANKS))
 
 
 def squish(s: Column) -> Column:
     """Runs of white space as one space, none at the ends; null as ''."""
-    return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), f"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), f"[[^!-~]&&{BLANK}]+", " "))  # most characters are told by one comparison
 
 
 def is_numeric(s: Column) -> Column:
@@ -63,7 +67,7 @@ def is_numeric(s: Column) -> Column:
 def to_number(s: Column) -> Column:
     """A printed amount (points between thousands, comma before decimals) as a decimal; null
     for anything else, so that no data is not zero."""
-    plain = F.replace(F.regexp_replace(trimmed(s), f"[$.{BLANK[1:-1]}]", ""), F.lit(","), F.lit("."))
+    plain = F.translate(trimmed(s), ",$." + BLANKS, ".")
     return F.when(is_numeric(s), plain.try_cast(MONEY))
 
 

@@ -18,10 +18,16 @@ def anchors(sorted_values: Column, tolerance: float) -> Column:
     return F.aggregate(sorted_values, start, lambda a, v: F.when((F.size(a) > 0) & (v - F.element_at(a, -1) <= tolerance), a).otherwise(F.array_append(a, v)))
 
 
-def rank_in(sorted_values: Column, value: Column) -> Column:
-    """How many of a sorted array's values are at most a value, by binary search."""
+def halvings(sorted_values: Column) -> Column:
+    """The steps of a binary search in a sorted array."""
     bits = F.ceil(F.log2(F.size(sorted_values) + F.lit(1.0))).cast("int")
-    steps = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+
+
+def rank_in(sorted_values: Column, value: Column, steps: Column | None = None) -> Column:
+    """How many of a sorted array's values are at most a value, by binary search; steps are its halvings if they
+    are known."""
+    steps = halvings(sorted_values) if steps is None else steps
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(sorted_values, low + step - 1) <= value, low + step).otherwise(low))
 
 

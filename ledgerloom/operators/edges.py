@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cluster import rank_in
+from .cluster import halvings, rank_in
 
 
 def let(value: Column, then) -> Column:
@@ -24,24 +24,24 @@ def _sorted(values: Column) -> Column:
 
 
 def cover_index(ranges: Column, low: str, high: str) -> Column:
-    """struct<edges, cover>: the sorted ends of an array of ranges, and for the gap from each end to the next
+    """struct<edges, cover, steps>: the sorted ends of an array of ranges, and for the gap from each end to the next
     the 0-based place of the first range with low <= x < high there, null for none. Ranges without an end or
     of no width cover nothing; the index of null is null, and that of no ranges is empty."""
     first = lambda e: F.nullif(F.array_position(F.transform(ranges, lambda r: (r[low] <= e) & (e < r[high])), True), F.lit(0)) - 1
     ends = _sorted(F.concat(F.transform(ranges, lambda r: r[low]), F.transform(ranges, lambda r: r[high])))
-    return let(ends, lambda es: F.when(es.isNotNull(), F.struct(es.alias("edges"), F.transform(es, lambda e: first(e).cast("int")).alias("cover"))))
+    return let(ends, lambda es: F.when(es.isNotNull(), F.struct(es.alias("edges"), F.transform(es, lambda e: first(e).cast("int")).alias("cover"), halvings(es).alias("steps"))))
 
 
 def place_of(index: Column, x: Column) -> Column:
     """The 0-based place of the first range of an index that holds x; null for none or without x."""
-    return F.get(index["cover"], rank_in(index["edges"], x) - 1)
+    return F.get(index["cover"], rank_in(index["edges"], x, index["steps"]) - 1)
 
 
 def centre_index(centres: Column, at: str, number: str) -> Column:
-    """struct<edges, number>: the sorted distinct places of an array of centres and the least number at each."""
+    """struct<edges, number, steps>: the sorted distinct places of an array of centres and the least number at each."""
     least = lambda e: F.array_min(F.transform(F.filter(centres, lambda c: c[at] == e), lambda c: c[number]))
     places = _sorted(F.transform(centres, lambda c: c[at]))
-    return let(places, lambda es: F.when(es.isNotNull(), F.struct(es.alias("edges"), F.transform(es, least).alias("number"))))
+    return let(places, lambda es: F.when(es.isNotNull(), F.struct(es.alias("edges"), F.transform(es, least).alias("number"), halvings(es).alias("steps"))))
 
 
 def nearest_of(index: Column, x: Column) -> Column:
@@ -51,4 +51,4 @@ def nearest_of(index: Column, x: Column) -> Column:
         side = lambda k: F.when(F.get(index["edges"], k).isNotNull(), F.struct(F.abs(x - F.get(index["edges"], k)).alias("d"), F.get(index["number"], k).alias("n")))
         return F.array_min(F.array(side(rank - 1), side(rank)))["n"]
 
-    return F.when(x.isNotNull(), let(rank_in(index["edges"], x), nearer))
+    return F.when(x.isNotNull(), let(rank_in(index["edges"], x, index["steps"]), nearer))

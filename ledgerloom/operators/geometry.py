@@ -1,21 +1,23 @@
 """Printed tables from positioned text and drawn boxes.
 
 A page is one row: its visual rows and its bands of boxes are arrays, whose size a printed page
-bounds. Headings, columns and data are then found by expressions over these arrays, so beyond
-the grouping by (doc_id, page) nothing is shuffled and no Python runs.
+bounds. Headings, columns and data are then found by expressions over these arrays, and no Python runs.
+What pages of one form share is worked out once: the bands of a drawing, the columns of a layout.
 
 cells: doc_id, page, item_ord, x0, x1, xc, y, text     boxes: doc_id, page, x0, x1, y0, y1
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxid import looks_like_tax_id
 from ..functions.text import is_value, norm, to_number, trimmed
 from . import config as C
-from .cluster import first_near, page_clusters, pair_anchors
+from .cluster import first_near, pair_anchors
 from .edges import centre_index, cover_index, let, nearest_of, place_of
 from .match import overlap
 
@@ -37,8 +39,7 @@ def containing(band: Column, x: Column) -> Column:
 
 def before_stop(rows: Column, stops, number: str) -> Column:
     """The rows of a sorted array whose number is below that of the first one that stops; all without one."""
-    stop = head(F.filter(rows, stops))[number]
-    return F.filter(rows, lambda r: stop.isNull() | (r[number] < stop))
+    return let(head(F.filter(rows, stops))[number], lambda stop: F.filter(rows, lambda r: stop.isNull() | (r[number] < stop)))
 
 
 def widest_band(bands: Column, y: Column) -> Column:
@@ -52,23 +53,43 @@ def last_levels(values: Column, n: int) -> Column:
     return F.slice(F.reverse(F.array_sort(F.array_distinct(values))), 1, n)
 
 
-def rows_of(cells: DataFrame) -> DataFrame:
-    """(doc_id, page, row_no, y, cells, text): cells in visual rows, from the top; a row's y is
-    that of its first cell, and cells within the tolerance of it belong to the row."""
+def page_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, rows array<struct<row_no, y, cells, text>>): cells in visual rows, from the top; a row's y is
+    that of its first cell, and cells within the tolerance of it belong to the row. Cells are sorted by place
+    once for a page, so a row is a slice of them. Only covers, which are first pages, look at number."""
     text = F.col("text")
     shown = cells.where(trimmed(text) != "")
-    placed = page_clusters(shown, PAGE, "y", C.ROW).withColumnRenamed("cluster", "row_no")
     # worked out ahead of the grouping, where they are compiled and share their parts
-    placed = placed.withColumns({"n": norm(text), "id": looks_like_tax_id(text), "value": is_value(text), "number": to_number(text)})
-    cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", "n", "id", "value", "number")
-    rows = placed.groupBy(*PAGE, "row_no").agg(F.first("anchor").alias("y"), F.sort_array(F.collect_list(cell)).alias("cells"))
-    return rows.withColumn("text", joined(F.col("cells")))
+    known = shown.withColumns({"n": norm(text), "id": looks_like_tax_id(text), "number": F.when(F.col("page") == 1, to_number(text))})
+    cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", "n", "id", "number")
+    placed = known.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("at"), cell.alias("cell")))).alias("_placed"))
+    starts = F.transform("_placed", lambda c, i: F.struct(c["at"].alias("y"), i.alias("i")))
+
+    def begun(kept, c):
+        last = F.get(kept, F.size(kept) - 1)["y"]
+        return F.when((F.size(kept) > 0) & (last.eqNullSafe(c["y"]) | (c["y"] - last <= C.ROW)), kept).otherwise(F.array_append(kept, c))
+
+    def cut(starts):
+        end = lambda k: F.coalesce(F.get(starts, k + 1)["i"], F.size("_placed"))
+        own = lambda s, k: F.sort_array(F.transform(F.slice("_placed", s["i"] + 1, end(k) - s["i"]), lambda c: c["cell"]))
+        return F.transform(starts, lambda s, k: let(own(s, k), lambda cs: F.struct((k + 1).alias("row_no"), s["y"].alias("y"), cs.alias("cells"), joined(cs).alias("text"))))
+
+    return placed.select(*PAGE, let(F.aggregate(starts, F.slice(starts, 1, 0), begun), cut).alias("rows"))
+
+
+def rows_of(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, row_no, y, cells, text): the visual rows of page_rows one by one."""
+    return page_rows(cells).select(*PAGE, F.inline("rows"))
+
+
+def _real(boxes: DataFrame) -> DataFrame:
+    return boxes.where((F.col("x1") - F.col("x0") >= C.BOX_WIDTH) & (F.col("y1") - F.col("y0") >= C.BOX_HEIGHT))
 
 
 def bands_of(boxes: DataFrame) -> DataFrame:
     """(doc_id, page, band_no, y0, y1, cells array<struct<x0, x1>>, index of the cells' edges): boxes of equal
     top and bottom, from the top; lines are left out, and a cell that is drawn twice counts once."""
-    real = boxes.where((F.col("x1") - F.col("x0") >= C.BOX_WIDTH) & (F.col("y1") - F.col("y0") >= C.BOX_HEIGHT))
+    real = _real(boxes)
     edges = real.groupBy(*PAGE, "y0", "y1").agg(F.min("x0").alias("o"))
     kept = edges.groupBy(*PAGE).agg(pair_anchors(F.sort_array(F.collect_list(F.struct(F.col("y0").alias("a"), "o", F.col("y1").alias("b")))), C.BAND).alias("kept"))
     at = real.join(kept, PAGE).withColumn("band_no", first_near(F.col("kept"), F.col("y0"), F.col("y1"), C.BAND))
@@ -79,19 +100,36 @@ def bands_of(boxes: DataFrame) -> DataFrame:
     return found.withColumn("index", cover_index(F.col("cells"), "x0", "x1"))
 
 
+def _listed(bands: DataFrame) -> DataFrame:
+    return bands.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "band_no", "y1", "cells", "index"))).alias("bands"))
+
+
+def page_bands(boxes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(doc_id, page, bands array): the bands of bands_of. Pages of one form are drawn alike, so the bands of each
+    distinct drawing are worked out once, on the first page that has it. keep writes a table that is read
+    more than once."""
+    drawn = keep(_real(boxes).groupBy(*PAGE).agg(F.sort_array(F.collect_set(F.struct("y0", "y1", "x0", "x1"))).alias("drawn")))
+    first = drawn.groupBy("drawn").agg(F.min(F.struct(*PAGE)).alias("at")).select("drawn", "at.*")
+    known = keep(first.join(_listed(bands_of(first.select(*PAGE, F.inline("drawn")))), PAGE).select("drawn", "bands"))
+    return drawn.join(known, "drawn").select(*PAGE, "bands")
+
+
 def pages_of(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """One row for each page: rows and bands as arrays from the top."""
-    r = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row_no", "y", "cells", "text"))).alias("rows"))
-    b = bands.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "band_no", "y1", "cells", "index"))).alias("bands"))
+    return whole_pages(rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row_no", "y", "cells", "text"))).alias("rows")), _listed(bands))
+
+
+def whole_pages(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """The same of page_rows and page_bands."""
     title = F.array_join(F.transform(F.slice("rows", 1, 3), lambda x: x["text"]), "\n")
-    both = r.join(b, PAGE, "left").withColumns({"title": title, "lines": F.array_join(F.transform("rows", lambda x: x["text"]), "\n")})
+    both = rows.join(bands, PAGE, "left").withColumns({"title": title, "lines": F.array_join(F.transform("rows", lambda x: x["text"]), "\n")})
     return both.withColumn("bands", F.coalesce("bands", F.slice("bands", 1, 0), F.array().cast(both.schema["bands"].dataType)))
 
 
 def _ruled(page: dict[str, Column]) -> Column:
     """The columns that the drawn cells of the data band make, or null."""
-    rows, bands, y = page["rows"], page["bands"], page["data"]["y"]
-    data = widest_band(bands, y)
+    rows, bands = page["rows"], page["bands"]
+    data = head(F.filter(bands, lambda b: b["band_no"] == page["band"]))
     inside = lambda b, r: (r["y"] >= b["y0"]) & (r["y"] <= b["y1"])
     holds = lambda b: F.exists(rows, lambda r: inside(b, r) & F.exists(r["cells"], lambda c: c["value"] & place_of(b["index"], c["xc"]).isNotNull()))
     marked = F.transform(bands, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), b["cells"].alias("cells"), b["index"].alias("index"), holds(b).alias("holds")))
@@ -198,40 +236,73 @@ def search_keys(ancestors: Column, leaf: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
-def locate_tables(pages: DataFrame) -> DataFrame:
-    """pages(doc_id, page, rows, bands, anchors array<string>, ...) with the table of each:
-    path ('rayado', 'heuristico' or null for no table), columns array<struct<i, x0, x1, xc, leaf,
-    ancestors, label, keys>> and data_rows, from the first row with a tax id on."""
+def laid_out(pages: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+    """pages with from_row, the number of the first row with a tax id, and layout, all that columns depend on: the bands,
+    which of them holds the data, and the rows at the headings, numbered from the header row. Both are null
+    without a table. Columns of pages that are named in own go into the layout."""
     rows = F.col("rows")
     has = lambda r: F.forall("anchors", lambda a: F.exists(r["cells"], lambda c: c["n"] == a)) & (F.size(r["cells"]) > F.size("anchors"))
     one = pages.withColumn("header", head(F.filter(rows, has)))
     two = one.withColumn("data", head(F.filter(rows, lambda r: (r["row_no"] > F.col("header")["row_no"]) & F.exists(r["cells"], lambda c: c["id"]))))
-    page = {c: F.col(c) for c in ("rows", "bands", "header", "data")}
+    three = two.withColumn("band", F.when(F.col("data").isNotNull(), widest_band(F.col("bands"), F.col("data")["y"])))
+    band, header, data = F.col("band"), F.col("header")["row_no"], F.col("data")["row_no"]
+    top = F.array_min(F.transform(F.filter("bands", lambda b: b["y0"] < band["y0"]), lambda b: b["y0"]))
+    # the climb looks at bands that end at most TOUCHING below the top of the data band, and at rows inside them
+    near = lambda r: F.coalesce((r["y"] >= top) & (r["y"] <= band["y0"] + C.TOUCHING), F.lit(False)) | ((r["row_no"] >= header - C.ANCESTOR_LEVELS) & (r["row_no"] < data))
+    short = lambda r: F.struct((r["row_no"] - header).alias("row_no"), r["y"].alias("y"), F.transform(r["cells"], lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "x1", "xc", "text")])).alias("cells"))
+    drawn = F.transform("bands", lambda b: F.struct(*[b[k].alias(k) for k in ("y0", "band_no", "y1", "cells")]))
+    layout = F.struct(*own, drawn.alias("bands"), band["band_no"].alias("band"), (data - header).alias("data"), F.transform(F.filter(rows, near), short).alias("rows"))
     found = F.col("data").isNotNull()
-    three = two.withColumn("ruled", F.when(found, _ruled(page)))
-    four = three.withColumn("plain", F.when(found & F.col("ruled").isNull(), _heuristic(page)))
-    path = F.when(F.col("ruled").isNotNull(), "rayado").when(found, "heuristico")
+    return three.withColumns({"layout": F.when(found, layout), "from_row": data}).drop("header", "data", "band")
+
+
+def columns_of(layouts: DataFrame) -> DataFrame:
+    """layouts(layout) with path ('rayado' or 'heuristico'), columns array<struct<i, x0, x1, xc, leaf, ancestors,
+    label, keys>> and the indexes of their edges and centres."""
+    cell = lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "x1", "xc", "text")], is_value(c["text"]).alias("value"))
+    rows = F.transform(F.col("layout")["rows"], lambda r: F.struct(r["row_no"].alias("row_no"), r["y"].alias("y"), F.transform(r["cells"], cell).alias("cells")))
+    bands = F.transform(F.col("layout")["bands"], lambda b: F.struct(*[b[k].alias(k) for k in ("y0", "band_no", "y1", "cells")], cover_index(b["cells"], "x0", "x1").alias("index")))
+    layouts = layouts.withColumns({"_rows": rows, "_bands": bands})
+    page = {"rows": F.col("_rows"), "bands": F.col("_bands"), "band": F.col("layout")["band"]}
+    page |= {"header": head(F.filter(page["rows"], lambda r: r["row_no"] == 0)), "data": F.struct(F.col("layout")["data"].alias("row_no"))}
+    three = layouts.withColumn("ruled", _ruled(page))
+    four = three.withColumn("plain", F.when(F.col("ruled").isNull(), _heuristic(page)))
+    path = F.when(F.col("ruled").isNotNull(), "rayado").otherwise("heuristico")
     named = lambda c: F.struct(c["i"].alias("i"), c["x0"].alias("x0"), c["x1"].alias("x1"), c["xc"].alias("xc"), c["leaf"].alias("leaf"), c["ancestors"].alias("ancestors"), F.array_join(F.concat(c["ancestors"], F.array(c["leaf"])), " > ").alias("label"), search_keys(c["ancestors"], c["leaf"]).alias("keys"))
-    columns = F.transform(F.coalesce("ruled", "plain"), named)
-    data_rows = F.filter(rows, lambda r: r["row_no"] >= F.col("data")["row_no"])
-    return four.withColumns({"path": path, "columns": columns, "data_rows": F.when(found, data_rows)}).drop("header", "data", "ruled", "plain")
+    five = four.withColumns({"path": path, "columns": F.transform(F.coalesce("ruled", "plain"), named)})
+    return five.withColumns({"edges": cover_index(F.col("columns"), "x0", "x1"), "centres": centre_index(F.col("columns"), "xc", "i")}).drop("ruled", "plain", "_rows", "_bands")
+
+
+def locate_tables(pages: DataFrame, own: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """pages(doc_id, page, rows, bands, anchors array<string>, ...) with the table of each: what laid_out and
+    columns_of find, path null for no table. Pages of one form have one layout, whose columns are worked out
+    once; keep may add to that table and writes it."""
+    laid = laid_out(pages, own)
+    # a null layout is kept here and meets no page: a filter would be planned ahead of what it looks at, and that worked out twice
+    known = keep(columns_of(laid.select("layout").distinct()))
+    return laid.join(known, "layout", "left").drop("layout")
 
 
 def read_rows(tables: DataFrame) -> DataFrame:
     """tables with `lines` array<struct<row_no, values>>, one text for each column, and the counts
     read, dropped (rows without a tax id), outside (cells in no column) and colliding (cells that
     were put after another one in a column). Reading stops at the row of accumulated totals."""
-    tables = tables.withColumn("live", before_stop(F.col("data_rows"), lambda r: r["text"].rlike(C.TOTALS_ROW), "row_no"))
-    kept = F.filter("live", lambda r: F.exists(r["cells"], lambda c: c["id"]))
-    columns = F.col("columns")
-    inside = lambda index: lambda c: F.coalesce(F.get(columns, place_of(index, c["xc"]))["i"], F.lit(-1))
-    nearest = lambda index: lambda c: nearest_of(index, c["xc"])
-    placed = lambda of: F.transform(kept, lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(r["cells"], lambda c: F.struct(of(c).alias("i"), c["text"].alias("text"))).alias("cells")))
-    ruled = let(cover_index(columns, "x0", "x1"), lambda index: placed(inside(index)))
-    plain = let(centre_index(columns, "xc", "i"), lambda index: placed(nearest(index)))
-    tables = tables.withColumn("placed", F.when(F.col("path") == "rayado", ruled).otherwise(plain))
+    columns, total = F.col("columns"), lambda array, f: F.aggregate(array, F.lit(0), lambda s, r: s + f(r))
+    inside = lambda c: F.coalesce(F.get(columns, place_of(F.col("edges"), c["xc"]))["i"], F.lit(-1))
+    nearest = lambda c: nearest_of(F.col("centres"), c["xc"])
+
+    def put(r):
+        cells = lambda of: F.transform(r["cells"], lambda c: F.struct(of(c).alias("i"), c["text"].alias("text")))
+        return F.struct(r["row_no"].alias("row_no"), F.when(F.col("path") == "rayado", cells(inside)).otherwise(cells(nearest)).alias("cells"))
+
+    def placed(live):
+        kept = F.filter(live, lambda r: F.exists(r["cells"], lambda c: c["id"]))
+        return F.struct(F.size(live).alias("read"), F.transform(kept, put).alias("rows"))
+
+    # rows above are passed over where the others are placed, so that no row is copied twice
+    live = let(F.filter("rows", lambda r: r["row_no"] >= F.col("from_row")), lambda rows: before_stop(rows, lambda r: r["text"].rlike(C.TOTALS_ROW), "row_no"))
+    tables = tables.withColumn("placed", F.when(F.col("path").isNotNull(), let(live, placed))).withColumns({"read": F.col("placed")["read"], "placed": F.col("placed")["rows"]})
     line = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(columns, lambda k: joined(F.filter(r["cells"], lambda c: c["i"] == k["i"]))).alias("values"))
-    total = lambda array, f: F.aggregate(array, F.lit(0), lambda s, r: s + f(r))
     out = F.filter(F.flatten(F.transform("placed", lambda r: r["cells"])), lambda c: c["i"] < 0)
     colliding = total(F.col("placed"), lambda r: F.size(F.filter(r["cells"], lambda c: c["i"] >= 0)) - F.size(F.array_distinct(F.transform(F.filter(r["cells"], lambda c: c["i"] >= 0), lambda c: c["i"]))))
-    return tables.withColumns({"lines_read": F.transform("placed", line), "read": F.size("live"), "dropped": F.size("live") - F.size("placed"), "outside": F.size(out), "colliding": colliding}).drop("live", "placed", "data_rows")
+    return tables.withColumns({"lines_read": F.transform("placed", line), "dropped": F.col("read") - F.size("placed"), "outside": F.size(out), "colliding": colliding}).drop("placed", "from_row", "edges", "centres")

@@ -2,55 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.taxid import tax_id
 from ..functions.text import norm, squish, to_number
 from . import config as C
+from .edges import let
 from .geometry import PAGE
 from .match import first_known
 
 RECORD = [*PAGE, "row_no"]
 
 
-def mapped_columns(tables: DataFrame) -> DataFrame:
-    """(doc_id, page, section, i, label, leaf, ancestors, key, field, level) of every column;
+def with_fields(layouts: DataFrame) -> DataFrame:
+    """layouts of geometry.columns_of, whose layout has a section, with key, field and level of every column;
     level tells whether the heading alone was enough ('hoja') or its group was used."""
+
+    def told(c):
+        hit = F.lit(None).cast("struct<key:string,value:string>")
+        for section, table in C.labels().items():
+            hit = F.when(F.col("layout")["section"] == section, first_known(c["keys"], table)).otherwise(hit)
+        level = lambda k: F.when(k == norm(c["leaf"]), "hoja").when(k.isNotNull(), "ancestro")
+        return let(hit, lambda h: F.struct(*[c[k].alias(k) for k in ("i", "x0", "x1", "xc", "leaf", "ancestors", "label", "keys")], h["key"].alias("key"), h["value"].alias("field"), level(h["key"]).alias("level")))
+
+    return layouts.withColumn("columns", F.transform("columns", told))
+
+
+def mapped_columns(tables: DataFrame) -> DataFrame:
+    """(doc_id, page, section, i, label, key, field, level) of every column."""
     columns = tables.where("path is not null").select(*PAGE, "section", F.explode("columns").alias("c"))
-    columns = columns.select(*PAGE, "section", "c.i", "c.label", "c.leaf", "c.ancestors", "c.keys")
-    hit = F.lit(None).cast("struct<key:string,value:string>")
-    for section, table in C.labels().items():
-        hit = F.when(F.col("section") == section, first_known(F.col("keys"), table)).otherwise(hit)
-    found = columns.withColumn("_hit", hit).select(*columns.columns, F.col("_hit.key").alias("key"), F.col("_hit.value").alias("field"))
-    return found.withColumn("level", F.when(F.col("key") == norm(F.col("leaf")), "hoja").when(F.col("key").isNotNull(), "ancestro"))
+    return columns.select(*PAGE, "section", *[f"c.{k}" for k in ("i", "label", "key", "field", "level")])
 
 
 def cell_values(tables: DataFrame) -> DataFrame:
-    """(doc_id, page, row_no, i, raw): every value read that isn't empty."""
-    lines = tables.where("path is not null").select(*PAGE, F.explode("lines_read").alias("l"))
-    return lines.select(*PAGE, "l.row_no", F.posexplode("l.values").alias("i", "raw")).withColumn("raw", squish(F.col("raw"))).where("raw <> ''")
+    """(doc_id, page, row_no, section, i, label, field, raw): every value read that isn't empty, with its column."""
+    own = F.transform("columns", lambda c: F.struct(c["label"].alias("label"), c["field"].alias("field")))
+    lines = tables.where("path is not null").select(*PAGE, "section", own.alias("own"), F.explode("lines_read").alias("l"))
+    cells = lines.select(*PAGE, "section", "l.row_no", F.posexplode(F.arrays_zip("l.values", "own")).alias("i", "c"))
+    values = cells.select(*PAGE, "row_no", "section", "i", "c.own.label", "c.own.field", squish(F.col("c.values")).alias("raw"))
+    return values.where("raw <> ''")
 
 
 def column_audit(columns: DataFrame, values: DataFrame) -> DataFrame:
+    """audited() of values that only tell page and number of their column."""
+    return audited(columns, values.join(columns.select(*PAGE, "i", "section", "label"), [*PAGE, "i"]))
+
+
+def audited(columns: DataFrame, values: DataFrame) -> DataFrame:
     """One row for each (doc_id, section, i, label): the key and field it got, its pages, how
     many rows had a value and what the numeric ones add up to."""
-    per = values.groupBy(*PAGE, "i").agg(F.count("*").alias("n"), F.sum(to_number(F.col("raw"))).alias("s"))
+    one = ["doc_id", "section", "i", "label"]
+    per = values.groupBy(*one).agg(F.count("*").alias("n"), F.sum(to_number(F.col("raw"))).alias("s"))
     place = F.min_by(F.struct("key", "level", "field"), "page").alias("used")
-    return (
-        columns.join(per, [*PAGE, "i"], "left")
-        .groupBy("doc_id", "section", "i", "label")
-        .agg(place, F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum(F.coalesce("n", F.lit(0))).alias("with_value"), F.sum(F.coalesce("s", F.lit(0))).cast("decimal(20,6)").alias("total"))
-        .select("doc_id", "section", "i", "label", "used.*", "first_page", "last_page", "with_value", "total")
-    )
+    places = columns.groupBy(*one).agg(place, F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return places.join(per, one, "left").select(*one, "used.*", "first_page", "last_page", zero("n").alias("with_value"), zero("s").cast("decimal(20,6)").alias("total"))
 
 
-def typed_values(columns: DataFrame, values: DataFrame) -> DataFrame:
-    """(record, section, i, field, label, raw, num): the values of mapped columns; num is null
+def typed_values(values: DataFrame) -> DataFrame:
+    """(record, section, i, field, label, raw, numeric, num): the values of mapped columns; num is null
     for text fields and for what isn't a number."""
-    mapped = columns.where("field is not null").select(*PAGE, "i", "section", "field", "label")
     numeric = F.col("field").isin(*C.NUMERIC)
-    return values.join(mapped, [*PAGE, "i"]).withColumn("numeric", numeric).withColumn("num", F.when(numeric, to_number(F.col("raw"))))
+    return values.where("field is not null").withColumn("numeric", numeric).withColumn("num", F.when(numeric, to_number(F.col("raw"))))
 
 
 def record_values(typed: DataFrame) -> DataFrame:
@@ -63,10 +77,11 @@ def record_values(typed: DataFrame) -> DataFrame:
         for f in fields:
             additive = additive | ((F.col("section") == name) & (F.col("field") == f))
     usable = typed.where("num is not null or not numeric").withColumn("additive", additive)
-    folded = usable.groupBy(*RECORD, "field").agg(
+    # one shuffle by record serves the folding and the look for its tax id
+    folded = usable.repartition(*RECORD).groupBy(*RECORD, "field").agg(
         F.sum("num").alias("num"),
         F.min_by("raw", F.when(~F.col("numeric"), F.col("i"))).alias("txt"),
         (F.bool_and(F.col("numeric") & ~F.col("additive")) & (F.count("*") > 1)).alias("repeated"),
     )
-    ids = folded.where("field = 'rut'").select(*RECORD, tax_id(F.col("txt")).alias("id")).where("id is not null")
-    return folded.join(ids, RECORD)
+    own = F.max(F.when(F.col("field") == "rut", tax_id(F.col("txt")))).over(Window.partitionBy(*RECORD))
+    return folded.withColumn("id", own).where("id is not null")

@@ -66,7 +66,7 @@ class Ledger:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self._cut(geometry.pages_of(geometry.rows_of(self._cells), geometry.bands_of(self._boxes)))
+        return self._cut(geometry.whole_pages(geometry.page_rows(self._cells), geometry.page_bands(self._boxes, self._cut)))
 
     @cached_property
     def _docs(self) -> DataFrame:
@@ -84,15 +84,17 @@ class Ledger:
         detail = self.pages.where("page > 1").join(self._docs.where("profile is not null").select("doc_id", "profile"), "doc_id")
         detail = detail.withColumns({"section": section, "other_sections": others})
         anchors = F.coalesce(classify.anchors_of(F.col("section")), F.array(F.lit("\0")))  # no section: nothing matches
-        return self._cut(geometry.read_rows(geometry.locate_tables(detail.withColumn("anchors", anchors))).drop("anchors", "lines", "title", "bands", "rows"))
+        detail = detail.withColumn("anchors", anchors).drop("lines", "title")
+        found = geometry.locate_tables(detail, ("section",), lambda layouts: self._cut(records.with_fields(layouts)))
+        return self._cut(geometry.read_rows(found).drop("anchors", "bands", "rows"))
 
     @cached_property
     def _mapped(self) -> DataFrame:
-        return self._cut(records.mapped_columns(self.tables))
+        return records.mapped_columns(self.tables)
 
     @cached_property
     def _typed(self) -> DataFrame:
-        return self._cut(records.typed_values(self._mapped, records.cell_values(self.tables)))
+        return self._cut(records.typed_values(records.cell_values(self.tables)))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -106,7 +108,7 @@ class Ledger:
     @cached_property
     def columns(self) -> DataFrame:
         """The audit of every column read."""
-        audit = records.column_audit(self._mapped, records.cell_values(self.tables))
+        audit = records.audited(self._mapped, records.cell_values(self.tables))
         return self._cut(audit.join(self._docs.select("doc_id", "doc_ord", "file"), "doc_id"))
 
     @cached_property

@@ -89,3 +89,24 @@ def test_merged_header_cell_and_collisions_and_totals(spark):
 def test_empty_pages(spark, bands):
     pages = geometry.pages_of(geometry.rows_of(cells(spark, [])), geometry.bands_of(boxes(spark, bands)))
     assert geometry.read_rows(geometry.locate_tables(pages.withColumn("anchors", F.array(F.lit("rut"))))).count() == 0
+
+
+def test_pages_of_one_form_share_their_drawing_and_layout(spark):
+    """What pages of one form have in common is worked out once; a page of another form is on its own."""
+    other = [(y0, y1, [(a + 3, b + 3) for a, b in cs]) for y0, y1, cs in BANDS]
+    forms = [BANDS, BANDS, other, BANDS]
+    rows, drawn = cells(spark, PAGE, page=2), boxes(spark, forms[0], page=2)
+    for n, form in enumerate(forms[1:], 3):
+        rows, drawn = rows.union(cells(spark, PAGE, page=n)), drawn.union(boxes(spark, form, page=n))
+    kept = []
+
+    def keep(df):
+        kept.append(df.count())
+        return df
+
+    pages = geometry.whole_pages(geometry.page_rows(rows), geometry.page_bands(drawn, keep))
+    found = geometry.locate_tables(pages.withColumn("anchors", F.array(F.lit("rut"))), keep=keep)
+    got = {r["page"]: r for r in geometry.read_rows(found).collect()}
+    assert kept == [4, 2, 2]  # drawings by page, distinct ones, distinct layouts
+    assert {n: r["columns"][0]["x0"] for n, r in got.items()} == {2: 18, 3: 18, 4: 21, 5: 18}
+    assert {r["path"] for r in got.values()} == {"rayado"} and {r["read"] for r in got.values()} == {1}
