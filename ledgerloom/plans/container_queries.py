@@ -53,15 +53,6 @@ def _reader(data: bytes) -> Iterator[tuple]:
     yield from (tuple(json.loads(line)) for line in data.decode().splitlines())
 
 
-def put(spark: SparkSession, path: str, data: bytes) -> None:
-    """Bytes into a file of any store that Spark knows."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    for k in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[k : k + (1 << 20)]))
-    out.close()
-
-
 #: Customers of a voucher and vouchers of an archive.
 PEOPLE, VOUCHERS = 40, 8
 
@@ -137,10 +128,7 @@ def archive_documents(spark, sf):
 
 
 def _workbook(spark: SparkSession, sf: str) -> str:
-    buffer, path = io.BytesIO(), f"{shared_dir(spark)}/book-{uuid.uuid4().hex}.xlsx"
-    workbook.write_workbook(_result(spark, sf), buffer)
-    put(spark, path, buffer.getvalue())
-    return path
+    return workbook.store_workbook(_result(spark, sf), f"{shared_dir(spark)}/book-{uuid.uuid4().hex}")
 
 
 @query(f"SELECT CAST(line AS VARCHAR) AS line, body, maternal, CAST(CAST(base AS BIGINT) AS VARCHAR) AS base FROM ({_PEOPLE})")

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 PART = 1_000
 LEVEL = 6
+#: A part ends in a stored block of one byte, a line end. That byte isn't in its data: whoever writes the part adds it,
+#: so lines of Spark's text sink can be parts.
+END, _STORED = b"\n", b"\x00\x01\x00\xfe\xff"
 _PARTS = pa.schema([("sheet", pa.int32()), ("segment", pa.int32()), ("part", pa.int64()), ("crc", pa.int64()), ("raw", pa.int64()), ("packed", pa.int64()), ("data", pa.binary())])
 #: fixed value: the reflected polynomial of CRC-32
 _POLYNOMIAL = 0xEDB88320
@@ -60,12 +63,13 @@ def row(at: Column, cells: list[Column]) -> Column:
 
 def parts(rows: DataFrame) -> DataFrame:
     """(sheet, segment, part, crc, raw, packed, data) of rows(sheet, segment, at, row): at is a row's place. Each
-    part is one flushed stretch of a deflate stream."""
+    part is one flushed stretch of a deflate stream; crc, raw and packed count its END, which data lacks."""
 
     def close(key, made):
         raw, crc, out = made
-        data = b"".join([*out[:-1], out[-1].flush(zlib.Z_FULL_FLUSH)])
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*key, crc, raw, len(data), data), _PARTS)], schema=_PARTS)
+        data = b"".join([*out[:-1], out[-1].flush(zlib.Z_FULL_FLUSH), _STORED])
+        raw, crc = raw + len(END), zlib.crc32(END, crc)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*key, crc, raw, len(data) + len(END), data), _PARTS)], schema=_PARTS)
 
     def compress(batches):
         at, made = None, None
@@ -140,13 +144,52 @@ class Archive:
         stretch = literal(text)
         self.add(name, [stretch[:3]], iter([stretch[3]]))
 
-    def close(self) -> None:
+    def close(self, comment: bytes = b"") -> None:
         begin = self.at
         for entry in self.directory:
             self._put(entry)
         n, size, end = len(self.directory), self.at - begin, self.at
         self._put(b"PK\6\6" + struct.pack("<QHHLLQQQQ", 44, 45, 45, 0, 0, n, n, size, begin) + b"PK\6\7" + struct.pack("<LQL", 0, end, 1))
-        self._put(b"PK\5\6" + struct.pack("<HHHHLLH", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(begin, 0xFFFFFFFF), 0))
+        self._put(b"PK\5\6" + struct.pack("<HHHHLLH", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(begin, 0xFFFFFFFF), len(comment)) + comment)
+
+
+class Part(bytes):
+    """Stands for a part that tasks hold, of so many bytes."""
+
+    def __new__(cls, key: tuple[int, int, int], size: int):
+        one = super().__new__(cls)
+        one.key, one.size = key, size
+        return one
+
+    def __len__(self) -> int:
+        return self.size
+
+
+class Gaps:
+    """What an archive is written to where its parts stay with the tasks: the bytes before each, and after the last."""
+
+    def __init__(self):
+        self.before: dict[tuple[int, int, int], bytes] = {}
+        self.rest = b""
+
+    def write(self, data: bytes) -> None:
+        if isinstance(data, Part):
+            self.before[data.key], self.rest = self.rest, b""
+        else:
+            self.rest += data
+
+
+def store(made: DataFrame, gaps: Gaps, path: str) -> None:
+    """The archive as the one file in a folder of any store: parts(sheet, segment, part, data) and what stands
+    between them. A file is one sequence, so one task writes it, of sorted parts one at a time; the driver
+    knows their sizes only. The archive's comment is END."""
+    spark, order = made.sparkSession, ["sheet", "segment", "part"]
+    kind = "sheet int, segment int, part long, before binary"
+    gap = spark.createDataFrame([(*key, bytearray(x)) for key, x in gaps.before.items() if x], kind)  # a row for each segment
+    last = spark.createDataFrame([(2**31 - 1, 0, 0, bytearray(gaps.rest[: -len(END)]))], kind)
+    rows = made.select(*order, "data").join(F.broadcast(gap), order, "left").select(*order, F.concat(F.coalesce("before", F.lit(bytearray())), "data").alias("data"))
+    whole = rows.unionByName(last.withColumnRenamed("before", "data")).repartition(1).sortWithinPartitions(*order)
+    whole.select(F.col("data").cast("string").alias("value")).write.text(path)
 
 
 def literal(text: str) -> tuple[int, int, int, bytes]:

@@ -1,8 +1,8 @@
 """The four-sheet workbook of a run: ledger, summary, columns and what to look at.
 
 A sheet holds a million rows, so a longer ledger goes on in further sheets. Rows are put into a sheet's
-form and compressed by the tasks that hold them (see ooxml); the driver copies compressed parts into the
-archive, one after another.
+form and compressed by the tasks that hold them (see ooxml). A task joins the compressed parts in a store
+(store_workbook), or the driver copies them one after another into a file of its own (write_workbook).
 """
 
 from __future__ import annotations
@@ -156,10 +156,34 @@ def _summary_rows(result: Ledger) -> tuple[DataFrame, int, int]:
 def write_workbook(result: Ledger, target) -> None:
     """The workbook into a path or binary file on the driver."""
     with scope(result.ledger.sparkSession):
-        _write(result, target)
+        made, known, sheets, shown = _made(result)
+        order = ["sheet", "segment", "part"]
+        if sum(k[-1] for k in known) <= AT_ONCE:
+            flow = (bytes(r["data"]) + ooxml.END for r in sorted(made.select(*order, "data").collect(), key=lambda r: tuple(r)[:3]))
+        else:
+            flow = (bytes(r["data"]) + ooxml.END for r in made.orderBy(*order).select("data").toLocalIterator())
+        out = target if hasattr(target, "write") else open(target, "wb")  # noqa: SIM115
+        try:
+            _put_together(out, known, sheets, shown, flow)
+        finally:
+            if out is not target:
+                out.close()
+
+
+def store_workbook(result: Ledger, path: str) -> str:
+    """The workbook as the one file in a folder of any store that Spark writes, without its content passing the
+    driver; returns a pattern that finds it."""
+    with scope(result.ledger.sparkSession):
+        made, known, sheets, shown = _made(result)
+        gaps = ooxml.Gaps()
+        _put_together(gaps, known, sheets, shown, (ooxml.Part(k[:3], k[-1]) for k in known), ooxml.END)
+        ooxml.store(made, gaps, path)
+    return f"{path}/part-*"
 
 
-def _write(result: Ledger, target) -> None:
+def _made(result: Ledger) -> tuple[DataFrame, list[tuple], list[tuple], list[int]]:
+    """The compressed parts, (sheet, segment, part, crc, raw, packed) of each in order, the sheets as texts
+    and segments, and the order of their tabs."""
     names, headers = [c.name for c in C.LAYOUT], [c.header for c in C.LAYOUT]
     line, lines = C.column("Linea").name, result.ledger
     most = ROWS_IN_A_SHEET - 1
@@ -179,16 +203,7 @@ def _write(result: Ledger, target) -> None:
     for other in whole[1:]:
         rows = rows.unionByName(other)
     made = cut(ooxml.parts(rows))
-    order = ["sheet", "segment", "part"]
-    sums_of: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    known = sorted(map(tuple, made.select(*order, "crc", "raw", "packed").collect()))  # a row for each part
-    for sheet_no, segment, _, *sums_ in known:
-        sums_of.setdefault((sheet_no, segment), []).append(tuple(sums_))
-    if sum(k[-1] for k in known) <= AT_ONCE:
-        flow = (bytes(r["data"]) for r in sorted(made.select(*order, "data").collect(), key=lambda r: tuple(r)[:3]))
-    else:
-        flow = (bytes(r["data"]) for r in made.orderBy(*order).select("data").toLocalIterator())
-
+    known = sorted(map(tuple, made.select("sheet", "segment", "part", "crc", "raw", "packed").collect()))  # a row for each part
     ledger_widths = widths(lines.where(F.col(line) <= WIDTH_ROWS), headers, names)
     block = lambda first, rows: "".join(_row(first + n, r) for n, r in enumerate(rows))
     after = 2 + n_docs
@@ -202,23 +217,26 @@ def _write(result: Ledger, target) -> None:
         *((f"{LEDGER} ({n + 2})", ledger_sheet) for n in range(more)),
     ]
     shown = [0, *range(4, 4 + more), 1, 2, 3]  # the order of the tabs
+    return made, known, sheets, shown
+
+
+def _put_together(out, known: list[tuple], sheets: list[tuple], shown: list[int], flow: Iterator[bytes], comment: bytes = b"") -> None:
+    """The archive of the sheets, whose parts flow in order."""
+    sums_of: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for sheet_no, segment, _, *sums_ in known:
+        sums_of.setdefault((sheet_no, segment), []).append(tuple(sums_))
     space = "http://schemas.openxmlformats.org"
-    out = target if hasattr(target, "write") else open(target, "wb")  # noqa: SIM115
-    try:
-        z = ooxml.Archive(out)
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for n in range(1, len(sheets) + 1))
-        z.add_text("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
-        z.add_text("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        tabs = "".join(f'<sheet name="{sheets[n][0]}" sheetId="{n + 1}" r:id="rId{n + 1}"/>' for n in shown)
-        z.add_text("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets>{tabs}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{n}" Type="{space}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1))
-        z.add_text("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{space}/package/2006/relationships">{links}</Relationships>')
-        for n, (_, stretches) in enumerate(sheets):
-            z.add(f"xl/worksheets/sheet{n + 1}.xml", *_stretched(n, stretches, sums_of, flow))
-        z.close()
-    finally:
-        if out is not target:
-            out.close()
+    z = ooxml.Archive(out)
+    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for n in range(1, len(sheets) + 1))
+    z.add_text("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+    z.add_text("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+    tabs = "".join(f'<sheet name="{sheets[n][0]}" sheetId="{n + 1}" r:id="rId{n + 1}"/>' for n in shown)
+    z.add_text("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets>{tabs}</sheets></workbook>')
+    links = "".join(f'<Relationship Id="rId{n}" Type="{space}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1))
+    z.add_text("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{space}/package/2006/relationships">{links}</Relationships>')
+    for n, (_, stretches) in enumerate(sheets):
+        z.add(f"xl/worksheets/sheet{n + 1}.xml", *_stretched(n, stretches, sums_of, flow))
+    z.close(comment)
 
 
 def _stretched(sheet: int, stretches: list[str | int], sums_of: dict, flow: Iterator[bytes]) -> tuple[list[tuple[int, int, int]], Iterator[bytes]]:

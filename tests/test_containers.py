@@ -216,3 +216,16 @@ def test_pdf_plug(spark):
     assert [tuple(r) for r in pdf.cells(items).collect()] == [("d", 1, 0, 1.0, 3.0, 2.0, 5.0, "hello")]
     assert pdf.boxes(items).count() == 1 and [tuple(r) for r in pdf.errors(items).collect()] == [("e", "no xref")]
     assert pdf.transformed(0, 1, -1, 0, 10, 0)(2, 3) == (7, 2)
+
+
+def test_stored_workbook_does_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    """Tasks store the same workbook that the driver writes; of its parts only the sums are collected."""
+    result = _bare(spark, 1_025)
+    workbook.write_workbook(result, tmp_path / "own.xlsx")
+    monkeypatch.setattr(workbook, "AT_ONCE", None)  # whoever looks at what may come to the driver fails
+    workbook.store_workbook(result, f"file://{tmp_path}/stored")
+    (stored,) = (tmp_path / "stored").glob("part-*")
+    with zipfile.ZipFile(tmp_path / "own.xlsx") as own, zipfile.ZipFile(stored) as other:
+        assert other.testzip() is None and other.namelist() == own.namelist()
+        assert all(other.read(n) == own.read(n) for n in own.namelist())
+    assert stored.read_bytes().endswith(b"\x01\x00\n")
