@@ -20,16 +20,20 @@ def check_digit(body: Column) -> Column:
     """The check digit of a body of digits: weights 2 to 7 from the right, again and again."""
     places = F.filter(F.split(F.reverse(body.cast("string")), ""), lambda c: c != "")
     weighted = F.transform(places, lambda c, i: c.cast("int") * (i % 6 + 2))
-    rest = 11 - F.aggregate(weighted, F.lit(0), lambda a, x: a + x) % 11
-    return F.when(rest == 11, "0").when(rest == 10, "K").otherwise(rest.cast("string"))
+    total = F.aggregate(weighted, F.lit(0), lambda a, x: a + x)
+    return F.substring(F.lit("0K987654321"), total % 11 + 1, F.lit(1))  # what is left to 11; 11 is 0, 10 is K
 
 
 def tax_id(s: Column) -> Column:
     """struct<body, digit, valid, text>, or null for anything else."""
-    t = trimmed(s)
-    body = F.replace(F.split_part(t, F.lit("-"), F.lit(1)), F.lit("."), F.lit(""))
-    digit = F.upper(F.split_part(t, F.lit("-"), F.lit(2)))
-    return F.when(looks_like_tax_id(s), F.struct(body.alias("body"), digit.alias("digit"), (digit == check_digit(body)).alias("valid"), t.alias("text")))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  the text is worked out once
+
+    def parts(t):
+        body = F.replace(F.split_part(t, F.lit("-"), F.lit(1)), F.lit("."), F.lit(""))
+        digit = F.upper(F.split_part(t, F.lit("-"), F.lit(2)))
+        return F.struct(body.alias("body"), digit.alias("digit"), (digit == check_digit(body)).alias("valid"), t.alias("text"))
+
+    return once(s, lambda s: F.when(looks_like_tax_id(s), once(trimmed(s), parts)))
 
 
 def split_name(s: Column) -> Column:

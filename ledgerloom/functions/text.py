@@ -46,18 +46,20 @@ def _folds() -> tuple[str, str]:
 def norm(s: Column) -> Column:
     """Without accents, lower case, everything but letters and digits as one space; null as ''."""
     source, target = _folds()
-    # capitals go with the accents: of the rest, lower() makes no letter from a to z
-    bare = F.translate(F.coalesce(s, F.lit("")), ascii_uppercase + source, ascii_lowercase + target.lower())
+    # capitals go with the accents: of the rest, lower() makes no letter from a to z; plain ASCII needs no look at each letter
+    bare = F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(F.translate(F.coalesce(s, F.lit("")), ascii_uppercase + source, ascii_lowercase + target.lower()))
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def trimmed(s: Column) -> Column:
-    return F.btrim(F.coalesce(s, F.lit("")), F.lit(BLANKS))
+    inked = F.substring(s, 1, 1).between("!", "~") & F.substring(s, -1, 1).between("!", "~")  # most texts
+    return F.when(inked, s).otherwise(F.btrim(F.coalesce(s, F.lit("")), F.lit(BLANKS)))
 
 
 def squish(s: Column) -> Column:
     """Runs of white space as one space, none at the ends; null as ''."""
-    return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), f"[[^!-~]&&{BLANK}]+", " "))  # most characters are told by one comparison
+    plain = ~s.rlike("[^ -~]|  |^ | $")  # most texts
+    return F.when(plain, s).otherwise(F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), f"[[^!-~]&&{BLANK}]+", " ")))  # most characters are told by one comparison
 
 
 def is_numeric(s: Column) -> Column:

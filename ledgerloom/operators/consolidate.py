@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.taxid import split_name
 from . import config as C
 from .classify import code_of, short_fund
-from .merge import first_where, kinds_of, merged
+from .merge import first_where, kinds_of, merged_fields
 
 ORDER = ["doc_ord", "page", "row_no"]
 
@@ -17,28 +17,31 @@ def people(values: DataFrame, docs: DataFrame) -> DataFrame:
     """One row for each tax id body, with every canonical field merged by its rule.
 
     values: doc_id, page, row_no, id, field, num, txt; docs: doc_id, doc_ord, profile,
-    institution, period. All fields come from one aggregation; sums combine before the shuffle.
-    The check digit is that of the person's first record.
+    institution, period. Every record has its rut. Values are merged by person and field, each once, before a
+    person's become one row; sums combine before the shuffle. The check digit is that of the person's first record.
     """
     info = docs.select("doc_id", "doc_ord", "profile", "institution", "period")
     rows = values.join(info, "doc_id")
-    up, down = [F.col(c) for c in ORDER], [(-F.col(c)).alias(c) for c in ORDER]
-    own = lambda f: F.col("num" if f in C.NUMERIC else "txt")
-    fields = [merged(rule, F.when(F.col("field") == f, own(f)), up, down).alias(f) for f, (rule, _) in C.FIELDS.items()]
+    up = [F.col(c) for c in ORDER]
     place = F.struct(*ORDER)
     first = lambda value, where: first_where(value, where, up)
     regime, health = (F.lit(None) for _ in range(2))
     for p, (_, r, h, _) in C.PROFILES.items():
         regime = F.when(F.col("profile") == p, F.lit(r)).otherwise(regime) if r else regime
         health = F.when(F.col("profile") == p, F.lit(h)).otherwise(health) if h else health
-    return rows.groupBy(F.col("id.body").alias("body")).agg(
-        F.min_by("id", place).alias("id"), F.min(place).alias("place"), F.count_if(F.col("field") == "rut").alias("n_lines"),
+    body = F.col("id.body").alias("body")
+    # a person's first record in each document, then what is known of these documents
+    inside = F.struct("page", "row_no")
+    each = values.where("field = 'rut'").groupBy(body, "doc_id").agg(F.min_by("id", inside).alias("id"), F.min(inside).alias("at"), F.count("*").alias("n"))
+    about = each.join(info, "doc_id").select("*", "at.*").groupBy("body").agg(
+        F.min_by("id", place).alias("id"), F.min(place).alias("place"), F.sum("n").alias("n_lines"),
         kinds_of(F.col("institution")).alias("sources"), kinds_of(F.col("profile")).alias("profiles"),
         first(F.col("period"), F.col("period").isNotNull()).alias("period"),
         first(F.col("institution"), F.col("profile") == "ccaf").alias("fund"), first(F.col("institution"), F.col("profile") == "afp").alias("pension"),
         first(regime, regime.isNotNull()).cast("string").alias("regime"), first(health, health.isNotNull()).cast("int").alias("health"),
-        *fields,
     )
+    kept = merged_fields(rows.select(body, "field", "num", "txt", *ORDER), ["body"], {f: rule for f, (rule, _) in C.FIELDS.items()}, ORDER)
+    return about.join(kept, "body", "left")
 
 
 def ledger(numbered: DataFrame) -> DataFrame:

@@ -102,12 +102,28 @@ def _row_pairs(rows: Column) -> Column:
     return F.flatten(F.transform(rows, pairs))
 
 
+def _months(pages: DataFrame) -> DataFrame:
+    """(doc_id, period): the period of the first page that has one. Later pages are only searched where the first
+    ones have none. Place and month are one number, so that numbers alone are aggregated."""
+
+    def first(pages):
+        found = let(page_period(F.col("lines")), lambda p: F.col("page").cast("long") * 1_000_000 + p["month"] * 10_000 + p["year"])
+        return pages.select("doc_id", found.alias("at")).groupBy("doc_id").agg(F.min("at").alias("at")).where("at is not null")
+
+    early = first(pages.where("page <= 1"))
+    late = first(pages.where("page > 1").join(early.select("doc_id"), "doc_id", "left_anti"))
+    month = F.pmod("at", F.lit(1_000_000))
+    parts = F.concat_ws("/", F.lpad(F.floor(month / 10_000).cast("string"), 2, "0"), F.lpad((month % 10_000).cast("string"), 4, "0"))
+    return early.unionByName(late).select("doc_id", period(parts).alias("period"))
+
+
 def covers(pages: DataFrame) -> DataFrame:
     """(doc_id, folio, period, employer, pairs, lines): the first page of each document, with the
     period of the first page that has one. pages has doc_id, page, rows, bands, lines."""
-    months = pages.select("doc_id", "page", page_period(F.col("lines")).alias("period")).groupBy("doc_id").agg(F.min_by("period", F.when(F.col("period").isNotNull(), F.col("page"))).alias("period"), F.max("page").alias("pages"))
+    months = pages.groupBy("doc_id").agg(F.max("page").alias("pages")).join(_months(pages), "doc_id", "left")
     rows, bands = F.col("rows"), F.col("bands")
-    first = pages.where("page = 1").select(
+    numbered = F.transform("rows", lambda r: F.struct(r["y"].alias("y"), F.transform(r["cells"], lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "x1", "xc", "text", "n")], to_number(c["text"]).alias("number"))).alias("cells")))
+    first = pages.where("page = 1").withColumn("rows", numbered).select(
         "doc_id", "lines",
         F.coalesce(first_match(F.col("lines"), C.FOLIO, 1), F.lit("")).alias("folio"),
         F.struct(value_below(rows, C.EMPLOYER_NAME).alias("name"), value_below(rows, C.EMPLOYER_ID).alias("id")).alias("employer"),

@@ -13,9 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.taxid import looks_like_tax_id
-from ..functions.text import is_value, norm, to_number, trimmed
+from ..functions.text import is_value, norm, trimmed
 from . import config as C
 from .cluster import first_near, pair_anchors
 from .edges import centre_index, cover_index, let, nearest_of, place_of
@@ -56,12 +57,12 @@ def last_levels(values: Column, n: int) -> Column:
 def page_rows(cells: DataFrame) -> DataFrame:
     """(doc_id, page, rows array<struct<row_no, y, cells, text>>): cells in visual rows, from the top; a row's y is
     that of its first cell, and cells within the tolerance of it belong to the row. Cells are sorted by place
-    once for a page, so a row is a slice of them. Only covers, which are first pages, look at number."""
+    once for a page, so a row is a slice of them."""
     text = F.col("text")
     shown = cells.where(trimmed(text) != "")
     # worked out ahead of the grouping, where they are compiled and share their parts
-    known = shown.withColumns({"n": norm(text), "id": looks_like_tax_id(text), "number": F.when(F.col("page") == 1, to_number(text))})
-    cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", "n", "id", "number")
+    known = shown.withColumns({"n": norm(text), "id": looks_like_tax_id(text)})
+    cell = F.struct("x0", "y", "item_ord", "x1", "xc", "text", "n", "id")
     placed = known.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("at"), cell.alias("cell")))).alias("_placed"))
     starts = F.transform("_placed", lambda c, i: F.struct(c["at"].alias("y"), i.alias("i")))
 
@@ -105,13 +106,23 @@ def _listed(bands: DataFrame) -> DataFrame:
 
 
 def page_bands(boxes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(doc_id, page, bands array): the bands of bands_of. Pages of one form are drawn alike, so the bands of each
-    distinct drawing are worked out once, on the first page that has it. keep writes a table that is read
-    more than once."""
-    drawn = keep(_real(boxes).groupBy(*PAGE).agg(F.sort_array(F.collect_set(F.struct("y0", "y1", "x0", "x1"))).alias("drawn")))
-    first = drawn.groupBy("drawn").agg(F.min(F.struct(*PAGE)).alias("at")).select("drawn", "at.*")
-    known = keep(first.join(_listed(bands_of(first.select(*PAGE, F.inline("drawn")))), PAGE).select("drawn", "bands"))
-    return drawn.join(known, "drawn").select(*PAGE, "bands")
+    """(doc_id, page, bands array, form): the bands of bands_of. Pages of one form are drawn alike, so the bands of each
+    distinct drawing are worked out once. A drawing is the text of its boxes, which is compared byte by byte, and
+    form is that of its bands. keep writes a table that is read more than once."""
+    sides, real = ("y0", "y1", "x0", "x1"), _real(boxes)
+    # zeros lose their sign: as numbers they are equal
+    text = F.concat_ws(" ", *[F.when(F.col(c) == 0, "0").otherwise(F.col(c).cast("string")) for c in sides])
+    drawn = keep(real.groupBy(*PAGE).agg(F.array_join(F.sort_array(F.collect_set(text)), "|").alias("drawn")))
+    first = drawn.select("drawn").distinct().withColumns({"doc_id": F.sha2("drawn", 256), "page": F.lit(1)})
+    parts = first.select(*PAGE, F.explode(F.split("drawn", "[|]")).alias("b")).select(*PAGE, F.split("b", " ").alias("b"))
+    again = parts.select(*PAGE, *[F.get("b", F.lit(n)).cast(real.schema[c].dataType).alias(c) for n, c in enumerate(sides)])
+    known = keep(first.join(_listed(bands_of(again)), PAGE).select("drawn", "bands", form_of(F.col("bands")).alias("form")))
+    return drawn.join(known, "drawn").select(*PAGE, "bands", "form")
+
+
+def form_of(bands: Column) -> Column:
+    """Bands without their indexes as a text."""
+    return F.to_json(F.transform(bands, lambda b: F.struct(*[b[k].alias(k) for k in ("y0", "band_no", "y1", "cells")])))
 
 
 def pages_of(rows: DataFrame, bands: DataFrame) -> DataFrame:
@@ -237,9 +248,10 @@ def search_keys(ancestors: Column, leaf: Column) -> Column:
 
 
 def laid_out(pages: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
-    """pages with from_row, the number of the first row with a tax id, and layout, all that columns depend on: the bands,
-    which of them holds the data, and the rows at the headings, numbered from the header row. Both are null
-    without a table. Columns of pages that are named in own go into the layout."""
+    """pages with layout, all that columns depend on (the bands, which of them holds the data, and the rows at the
+    headings, numbered from the header row), and live, the rows from the first one with a tax id up to that of
+    accumulated totals: how many were read, and those with a tax id. Both are null without a table, and stand in place
+    of rows and bands. Columns of pages that are named in own go into the layout."""
     rows = F.col("rows")
     has = lambda r: F.forall("anchors", lambda a: F.exists(r["cells"], lambda c: c["n"] == a)) & (F.size(r["cells"]) > F.size("anchors"))
     one = pages.withColumn("header", head(F.filter(rows, has)))
@@ -250,18 +262,27 @@ def laid_out(pages: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
     # the climb looks at bands that end at most TOUCHING below the top of the data band, and at rows inside them
     near = lambda r: F.coalesce((r["y"] >= top) & (r["y"] <= band["y0"] + C.TOUCHING), F.lit(False)) | ((r["row_no"] >= header - C.ANCESTOR_LEVELS) & (r["row_no"] < data))
     short = lambda r: F.struct((r["row_no"] - header).alias("row_no"), r["y"].alias("y"), F.transform(r["cells"], lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "x1", "xc", "text")])).alias("cells"))
-    drawn = F.transform("bands", lambda b: F.struct(*[b[k].alias(k) for k in ("y0", "band_no", "y1", "cells")]))
-    layout = F.struct(*own, drawn.alias("bands"), band["band_no"].alias("band"), (data - header).alias("data"), F.transform(F.filter(rows, near), short).alias("rows"))
+    form = F.coalesce(F.col("form"), F.lit("[]")) if "form" in pages.columns else form_of(F.col("bands"))
+    layout = F.struct(*own, form.alias("form"), band["band_no"].alias("band"), (data - header).alias("data"), F.transform(F.filter(rows, near), short).alias("rows"))
     found = F.col("data").isNotNull()
-    return three.withColumns({"layout": F.when(found, layout), "from_row": data}).drop("header", "data", "band")
 
+    def with_id(live):
+        cells = lambda r: F.transform(r["cells"], lambda c: F.struct(c["xc"].alias("xc"), c["text"].alias("text")))
+        kept = F.filter(live, lambda r: F.exists(r["cells"], lambda c: c["id"]))
+        return F.struct(F.size(live).alias("read"), F.transform(kept, lambda r: F.struct(r["row_no"].alias("row_no"), cells(r).alias("cells"))).alias("rows"))
+
+    # rows above are passed over where the others are placed, so that no row is copied twice
+    live = let(F.filter("rows", lambda r: r["row_no"] >= data), lambda rows: before_stop(rows, lambda r: r["text"].rlike(C.TOTALS_ROW), "row_no"))
+    return three.withColumns({"layout": F.when(found, layout), "live": F.when(found, let(live, with_id))}).drop("header", "data", "band", "rows", "bands", "form", "anchors")
 
-def columns_of(layouts: DataFrame) -> DataFrame:
-    """layouts(layout) with path ('rayado' or 'heuristico'), columns array<struct<i, x0, x1, xc, leaf, ancestors,
+
+def columns_of(layouts: DataFrame, kind: ArrayType) -> DataFrame:
+    """layouts(layout), for bands of a kind, with path ('rayado' or 'heuristico'), columns array<struct<i, x0, x1, xc, leaf, ancestors,
     label, keys>> and the indexes of their edges and centres."""
     cell = lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "x1", "xc", "text")], is_value(c["text"]).alias("value"))
     rows = F.transform(F.col("layout")["rows"], lambda r: F.struct(r["row_no"].alias("row_no"), r["y"].alias("y"), F.transform(r["cells"], cell).alias("cells")))
-    bands = F.transform(F.col("layout")["bands"], lambda b: F.struct(*[b[k].alias(k) for k in ("y0", "band_no", "y1", "cells")], cover_index(b["cells"], "x0", "x1").alias("index")))
+    told = ArrayType(StructType([f for f in kind.elementType if f.name != "index"]))
+    bands = F.transform(F.from_json(F.col("layout")["form"], told), lambda b: F.struct(*[b[k].alias(k) for k in ("y0", "band_no", "y1", "cells")], cover_index(b["cells"], "x0", "x1").alias("index")))
     layouts = layouts.withColumns({"_rows": rows, "_bands": bands})
     page = {"rows": F.col("_rows"), "bands": F.col("_bands"), "band": F.col("layout")["band"]}
     page |= {"header": head(F.filter(page["rows"], lambda r: r["row_no"] == 0)), "data": F.struct(F.col("layout")["data"].alias("row_no"))}
@@ -273,20 +294,20 @@ def columns_of(layouts: DataFrame) -> DataFrame:
     return five.withColumns({"edges": cover_index(F.col("columns"), "x0", "x1"), "centres": centre_index(F.col("columns"), "xc", "i")}).drop("ruled", "plain", "_rows", "_bands")
 
 
-def locate_tables(pages: DataFrame, own: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def locate_tables(pages: DataFrame, own: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] = lambda df: df, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """pages(doc_id, page, rows, bands, anchors array<string>, ...) with the table of each: what laid_out and
     columns_of find, path null for no table. Pages of one form have one layout, whose columns are worked out
-    once; keep may add to that table and writes it."""
-    laid = laid_out(pages, own)
+    once; keep may add to that table and writes it. hold writes what laid_out finds, which is read twice."""
+    laid = hold(laid_out(pages, own))
     # a null layout is kept here and meets no page: a filter would be planned ahead of what it looks at, and that worked out twice
-    known = keep(columns_of(laid.select("layout").distinct()))
+    known = keep(columns_of(laid.select("layout").distinct(), pages.schema["bands"].dataType))
     return laid.join(known, "layout", "left").drop("layout")
 
 
 def read_rows(tables: DataFrame) -> DataFrame:
     """tables with `lines` array<struct<row_no, values>>, one text for each column, and the counts
     read, dropped (rows without a tax id), outside (cells in no column) and colliding (cells that
-    were put after another one in a column). Reading stops at the row of accumulated totals."""
+    were put after another one in a column)."""
     columns, total = F.col("columns"), lambda array, f: F.aggregate(array, F.lit(0), lambda s, r: s + f(r))
     inside = lambda c: F.coalesce(F.get(columns, place_of(F.col("edges"), c["xc"]))["i"], F.lit(-1))
     nearest = lambda c: nearest_of(F.col("centres"), c["xc"])
@@ -295,14 +316,9 @@ def read_rows(tables: DataFrame) -> DataFrame:
         cells = lambda of: F.transform(r["cells"], lambda c: F.struct(of(c).alias("i"), c["text"].alias("text")))
         return F.struct(r["row_no"].alias("row_no"), F.when(F.col("path") == "rayado", cells(inside)).otherwise(cells(nearest)).alias("cells"))
 
-    def placed(live):
-        kept = F.filter(live, lambda r: F.exists(r["cells"], lambda c: c["id"]))
-        return F.struct(F.size(live).alias("read"), F.transform(kept, put).alias("rows"))
-
-    # rows above are passed over where the others are placed, so that no row is copied twice
-    live = let(F.filter("rows", lambda r: r["row_no"] >= F.col("from_row")), lambda rows: before_stop(rows, lambda r: r["text"].rlike(C.TOTALS_ROW), "row_no"))
-    tables = tables.withColumn("placed", F.when(F.col("path").isNotNull(), let(live, placed))).withColumns({"read": F.col("placed")["read"], "placed": F.col("placed")["rows"]})
+    live = F.when(F.col("path").isNotNull(), F.col("live"))
+    tables = tables.withColumns({"read": live["read"], "placed": F.transform(live["rows"], put)})
     line = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(columns, lambda k: joined(F.filter(r["cells"], lambda c: c["i"] == k["i"]))).alias("values"))
     out = F.filter(F.flatten(F.transform("placed", lambda r: r["cells"])), lambda c: c["i"] < 0)
     colliding = total(F.col("placed"), lambda r: F.size(F.filter(r["cells"], lambda c: c["i"] >= 0)) - F.size(F.array_distinct(F.transform(F.filter(r["cells"], lambda c: c["i"] >= 0), lambda c: c["i"]))))
-    return tables.withColumns({"lines_read": F.transform("placed", line), "dropped": F.col("read") - F.size("placed"), "outside": F.size(out), "colliding": colliding}).drop("placed", "from_row", "edges", "centres")
+    return tables.withColumns({"lines_read": F.transform("placed", line), "dropped": F.col("read") - F.size("placed"), "outside": F.size(out), "colliding": colliding}).drop("placed", "live", "edges", "centres")

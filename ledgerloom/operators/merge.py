@@ -53,6 +53,25 @@ def merge_rows(rows: DataFrame, key: list[str], fields: dict[str, str], order: l
     return rows.groupBy(*key).agg(*[merged(rule, F.col(name), up, down).alias(name) for name, rule in fields.items()], *extra)
 
 
+def merged_fields(values: DataFrame, key: list[str], fields: dict[str, str], order: list[str]) -> DataFrame:
+    """One row for each key with every field merged by its rule, like merge_rows, of values(key, field, num, txt,
+    order): sums and maxima are of num, the others of txt. Each value meets the rule of its own field only."""
+    rule, up = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[F.col("field")], [F.col(c) for c in order]
+    numeric = [f for f, r in fields.items() if r in ("sum", "max")]
+    numbers = values.where(F.col("field").isin(*numeric)).groupBy(*key, "field").agg(F.sum("num").alias("s"), F.max("num").alias("m"))
+    least = F.when(F.col("m").isNotNull(), F.greatest("m", F.lit(0).cast("decimal(20,6)")))
+    numbers = numbers.select(*key, "field", "s", least.alias("m"), F.lit(None).cast("string").alias("txt"))
+    # the place of a text by its rule: the smallest one, the first of equals
+    day = date_key(F.col("txt"))
+    place = F.when(rule == "first", F.lit(0)).when(rule == "earliest", F.coalesce(day, F.lit(2**31 - 1))).when(rule == "latest", -F.coalesce(day, F.lit(-1))).when(rule == "longest", -F.length("txt"))
+    texts = values.where(F.col("field").isin(*[f for f in fields if f not in numeric]) & F.col("txt").isNotNull())
+    texts = texts.select(*key, "field", "txt", *order, place.alias("_at")).groupBy(*key, "field").agg(F.min_by("txt", F.struct("_at", *up)).alias("txt"))
+    both = numbers.unionByName(texts, allowMissingColumns=True)
+    mine = F.map_from_entries(F.collect_list(F.struct("field", F.struct("s", "m", "txt").alias("v"))))
+    own = {"sum": "s", "max": "m"}
+    return both.groupBy(*key).agg(mine.alias("_v")).select(*key, *[F.col("_v")[f][own.get(r, "txt")].alias(f) for f, r in fields.items()])
+
+
 def long_values(rows: DataFrame, keys: list[str], fields: list[str], kind: str = "decimal(20,6)") -> DataFrame:
     """(keys, field, value): numeric columns as rows."""
     return rows.select(*keys, *[F.col(f).cast(kind).alias(f) for f in fields]).unpivot(keys, fields, "field", "value")

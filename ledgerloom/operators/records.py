@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxid import tax_id
 from ..functions.text import norm, squish, to_number
 from . import config as C
 from .edges import let
-from .geometry import PAGE
+from .geometry import PAGE, head
 from .match import first_known
 
 RECORD = [*PAGE, "row_no"]
+SUM = "decimal(30,6)"
+#: The rows of record_values that count.
+USABLE = "id is not null and (num is not null or txt is not null)"
 
 
 def with_fields(layouts: DataFrame) -> DataFrame:
     """layouts of geometry.columns_of, whose layout has a section, with key, field and level of every column;
-    level tells whether the heading alone was enough ('hoja') or its group was used."""
+    level tells whether the heading alone was enough ('hoja') or its group was used. numeric and additive are
+    those of the field; where a column lies is only known by the indexes from here on. rut_at is the 0-based place of
+    the tax id's column, twice tells whether two columns have one field."""
+    additive = lambda f: reduce(Column.__or__, [(F.col("layout")["section"] == name) & f.isin(*own) for name, (*_, own) in C.SECTIONS.items() if own], F.lit(False))
 
     def told(c):
         hit = F.lit(None).cast("struct<key:string,value:string>")
         for section, table in C.labels().items():
             hit = F.when(F.col("layout")["section"] == section, first_known(c["keys"], table)).otherwise(hit)
         level = lambda k: F.when(k == norm(c["leaf"]), "hoja").when(k.isNotNull(), "ancestro")
-        return let(hit, lambda h: F.struct(*[c[k].alias(k) for k in ("i", "x0", "x1", "xc", "leaf", "ancestors", "label", "keys")], h["key"].alias("key"), h["value"].alias("field"), level(h["key"]).alias("level")))
+        numeric = lambda f: F.coalesce(f.isin(*C.NUMERIC), F.lit(False))
+        return let(hit, lambda h: F.struct(c["i"].alias("i"), c["label"].alias("label"), h["key"].alias("key"), h["value"].alias("field"), level(h["key"]).alias("level"), numeric(h["value"]).alias("numeric"), F.coalesce(additive(h["value"]), F.lit(False)).alias("additive")))
 
-    return layouts.withColumn("columns", F.transform("columns", told))
+    fields = F.array_compact(F.transform("columns", lambda c: c["field"]))
+    place = F.nullif(F.array_position(F.transform("columns", lambda c: F.coalesce(c["field"], F.lit(""))), "rut"), F.lit(0)) - 1
+    return layouts.withColumn("columns", F.transform("columns", told)).withColumns({"rut_at": place.cast("int"), "twice": F.size(F.array_distinct(fields)) < F.size(fields)})
 
 
 def mapped_columns(tables: DataFrame) -> DataFrame:
@@ -67,21 +78,49 @@ def typed_values(values: DataFrame) -> DataFrame:
     return values.where("field is not null").withColumn("numeric", numeric).withColumn("num", F.when(numeric, to_number(F.col("raw"))))
 
 
-def record_values(typed: DataFrame) -> DataFrame:
+def record_values(tables: DataFrame) -> DataFrame:
     """(record, id, field, num, txt, repeated): values by record and field. Numbers in several
     columns of one field add up, of text the first counts; repeated marks a numeric field that
-    was fed twice though its section doesn't declare it. Records without a tax id are left out.
+    was fed twice though its section doesn't declare it. Records without a tax id have no id, and what isn't there or
+    can't be read is null: USABLE leaves both out. A filter in here would be planned ahead of what it looks at, and
+    that worked out twice, so it is for the written table.
+
+    A record is a line of a page, so it is folded where it lies, without a shuffle; where every field has one column,
+    its values are those of the line.
     """
-    additive = F.lit(False)
-    for name, (*_, fields) in C.SECTIONS.items():
-        for f in fields:
-            additive = additive | ((F.col("section") == name) & (F.col("field") == f))
-    usable = typed.where("num is not null or not numeric").withColumn("additive", additive)
-    # one shuffle by record serves the folding and the look for its tax id
-    folded = usable.repartition(*RECORD).groupBy(*RECORD, "field").agg(
-        F.sum("num").alias("num"),
-        F.min_by("raw", F.when(~F.col("numeric"), F.col("i"))).alias("txt"),
-        (F.bool_and(F.col("numeric") & ~F.col("additive")) & (F.count("*") > 1)).alias("repeated"),
-    )
-    own = F.max(F.when(F.col("field") == "rut", tax_id(F.col("txt")))).over(Window.partitionBy(*RECORD))
-    return folded.withColumn("id", own).where("id is not null")
+    return _values_once(tables.where("path is not null and not twice")).unionByName(_values_folded(tables.where("path is not null and twice")))
+
+
+def _values_once(tables: DataFrame) -> DataFrame:
+    lines = tables.select(*PAGE, "columns", "rut_at", F.explode("lines_read").alias("l"))
+    own = lines.select(*PAGE, "l.row_no", "columns", "l.values", tax_id(squish(F.get("l.values", F.col("rut_at")))).alias("id"))
+    each = own.select(*RECORD, "id", "values", F.posexplode("columns").alias("i", "c")).where("c.field is not null")
+    told = lambda raw: F.struct(F.when(F.col("c.numeric"), to_number(raw)).cast(SUM).alias("num"), F.when(~F.col("c.numeric"), F.nullif(raw, F.lit(""))).alias("txt"))
+    read = each.select(*RECORD, "id", "c.field", let(squish(F.get("values", F.col("i"))), told).alias("v"))
+    return read.select(*RECORD, "field", "v.num", "v.txt", F.lit(False).alias("repeated"), "id")
+
+
+def _values_folded(tables: DataFrame) -> DataFrame:
+    lines = tables.select(*PAGE, "columns", F.explode("lines_read").alias("l"))
+
+    def value(c, i):
+        raw = squish(F.get(F.col("l")["values"], i))
+        return let(raw, lambda raw: F.struct(c["field"].alias("field"), c["numeric"].alias("numeric"), c["additive"].alias("additive"), raw.alias("raw"), F.when(c["numeric"], to_number(raw)).alias("num")))
+
+    usable = F.filter(F.transform("columns", value), lambda v: v["field"].isNotNull() & (v["raw"] != "") & (~v["numeric"] | v["num"].isNotNull()))
+    text = lambda v: F.when(~v["numeric"], v["raw"])
+    folded = lambda v, num, repeated: F.struct(v["field"].alias("field"), num.cast(SUM).alias("num"), text(v).alias("txt"), repeated.alias("repeated"))
+
+    def several(vs, f):
+        own = F.filter(vs, lambda v: v["field"] == f)
+        added = lambda own: F.when(head(own)["numeric"], F.aggregate(own, F.lit(0).cast(SUM), lambda s, v: (s + v["num"]).cast(SUM)))
+        return let(own, lambda own: folded(head(own), added(own), F.forall(own, lambda v: v["numeric"] & ~v["additive"]) & (F.size(own) > 1)))
+
+    def fold(vs):
+        fields = F.array_distinct(F.transform(vs, lambda v: v["field"]))
+        each = F.transform(vs, lambda v: folded(v, v["num"], F.lit(False)))
+        return F.when(F.size(fields) == F.size(vs), each).otherwise(F.transform(fields, lambda f: several(vs, f)))
+
+    whole = lines.select(*PAGE, "l.row_no", let(usable, fold).alias("values"))
+    own = whole.withColumn("_own", head(F.filter("values", lambda v: v["field"] == "rut"))["txt"]).withColumn("id", tax_id(F.col("_own")))
+    return own.select(*RECORD, "id", F.inline("values")).select(*RECORD, "field", "num", "txt", "repeated", "id")

@@ -71,7 +71,7 @@ class Ledger:
     @cached_property
     def _docs(self) -> DataFrame:
         covers = self._files.join(cover.covers(self.pages), "doc_id", "left").withColumn("folio", F.coalesce("folio", F.lit("")))
-        return self._cut(mark_duplicates(classify.classified(covers)))
+        return self._cut(mark_duplicates(self._cut(classify.classified(covers))))
 
     @property
     def _used(self) -> DataFrame:
@@ -85,8 +85,8 @@ class Ledger:
         detail = detail.withColumns({"section": section, "other_sections": others})
         anchors = F.coalesce(classify.anchors_of(F.col("section")), F.array(F.lit("\0")))  # no section: nothing matches
         detail = detail.withColumn("anchors", anchors).drop("lines", "title")
-        found = geometry.locate_tables(detail, ("section",), lambda layouts: self._cut(records.with_fields(layouts)))
-        return self._cut(geometry.read_rows(found).drop("anchors", "bands", "rows"))
+        found = geometry.locate_tables(detail, ("section",), lambda layouts: self._cut(records.with_fields(layouts)), self._cut)
+        return self._cut(geometry.read_rows(found))
 
     @cached_property
     def _mapped(self) -> DataFrame:
@@ -94,12 +94,12 @@ class Ledger:
 
     @cached_property
     def _typed(self) -> DataFrame:
-        return self._cut(records.typed_values(records.cell_values(self.tables)))
+        return records.typed_values(records.cell_values(self.tables))
 
     @cached_property
     def records(self) -> DataFrame:
         """(doc_id, page, row_no, field, num, txt, repeated, id) of every record, duplicates included."""
-        return self._cut(records.record_values(self._typed))
+        return self._cut(records.record_values(self.tables)).where(records.USABLE)
 
     @property
     def _mine(self) -> DataFrame:

@@ -41,10 +41,12 @@ def vouchers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     page, y = (2 + F.floor(F.col("o_orderkey") / ROWS)).cast("int"), 130 + 8 * (F.col("o_orderkey") % ROWS)
     body = 1_000_000 + F.col("o_custkey")
     texts = [F.concat_ws("-", printed(body), check_digit(body)), F.concat_ws(" ", F.lit("CLIENTE"), F.col("c_mktsegment"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")), printed(F.col("base")), printed(F.floor(F.col("base") / 10))]
-    cells = [_cell(page, y, at - 10, at + 10, t, 100 + n) for n, (t, (*_, at)) in enumerate(zip(texts, COLUMNS))]
+    # texts are columns ahead of the array, where they are compiled
+    named = [f"_t{n}" for n in range(len(texts))]
+    cells = [_cell(page, y, at - 10, at + 10, F.col(t), 100 + n) for n, (t, (*_, at)) in enumerate(zip(named, COLUMNS))]
     every = lambda n, cell: F.when(F.col("o_orderkey") % n == 0, cell)
     cells += [every(97, _cell(page, y, 330, 340, F.lit("7"), 104)), every(89, _cell(page, y, 205, 212, F.lit("X"), 105)), every(83, _cell(page, y + 4, 120, 140, F.lit("SIN RUT"), 106))]
-    data = lines.select(doc.alias("doc_id"), F.inline(F.array_compact(F.array(*cells))))
+    data = lines.withColumns(dict(zip(named, texts))).select(doc.alias("doc_id"), F.inline(F.array_compact(F.array(*cells))))
 
     where = lines.select(doc.alias("doc_id"), page.alias("p")).distinct()
     p = F.col("p")
