@@ -14,12 +14,20 @@ def field_sums(values: DataFrame, doc: str = "doc_id") -> DataFrame:
     return values.groupBy(doc, "field").agg(F.sum("value").alias("total"))
 
 
+def column_sums(rows: DataFrame, fields: list[str], doc: str = "doc_id") -> DataFrame:
+    """field_sums of fields that are columns: a document's sums move as one row and become rows afterwards."""
+    return rows.groupBy(doc).agg(*[F.sum(f).alias(f) for f in fields]).unpivot([doc], fields, "field", "total")
+
+
 def signed_sums(pairs: DataFrame, sums: DataFrame, terms: list[tuple[str, str, int]], doc: str, pair: list[str]) -> DataFrame:
     """(pair, extracted) of totals that add and subtract fields: terms are literals (name, field, sign),
     pairs names one by `name`. A field that a document lacks counts as zero."""
     table = pairs.sparkSession.createDataFrame(terms, "name string, field string, sign int")  # of literals
-    wide = pairs.select(doc, *[c for c in pair if c != doc], "name").join(F.broadcast(table), "name").join(sums, [doc, "field"], "left")
-    return wide.groupBy(*pair).agg(F.sum(F.col("sign") * F.coalesce("total", F.lit(0).cast("decimal(20,6)"))).cast("decimal(20,6)").alias("extracted"))
+    known = {name for name, _, _ in terms}
+    # sums take their signs and are added up before they move to the pairs
+    added = sums.join(F.broadcast(table), "field").groupBy(doc, "name").agg(F.sum(F.col("sign") * F.col("total")).alias("_sum"))
+    wide = pairs.where(F.col("name").isin(*known)).select(doc, *[c for c in pair if c not in (doc, "name")], "name").join(added, [doc, "name"], "left")
+    return wide.select(*pair, F.coalesce("_sum", F.lit(0).cast("decimal(20,6)")).cast("decimal(20,6)").alias("extracted"))
 
 
 def any_alternative(pairs: DataFrame, sums: DataFrame, options: list[tuple[str, str, int]], doc: str, pair: list[str]) -> DataFrame:

@@ -11,9 +11,15 @@ from .catalogue import query, table
 MONEY = "decimal(20,6)"
 
 
+FIELDS = ["extendedprice", "quantity", "tax", "discount"]
+
+
+def _lines(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey", *[F.col(f"l_{f}").cast("decimal(20,2)").alias(f) for f in FIELDS])
+
+
 def _values(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey", *[F.col(f"l_{f}").cast("decimal(20,2)").alias(f) for f in ("extendedprice", "quantity", "tax", "discount")])
-    return long_values(lines, ["doc_id", "l_partkey"], ["extendedprice", "quantity", "tax", "discount"], "decimal(20,2)").withColumn("value", F.col("value").cast(MONEY))
+    return long_values(_lines(spark, sf), ["doc_id", "l_partkey"], FIELDS, "decimal(20,2)").withColumn("value", F.col("value").cast(MONEY))
 
 
 def _declared(spark, sf):
@@ -36,7 +42,7 @@ def control_totals(spark, sf):
   ELSE sum(CAST(l_quantity AS DECIMAL(20,2))) + sum(CAST(l_tax AS DECIMAL(20,2))) END AS DOUBLE) AS extracted FROM lineitem, (VALUES ('net'), ('mass')) AS n(name) GROUP BY l_orderkey, name""")
 def sum_minus(spark, sf):
     terms = [("net", "extendedprice", 1), ("net", "tax", -1), ("net", "discount", -1), ("mass", "quantity", 1), ("mass", "tax", 1), ("mass", "unheard_of", 1)]
-    sums = checks.field_sums(_values(spark, sf))
+    sums = checks.column_sums(_lines(spark, sf).withColumns({f: F.col(f).cast(MONEY) for f in FIELDS}), FIELDS)
     pairs = sums.select("doc_id").distinct().withColumn("name", F.explode(F.array(F.lit("net"), F.lit("mass"))))
     return checks.signed_sums(pairs, sums, terms, "doc_id", ["doc_id", "name"]).withColumn("extracted", F.col("extracted").cast("double"))
 
