@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import BLANK, spaced, trimmed
 
 # fixed values
+#: Digits of a body whose number is worked with.
+SHORT = 12
 TAX_ID = r"^\d{1,3}(?:\.\d{3})*-[\dkK]$"
 UNFINISHED = spaced(r"(?i)\s(DE|DEL|LA|LAS|LOS|Y|SAN|SANTA|DA|DOS|VON|VAN|MC|SAINT)$")
 
@@ -17,10 +21,16 @@ def looks_like_tax_id(s: Column) -> Column:
 
 
 def check_digit(body: Column) -> Column:
-    """The check digit of a body of digits: weights 2 to 7 from the right, again and again."""
-    places = F.filter(F.split(F.reverse(body.cast("string")), ""), lambda c: c != "")
+    """The check digit of a body of digits: weights 2 to 7 from the right, again and again. The digits of
+    short bodies are taken from the number, which is compiled."""
+    text = body.cast("string")
+    places = F.filter(F.split(F.reverse(text), ""), lambda c: c != "")
     weighted = F.transform(places, lambda c, i: c.cast("int") * (i % 6 + 2))
-    total = F.aggregate(weighted, F.lit(0), lambda a, x: a + x)
+    long = F.aggregate(weighted, F.lit(0), lambda a, x: a + x)
+    number = text.try_cast("bigint")
+    short = reduce(Column.__add__, [F.call_function("div", number, F.lit(10**k)) % 10 * (k % 6 + 2) for k in range(SHORT)]).cast("int")
+    digits = F.length(text).between(1, SHORT) & (F.translate(text, "0123456789", "") == "")
+    total = F.when(digits, short).otherwise(long)
     return F.substring(F.lit("0K987654321"), total % 11 + 1, F.lit(1))  # what is left to 11; 11 is 0, 10 is K
 
 
@@ -36,6 +46,17 @@ def tax_id(s: Column) -> Column:
     return once(s, lambda s: F.when(looks_like_tax_id(s), once(trimmed(s), parts)))
 
 
+def with_tax_id(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with tax_id() of a text column under a name. Each part is a column of a step of its own, so that it is
+    worked out once and all is compiled."""
+    step = rows.withColumn("_t", F.when(looks_like_tax_id(F.col(text)), trimmed(F.col(text))))
+    part = lambda n: F.split_part(F.col("_t"), F.lit("-"), F.lit(n))
+    step = step.withColumns({"_body": F.replace(part(1), F.lit("."), F.lit("")), "_digit": F.upper(part(2))})
+    step = step.withColumn("_valid", F.col("_digit") == check_digit(F.col("_body")))
+    whole = F.struct(F.col("_body").alias("body"), F.col("_digit").alias("digit"), F.col("_valid").alias("valid"), F.col("_t").alias("text"))
+    return step.withColumn(name, F.when(F.col("_t").isNotNull(), whole)).drop("_t", "_body", "_digit", "_valid")
+
+
 def split_name(s: Column) -> Column:
     """struct<paternal, maternal, given>: first and second word and the rest; two words are a
     paternal and a given name."""

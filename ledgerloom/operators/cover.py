@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,25 +104,24 @@ def _row_pairs(rows: Column) -> Column:
     return F.flatten(F.transform(rows, pairs))
 
 
-def _months(pages: DataFrame) -> DataFrame:
-    """(doc_id, period): the period of the first page that has one. Later pages are only searched where the first
-    ones have none. Place and month are one number, so that numbers alone are aggregated."""
-
-    def first(pages):
-        found = let(page_period(F.col("lines")), lambda p: F.col("page").cast("long") * 1_000_000 + p["month"] * 10_000 + p["year"])
-        return pages.select("doc_id", found.alias("at")).groupBy("doc_id").agg(F.min("at").alias("at")).where("at is not null")
-
-    early = first(pages.where("page <= 1"))
-    late = first(pages.where("page > 1").join(early.select("doc_id"), "doc_id", "left_anti"))
-    month = F.pmod("at", F.lit(1_000_000))
+def _months(pages: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, pages, period): the last page, and the period of the first page that has one. Later pages are only
+    searched where the first ones have none; keep writes which documents those are, so that without any nothing is
+    read again. Place and month are one number, so that numbers alone are aggregated."""
+    found = let(page_period(F.col("lines")), lambda p: F.col("page").cast("long") * 1_000_000 + p["month"] * 10_000 + p["year"])
+    first = lambda pages, name: pages.select("doc_id", found.alias("at")).groupBy("doc_id").agg(F.min("at").alias(name))
+    ends = keep(pages.groupBy("doc_id").agg(F.max("page").alias("pages")).join(first(pages.where("page <= 1"), "early"), "doc_id", "left"))
+    late = first(pages.where("page > 1").join(ends.where("early is null").select("doc_id"), "doc_id", "left_semi"), "late")
+    at = F.coalesce("early", "late")
+    month = F.pmod(at, F.lit(1_000_000))
     parts = F.concat_ws("/", F.lpad(F.floor(month / 10_000).cast("string"), 2, "0"), F.lpad((month % 10_000).cast("string"), 4, "0"))
-    return early.unionByName(late).select("doc_id", period(parts).alias("period"))
+    return ends.join(late, "doc_id", "left").select("doc_id", "pages", F.when(at.isNotNull(), period(parts)).alias("period"))
 
 
-def covers(pages: DataFrame) -> DataFrame:
+def covers(pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(doc_id, folio, period, employer, pairs, lines): the first page of each document, with the
     period of the first page that has one. pages has doc_id, page, rows, bands, lines."""
-    months = pages.groupBy("doc_id").agg(F.max("page").alias("pages")).join(_months(pages), "doc_id", "left")
+    months = _months(pages, keep)
     rows, bands = F.col("rows"), F.col("bands")
     numbered = F.transform("rows", lambda r: F.struct(r["y"].alias("y"), F.transform(r["cells"], lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "x1", "xc", "text", "n")], to_number(c["text"]).alias("number"))).alias("cells")))
     first = pages.where("page = 1").withColumn("rows", numbered).select(

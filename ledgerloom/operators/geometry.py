@@ -109,15 +109,21 @@ def page_bands(boxes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda
     """(doc_id, page, bands array, form): the bands of bands_of. Pages of one form are drawn alike, so the bands of each
     distinct drawing are worked out once. A drawing is the text of its boxes, which is compared byte by byte, and
     form is that of its bands. keep writes a table that is read more than once."""
+    drawn, known = page_forms(boxes, keep)
+    return drawn.join(known, "drawing").select(*PAGE, "bands", "form")
+
+
+def page_forms(boxes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """page_bands as two tables, so that bands needn't move with their pages: (doc_id, page, drawing) and, of each
+    drawing, (drawing, bands, form)."""
     sides, real = ("y0", "y1", "x0", "x1"), _real(boxes)
     # zeros lose their sign: as numbers they are equal
     text = F.concat_ws(" ", *[F.when(F.col(c) == 0, "0").otherwise(F.col(c).cast("string")) for c in sides])
-    drawn = keep(real.groupBy(*PAGE).agg(F.array_join(F.sort_array(F.collect_set(text)), "|").alias("drawn")))
-    first = drawn.select("drawn").distinct().withColumns({"doc_id": F.sha2("drawn", 256), "page": F.lit(1)})
-    parts = first.select(*PAGE, F.explode(F.split("drawn", "[|]")).alias("b")).select(*PAGE, F.split("b", " ").alias("b"))
+    drawn = keep(real.groupBy(*PAGE).agg(F.array_join(F.sort_array(F.collect_set(text)), "|").alias("drawing")))
+    first = drawn.select("drawing").distinct().withColumns({"doc_id": F.sha2("drawing", 256), "page": F.lit(1)})
+    parts = first.select(*PAGE, F.explode(F.split("drawing", "[|]")).alias("b")).select(*PAGE, F.split("b", " ").alias("b"))
     again = parts.select(*PAGE, *[F.get("b", F.lit(n)).cast(real.schema[c].dataType).alias(c) for n, c in enumerate(sides)])
-    known = keep(first.join(_listed(bands_of(again)), PAGE).select("drawn", "bands", form_of(F.col("bands")).alias("form")))
-    return drawn.join(known, "drawn").select(*PAGE, "bands", "form")
+    return drawn, keep(first.join(_listed(bands_of(again)), PAGE).select("drawing", "bands", form_of(F.col("bands")).alias("form")))
 
 
 def form_of(bands: Column) -> Column:
@@ -137,6 +143,19 @@ def whole_pages(rows: DataFrame, bands: DataFrame) -> DataFrame:
     return both.withColumn("bands", F.coalesce("bands", F.slice("bands", 1, 0), F.array().cast(both.schema["bands"].dataType)))
 
 
+def drawn_pages(rows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(doc_id, page, rows, drawing, title, front) of page_rows and the drawings of page_forms; front is the text of a first page."""
+    text = lambda rows: F.array_join(F.transform(rows, lambda x: x["text"]), "\n")
+    return rows.join(drawn, PAGE, "left").withColumns({"title": text(F.slice("rows", 1, 3)), "front": F.when(F.col("page") <= 1, text(F.col("rows")))})
+
+
+def with_bands(pages: DataFrame, forms: DataFrame) -> DataFrame:
+    """What whole_pages gives, of drawn_pages and the forms of page_forms."""
+    both = pages.join(forms, "drawing", "left").withColumn("lines", F.coalesce("front", F.array_join(F.transform("rows", lambda x: x["text"]), "\n")))
+    bands = F.coalesce("bands", F.slice("bands", 1, 0), F.array().cast(both.schema["bands"].dataType))
+    return both.select(*PAGE, "rows", bands.alias("bands"), "form", "title", "lines")
+
+
 def _ruled(page: dict[str, Column]) -> Column:
     """The columns that the drawn cells of the data band make, or null."""
     rows, bands = page["rows"], page["bands"]
@@ -317,8 +336,11 @@ def read_rows(tables: DataFrame) -> DataFrame:
         return F.struct(r["row_no"].alias("row_no"), F.when(F.col("path") == "rayado", cells(inside)).otherwise(cells(nearest)).alias("cells"))
 
     live = F.when(F.col("path").isNotNull(), F.col("live"))
-    tables = tables.withColumns({"read": live["read"], "placed": F.transform(live["rows"], put)})
-    line = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(columns, lambda k: joined(F.filter(r["cells"], lambda c: c["i"] == k["i"]))).alias("values"))
+    tables = tables.withColumns({"read": live["read"], "placed": F.transform(live["rows"], put), "_all": F.transform(columns, lambda k: k["i"])})
+    each = lambda r, k: F.transform(r["cells"], lambda c: c[k])
+    # most lines have one cell in each column, in order: those are the values
+    values = lambda r: F.when(each(r, "i") == F.col("_all"), each(r, "text")).otherwise(F.transform("_all", lambda k: joined(F.filter(r["cells"], lambda c: c["i"] == k))))
+    line = lambda r: F.struct(r["row_no"].alias("row_no"), values(r).alias("values"))
     out = F.filter(F.flatten(F.transform("placed", lambda r: r["cells"])), lambda c: c["i"] < 0)
-    colliding = total(F.col("placed"), lambda r: F.size(F.filter(r["cells"], lambda c: c["i"] >= 0)) - F.size(F.array_distinct(F.transform(F.filter(r["cells"], lambda c: c["i"] >= 0), lambda c: c["i"]))))
-    return tables.withColumns({"lines_read": F.transform("placed", line), "dropped": F.col("read") - F.size("placed"), "outside": F.size(out), "colliding": colliding}).drop("placed", "live", "edges", "centres")
+    colliding = total(F.col("placed"), lambda r: let(F.filter(each(r, "i"), lambda i: i >= 0), lambda own: F.size(own) - F.size(F.array_distinct(own))))
+    return tables.withColumns({"lines_read": F.transform("placed", line), "dropped": F.col("read") - F.size("placed"), "outside": F.size(out), "colliding": colliding}).drop("placed", "_all", "live", "edges", "centres")

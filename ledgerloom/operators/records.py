@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.taxid import tax_id
+from ..functions.taxid import tax_id, with_tax_id
 from ..functions.text import norm, squish, to_number
 from . import config as C
 from .edges import let
@@ -49,7 +49,8 @@ def mapped_columns(tables: DataFrame) -> DataFrame:
 def cell_values(tables: DataFrame) -> DataFrame:
     """(doc_id, page, row_no, section, i, label, field, raw): every value read that isn't empty, with its column."""
     own = F.transform("columns", lambda c: F.struct(c["label"].alias("label"), c["field"].alias("field")))
-    lines = tables.where("path is not null").select(*PAGE, "section", own.alias("own"), F.explode("lines_read").alias("l"))
+    slim = tables.where("path is not null").select(*PAGE, "section", own.alias("own"), "lines_read")  # ahead of the lines, so once for a page
+    lines = slim.select(*PAGE, "section", "own", F.explode("lines_read").alias("l"))
     cells = lines.select(*PAGE, "section", "l.row_no", F.posexplode(F.arrays_zip("l.values", "own")).alias("i", "c"))
     values = cells.select(*PAGE, "row_no", "section", "i", "c.own.label", "c.own.field", squish(F.col("c.values")).alias("raw"))
     return values.where("raw <> ''")
@@ -78,6 +79,15 @@ def typed_values(values: DataFrame) -> DataFrame:
     return values.where("field is not null").withColumn("numeric", numeric).withColumn("num", F.when(numeric, to_number(F.col("raw"))))
 
 
+def unread_values(tables: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, page, row_no, i, label, field, raw): what stands in a numeric column and is no number. values are the
+    record_values, all of them: a page without one that lacks its value has nothing unread, but where two columns have
+    one field, which are folded, values don't tell."""
+    lacking = values.where("num is null and txt is null").select(*PAGE).distinct()
+    looked = tables.where("twice").unionByName(tables.where("not twice").join(lacking, PAGE, "left_semi"))
+    return typed_values(cell_values(looked)).where("numeric and num is null").select(*RECORD, "i", "label", "field", "raw")
+
+
 def record_values(tables: DataFrame) -> DataFrame:
     """(record, id, field, num, txt, repeated): values by record and field. Numbers in several
     columns of one field add up, of text the first counts; repeated marks a numeric field that
@@ -92,12 +102,14 @@ def record_values(tables: DataFrame) -> DataFrame:
 
 
 def _values_once(tables: DataFrame) -> DataFrame:
-    lines = tables.select(*PAGE, "columns", "rut_at", F.explode("lines_read").alias("l"))
-    own = lines.select(*PAGE, "l.row_no", "columns", "l.values", tax_id(squish(F.get("l.values", F.col("rut_at")))).alias("id"))
-    each = own.select(*RECORD, "id", "values", F.posexplode("columns").alias("i", "c")).where("c.field is not null")
-    told = lambda raw: F.struct(F.when(F.col("c.numeric"), to_number(raw)).cast(SUM).alias("num"), F.when(~F.col("c.numeric"), F.nullif(raw, F.lit(""))).alias("txt"))
-    read = each.select(*RECORD, "id", "c.field", let(squish(F.get("values", F.col("i"))), told).alias("v"))
-    return read.select(*RECORD, "field", "v.num", "v.txt", F.lit(False).alias("repeated"), "id")
+    # steps of their own: what a line's values need of its columns is found once for a page, and texts once for a value
+    fields = F.filter(F.transform("columns", lambda c, i: F.struct(i.alias("i"), c["field"].alias("field"), c["numeric"].alias("numeric"))), lambda c: c["field"].isNotNull())
+    lines = tables.select(*PAGE, fields.alias("own"), "rut_at", "lines_read").select(*PAGE, "own", "rut_at", F.explode("lines_read").alias("l"))
+    named = lines.select(*PAGE, "l.row_no", "own", "l.values", squish(F.get("l.values", F.col("rut_at"))).alias("_rut"))
+    each = with_tax_id(named, "_rut", "id").select(*RECORD, "id", "values", F.explode("own").alias("c"))
+    read = each.select(*RECORD, "id", "c.field", "c.numeric", squish(F.get("values", F.col("c.i"))).alias("raw"))
+    num, txt = F.when(F.col("numeric"), to_number(F.col("raw"))).cast(SUM), F.when(~F.col("numeric"), F.nullif("raw", F.lit("")))
+    return read.select(*RECORD, "field", num.alias("num"), txt.alias("txt"), F.lit(False).alias("repeated"), "id")
 
 
 def _values_folded(tables: DataFrame) -> DataFrame:

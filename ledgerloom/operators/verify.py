@@ -38,8 +38,8 @@ def _total_of(profile: Column, label: Column) -> Column:
 def compare_covers(pairs: DataFrame, docs: DataFrame, values: DataFrame) -> DataFrame:
     """pairs with outcome (compared, note, uncompared), field, extracted and ok.
 
-    pairs: doc_id, pair_ord, label, amount; docs: doc_id, profile; values: doc_id, id, field, num.
-    Sums are worked out once for all totals. A declared total must equal its sum exactly.
+    pairs: doc_id, pair_ord, label, amount; docs: doc_id, profile; values: doc_id, id, field, num, where every record
+    has its rut. People are counted once for all lines and for the fields that totals name. Sums are worked out once for all totals. A declared total must equal its sum exactly.
     """
     known = pairs.join(docs.select("doc_id", "profile"), "doc_id")
     named = known.withColumn("_t", _total_of(F.col("profile"), norm(F.col("label")))).select(*known.columns, "_t.*").withColumn("declared", F.col("amount"))
@@ -47,8 +47,9 @@ def compare_covers(pairs: DataFrame, docs: DataFrame, values: DataFrame) -> Data
     added = checks.signed_sums(named.where("kind in ('field', 'terms')"), sums, [(n, f, sign) for n, f, sign, _ in C.terms()], "doc_id", PAIR)
     chosen = checks.any_alternative(named.where("kind = 'any'"), sums, [(n, f, at) for n, f, _, at in C.terms()], "doc_id", PAIR)
     body = F.col("id.body")
-    everyone = checks.distinct_where(values.withColumn("body", body), ["doc_id"], "body").withColumn("only", F.lit(""))
-    having = values.where("num > 0").groupBy("doc_id", F.col("field").alias("only")).agg(F.count_distinct(body).alias("n"))
+    everyone = checks.distinct_where(values.where("field = 'rut'").withColumn("body", body), ["doc_id"], "body").withColumn("only", F.lit(""))
+    asked = sorted({t.where for t in C.TOTALS if t.kind == "count" and t.where})
+    having = values.where(F.col("field").isin(*asked)).where("num > 0").groupBy("doc_id", F.col("field").alias("only")).agg(F.count_distinct(body).alias("n"))
     counts = everyone.select("doc_id", "only", "n").union(having.select("doc_id", "only", "n"))
     counted = named.where("kind = 'count'").select(*PAIR, F.coalesce("only", F.lit("")).alias("only")).join(counts, ["doc_id", "only"], "left").select(*PAIR, F.coalesce("n", F.lit(0)).cast("decimal(20,6)").alias("extracted"))
     got = added.withColumn("hit", F.lit(None).cast("string")).unionByName(chosen.select(*PAIR, "extracted", "hit")).unionByName(counted.withColumn("hit", F.lit(None).cast("string")))

@@ -66,11 +66,12 @@ class Ledger:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self._cut(geometry.whole_pages(geometry.page_rows(self._cells), geometry.page_bands(self._boxes, self._cut)))
+        drawn, forms = geometry.page_forms(self._boxes, self._cut)
+        return geometry.with_bands(self._cut(geometry.drawn_pages(geometry.page_rows(self._cells), drawn)), forms)
 
     @cached_property
     def _docs(self) -> DataFrame:
-        covers = self._files.join(cover.covers(self.pages), "doc_id", "left").withColumn("folio", F.coalesce("folio", F.lit("")))
+        covers = self._files.join(cover.covers(self.pages, self._cut), "doc_id", "left").withColumn("folio", F.coalesce("folio", F.lit("")))
         return self._cut(mark_duplicates(self._cut(classify.classified(covers))))
 
     @property
@@ -93,13 +94,13 @@ class Ledger:
         return records.mapped_columns(self.tables)
 
     @cached_property
-    def _typed(self) -> DataFrame:
-        return records.typed_values(records.cell_values(self.tables))
+    def _values(self) -> DataFrame:
+        return self._cut(records.record_values(self.tables))
 
     @cached_property
     def records(self) -> DataFrame:
         """(doc_id, page, row_no, field, num, txt, repeated, id) of every record, duplicates included."""
-        return self._cut(records.record_values(self.tables)).where(records.USABLE)
+        return self._values.where(records.USABLE)
 
     @property
     def _mine(self) -> DataFrame:
@@ -156,13 +157,13 @@ class Ledger:
         constant = stats.constant_columns(self.ledger, [c.name for c in C.LAYOUT])
         told = F.array_compact(F.array(*[F.when(F.col(c.name), F.lit(c.header)) for c in C.LAYOUT]))
         constants = constant.select(told.alias("h")).select(F.size("h").alias("n"), F.array_join("h", ", ").alias("names"))
-        unread = self._typed.where("numeric and num is null").select("doc_id", "page", "row_no", "i", "label", "field", "raw")
+        unread = records.unread_values(self.tables, self._values)
         audit = self.columns.join(self._used.select("doc_id"), "doc_id", "left_semi").drop("doc_ord", "file")
         own = verify.document_warnings(self._read.where("duplicate_of is null"), audit, self._compared, _first_per_document(unread, 20))
         return own.unionByName(verify.run_warnings(self._read, self._states, self._compared, self.people, constants, self._ignored))
 
     #: The tables of a run in the order in which they need each other.
-    PHASES = ("pages", "_docs", "tables", "_mapped", "_typed", "records", "columns", "people", "_compared", "_read", "_states")
+    PHASES = ("pages", "_docs", "tables", "_mapped", "_values", "records", "columns", "people", "_compared", "_read", "_states")
 
     def worked_out(self, callback: Callable[[int, str], None]) -> "Ledger":
         """Works out all tables and calls back with (percent, phase) meanwhile (see plans.progress)."""

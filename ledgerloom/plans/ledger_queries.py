@@ -18,6 +18,7 @@ from ..operators import config as C
 from ..sinks import workbook
 from . import ledger, report
 from .catalogue import query, table
+from .cuts import cut
 
 # the layout of a page: heading, box, centre of the data below
 COLUMNS = (("RUT", 18, 59, 38), ("Apellido Paterno Materno Nombres", 59, 223, 130), ("Remuneración Imponible", 223, 273, 256), ("Cotización Obligatoria", 273, 314, 299))
@@ -36,19 +37,22 @@ def _cell(page, y, x0, x1, text, order):
 def vouchers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, cells, boxes) of one voucher for each nation that has orders."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("base"))
-    lines = orders.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    body = 1_000_000 + F.col("c_custkey")
+    # what is printed of a customer is worked out once, ahead of the orders
+    rut, name = F.concat_ws("-", printed(body), check_digit(body)), F.concat_ws(" ", F.lit("CLIENTE"), F.col("c_mktsegment"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    people = table(spark, sf, "customer").select("c_custkey", "c_nationkey", rut.alias("_t0"), name.alias("_t1"))
+    lines = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
     doc = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
     page, y = (2 + F.floor(F.col("o_orderkey") / ROWS)).cast("int"), 130 + 8 * (F.col("o_orderkey") % ROWS)
-    body = 1_000_000 + F.col("o_custkey")
-    texts = [F.concat_ws("-", printed(body), check_digit(body)), F.concat_ws(" ", F.lit("CLIENTE"), F.col("c_mktsegment"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")), printed(F.col("base")), printed(F.floor(F.col("base") / 10))]
     # texts are columns ahead of the array, where they are compiled
-    named = [f"_t{n}" for n in range(len(texts))]
+    amounts = {"_t2": printed(F.col("base")), "_t3": printed(F.floor(F.col("base") / 10))}
+    named = [f"_t{n}" for n in range(len(COLUMNS))]
     cells = [_cell(page, y, at - 10, at + 10, F.col(t), 100 + n) for n, (t, (*_, at)) in enumerate(zip(named, COLUMNS))]
     every = lambda n, cell: F.when(F.col("o_orderkey") % n == 0, cell)
     cells += [every(97, _cell(page, y, 330, 340, F.lit("7"), 104)), every(89, _cell(page, y, 205, 212, F.lit("X"), 105)), every(83, _cell(page, y + 4, 120, 140, F.lit("SIN RUT"), 106))]
-    data = lines.withColumns(dict(zip(named, texts))).select(doc.alias("doc_id"), F.inline(F.array_compact(F.array(*cells))))
+    data = lines.withColumns(amounts).select(doc.alias("doc_id"), F.inline(F.array_compact(F.array(*cells))))
 
-    where = lines.select(doc.alias("doc_id"), page.alias("p")).distinct()
+    where = cut(lines.select(doc.alias("doc_id"), page.alias("p")).distinct())  # headings and boxes are drawn on each of these pages
     p = F.col("p")
     heads = [_cell(p, 40, 20, 400, F.lit(TITLE), 0)] + [_cell(p, 98, (a + b) / 2 - 20, (a + b) / 2 + 20, F.lit(t), n + 1) for n, (t, a, b) in enumerate(GROUPS)] + [_cell(p, 110, at - 12, at + 12, F.lit(t), n + 10) for n, (t, _, _, at) in enumerate(COLUMNS)]
     head = where.select("doc_id", F.inline(F.array(*heads)))
