@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Where the cuts of the run that is being worked out are listed; a run in another thread has its own.
 _listed: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
 
+#: Rows of a range that one task sorts and numbers, where there are partitions enough.
+RANGE = 50_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Where the session
@@ -78,10 +81,14 @@ def cut(df: DataFrame, compact: bool = False) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "line") -> DataFrame:
-    """df with 1, 2, ... in order. Rows are ranged and sorted over partitions and written once;
-    then every partition's numbers go on where the one before ended, so no task sorts all rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    """df with 1, 2, ... in order. Rows are written, ranged and sorted over partitions and written again;
+    then every partition's numbers go on where the one before ended, so no task sorts all rows.
+
+    There are as many partitions as the written rows need: ranging sends the driver a sample of keys for each
+    partition, and each task its report, so a table of few rows mustn't take a large session's number."""
+    rows = cut(df)
+    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE)))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = cut(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -215,8 +215,9 @@ def from_archives(spark: SparkSession, path: str, reader: Callable[[bytes], Iter
     archive or document, is a file with an error; the rest goes on."""
     made: list[str] = []
     with into(made):
-        listed = cut(archive.entries(spark, path, data=False))
-        items = cut(pdf.drawn(archive.documents(archive.entries(spark, path)), reader))
+        archives = archive.listed(spark, path)
+        listed = cut(archive.entries(spark, archives, data=False))
+        items = cut(pdf.drawn(archive.documents(archive.entries(spark, archives)), reader))
         files = archive.files(listed).join(pdf.errors(items).withColumnRenamed("error", "_error"), "doc_id", "left")
         files = files.select("doc_id", "doc_ord", "file", F.coalesce("error", "_error").alias("error"))
         run = process(cut(files), pdf.cells(items), pdf.boxes(items), archive.ignored(listed), config)

@@ -79,10 +79,15 @@ def by_ranges(spark: SparkSession, paths: list[str], data: bool = True) -> DataF
     return names.where(~is_document(F.col("path"))).unionByName(read).unionByName(broken)
 
 
-def entries(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
-    """The entries of the archives at a path, junk left out, with name and is_document; an archive that
-    can't be opened counts as a document by its own name."""
-    files = spark.read.format("binaryFile").load(path)
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """The archives at a path. The names of all reach the driver, so who reads them twice lists them once."""
+    return spark.read.format("binaryFile").load(path)
+
+
+def entries(spark: SparkSession, path: str | DataFrame, data: bool = True) -> DataFrame:
+    """The entries of the archives at a path, or of listed ones, junk left out, with name and is_document; an archive
+    that can't be opened counts as a document by its own name."""
+    files = listed(spark, path) if isinstance(path, str) else path
     large = [r["path"] for r in files.where(F.col("length") > WHOLE).select("path").collect()]  # names of large files
     found = unpacked(files.where(F.col("length") <= WHOLE), data)
     if large:
